@@ -2,20 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import sharding
+from webloom.llm import contamination, packing, sharding
 from webloom.llm.common import table
 
+BPE = "byte_bpe_50k.json"
+
+
+def op3_bfd_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE), capacity=2048)
+
+
+def op4_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of packing.pack_online with a checksum in place of the ids."""
+    pieces = packing.pack_online(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE), capacity=1024)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [zlib.crc32(np.frombuffer(ids.as_buffer(), "<u2").astype("<u4").tobytes()) for ids in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "start", "length")), pa.array(sums, pa.int64()), *(batch.column(c) for c in ("doc_tokens", "sequence_id", "offset"))],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+            )
+
+    return pieces.mapInArrow(digest, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+
 
 def op5_jump_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.digest(contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bfd_matrices": op3_bfd_matrices,
+    "op4_online_packing": op4_online_packing,
     "op5_jump_shard": op5_jump_shard,
+    "op7_positional_index": op7_positional_index,
 }
 
 ORACLE_SQL: dict[str, str] = {}
