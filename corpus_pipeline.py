@@ -1,13 +1,68 @@
-"""A training-corpus pipeline of five of the library's operators."""
+"""A training-corpus pipeline of five of the library's operators.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A stage's result is
+written as Parquet and read again as the next stage's docs, so each stage starts from stored rows and its decisions take effect."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webloom.llm import contamination, neardup, packing, pii, quality
+from webloom.llm.common import materialize, table
+from webloom.llm.queries import BPE, checksums
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (score >= 0.3), learned from the labels outside the held-out fold."""
+    model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(~quality.held_out()))
+    return quality.score(docs, model, COLUMNS).filter("score >= 0.3").select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: the one with the least id (five-word shingles, similarity 0.8)."""
+    dropped = neardup.near_duplicates(docs, width=5, percent=80).filter("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share too little with the benchmark to count as contaminated."""
+    found = contamination.digest(contamination.contamination(docs, table(spark, sf_dir, "benchmark")))
+    bad = found.filter("contaminated").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every span of personal data replaced by its kind."""
+    clean = pii.private_data(docs, columns=["doc_id", "lang", "source"], redacted=True)
+    return clean.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.char_length("redacted").cast("bigint").alias("n_chars"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences of at most 1024 ids: one row per piece."""
+    return checksums(packing.pack_online(docs, public_tokenizers.path(BPE), capacity=1024))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("near duplicates", one_of_each),
+    ("benchmark decontamination", uncontaminated),
+    ("personal data", without_private_data),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: Trained weights, sketches and token ids cannot be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of ``sf_dir``."""
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage{k}")
+    return docs
