@@ -26,7 +26,8 @@ def ngrams(raw: np.ndarray, offsets: np.ndarray, i: int, j: int, bits: int) -> t
 
     Words are runs of letters and digits or runs of other visible characters. A word gives its folded form; its shape (how it is written
     and its length, or the characters themselves if it has no letters) gives a second sequence, since most long words of an unseen text
-    are new. Unigrams and bigrams of forms, and n-grams of one to three shapes, share one hash space."""
+    are new. Unigrams and bigrams of forms, and n-grams of one to three shapes, share one hash space with marks for words that repeat one of
+    the four before them."""
     data, text_starts = joined(raw, offsets, i, j)
     letters = alphanumeric()[data]
     kind = np.where(letters, 1, np.where(NOT_BLANK[data], 2, 0)).astype(np.int8)
@@ -55,6 +56,11 @@ def ngrams(raw: np.ndarray, offsets: np.ndarray, i: int, j: int, bits: int) -> t
             whole = owner[: len(acc)] == owner[width - 1 :]
             parts.append(acc[whole])
             owners.append(owner[: len(acc)][whole])
+    for back in range(1, 5):  # a word that repeats one shortly before it, whatever the word
+        if len(form) > back:
+            again = np.flatnonzero((form[back:] == form[:-back]) & (owner[back:] == owner[:-back])) + back
+            parts.append(mix(np.full(len(again), 101 + back, np.uint64)))
+            owners.append(owner[again])
     all_, own = np.concatenate(parts) >> np.uint64(64 - bits), np.concatenate(owners)
     order = np.argsort(own, kind="stable")
     return all_[order].astype(np.int32), np.searchsorted(own[order], np.arange(j - i + 1))
@@ -74,9 +80,11 @@ class Model:
 
     def margins(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Sparse dot products: each text's n-gram shares times their weights."""
-        sums = np.concatenate([[0.0], np.cumsum(self.weights[codes], dtype=np.float64)])
-        n = np.diff(bounds)
-        return self.bias + SCALE * (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n, 1)
+        n, out = np.diff(bounds), np.zeros(len(bounds) - 1)
+        some = np.flatnonzero(n)
+        if len(some):  # each text is summed by itself, so that equal texts get equal scores
+            out[some] = np.add.reduceat(self.weights[codes].astype(np.float64), bounds[some])
+        return self.bias + SCALE * out / np.maximum(n, 1)
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001) -> Model:
