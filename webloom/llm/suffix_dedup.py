@@ -15,6 +15,7 @@ rank is a hash of those bytes, and the steps are those of blockwise suffix sorti
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,14 +31,14 @@ from webloom.llm.common import chunks, materialize, mix, powers, prefix_hash, te
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 
 #: Text bytes of a block, entries that a bucket is meant to hold, and passes over the buckets.
-BLOCK_BYTES, BUCKET_ENTRIES, PASSES = 1 << 22, 1 << 21, 2
+BLOCK_BYTES, BUCKET_ENTRIES, PASSES = 1 << 20, 1 << 21, 2
 
-BLOCKS = "block bigint, doc_ids array<bigint>, starts array<bigint>, data binary"
+BLOCKS = "block bigint, doc_ids array<bigint>, starts array<bigint>, n_bytes bigint, data binary"
 LAST = np.iinfo(np.int64).max
 
 
 def _blocks(docs: DataFrame, key: str, text: str, block_bytes: int) -> DataFrame:
-    """Neighbouring documents of a partition as one row per block."""
+    """Neighbouring documents of a partition as one row per block, the text compressed, as it is stored once and moved for every pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, base = 0, TaskContext.get().partitionId() << 32
@@ -46,29 +47,35 @@ def _blocks(docs: DataFrame, key: str, text: str, block_bytes: int) -> DataFrame
             ids = batch.column(key).cast(pa.int64())
             for i, j in chunks(offsets, block_bytes):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([base + made], pa.int64()), pa.array([ids[i:j].to_pylist()], pa.list_(pa.int64())), pa.array([(offsets[i : j + 1] - offsets[i]).tolist()], pa.list_(pa.int64())), pa.array([raw[offsets[i] : offsets[j]].tobytes()], pa.binary())],
-                    names=["block", "doc_ids", "starts", "data"],
+                    [pa.array([base + made], pa.int64()), pa.array([ids[i:j].to_pylist()], pa.list_(pa.int64())), pa.array([(offsets[i : j + 1] - offsets[i]).tolist()], pa.list_(pa.int64())), pa.array([int(offsets[j] - offsets[i])], pa.int64()), pa.array([_codec()[0].compress(raw[offsets[i] : offsets[j]].tobytes())], pa.binary())],
+                    names=["block", "doc_ids", "starts", "n_bytes", "data"],
                 )
                 made += 1
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, BLOCKS)
 
 
+@lru_cache(maxsize=1)
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One of each a worker; making them takes longer than most of their work here."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(values: np.ndarray) -> bytes:
     """Ascending 64-bit numbers as differences, byte planes apart, compressed."""
-    gaps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes())
+    gaps = np.diff(values.astype(np.uint64, copy=False), prepend=np.uint64(0))
+    return pack_plain(gaps.view(np.int64))
 
 
 def pack_plain(values: np.ndarray) -> bytes:
     """Any 64-bit integers, byte planes apart, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
+    return _codec()[0].compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T))
 
 
 def unpack_plain(data: bytes, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=8 * n), np.uint8)
+    planes = np.frombuffer(_codec()[1].decompress(data, max_output_size=8 * n), np.uint8)
     return np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel()
 
 
@@ -80,12 +87,12 @@ class Block:
     """Documents of one row, with the hashes of their substrings."""
 
     def __init__(self, row: dict, length: int) -> None:
-        self.data = np.frombuffer(row["data"], np.uint8)
+        self.data = np.frombuffer(_codec()[1].decompress(row["data"], max_output_size=row["n_bytes"] + 1), np.uint8)
         self.starts = np.asarray(row["starts"], np.int64)
         self.ids = np.array([LAST if d is None else d for d in row["doc_ids"]], np.int64)
         self.length = length
         self.sums = prefix_hash(self.data)
-        self.owner = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
+        self.owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))
 
     def ranks(self, at: np.ndarray, length: int) -> np.ndarray:
         _, down = powers(len(self.data) + 1)
@@ -98,7 +105,8 @@ class Block:
     def sample(self) -> tuple[np.ndarray, np.ndarray]:
         """Cover positions and their ranks."""
         short = self.length - PERIOD + 1
-        at = self.inside(np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[np.arange(len(self.data)) % PERIOD]), short)
+        at = (np.arange(0, len(self.data) + PERIOD, PERIOD)[:, None] + np.array(COVER)).ravel()
+        at = self.inside(at[at < len(self.data)], short)
         return at, self.ranks(at, short)
 
     def candidates(self, shared: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +115,7 @@ class Block:
         to ``bits``, that other blocks have too; those that two documents of this block have are found here."""
         at, ranks = self.sample()
         ranks = ranks >> np.uint64(64 - bits)
-        order = np.argsort(ranks, kind="stable")
+        order = np.argsort(ranks, kind="quicksort")
         sorted_ = ranks[order]
         first = np.ones(len(sorted_), bool)
         first[1:] = sorted_[1:] != sorted_[:-1]
@@ -120,15 +128,16 @@ class Block:
             if len(shared):
                 found = np.minimum(np.searchsorted(shared, sorted_[heads]), len(shared) - 1)
                 many = many | (shared[found] == sorted_[heads])
-        mark = np.zeros(len(self.data) + PERIOD + 1, np.int32)
-        if len(heads):
-            mark[at[order[many[group]]]] = 1
-        before = np.concatenate([[0], np.cumsum(mark)])
         n = len(self.data)
-        near = np.flatnonzero(before[PERIOD : n + PERIOD] > before[:n])
+        steps = np.zeros(n + 2, np.int32)  # a shared sample at p makes p - PERIOD + 1 to p candidates
+        if len(heads):
+            shared_at = at[order[many[group]]]
+            steps[:] = np.bincount(np.maximum(shared_at - PERIOD + 1, 0), minlength=n + 2)
+            steps[shared_at + 1] -= 1
+        near = np.flatnonzero(np.cumsum(steps[:n]) > 0)
         spots = self.inside(near, self.length)
         full = self.ranks(spots, self.length)
-        order = np.argsort(full, kind="stable")
+        order = np.argsort(full, kind="quicksort")
         sorted_ = full[order]
         first = np.ones(len(sorted_), bool)
         first[1:] = sorted_[1:] != sorted_[:-1]
@@ -184,7 +193,7 @@ def _answer(entries: DataFrame, find) -> DataFrame:
 
 def _in_many(ranks: np.ndarray, _: np.ndarray) -> np.ndarray:
     """Ranks that come from more than one block (a block sends each once)."""
-    order = np.argsort(ranks, kind="stable")
+    order = np.argsort(ranks, kind="quicksort")
     sorted_ = ranks[order]
     same = np.zeros(len(ranks), bool)
     equal = sorted_[1:] == sorted_[:-1]
@@ -197,7 +206,7 @@ def _in_many(ranks: np.ndarray, _: np.ndarray) -> np.ndarray:
 
 def _later(ranks: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Entries whose string a smaller id of another block has."""
-    order = np.argsort(ranks, kind="stable")
+    order = np.argsort(ranks, kind="quicksort")
     sorted_ = ranks[order]
     heads = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
     least = np.repeat(np.minimum.reduceat(ids[order], heads), np.diff(np.append(heads, len(ranks))))
@@ -225,7 +234,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     if length < 2 * PERIOD:
         raise ValueError(f"length must be at least {2 * PERIOD}")
     blocks = materialize(_blocks(docs, key, text, block_bytes), "blocks")
-    size = int(blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0)
+    size = int(blocks.agg(F.sum("n_bytes")).first()[0] or 0)
     samples = size * len(COVER) // PERIOD + 1
     bits = min(64, samples.bit_length() + 8)
     buckets = -(-samples // bucket_entries)
