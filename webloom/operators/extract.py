@@ -26,7 +26,8 @@ GENERIC_ANCHORS = frozenset(("click here", "read more", "learn more"))
 ROBOT_WORDS = ("captcha", "verify you are human", "security check", "bot protection")
 PRELOAD_TYPES = {"script": "javascript", "style": "css", "image": "image", "font": "font", "video": "video", "audio": "audio"}
 
-FEATURES = T.StructType.fromDDL(
+#: Fields of the structural pass.
+FEATURES = (
     "title string, meta_description string, h1 string, html_lang string, canonical string, has_viewport boolean, page_size int, total_elements int, hidden_elements int, text_nodes int, "
     "word_count int, body_text_length int, long_paragraph boolean, heading_counts array<int>, h2_before_h1 boolean, "
     "tag_counts map<string,int>, images array<struct<src:string,alt:string,width:string,height:string,srcset:string,loading:string>>, n_images_no_alt_attr int, n_images_empty_alt int, n_images_long_alt int, "
@@ -321,7 +322,7 @@ def page_features(pages: DataFrame, base: str | None = None, columns: list[str]
     One Python pass: filter and prune before it, score with expressions after it. A null or empty page has empty metrics."""
     ship(pages.sparkSession)
     columns = columns or ["url"]
-    fields = [f for f in FEATURES.fields if wanted is None or f.name in wanted]
+    fields = [f for f in T.StructType.fromDDL(FEATURES).fields if wanted is None or f.name in wanted]
     schema = T.StructType([*(pages.schema[c] for c in columns), *fields])
     out = to_arrow_schema(T.StructType(fields))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Pattern names and what makes a page an example, over columns of the scored page table.
@@ -16,13 +18,14 @@ PATTERNS = {
 }
 
 
-def extract(pages: DataFrame, least_served: float = 70, least_rendered: float = 70, most: int = 5) -> DataFrame:
-    """(pattern, rank, url, score): up to ``most`` examples of each pattern among pages that pass both scores, best first.
+def extract(pages: DataFrame, least_served: float = 70, least_rendered: float = 70, most: int = 5, column: Callable[[str], Column] = F.col) -> DataFrame:
+    """(pattern, rank, url, score): up to ``most`` examples of each pattern among pages that pass both scores, best first. ``column``
+    finds the measures by name, for pages that hold them in a struct.
 
     The ranking runs over rows that already passed, keyed by pattern, and Spark prunes each task to its own best before the
     shuffle (a window group limit)."""
     good = pages.filter((F.col("served_score") >= least_served) & (F.col("rendered_score") >= least_rendered))
-    names = F.array_compact(F.array(*[F.when(rule(F.col), F.lit(name)) for name, rule in PATTERNS.items()]))
+    names = F.array_compact(F.array(*[F.when(rule(column), F.lit(name)) for name, rule in PATTERNS.items()]))
     rows = good.select("url", (F.col("served_score") + F.col("rendered_score")).alias("score"), F.explode(names).alias("pattern"))
     order = Window.partitionBy("pattern").orderBy(F.desc("score"), "url")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)

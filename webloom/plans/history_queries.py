@@ -13,7 +13,7 @@ from webloom.sources.tables import table
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long table of daily measures under the names of audit metrics."""
-    rows = table(spark, sf_dir, "events").withColumn("run_ts", F.to_date("ts"))
+    rows = table(spark, sf_dir, "events").withColumn("run_ts", F.date_format("ts", "yyyy-MM-dd"))
     v, kind = F.col("value"), F.col("event_type")
     return history.run_metrics(
         rows,
@@ -30,7 +30,7 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_METRICS = """
-d AS (SELECT ts::DATE AS run_ts, avg(CASE WHEN event_type = 'view' THEN value ELSE 0 END) AS load_time, max(value) / 1000 AS cls, (count(*) FILTER (event_type = 'error'))::DOUBLE AS a11y_errors, (count(*) FILTER (event_type IN ('error', 'click')))::DOUBLE AS a11y_total,
+d AS (SELECT strftime(ts, '%Y-%m-%d') AS run_ts, avg(CASE WHEN event_type = 'view' THEN value ELSE 0 END) AS load_time, max(value) / 1000 AS cls, (count(*) FILTER (event_type = 'error'))::DOUBLE AS a11y_errors, (count(*) FILTER (event_type IN ('error', 'click')))::DOUBLE AS a11y_total,
       avg(value) FILTER (event_type = 'purchase') AS seo_score, count(DISTINCT user_id)::DOUBLE AS url_count FROM events GROUP BY 1),
 m AS (UNPIVOT d ON load_time, cls, a11y_errors, a11y_total, seo_score, url_count INTO NAME metric VALUE value),
 p AS (SELECT *, lag(value) OVER (PARTITION BY metric ORDER BY run_ts) AS old FROM m),

@@ -80,7 +80,7 @@ def page_language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(markup.html_lang(HTML).alias("lang")).agg(F.count(F.lit(1)).alias("pages"), F.sum(F.char_length("html")).alias("markup_size"))
 
 
-@register(f"""SELECT page_id, {SQL_TITLE} AS title, {SQL_H1} AS h1, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS html_lang, {sql_count('a')} AS n_links, {sql_count('p')} AS n_paragraphs,
+@register(f"""SELECT page_id, replace({SQL_TITLE}, '&amp;', '&') AS title, replace({SQL_H1}, '&amp;', '&') AS h1, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS html_lang, {sql_count('a')} AS n_links, {sql_count('p')} AS n_paragraphs,
        {sql_count('h1')} AS n_h1, {sql_count('nav')} AS n_nav, {sql_count('img')} AS n_images, {sql_count('form')} AS n_forms, len(html) AS page_size, 0.0::DOUBLE + 1 AS name_ratio, FALSE AS has_schema_org FROM pages""")
 def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The structural pass (one Python pass over the markup), held against counts of raw tags."""

@@ -191,10 +191,13 @@ def exemplary_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report of at most five exemplary pages per pattern."""
     from webloom.functions import agents
 
-    df = _pages(spark, sf_dir)
-    served = agents.served_score(_columns(df)).cast("double")
-    rows = df.withColumns({"served_score": served, "rendered_score": agents.rendered_score(served, _columns(df)), "url": F.col("page"), "has_alert": F.col("has_invalid")})
-    return patterns.extract(rows).select("pattern", long(F.col("rank")).alias("rank"), "url", F.col("score").cast("double").alias("score"))
+    # measures go into one struct: a filter over many aliased flags would make the optimizer try every mix of names
+    flags = _pages(spark, sf_dir)
+    rows = flags.select(F.col("page").alias("url"), F.struct(*flags.columns[1:]).alias("m"))
+    m = {c: F.col(f"m.{c}") for c in flags.columns[1:]} | {"has_alert": F.col("m.has_invalid")}
+    served = agents.served_score(m).cast("double")
+    rows = rows.withColumns({"served_score": served, "rendered_score": agents.rendered_score(served, m)})
+    return patterns.extract(rows, column=m.__getitem__).select("pattern", long(F.col("rank")).alias("rank"), "url", F.col("score").cast("double").alias("score"))
 
 
 def _performance(spark: SparkSession, sf_dir: str) -> DataFrame:

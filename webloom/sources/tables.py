@@ -6,7 +6,6 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from webloom import schemas
 from webloom.functions import urls
@@ -18,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_URL = T.StructType.fromDDL(
+_URL = (
     "loc string, lastmod string, changefreq string, priority double, `image:image` array<struct<`image:loc`:string,`image:caption`:string,`image:title`:string>>, "
     "`news:news` array<struct<`news:publication`:struct<`news:name`:string>,`news:publication_date`:string,`news:title`:string>>"
 )
@@ -66,8 +65,7 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 def history(spark: SparkSession, path: str) -> DataFrame:
     """Stored runs as rows of RUN_METRICS; unreadable lines are left out, and runs of another major or minor schema version too."""
-    schema = T.StructType([*schemas.RUN_METRICS.fields, T.StructField("schema_version", T.StringType()), T.StructField("_corrupt", T.StringType())])
-    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    raw = spark.read.schema(f"{schemas.RUN_METRICS}, schema_version string, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     return raw.filter(F.col("_corrupt").isNull() & compatible(F.col("schema_version"))).drop("_corrupt")
 
 
