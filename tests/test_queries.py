@@ -39,3 +39,13 @@ def test_query_matches_sql(spark, small, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_names_are_known_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 80"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

@@ -12,8 +12,6 @@ from webloom.operators.extract import page_features
 from webloom.plans.registry import register
 from webloom.sources.tables import table
 
-HTML = F.col("html")
-URL = F.col("url")
 
 #: DuckDB forms of the native extractors, for the SQL below.
 SQL_TITLE = r"trim(regexp_replace(regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title>', 1), '^\s+|\s+$', '', 'g'))"
@@ -40,15 +38,15 @@ def six(value: Column) -> Column:
 
 @register(f"SELECT page_id, {SQL_TITLE} AS title, len({SQL_TITLE}) AS length, len({SQL_TITLE}) * 6 AS width, len({SQL_TITLE}) > 60 AS too_long, len({SQL_TITLE}) < 30 AND len({SQL_TITLE}) > 0 AS too_short FROM pages")
 def page_title_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = markup.text_metrics(markup.title(HTML), 60, 30)
-    return table(spark, sf_dir, "pages").select("page_id", markup.title(HTML).alias("title"), long(m["length"]).alias("length"), long(m["width"]).alias("width"), m["too_long"].alias("too_long"), m["too_short"].alias("too_short"))
+    m = markup.text_metrics(markup.title(F.col("html")), 60, 30)
+    return table(spark, sf_dir, "pages").select("page_id", markup.title(F.col("html")).alias("title"), long(m["length"]).alias("length"), long(m["width"]).alias("width"), m["too_long"].alias("too_long"), m["too_short"].alias("too_short"))
 
 
 @register(r"""
 WITH d AS (SELECT page_id, regexp_extract(html, '(?is)<meta\s[^>]*name\s*=\s*["'']description["''][^>]*content\s*=\s*["'']([^"'']*)["'']', 1) AS t FROM pages)
 SELECT page_id, len(t) AS length, len(t) > 155 AS too_long, len(t) < 70 AND len(t) > 0 AS too_short, len(t) = 0 AS missing FROM d""")
 def page_meta_description(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = markup.text_metrics(markup.meta(HTML, "description"), 155, 70)
+    m = markup.text_metrics(markup.meta(F.col("html"), "description"), 155, 70)
     return table(spark, sf_dir, "pages").select("page_id", long(m["length"]).alias("length"), *[m[c].alias(c) for c in ("too_long", "too_short", "missing")])
 
 
@@ -57,13 +55,13 @@ SELECT page_id, len({SQL_H1}) AS h1_length, {sql_count('h1')} = 0 AS h1_missing,
        {sql_count('h2')} AS h2_count, {sql_count('h2')} = 0 AS h2_missing, {sql_count('h2')} > 15 AS h2_many,
        {sql_count('h1')} > 0 AND {sql_count('h2')} > 0 AND instr(lower(html), '<h2') < instr(lower(html), '<h1') AS h2_before_h1 FROM pages""")
 def page_heading_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = markup.heading_metrics(HTML)
+    m = markup.heading_metrics(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", *[(long(c) if k in ("h1_length", "h2_count") else c).alias(k) for k, c in m.items()])
 
 
 @register(f"SELECT page_id, {SQL_WORDS} AS words, {SQL_WORDS} < 300 AS low_content, len({SQL_TEXT}) AS text_length FROM pages")
 def page_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = markup.trimmed(markup.strip_tags(markup.body(HTML)))
+    text = markup.trimmed(markup.strip_tags(markup.body(F.col("html"))))
     return table(spark, sf_dir, "pages").select("page_id", long(markup.word_count(text)).alias("words"), (markup.word_count(text) < 300).alias("low_content"), long(F.char_length(text)).alias("text_length"))
 
 
@@ -72,12 +70,12 @@ TAGS = ("p", "a", "div", "nav", "main", "article", "section", "header", "footer"
 
 @register("SELECT page_id, " + ", ".join(f'{sql_count(t)} AS n_{t}' for t in TAGS) + " FROM pages")
 def page_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", *[long(markup.count_tag(HTML, t)).alias(f"n_{t}") for t in TAGS])
+    return table(spark, sf_dir, "pages").select("page_id", *[long(markup.count_tag(F.col("html"), t)).alias(f"n_{t}") for t in TAGS])
 
 
 @register(r"""SELECT regexp_extract(html, '(?is)<html[^>]*\slang\s*=\s*["'']([^"'']*)["'']', 1) AS lang, count(*) AS pages, sum(len(html))::BIGINT AS markup_size FROM pages GROUP BY 1""")
 def page_language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").groupBy(markup.html_lang(HTML).alias("lang")).agg(F.count(F.lit(1)).alias("pages"), F.sum(F.char_length("html")).alias("markup_size"))
+    return table(spark, sf_dir, "pages").groupBy(markup.html_lang(F.col("html")).alias("lang")).agg(F.count(F.lit(1)).alias("pages"), F.sum(F.char_length("html")).alias("markup_size"))
 
 
 @register(f"""SELECT page_id, replace({SQL_TITLE}, '&amp;', '&') AS title, replace({SQL_H1}, '&amp;', '&') AS h1, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS html_lang, {sql_count('a')} AS n_links, {sql_count('p')} AS n_paragraphs,
@@ -95,15 +93,15 @@ def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"SELECT page_id, {SQL_HOST} AS host, {SQL_PATH} AS path, len(list_filter(string_split({SQL_PATH}, '/'), lambda s: s <> '')) AS depth, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS query, md5(url) AS cache_key FROM pages")
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", urls.host(URL).alias("host"), urls.path(URL).alias("path"), long(urls.link_depth(URL)).alias("depth"), urls.query(URL).alias("query"), urls.cache_key(URL).alias("cache_key"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"), long(urls.link_depth(F.col("url"))).alias("depth"), urls.query(F.col("url")).alias("query"), urls.cache_key(F.col("url")).alias("cache_key"))
 
 
 @register(f"""SELECT count(*) AS pages, count(*) FILTER ({SQL_HOST} LIKE '%.com') AS com_hosts, count(*) FILTER (regexp_matches(url, '[^\\x00-\\x7F]')) AS non_ascii, count(*) FILTER (regexp_matches(url, '[A-Z]')) AS uppercase,
        count(*) FILTER (contains(url, '_')) AS underscore, count(*) FILTER (regexp_matches(url, '\\s|%20')) AS spaces, count(*) FILTER (len(url) > 115) AS too_long FROM pages""")
 def url_metrics_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = urls.url_flags(URL, F.lit("https://x.com/"))
+    f = urls.url_flags(F.col("url"), F.lit("https://x.com/"))
     return table(spark, sf_dir, "pages").agg(
-        F.count(F.lit(1)).alias("pages"), F.count_if(F.endswith(urls.host(URL), F.lit(".com"))).alias("com_hosts"),
+        F.count(F.lit(1)).alias("pages"), F.count_if(F.endswith(urls.host(F.col("url")), F.lit(".com"))).alias("com_hosts"),
         *[F.count_if(f[c]).alias(n) for c, n in (("has_non_ascii", "non_ascii"), ("has_uppercase", "uppercase"), ("has_underscore", "underscore"), ("has_space", "spaces"), ("is_long", "too_long"))],
     )
 
@@ -114,9 +112,9 @@ SELECT page_id, regexp_matches(url, '^https?://') AND {SQL_HOST} <> '' AND NOT r
 def url_language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(
         "page_id",
-        urls.is_valid(URL).alias("valid"),
-        urls.language_allowed(URL, letters_only=False, ignore_case=False).alias("in_sitemap"),
-        urls.language_allowed(URL, letters_only=False, ignore_case=False, languages=("en",)).alias("for_performance"),
+        urls.is_valid(F.col("url")).alias("valid"),
+        urls.language_allowed(F.col("url"), letters_only=False, ignore_case=False).alias("in_sitemap"),
+        urls.language_allowed(F.col("url"), letters_only=False, ignore_case=False, languages=("en",)).alias("for_performance"),
     )
 
 
@@ -124,9 +122,9 @@ def url_language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH u AS (SELECT page_id, replace(url, '/en/', '//en///') || CASE WHEN contains(url, '?') THEN '' ELSE '?b=2&a=1' END AS url FROM pages WHERE NOT contains(url, '#'))
 SELECT page_id, regexp_replace(regexp_replace(url, '/{2,}', '/', 'g'), '^([A-Za-z][A-Za-z0-9+.-]*:)/', '\1//') AS collapsed, regexp_replace(url, '[?#].*$', '') AS bare FROM u""")
 def url_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").filter(~F.contains(URL, F.lit("#")))
-    messy = F.concat(F.replace(URL, F.lit("/en/"), F.lit("//en///")), F.when(F.contains(URL, F.lit("?")), "").otherwise("?b=2&a=1"))
-    return pages.select("page_id", messy.alias("url")).select("page_id", urls.collapse_slashes(URL).alias("collapsed"), urls.without_query(URL).alias("bare"))
+    pages = table(spark, sf_dir, "pages").filter(~F.contains(F.col("url"), F.lit("#")))
+    messy = F.concat(F.replace(F.col("url"), F.lit("/en/"), F.lit("//en///")), F.when(F.contains(F.col("url"), F.lit("?")), "").otherwise("?b=2&a=1"))
+    return pages.select("page_id", messy.alias("url")).select("page_id", urls.collapse_slashes(F.col("url")).alias("collapsed"), urls.without_query(F.col("url")).alias("bare"))
 
 
 @register(r"""
@@ -135,7 +133,7 @@ SELECT page_id, round(greatest(0.0, 1 - (CASE WHEN contains(url, '_') THEN 0.2 E
   + CASE WHEN len(list_filter(parts, lambda p: len(p) > 20)) > 0 THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(url, '[?&]') THEN 0.2 ELSE 0 END + CASE WHEN len(parts) > 4 THEN 0.1 ELSE 0 END
   + CASE WHEN regexp_matches(rest, '[^a-z0-9.-]') THEN 0.2 ELSE 0 END))::DOUBLE, 6) AS score FROM u""")
 def url_structure_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", six(seo.url_structure(URL)).alias("score"))
+    return table(spark, sf_dir, "pages").select("page_id", six(seo.url_structure(F.col("url"))).alias("score"))
 
 
 SQL_LINKS = r"""
@@ -205,7 +203,7 @@ m AS (SELECT page_id, arg_max(w, n * 1000000 - p) AS keyword FROM k GROUP BY 1)"
 
 @register(f"WITH t AS (SELECT page_id, {SQL_TITLE} || ' ' || {SQL_H1} AS t FROM pages), {SQL_KEYWORD} SELECT page_id, keyword FROM m")
 def main_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat_ws(" ", markup.title(HTML), markup.first_h1(HTML))
+    text = F.concat_ws(" ", markup.title(F.col("html")), markup.first_h1(F.col("html")))
     return table(spark, sf_dir, "pages").select("page_id", keywords.main_keyword(text).alias("keyword"))
 
 
@@ -224,25 +222,25 @@ def syllable_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _seo_parts() -> dict[str, Column]:
-    text = markup.strip_tags(markup.body(HTML))
-    title, h1_, description = markup.title(HTML), markup.first_h1(HTML), markup.meta(HTML, "description")
-    words, n_links = markup.word_count(text), markup.count_tag(HTML, "a")
+    text = markup.strip_tags(markup.body(F.col("html")))
+    title, h1_, description = markup.title(F.col("html")), markup.first_h1(F.col("html")), markup.meta(F.col("html"), "description")
+    words, n_links = markup.word_count(text), markup.count_tag(F.col("html"), "a")
     keyword = keywords.main_keyword(F.concat_ws(" ", title, h1_))
-    images = markup.count_tag(HTML, "img")
+    images = markup.count_tag(F.col("html"), "img")
     return {
         "title": seo.title(F.char_length(title)),
         "meta_description": seo.meta_description(F.char_length(description)),
-        "url_structure": seo.url_structure(URL),
+        "url_structure": seo.url_structure(F.col("url")),
         "h1": seo.h1(F.char_length(h1_)),
         "content_length": seo.content_length(words),
-        "content_quality": seo.content_quality(keyword, title, description, h1_, markup.count_tag(HTML, "h2"), markup.count_tag(HTML, "h3"), images, F.lit(0), words),
+        "content_quality": seo.content_quality(keyword, title, description, h1_, markup.count_tag(F.col("html"), "h2"), markup.count_tag(F.col("html"), "h3"), images, F.lit(0), words),
         "internal_linking": seo.internal_linking(n_links),
         "image_alt": seo.image_alt(F.lit(0), images),
         "page_speed": seo.page_speed((F.col("page_id") * 37 % 9000).cast("double")),
-        "mobile": seo.flag(markup.meta(HTML, "viewport") != ""),
-        "security": seo.security_flag(URL),
-        "structured_data": seo.flag(F.contains(HTML, F.lit("application/ld+json"))),
-        "social": seo.flag(F.contains(HTML, F.lit('property="og:'))),
+        "mobile": seo.flag(markup.meta(F.col("html"), "viewport") != ""),
+        "security": seo.security_flag(F.col("url")),
+        "structured_data": seo.flag(F.contains(F.col("html"), F.lit("application/ld+json"))),
+        "social": seo.flag(F.contains(F.col("html"), F.lit('property="og:'))),
     }
 
 
@@ -299,7 +297,7 @@ def seo_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""SELECT page_id, round(least(1.0, greatest(0.0, (len({SQL_TITLE}) - 30) / 30.0))::DOUBLE * 10 + (SELECT 0) , 6) AS title_points FROM pages ORDER BY len({SQL_TITLE}) DESC, page_id LIMIT 20""")
 def page_seo_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty pages with the longest titles, and what those are worth: a top-k report."""
-    n = F.char_length(markup.title(HTML))
+    n = F.char_length(markup.title(F.col("html")))
     return table(spark, sf_dir, "pages").select("page_id", n.alias("_n"), six(seo.title(n) * 10).alias("title_points")).orderBy(F.desc("_n"), "page_id").limit(20).drop("_n")
 
 
@@ -314,7 +312,7 @@ def mixed_content_and_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     k = F.col("page_id") % 4
     extra = F.when(k == 0, '<img src="http://a"><form><input type="password">').when(k == 1, '<a onclick="x" href="http://b" target="_blank">eval (1) eval(2)').when(k == 2, "url(http://c) innerHTML = localStorage.x").otherwise("")
-    html = F.concat(HTML, extra)
+    html = F.concat(F.col("html"), extra)
     return table(spark, sf_dir, "pages").select("page_id", long(security.mixed_content(html)).alias("mixed"), long(security.vulnerabilities(html)).alias("risky"))
 
 
@@ -325,12 +323,12 @@ SELECT section, n, round(100.0 * n / total, 2)::DOUBLE AS percent FROM c, n""")
 def content_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webloom.operators.rollups import melt_counts
 
-    pages = table(spark, sf_dir, "pages").select(F.char_length(markup.title(HTML)).alias("t"), markup.word_count(markup.strip_tags(markup.body(HTML))).alias("w"), markup.count_tag(HTML, "h1").alias("h1"), markup.count_tag(HTML, "img").alias("img"))
+    pages = table(spark, sf_dir, "pages").select(F.char_length(markup.title(F.col("html"))).alias("t"), markup.word_count(markup.strip_tags(markup.body(F.col("html")))).alias("w"), markup.count_tag(F.col("html"), "h1").alias("h1"), markup.count_tag(F.col("html"), "img").alias("img"))
     t, w, h1_, img = (F.col(c) for c in ("t", "w", "h1", "img"))
     return melt_counts(pages, {"title_long": t > 60, "title_short": t < 30, "title_missing": t == 0, "h1_missing": h1_ == 0, "h1_multiple": h1_ > 1, "low_content": w < 300, "no_images": img == 0})
 
 
 @register(f"""SELECT {SQL_HOST} AS host, count(*) AS pages, round(avg({SQL_WORDS}), 6) AS average_words, floor(avg(len({SQL_TITLE})) + 0.5)::BIGINT AS title_length FROM pages GROUP BY 1""")
 def host_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = markup.word_count(markup.trimmed(markup.strip_tags(markup.body(HTML))))
-    return table(spark, sf_dir, "pages").groupBy(urls.host(URL).alias("host")).agg(F.count(F.lit(1)).alias("pages"), six(F.avg(words)).alias("average_words"), half_up(F.avg(F.char_length(markup.title(HTML)))).alias("title_length"))
+    words = markup.word_count(markup.trimmed(markup.strip_tags(markup.body(F.col("html")))))
+    return table(spark, sf_dir, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("pages"), six(F.avg(words)).alias("average_words"), half_up(F.avg(F.char_length(markup.title(F.col("html"))))).alias("title_length"))

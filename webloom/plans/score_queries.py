@@ -10,7 +10,6 @@ from webloom.plans.page_queries import long, six
 from webloom.plans.registry import register
 from webloom.sources.tables import table
 
-KEY = F.col("o_orderkey")
 
 #: Flags of an order taken as a page: the bits of its key, times a spread constant, by name.
 FLAGS = [
@@ -22,10 +21,10 @@ RATIOS = {"name_ratio": 11, "label_ratio": 7, "autocomplete_ratio": 5}
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = [((KEY * (2 * k + 7)) % 11 < 5).alias(n) for k, n in enumerate(FLAGS)]
-    counts = [((KEY * (k + 3) * 7) % m).alias(n) for k, (n, m) in enumerate(COUNTS.items())]
-    ratios = [((KEY * (k + 5)) % (m + 1) / m).alias(n) for k, (n, m) in enumerate(RATIOS.items())]
-    return table(spark, sf_dir, "orders").select(KEY.alias("page"), *flags, *counts, *ratios)
+    flags = [((F.col("o_orderkey") * (2 * k + 7)) % 11 < 5).alias(n) for k, n in enumerate(FLAGS)]
+    counts = [((F.col("o_orderkey") * (k + 3) * 7) % m).alias(n) for k, (n, m) in enumerate(COUNTS.items())]
+    ratios = [((F.col("o_orderkey") * (k + 5)) % (m + 1) / m).alias(n) for k, (n, m) in enumerate(RATIOS.items())]
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), *flags, *counts, *ratios)
 
 
 SQL_PAGES = (
@@ -177,9 +176,9 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as pages: modified on the order's date (unknown for every 13th), crawled at a fortieth of that age."""
     as_of = F.lit(AS_OF).cast("timestamp")
     made = F.col("o_orderdate").cast("timestamp")
-    modified = F.when(KEY % 13 != 0, made)
+    modified = F.when(F.col("o_orderkey") % 13 != 0, made)
     crawled = F.timestamp_micros(F.unix_micros(as_of) - ((F.unix_micros(as_of) - F.unix_micros(made)) / 40).cast("bigint"))
-    return table(spark, sf_dir, "orders").select(KEY.alias("page"), six(content.freshness_score(modified, as_of)).alias("score"), content.freshness_status(modified, crawled, as_of).alias("status"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), six(content.freshness_score(modified, as_of)).alias("score"), content.freshness_status(modified, crawled, as_of).alias("status"))
 
 
 @register(f"""WITH {SQL_PAGES}, m AS (SELECT page, least(100, least(30, 5 * n_tables) + least(40, 10 * n_inputs) + least(30, 5 * n_fields)) AS media, n_h2 * 8.0 AS h, api_score * 1.5 AS f FROM p)
