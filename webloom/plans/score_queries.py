@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.functions import accessibility, agents, content, media, numbers, security, urls
+from webloom.functions import accessibility, agents, content, markup, media, numbers, security, urls
 from webloom.plans.page_queries import long, six
 from webloom.plans.registry import register
 from webloom.sources.tables import table
@@ -136,18 +136,11 @@ def backend_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webloom.operators.rollups import status_histogram as count
 
-    names = F.create_map(*[F.lit(x) for pair in STATUS_TEXTS.items() for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in markup.STATUS_TEXTS.items() for x in pair])
     rows = count(_pages(spark, sf_dir).select(_status(F.col("page")).alias("status_code")))
     return rows.select(long(F.col("status_code")).alias("status_code"), "n", F.coalesce(F.try_element_at(names, F.col("status_code")), F.lit("Unknown")).alias("status_text"), F.floor(F.col("status_code") / 100).alias("class"))
 
 
-#: Texts of HTTP status codes.
-STATUS_TEXTS = {
-    200: "OK", 201: "Created", 204: "No Content", 301: "Moved Permanently", 302: "Found", 303: "See Other", 304: "Not Modified", 307: "Temporary Redirect", 308: "Permanent Redirect", 400: "Bad Request",
-    401: "Unauthorized", 403: "Forbidden", 404: "Not Found", 405: "Method Not Allowed", 429: "Too Many Requests", 500: "Internal Server Error", 502: "Bad Gateway", 503: "Service Unavailable", 504: "Gateway Timeout",
-}
-
-
 @register(f"WITH {SQL_PAGES} SELECT page, {SQL_STATUS}::BIGINT AS status_code FROM p WHERE {SQL_STATUS} <> 200")
 def non_200_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page", long(_status(F.col("page"))).alias("status_code")).filter("status_code <> 200")
