@@ -8,7 +8,7 @@ rank is a hash of those bytes, and the steps are those of blockwise suffix sorti
    of ``length`` bytes there is a shift below PERIOD that brings both into the sample, so a suffix with no shared sample rank
    at a shift below PERIOD is alone and needs no sorting.
 2. The other suffixes are dealt into buckets by rank. A number of passes, each over one range of buckets, bounds what is on
-   disk at once; each bucket is sorted alone in a task of its own and answers, for each block, which of its strings an earlier document has.
+   disk at once; each bucket is sorted alone in a task of its own and answers, with a bit for each string that a block sent, whether an earlier document of another block has it.
 3. Each block marks the bytes covered.
 """
 
@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import chunks, materialize, mix, powers, prefix_hash, text_slices
+from webloom.llm.common import chunks, distinct, materialize, mix, powers, prefix_hash, text_slices
 
 #: Differences between members of COVER give every residue modulo PERIOD (a perfect difference set).
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 
 #: Text bytes of a block, entries that a bucket is meant to hold, and passes over the buckets.
-BLOCK_BYTES, BUCKET_ENTRIES, PASSES = 1 << 20, 1 << 21, 2
+BLOCK_BYTES, BUCKET_ENTRIES, PASSES = 1 << 20, 1 << 21, 3
 
 BLOCKS = "block bigint, doc_ids array<bigint>, starts array<bigint>, n_bytes bigint, data binary"
 LAST = np.iinfo(np.int64).max
@@ -111,8 +111,8 @@ class Block:
 
     def candidates(self, shared: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct ranks of the suffixes near a shared sample, the least id in this block of each, and for all such suffixes in
-        text order (position, index of rank): as (ranks, ids, stacked positions and indices). ``shared``: sorted sample ranks, shortened
-        to ``bits``, that other blocks have too; those that two documents of this block have are found here."""
+        text order (position, index of rank): as (ranks, ids, stacked positions and indices). ``shared``: for each distinct sample rank,
+        shortened to ``bits``, whether other blocks have it; those that two documents of this block have are found here."""
         at, ranks = self.sample()
         ranks = ranks >> np.uint64(64 - bits)
         order = np.argsort(ranks, kind="quicksort")
@@ -125,9 +125,7 @@ class Block:
         if len(heads):
             owner = self.owner[at][order]
             many = np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads)
-            if len(shared):
-                found = np.minimum(np.searchsorted(shared, sorted_[heads]), len(shared) - 1)
-                many = many | (shared[found] == sorted_[heads])
+            many |= shared
         n = len(self.data)
         steps = np.zeros(n + 2, np.int32)  # a shared sample at p makes p - PERIOD + 1 to p candidates
         if len(heads):
@@ -171,8 +169,8 @@ def _dealt(block: int, ranks: np.ndarray, ids: np.ndarray | None, bits: int, buc
 
 
 def _answer(entries: DataFrame, find) -> DataFrame:
-    """Run ``find`` on each bucket's (ranks, block index, ids); it returns which entries concern their block. One row per block, with all
-    its buckets' answers."""
+    """Run ``find`` on each bucket's (ranks, ids); it says which entries concern their block. One row per block, with a bit for each entry
+    that the block sent, bucket by bucket in the order sent."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("block")
@@ -180,15 +178,11 @@ def _answer(entries: DataFrame, find) -> DataFrame:
         ids = np.concatenate([unpack_plain(r, n) if r else np.zeros(n, np.int64) for r, n in zip(frame["ids"], frame["n"], strict=True)])
         chosen = find(ranks, ids)
         ends = np.cumsum(frame["n"].to_numpy())
-        out = []
-        for block, a, b in zip(frame["block"], ends - frame["n"].to_numpy(), ends, strict=True):
-            got = ranks[a:b][chosen[a:b]]
-            if len(got):
-                out.append((block, frame["bucket"].iat[0], len(got), pack(got)))
-        return pd.DataFrame(out, columns=["block", "bucket", "n", "ranks"])
+        bits = [np.packbits(chosen[b - n : b]).tobytes() for n, b in zip(frame["n"], ends, strict=True)]
+        return pd.DataFrame({"block": frame["block"].to_numpy(), "bucket": frame["bucket"].to_numpy(), "n": frame["n"].to_numpy(), "bits": bits})
 
-    found = entries.groupBy("bucket").applyInPandas(run, "block bigint, bucket bigint, n bigint, ranks binary")
-    return found.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "ranks")).alias("answers"))
+    found = entries.groupBy("bucket").applyInPandas(run, "block bigint, bucket bigint, n bigint, bits binary")
+    return found.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("answers"))
 
 
 def _in_many(ranks: np.ndarray, _: np.ndarray) -> np.ndarray:
@@ -216,9 +210,9 @@ def _later(ranks: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _gathered(answers: list[dict] | None) -> np.ndarray:
-    """All answers of a block as one sorted array (buckets are ranges of rank)."""
-    parts = [unpack(a["ranks"], a["n"]) for a in sorted(answers or [], key=lambda a: a["bucket"])]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    """All answers of a block, in the order of the ranks it sent (buckets are ranges of rank)."""
+    parts = [np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]).astype(bool) for a in sorted(answers or [], key=lambda a: a["bucket"])]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, bucket_entries: int = BUCKET_ENTRIES, passes: int = PASSES) -> DataFrame:
@@ -242,7 +236,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             _, ranks = Block(row, length).sample()
-            yield _dealt(row["block"], np.unique(ranks >> np.uint64(64 - bits)), None, bits, buckets)
+            yield _dealt(row["block"], distinct(ranks >> np.uint64(64 - bits)), None, bits, buckets)
 
     entries = "bucket bigint, block bigint, n bigint, ranks binary, ids binary"
     shared = materialize(_answer(blocks.mapInArrow(sampled, entries), _in_many), "shared")
@@ -268,10 +262,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         for row in _rows(batches):
             block = Block(row, length)
             ranks, least, (spots, index) = block.candidates(_gathered(row["answers"]), bits)
-            gone = _gathered(row["later"])
-            elsewhere = np.zeros(len(ranks), bool)
-            if len(gone) and len(ranks):
-                elsewhere = gone[np.minimum(np.searchsorted(gone, ranks), len(gone) - 1)] == ranks
+            elsewhere = _gathered(row["later"])
             hit = spots[elsewhere[index] | (block.ids[block.owner[spots]] > least[index])] if len(spots) else spots
             steps = np.zeros(len(block.data) + 1, np.int32)
             steps[hit] += 1  # no position comes twice in either line
