@@ -15,6 +15,9 @@ from webloom.llm.common import FOLD, NOT_BLANK, alphanumeric, chunks, joined, mi
 #: Labelled rows that a model learns from at most, hash bits, passes over the rows, and the factor that keeps n-gram shares near 1.
 MOST_ROWS, BITS, EPOCHS, SCALE = 12_000, 18, 4, 16.0
 
+#: Bytes of text that are turned into n-grams at a time; each byte takes about a hundred bytes of arrays.
+TEXT_AT_ONCE = 1 << 19
+
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _DIGIT = np.zeros(256, bool)
@@ -114,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_slices(batch.column("_text"))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, TEXT_AT_ONCE):
                 codes, bounds = ngrams(raw, offsets, i, j, bits)
                 found = [np.unique(codes[a:b], return_counts=True) for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
@@ -143,7 +146,7 @@ def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_slices(batch.column("_text"))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, TEXT_AT_ONCE):
                 found = sigmoid(sent.value.margins(*ngrams(raw, offsets, i, j, sent.value.bits)))
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(found)], names=[*columns, name])
