@@ -28,6 +28,10 @@ OUTSIDE_NAMES = frozenset(
     "skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
 
+#: Those of them that inside an article name its own parts.
+ARTICLE_PARTS = frozenset("banner byline copyright header tags teaser".split())
+OUTSIDE_IN_ARTICLE = OUTSIDE_NAMES - ARTICLE_PARTS
+
 #: Frequent function words of the languages read.
 STOP_WORDS = frozenset(
     "the of and to a in is it that was for on are as with be at by this from or an have not but had which they you were their we his has he she her its if will would can all been one there what so more when who no out up into than them then some do could about my me your our "
@@ -86,7 +90,8 @@ def _is_outside(tag: str, rest: str, inside: bool) -> bool:
     if tag in MAIN_TAGS and not inside:  # a page's own article may be called anything
         names = {w.lower() for w in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
         return bool(names & {"comment", "comments", "related", "teaser", "promo", "sponsored", "ad", "advert"})
-    return any(w.lower() in OUTSIDE_NAMES for w in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}"))
+    unwanted = OUTSIDE_IN_ARTICLE if inside else OUTSIDE_NAMES
+    return any(w.lower() in unwanted for w in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}"))
 
 
 def blocks(page: str) -> list[Block]:
