@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import text_slices
+from webloom.llm.common import releasing, text_slices
 
 #: Payload unit and filler; sampling rates of the stored and the analysed sound; frame, hop, transform and bands; frames of a tensor.
 UNIT, FILLER = 576, 255
@@ -130,7 +130,7 @@ def encode_audio(docs: DataFrame, columns: list[str], text: str = "text") -> Dat
                 media = [wav(payload(raw[a:b].tobytes())) for a, b in zip(offsets[i : i + len(part)], offsets[i + 1 : i + 1 + len(part)], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(media, pa.binary())], names=[*columns, "media"])
 
-    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, f"{fields}, media binary")
+    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(releasing(run), f"{fields}, media binary")
 
 
 def features(media: DataFrame, columns: list[str], column: str = "media") -> DataFrame:
@@ -161,7 +161,7 @@ def features(media: DataFrame, columns: list[str], column: str = "media") -> Dat
                 rows = list(zip(*(describe(s.as_py()) for s in part.column("_media")), strict=True))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *(pa.array(r, t) for r, t in zip(rows, types, strict=True))], names=[*columns, *names])
 
-    return media.select(*columns, F.col(column).alias("_media")).mapInArrow(run, schema)
+    return media.select(*columns, F.col(column).alias("_media")).mapInArrow(releasing(run), schema)
 
 
 def tensors(column: pa.Array) -> pa.Array:

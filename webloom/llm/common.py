@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,10 @@ from webloom.session import ship
 #: Bytes of text that the vectorised hashers handle at a time; one longer text is handled alone.
 CHUNK_BYTES = 1 << 21
 
+#: Settings while a table is written: what its query shuffled is not needed again, and batches of a few thousand texts keep both sides of
+#: the pipe to Python small.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named Parquet table of a data folder."""
@@ -32,16 +38,41 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     no more than the tasks that ran on it. Folders are unique, so a repeated run never reads a half-written one."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")  # what this query shuffled is not needed again
+    before = {name: spark.conf.get(name, None) for name in WHILE_WRITING}
     try:
+        for name, value in WHILE_WRITING.items():
+            spark.conf.set(name, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(cleanup, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that is free inside this process back to the system. Workers outlive their tasks, and what one operator's task has
+    freed but kept would count beside the next operator's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries can
+        pass
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that releases free memory at its end."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return inner
+
+
 def text_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and len + 1 offsets into them; a null is an empty slice."""
     if isinstance(column, pa.ChunkedArray):

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import ALPHANUMERIC, FOLD, chunks, joined, materialize, text_slices, words
+from webloom.llm.common import ALPHANUMERIC, FOLD, chunks, joined, materialize, releasing, text_slices, words
 
 #: Words of a window, and bytes of benchmark texts that are matched in one pass over the index (further texts: further passes).
 WINDOW, QUERY_BYTES = 13, 1 << 23
@@ -60,7 +60,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
                 )
                 made += 1
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, INDEX)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(releasing(run), INDEX)
 
 
 class Block:
@@ -223,7 +223,7 @@ def find_hits(index: DataFrame, items: list[tuple[str, bytes]], window: int, eve
                     rows.append({"block": row["block"], "place": place, "doc_id": row["doc_ids"][place], "n_words": int(block.doc_starts[place + 1]) - first, "starts": [a - first for a, _ in runs], "ends": [b - first for _, b in runs], "items": [query.names[i] for i in owners.get(place, ())]})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return index.mapInArrow(run, HITS)
+    return index.mapInArrow(releasing(run), HITS)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", query_bytes: int = QUERY_BYTES) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.common import releasing
+
 #: Element names by their part in a page.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base basefont br col embed frame hr img input link meta param source track wbr".split())
@@ -276,4 +278,4 @@ def extract(pages: DataFrame, columns: list[str], column: str = "html") -> DataF
                 texts = [main_text(v.as_py()) for v in part.column("_html")]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*columns, "text", "n_chars"])
 
-    return pages.select(*columns, F.col(column).alias("_html")).mapInArrow(run, f"{fields}, text string, n_chars bigint")
+    return pages.select(*columns, F.col(column).alias("_html")).mapInArrow(releasing(run), f"{fields}, text string, n_chars bigint")

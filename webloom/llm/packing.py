@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import materialize
+from webloom.llm.common import materialize, releasing
 from webloom.llm.tokens import encoder
 
 #: Windows that a partition keeps open, and groups of partitions whose leftovers meet in one task.
@@ -148,7 +148,7 @@ def pack_online(docs: DataFrame, tokenizer: str, capacity: int = 1024, limit: in
 
     The pieces are written once in the shared folder, so tokenising happens once; windows that were full or emitted are final
     there, and only the windows left open at each partition's end take part in the merge."""
-    pieces = materialize(docs.select(F.col(key), F.col(text)).mapInArrow(_pack_partition(tokenizer, capacity, limit, end_id, key, text), PIECES), "pieces")
+    pieces = materialize(docs.select(F.col(key), F.col(text)).mapInArrow(releasing(_pack_partition(tokenizer, capacity, limit, end_id, key, text)), PIECES), "pieces")
     plain = ["doc_id", "start", "length", "ids", "doc_tokens"]
     moved = merge_leftovers(pieces.filter("open").select("sequence_id", "part", "length"), capacity, limit)
     last = pieces.filter("open").join(moved, "sequence_id").select(*plain, F.col("target").alias("sequence_id"), (F.col("offset") + F.col("shift")).alias("offset"))
@@ -251,7 +251,7 @@ def pack_blocks(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: i
         if block:
             yield from flush()
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, MATRIX)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(releasing(run), MATRIX)
 
 
 def unpack_blocks(packed: DataFrame, wide: bool = False) -> DataFrame:
@@ -267,4 +267,4 @@ def unpack_blocks(packed: DataFrame, wide: bool = False) -> DataFrame:
             ]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())]))
 
-    return packed.mapInArrow(run, "doc_id bigint, start bigint, ids binary")
+    return packed.mapInArrow(releasing(run), "doc_id bigint, start bigint, ids binary")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.common import releasing
+
 #: The kinds that every document is searched for, in their order, and those that only the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "number", "handle")
@@ -233,7 +235,7 @@ def fit(docs: DataFrame, text: str = "text") -> SpanModel:
                     found.update(encode(votes(s, *x), features(s, *x)) for x in (*base, *more))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["code", "n"])
 
-    counts = docs.select(F.col(text)).mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(text)).mapInArrow(releasing(run), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     return train([(r["code"], r["n"]) for r in counts.collect()])
 
 
@@ -295,7 +297,7 @@ def private_data(docs: DataFrame, model: SpanModel | None = None, columns: list[
             by_kind = [pa.array([n[k] for n in numbers], pa.int64()) for k in range(len(BASE_KINDS))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *by_kind, pa.array(base_, pa.string()), pa.array(all_, pa.string()), *([pa.array(clean, pa.string())] if redacted else [])], names=[*columns, *counts, "base", "spans", *(["redacted"] if redacted else [])])
 
-    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(releasing(run), schema)
 
 
 def brute_force(text: str | None) -> str:

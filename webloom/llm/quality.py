@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import FOLD, NOT_BLANK, alphanumeric, chunks, joined, mix, powers, prefix_hash, text_slices
+from webloom.llm.common import FOLD, NOT_BLANK, alphanumeric, chunks, joined, mix, powers, prefix_hash, releasing, text_slices
 
 #: Labelled rows that a model learns from at most, hash bits, passes over the rows, and the factor that keeps n-gram shares near 1.
 MOST_ROWS, BITS, EPOCHS, SCALE = 12_000, 18, 4, 16.0
@@ -131,8 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
         model = train([r[1:] for r in got], bits)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["weights", "bias"])
 
-    counted = rows.select("_id", "_text", "_label").mapInArrow(count, "id bigint, label int, codes binary, counts binary")
-    weights, bias = counted.repartition(1).mapInArrow(learn, "weights binary, bias double").first() or (np.zeros(1 << bits, np.float32).tobytes(), 0.0)
+    counted = rows.select("_id", "_text", "_label").mapInArrow(releasing(count), "id bigint, label int, codes binary, counts binary")
+    weights, bias = counted.repartition(1).mapInArrow(releasing(learn), "weights binary, bias double").first() or (np.zeros(1 << bits, np.float32).tobytes(), 0.0)
     return Model(bits, np.frombuffer(weights, np.float32), bias)
 
 
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text",
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(found)], names=[*columns, name])
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(releasing(run), schema)
 
 
 def held_out(key: str = "doc_id"):

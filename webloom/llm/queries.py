@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import audio, contamination, html_text, neardup, packing, pii, quality, sharding, suffix_dedup
-from webloom.llm.common import table
+from webloom.llm.common import releasing, table
 
 BPE = "byte_bpe_50k.json"
 
@@ -45,7 +45,7 @@ def checksums(pieces: DataFrame) -> DataFrame:
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
 
-    return pieces.mapInArrow(digest, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return pieces.mapInArrow(releasing(digest), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def op5_jump_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import chunks, distinct, materialize, mix, powers, prefix_hash, text_slices
+from webloom.llm.common import chunks, distinct, materialize, mix, powers, prefix_hash, releasing, text_slices
 
 #: Differences between members of COVER give every residue modulo PERIOD (a perfect difference set).
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
@@ -52,7 +52,7 @@ def _blocks(docs: DataFrame, key: str, text: str, block_bytes: int) -> DataFrame
                 )
                 made += 1
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, BLOCKS)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(releasing(run), BLOCKS)
 
 
 @lru_cache(maxsize=1)
@@ -239,7 +239,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
             yield _dealt(row["block"], distinct(ranks >> np.uint64(64 - bits)), None, bits, buckets)
 
     entries = "bucket bigint, block bigint, n bigint, ranks binary, ids binary"
-    shared = materialize(_answer(blocks.mapInArrow(sampled, entries), _in_many), "shared")
+    shared = materialize(_answer(blocks.mapInArrow(releasing(sampled), entries), _in_many), "shared")
     with_shared = blocks.join(shared, "block", "left")
     wide = max(passes, -(-size // 4 // bucket_entries))
 
@@ -249,7 +249,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
                 ranks, least, _ = Block(row, length).candidates(_gathered(row["answers"]), bits)
                 yield _dealt(row["block"], ranks, least, 64, wide, low, high)
 
-        return materialize(_answer(with_shared.mapInArrow(suffixes, entries), _later), "removed")
+        return materialize(_answer(with_shared.mapInArrow(releasing(suffixes), entries), _later), "removed")
 
     later = None
     for k in range(passes):
@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
                 rows.append({"doc_id": doc, "n_bytes": int(b - a), "starts": edges[::2].tolist(), "ends": edges[1::2].tolist(), "kept": block.data[a:b][~covered[a:b]].tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return with_shared.join(later, "block", "left").mapInArrow(cut, "doc_id bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary")
+    return with_shared.join(later, "block", "left").mapInArrow(releasing(cut), "doc_id bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary")
 
 
 def digest(cut: DataFrame) -> DataFrame:
