@@ -36,6 +36,13 @@ def test_query_matches_sql(spark, small, duck, name):
     assert rows_of(found) == rows_of(want)
 
 
+def test_accessibility_summary_counts_every_issue(spark, small):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    found = QUERIES["accessibility_summary_whole"](spark, small).first()
+    assert found["errors"] + found["warnings"] + found["notices"] == events.count()
+    assert found["per_page"] == pytest.approx(events.count() / events.select("user_id").distinct().count())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

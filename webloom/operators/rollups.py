@@ -97,9 +97,13 @@ def performance_summary(rows: DataFrame) -> DataFrame:
     return one.select("load_time", "lcp", "fcp", "cls", half_up(100 * score / most).alias("score"))
 
 
-def accessibility_summary(issues: DataFrame, pages: Column) -> DataFrame:
-    """Totals by type, score and label for a number of pages."""
-    one = issues.agg(*[F.count_if(F.col("type") == t).alias(f"{t}s") for t in ("error", "warning", "notice")])
+def accessibility_summary(issues: DataFrame, pages: Column | None = None) -> DataFrame:
+    """Totals by type, score and label for a number of pages; without one, for the distinct page_url of the issues."""
+    counts = [F.count_if(F.col("type") == t).alias(f"{t}s") for t in ("error", "warning", "notice")]
+    if pages is None:
+        counts.append(F.count_distinct("page_url").alias("_pages"))
+        pages = F.col("_pages")
+    one = issues.agg(*counts)
     score = a11y.site_score(F.col("errors"), F.col("warnings"), F.col("notices"))
     total = F.col("errors") + F.col("warnings") + F.col("notices")
     per_page = F.when(pages == 0, 0.0).otherwise(total / F.nullif(pages, F.lit(0)))

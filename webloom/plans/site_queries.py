@@ -71,6 +71,13 @@ def accessibility_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.accessibility_summary(_issues(spark, sf_dir).filter("event_id % 997 = 0"), F.lit(25))
 
 
+@register(f"""WITH {SQL_ISSUES}, s AS (SELECT count(*) FILTER (type = 'error') AS errors, count(*) FILTER (type = 'warning') AS warnings, count(*) FILTER (type = 'notice') AS notices, count(DISTINCT page_url) AS pages FROM i), g AS (SELECT *, greatest(0.0, 100 - 5 * errors - 2 * warnings - 0.5 * notices)::DOUBLE AS score FROM s)
+SELECT errors, warnings, notices, score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 70 THEN 'Good' WHEN score >= 50 THEN 'Fair' ELSE 'Poor' END AS label, CASE WHEN pages = 0 THEN 0 ELSE (errors + warnings + notices)::DOUBLE / pages END AS per_page FROM g""")
+def accessibility_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as issues, over the pages that they name; so many issues take the score to its floor."""
+    return rollups.accessibility_summary(_issues(spark, sf_dir))
+
+
 @register(f"""WITH {SQL_ISSUES}, a AS (SELECT page_url, count(*) AS n FROM i WHERE type = 'error' GROUP BY 1) SELECT c_custkey AS url, coalesce(n, 0) AS errors, CASE WHEN n IS NULL THEN 100 ELSE greatest(0, 100 - n) END AS score FROM customer LEFT JOIN a ON c_custkey = page_url""")
 def pages_with_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as pages, left-joined with their aggregated issues; a page without any has the full score."""
