@@ -284,6 +284,17 @@ def test_quality_learns(spark):
     assert {r["score"] for r in quality.quality(docs.limit(3), marks.limit(0)).collect()} == {0.5}
 
 
+def test_quality_learns_from_whole_counts(spark):
+    text = "word " * 70000 + "other thing " * 40000
+    raw = np.frombuffer(text.encode(), np.uint8)
+    codes, _ = quality.ngrams(raw, np.array([0, len(raw)]), 0, 1, quality.BITS)
+    terms, counts = np.unique(codes, return_counts=True)
+    assert counts.max() > 65535
+    want = quality.train([(1, terms, counts.astype(np.float64))])
+    got = quality.fit(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), spark.createDataFrame([(1, 1)], "doc_id bigint, quality int"))
+    assert np.array_equal(got.weights, want.weights) and got.bias == want.bias
+
+
 def test_audio(docs, rows, empty):
     got = {r["doc_id"]: r for r in audio.media_features(docs).collect()}
     seen = {}

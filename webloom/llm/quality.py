@@ -121,12 +121,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
                 codes, bounds = ngrams(raw, offsets, i, j, bits)
                 found = [np.unique(codes[a:b], return_counts=True) for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id")[i:j].cast(pa.int64()), batch.column("_label")[i:j], pa.array([c.tobytes() for c, _ in found], pa.binary()), pa.array([np.minimum(n, 65535).astype("<u2").tobytes() for _, n in found], pa.binary())],
+                    [batch.column("_id")[i:j].cast(pa.int64()), batch.column("_label")[i:j], pa.array([c.tobytes() for c, _ in found], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary())],
                     names=["id", "label", "codes", "counts"],
                 )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(r["id"], r["label"], np.frombuffer(r["codes"], np.int32), np.frombuffer(r["counts"], "<u2").astype(np.float64)) for b in batches for r in b.to_pylist()]
+        got = [(r["id"], r["label"], np.frombuffer(r["codes"], np.int32), np.frombuffer(r["counts"], "<u4").astype(np.float64)) for b in batches for r in b.to_pylist()]
         got.sort(key=lambda r: (r[0], len(r[2])))
         model = train([r[1:] for r in got], bits)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["weights", "bias"])
