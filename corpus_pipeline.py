@@ -22,17 +22,32 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model, COLUMNS).filter("score >= 0.3").select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Documents with a number of their own in _row, whatever their ids, stored so that it stays the same."""
+    return materialize(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the least id (five-word shingles, similarity 0.8)."""
-    dropped = neardup.near_duplicates(docs, width=5, percent=80).filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    """One document of each near-duplicate class: the one with the least id (five-word shingles, similarity 0.8).
+
+    Rows are compared and dropped one by one: different texts that share an id are different documents, and rows with a null id take
+    part (one is kept where its class has no id). Blank texts are like no other; equal rows of them with one id are one."""
+    rows = numbered(docs)
+    found = neardup.near_duplicates(rows, width=5, percent=80, key="_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    visible = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    ids = rows.select("_row", "doc_id", F.when(~visible, F.col("text")).alias("_blank"))
+    empty = F.col("n_shingles") == 0
+    classes = found.join(ids, "_row").groupBy(F.when(~empty, F.col("component_id")).alias("_class"), F.when(empty, F.col("doc_id")).alias("_id"), F.when(empty, F.col("_blank")).alias("_text"))
+    kept = classes.agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row")).alias("least")).select("least._row")
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share too little with the benchmark to count as contaminated."""
-    found = contamination.digest(contamination.contamination(docs, table(spark, sf_dir, "benchmark")))
-    bad = found.filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that share too little with the benchmark to count as contaminated, decided row by row, whatever their ids."""
+    rows = numbered(docs)
+    found = contamination.digest(contamination.contamination(rows, table(spark, sf_dir, "benchmark"), key="_row"))
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("_row"))
+    return rows.join(bad, "_row", "left_anti").select(*COLUMNS)
 
 
 def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,19 @@ def test_stages_one_by_one(spark, small):
 
 def test_run(spark, small):
     assert pipeline.run(spark, small).count() > 0
+
+
+def test_stages_decide_by_row_for_null_and_reused_ids(spark, small):
+    items = [r["text"] for r in table(spark, small, "benchmark").collect() if len(r["text"].split()) > 30]
+    other = ["".join(f"{w}{k} " for k in range(60)) for w in "abcde"]
+    rows = [(None, items[0]), (7, items[1]), (7, other[0]), (8, other[1]), (None, other[2]), (9, other[2]), (8, other[3]), (None, other[4]), (None, other[4]), (10, ""), (10, ""), (11, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    stages = dict(pipeline.STAGES)
+
+    def got(stage):
+        return sorted(((r["doc_id"], r["text"]) for r in stages[stage](spark, docs, small).collect()), key=repr)
+
+    bad = set(items[:2])
+    assert got("benchmark decontamination") == sorted((r for r in rows if r[1] not in bad), key=repr)
+    once = [(None, items[0]), (7, items[1]), (7, other[0]), (8, other[1]), (9, other[2]), (8, other[3]), (None, other[4]), (10, ""), (11, None)]
+    assert got("near duplicates") == sorted(once, key=repr)
