@@ -349,6 +349,25 @@ def test_main_text():
     assert html_text.main_text("<p>5 < 6 & 7 &lt; 8") == "5 < 6 & 7 < 8"
 
 
+def test_main_text_of_named_wrappers():
+    body = " ".join(LONG.split())
+    for names in ("page has-sidebar", "no-sidebar", "header-fixed"):
+        for tag in ("article", "main"):
+            assert html_text.main_text(f'<body><div class="{names}"><{tag}><p>{LONG}</p></{tag}><div>Other {LONG}</div></div></body>') == body
+    assert html_text.main_text(f'<article><p>{LONG}</p></article><div class="sidebar"><article><p>Other {LONG}</p></article></div>') == body
+    assert html_text.main_text(f'<div><p>{LONG}</p></div><div class="comments"><article><p>Other {LONG}</p></article></div>') == body
+
+
+def test_main_text_without_known_words():
+    russian = " ".join(["Город стоял над рекой, и люди жили здесь давно."] * 6)
+    chinese = "这座城市坐落在河边，人们在这里生活了很久。" * 12
+    for text in (russian, chinese):
+        menu = f'<div><a href="/a">{text}</a></div>'
+        assert html_text.main_text(f"{menu}<div><p>{text}</p><p>{text}</p></div>{menu}") == f"{text}\n{text}"
+    code = "x = compute(y, z); " * 15
+    assert html_text.main_text(f"<div><p>{LONG}</p><pre>{code}</pre><p>{LONG}</p></div>").split("\n")[1] == code.strip()
+
+
 def test_extract_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (1, "u", PAGE, "x")], "page_id bigint, url string, html string, text string")
     got = html_text.extract(df, ["page_id", "url"]).collect()

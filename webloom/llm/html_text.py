@@ -34,6 +34,14 @@ OUTSIDE_NAMES = frozenset(
 ARTICLE_PARTS = frozenset("banner byline copyright header tags teaser".split())
 OUTSIDE_IN_ARTICLE = OUTSIDE_NAMES - ARTICLE_PARTS
 
+#: Those that hold articles of their own (comments, other pages, advertising); an article inside such an element stays outside.
+OTHER_ARTICLES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox adslot comment comments commentlist disqus hidden promo promoted promotion recommended related replies reply respond sponsor sponsored teaser".split()
+)
+
+#: How an element stands outside: not, by a class or id word alone but with an article since, by such a word alone, in any other way.
+NOT_OUTSIDE, CLEARED, NAMED, FIRM = range(4)
+
 #: Frequent function words of the languages read.
 STOP_WORDS = frozenset(
     "the of and to a in is it that was for on are as with be at by this from or an have not but had which they you were their we his has he she her its if will would can all been one there what so more when who no out up into than them then some do could about my me your our "
@@ -63,6 +71,8 @@ class Block:
     inside: bool = False
     heading: bool = False
     text: str = ""
+    cleared: bool = False
+    technical: bool = False
 
 
 @dataclass
@@ -70,30 +80,48 @@ class Open:
     """An element that is not closed yet."""
 
     tag: str
-    outside: bool
+    mark: int
     inside: bool
+    technical: bool = False
+
+    @property
+    def outside(self) -> bool:
+        return self.mark > NOT_OUTSIDE
 
 
 def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(rest)} if "=" in rest or "hidden" in rest else {}
 
 
-def _is_outside(tag: str, rest: str, inside: bool) -> bool:
+def _outside(tag: str, rest: str, inside: bool) -> int:
+    """How an element stands outside by itself."""
     if tag in OUTSIDE_TAGS or (tag == "header" and not inside):
-        return True
+        return FIRM
     found = _attributes(rest)
     if not found or tag in ("html", "body"):
-        return False
+        return NOT_OUTSIDE
     style = found.get("style", "").replace(" ", "").lower()
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
-        return True
+        return FIRM
     if found.get("role", "").lower() in OUTSIDE_ROLES:
-        return True
+        return FIRM
     if tag in MAIN_TAGS and not inside:  # a page's own article may be called anything
         names = {w.lower() for w in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-        return bool(names & {"comment", "comments", "related", "teaser", "promo", "sponsored", "ad", "advert"})
+        return FIRM if names & {"comment", "comments", "related", "teaser", "promo", "sponsored", "ad", "advert"} else NOT_OUTSIDE
     unwanted = OUTSIDE_IN_ARTICLE if inside else OUTSIDE_NAMES
-    return any(w.lower() in unwanted for w in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}"))
+    names = {w.lower() for w in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")} & unwanted
+    return (FIRM if names & OTHER_ARTICLES else NAMED) if names else NOT_OUTSIDE
+
+
+def _mark(top: Open, tag: str, rest: str) -> int:
+    """How an element inside ``top`` stands outside: a page wrapper whose name alone marks it does not take the article with it."""
+    own = _outside(tag, rest, top.inside)
+    if own == NOT_OUTSIDE and top.mark in (CLEARED, NAMED):
+        if tag == "main" or _attributes(rest).get("role") == "main":
+            return NOT_OUTSIDE
+        if tag == "article":
+            return CLEARED
+    return max(top.mark, own)
 
 
 def blocks(page: str) -> list[Block]:
@@ -111,7 +139,7 @@ def blocks(page: str) -> list[Block]:
             now.text = text
             out.append(now)
         top = stack[-1] if stack else None
-        now = Block(outside=bool(top and top.outside), inside=bool(top and top.inside), heading=heading)
+        now = Block(outside=bool(top and top.outside), inside=bool(top and top.inside), heading=heading, cleared=bool(top and top.mark == CLEARED), technical=bool(top and top.technical))
         breaks = 0
 
     def words(text: str) -> None:
@@ -172,7 +200,7 @@ def blocks(page: str) -> list[Block]:
                 elif k >= 0:
                     del stack[k]
             continue
-        top = stack[-1] if stack else Open("", False, False)
+        top = stack[-1] if stack else Open("", NOT_OUTSIDE, False)
         if name in RAW_TAGS:
             if not inner.endswith("/"):
                 close = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(page, at)
@@ -197,43 +225,50 @@ def blocks(page: str) -> list[Block]:
         if name in MAIN_TAGS:  # an unclosed menu does not swallow the article
             while stack and stack[-1].tag in ("nav", "header", "ul", "li", "a", "head"):
                 stack.pop()
-            top = stack[-1] if stack else Open("", False, False)
+            top = stack[-1] if stack else Open("", NOT_OUTSIDE, False)
         if name == "body":
             stack = [o for o in stack if o.tag == "html"]
-            top = stack[-1] if stack else Open("", False, False)
-        outside = top.outside or _is_outside(name, inner, top.inside)
+            top = stack[-1] if stack else Open("", NOT_OUTSIDE, False)
+        mark = _mark(top, name, inner)
         if name in BLOCK_TAGS:
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and top.tag == name:
                 stack.pop()
-                top = stack[-1] if stack else Open("", False, False)
-                outside = top.outside or _is_outside(name, inner, top.inside)
-            stack.append(Open(name, outside, top.inside or name in MAIN_TAGS or "main" == _attributes(inner).get("role")))
+                top = stack[-1] if stack else Open("", NOT_OUTSIDE, False)
+                mark = _mark(top, name, inner)
+            stack.append(Open(name, mark, top.inside or name in MAIN_TAGS or "main" == _attributes(inner).get("role"), top.technical or name in ("pre", "table")))
             heading = name in HEADINGS or (heading and name not in BLOCK_TAGS)
             border()
-        elif outside and not top.outside:
-            stack.append(Open(name, True, top.inside))
+        elif mark and not top.outside:
+            stack.append(Open(name, mark, top.inside, top.technical))
             border()
         elif name != "a":
-            stack.append(Open(name, outside, top.inside))
+            stack.append(Open(name, mark, top.inside, top.technical))
     border()
     return out
 
 
-def decide(block: Block) -> bool | None:
-    """First pass: True for text, False for what is not, None where a block alone cannot tell."""
+def _stops(text: str) -> float:
+    found = LETTERS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in found) / max(1, len(found))
+
+
+def decide(block: Block, known: bool = True) -> bool | None:
+    """First pass: True for text, False for what is not, None where a block alone cannot tell. Of a page whose language is not
+    ``known``, function words tell nothing."""
     if block.outside:
         return False
     n = len(block.text)
     if block.linked > MANY_LINKS * n:
         return False
-    found = LETTERS.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in found) / max(1, len(found))
     if n < SHORT:
         return None
+    if not known:
+        return True
+    stops = _stops(block.text)
     if stops >= SOME_STOPS:
         return True
     if n >= LONG:
-        return True if stops >= FEW_STOPS or block.inside else False
+        return True if stops >= FEW_STOPS or block.inside else None if block.technical else False
     return None
 
 
@@ -243,9 +278,14 @@ def main_text(page: str | None) -> str:
         return ""
     found = blocks(page)
     own = [b for b in found if b.inside and not b.outside]
+    known = True
     if own:  # a page that names its article has its text there
         found = own
-    labels = [decide(b) for b in found]
+    else:
+        for b in found:
+            b.outside = b.outside and not b.cleared
+        known = any(not b.outside and len(b.text) >= SHORT and b.linked <= MANY_LINKS * len(b.text) and _stops(b.text) >= SOME_STOPS for b in found)
+    labels = [decide(b, known) for b in found]
     decided = [k for k, x in enumerate(labels) if x is not None]
     final = list(labels)
     for k, x in enumerate(labels):
