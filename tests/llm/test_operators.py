@@ -215,7 +215,7 @@ def test_components(spark):
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 3000])
 def test_suffix_dedup(docs, rows, empty, block_bytes):
-    found = suffix_dedup.remove_repeats(docs, block_bytes=block_bytes, bucket_entries=3000)
+    found = suffix_dedup.remove_repeats(docs, block_bytes=block_bytes, bucket_entries=1000)
     got = sorted(tuple(r) for r in suffix_dedup.digest(found).collect())
     short = [(i, t if t is None or len(t) < 20000 else t) for i, t in rows]
     assert got == sorted(suffix_dedup.brute_force(short))
@@ -229,6 +229,29 @@ def test_suffix_dedup_ties_and_nulls(spark):
     assert got == [(0, 80), (1, 0), (1, 0), (2, 55), (3, 0)]
 
 
+@pytest.mark.parametrize("length", [42, 50, 61])
+def test_suffix_dedup_of_few_letters(spark, length):
+    """Periodic texts, ties of every length, zero bytes, and passages met at other residues and at the edges of documents."""
+    rnd = random.Random(length)
+    passages = ["".join(rnd.choices("ab\0", k=rnd.randint(30, 150))) for _ in range(12)] + ["ab" * 60, "a" * 200, "\0" * 90]
+    rows = []
+    for k in range(60):
+        parts = ["".join(rnd.choices("abc", k=rnd.randint(0, 25))) + rnd.choice(passages)[rnd.randint(0, 20) :] for _ in range(rnd.randint(0, 4))]
+        rows.append((rnd.randint(0, 40), "".join(parts)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = suffix_dedup.remove_repeats(df, length=length, block_bytes=700, bucket_entries=64)
+    assert sorted(tuple(r) for r in suffix_dedup.digest(found).collect()) == sorted(suffix_dedup.brute_force(rows, length))
+
+
+def test_suffix_dedup_does_not_trust_hashes(spark):
+    """Two different texts that polynomial hashes modulo a power of two take for equal."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = one.translate({97: 98, 98: 97})
+    rows = [(1, "x" + one[:1024] + "y"), (2, "x" + other[:1024] + "y"), (3, other[1024:]), (4, "z" * 60 + one[1024:])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in suffix_dedup.digest(suffix_dedup.remove_repeats(df)).collect()) == sorted(suffix_dedup.brute_force(rows))
+
+
 def test_difference_cover():
     assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
 
