@@ -168,14 +168,49 @@ def test_contamination_of_nothing(spark, docs, empty):
     assert contamination.digest(contamination.contamination(docs, none)).filter("n_hit > 0 or contaminated").count() == 0
 
 
-def test_phrases_and_proximity(spark):
+def test_phrases(spark):
     df = spark.createDataFrame([(1, "a b c d"), (2, "c x a y b"), (3, "a b")], "doc_id bigint, text string")
     block = contamination.Block(contamination.build_index(df.coalesce(1)).first().asDict())
-    codes, _ = contamination._tokens(np.frombuffer(b"a b c", np.uint8), np.array([0, 5]), 0, 1)
-    phrase, start = block.phrases(codes[None, :2])
+    items = contamination.Items([("", b"a b c")])
+    ranks = block.ranks(items.vocabulary)
+    phrase, start = block.phrases(ranks[items.words[None, :2]])
     assert block.doc(start).tolist() == [0, 2] and phrase.tolist() == [0, 0]
-    row, position = block.near(codes[None, :], 4)
-    assert sorted(set(block.doc(position).tolist())) == [0, 1]
+    assert sorted(set(block.doc(block.near(ranks[items.words], 4)).tolist())) == [0, 1]
+
+
+@pytest.mark.parametrize("query_bytes", [1 << 20, 30])
+def test_proximity(spark, query_bytes):
+    rnd = random.Random(4)
+    rows = [(k, " ".join(rnd.choices("abcdefghij", k=rnd.randint(0, 60)))) for k in range(40)] + [(None, "a b"), (3, "a b"), (3, "a b"), (50, None), (51, "")]
+    items = [(f"q{k}", " ".join(rnd.choices("abcdefghijk", weights=[9, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0.2], k=rnd.randint(0, 4)))) for k in range(25)] + [("x", None), ("q1", "j"), (None, "a b")]
+    got = contamination.proximity(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id string, text string"), within=4, query_bytes=query_bytes)
+    want = []
+    for doc, text in rows:
+        have = (text or "").split()
+        for name, item in set(items):
+            words = (item or "").split()
+            at = [p for p, w in enumerate(have) if words and w == words[0] and all(x in have[max(0, p - 4) : p + 5] for x in words)]
+            if at:
+                want.append((doc, name or "", at))
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect()) and want
+
+
+def thue_morse():
+    """Two different words that polynomial hashes modulo a power of two take for equal, whatever their base."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    return one, one.translate({97: 98, 98: 97})
+
+
+def test_planted_words_do_not_collide(spark):
+    one, other = thue_morse()
+    rows = [(1, f"{one} x y"), (2, f"{other} x y"), (3, one), (4, other)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = [("i", one), ("j", f"{other} x")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert sorted(tuple(r) for r in contamination.digest(contamination.contamination(docs, bench)).collect()) == sorted(contamination.brute_force(rows, items))
+    for width, percent in ((3, 85), (5, 80)):
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs, width, percent).collect())
+        assert got == neardup.brute_force(rows, width, percent) and all(r[3] for r in got)
 
 
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
@@ -199,6 +234,32 @@ def test_near_duplicates_without_a_centre(spark):
     assert got == neardup.brute_force(rows, 3, 85)
 
 
+def test_near_duplicates_of_reused_ids_and_repeated_rows(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (7, a + " end"), (3, b + " end"), (3, c), (3, c), (None, a), (9, c), (9, ""), (None, None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    want = [(5, 36, 5, True), (5, 36, 3, False), (7, 37, 5, False), (3, 37, 3, True), (3, 36, 3, True), (3, 36, 3, True), (None, 36, None, True), (9, 36, 3, False), (9, 0, 9, True), (None, 0, None, True)]
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
+
+
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    """One band key for all: the second look splits by further keys, and deals what is left into blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 6)
+    monkeypatch.setattr(neardup, "HOT_ROWS", 3)
+    monkeypatch.setattr(neardup, "MOST_HOT", 4)
+    rnd = random.Random(8)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for k in range(50):
+        own = [f"g{k // 2}x{j}" for j in range(50)]
+        own[rnd.randrange(50)] = f"v{k}"
+        rows.append((k, " ".join(common + own)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for width, percent in ((3, 85), (5, 80)):
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df, width, percent).collect())
+        assert got == neardup.brute_force(rows, width, percent)
+
+
 def test_sketches_estimate_similarity():
     rnd = np.random.default_rng(1)
     common, a, b = (rnd.integers(0, 1 << 63, n, dtype=np.uint64) for n in (800, 100, 100))
@@ -210,7 +271,17 @@ def test_sketches_estimate_similarity():
 def test_components(spark):
     pairs = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 7), (20, 21), (6, 5), (30, 30)]
     got = {r["id"]: r["component"] for r in neardup.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20}
+    assert {k: min(x for x in got if got[x] == v) for k, v in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20}
+
+
+def test_components_of_long_chains(spark, monkeypatch):
+    made = []
+    plain = neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, label: made.append(label) or plain(df, label))
+    chain = [(k, k + 1) for k in range(1000)] + [(5000 + (k * 7919) % 997, 5000 + ((k + 1) * 7919) % 997) for k in range(996)] + [(9999, k) for k in range(9000, 9300)]
+    got = {r["id"]: r["component"] for r in neardup.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
+    assert len(got) == 1001 + 997 + 301 and sorted(list(got.values()).count(c) for c in set(got.values())) == [301, 997, 1001]
+    assert made.count("links") < 25
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 3000])

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import hashlib
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,27 +32,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset as in local tests, one of our own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "webloom-shared")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and everything runs in one process, as in
+    local tests, one of our own; on a cluster its absence is an error, as other executors could not read what one writes."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a folder that driver and executors share")
+    return os.path.join(tempfile.gettempdir(), "webloom-shared")
+
+
+def _writer(spark: SparkSession) -> SparkSession:
+    """A session of its own for writing a table, so that what is set for that touches no other query."""
+    out = spark.newSession()
+    for name, value in {**spark.conf.getAll, **WHILE_WRITING}.items():
+        if out.conf.isModifiable(name) and out.conf.get(name, None) != value:
+            out.conf.set(name, value)
+    return out
+
+
+#: Folders written and not deleted yet, with the session that wrote them.
+_made: dict[str, SparkSession] = {}
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there, and losing an executor costs
-    no more than the tasks that ran on it. Folders are unique, so a repeated run never reads a half-written one."""
+    no more than the tasks that ran on it. Folders are unique, so a repeated run never reads a half-written one. ``discard`` deletes
+    the table once nothing reads it any more; what is left goes at the end of the process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    before = {name: spark.conf.get(name, None) for name in WHILE_WRITING}
-    try:
-        for name, value in WHILE_WRITING.items():
-            spark.conf.set(name, value)
-        df.write.parquet(path)
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
-    return spark.read.schema(df.schema).parquet(path)
+    _made[path] = spark
+    own = _writer(spark)
+    plan = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().logical())
+    DataFrame(plan, own).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _made.pop(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete materialized tables that nothing will read again."""
+    for table_ in tables:
+        path = getattr(table_, "stored_at", None)
+        if path in _made:
+            _delete(path)
+
+
+@atexit.register
+def discard_all() -> None:
+    """Delete all tables that are left."""
+    for path in list(_made):
+        try:
+            _delete(path)
+        except Exception:  # the session may have gone before; then only a local folder can still be reached
+            _made.pop(path, None)
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def release() -> None:
@@ -159,16 +203,20 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[keep]
 
 
-def words(data: np.ndarray, member: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of bytes whose ``member`` is true: starts, ends and 64-bit hashes of the bytes mapped by ``fold``."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = member[data]
-    edge = np.diff(inside)
+def word_ids(data: np.ndarray, member: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Maximal runs of bytes whose ``member`` is true: starts, for each a number that is equal exactly where the bytes mapped by ``fold``
+    are, and the distinct words by number."""
+    inside = member[data]
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = prefix_hash(fold[data])
-    _, down = powers(len(data) + 1)
-    codes = (sums[ends] - sums[starts]) * down[starts]
-    return starts, ends, mix(codes + (ends - starts).astype(np.uint64))
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(fold[data[inside]])]).dictionary_encode()
+    return starts, found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
+def word_codes(words: pa.Array) -> np.ndarray:
+    """128 bits of a cryptographic digest for each word, as two columns."""
+    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words.to_pylist()), np.uint64).reshape(-1, 2)
 
 
 def lower_fold() -> np.ndarray:
@@ -198,25 +246,60 @@ def alphanumeric() -> np.ndarray:
 NOT_BLANK, ALPHANUMERIC = not_blank(), alphanumeric()
 
 
-def shingles(codes: np.ndarray, owner: np.ndarray, n_owners: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of ``width`` consecutive words of one owner, as (hashes, owners); an owner with fewer words, but not none,
-    has its whole sequence as one. Codes and owners run in text order."""
-    n = len(codes)
-    counts = np.bincount(owner, minlength=n_owners)
-    firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    acc = np.zeros(max(n - width + 1, 0), np.uint64)
-    for k in range(width):
-        acc = mix(acc + codes[k : n - width + 1 + k] * np.uint64(2 * k + 3)) if len(acc) else acc
-    whole = owner[: len(acc)] == owner[width - 1 :] if len(acc) else np.zeros(0, bool)
-    values, owners = acc[whole], owner[: len(acc)][whole]
-    short = np.flatnonzero((counts > 0) & (counts < width))
-    if len(short):
-        extra = np.zeros(len(short), np.uint64)
-        for k in range(width - 1):
-            has = counts[short] > k
-            extra[has] = mix(extra[has] + codes[firsts[short[has]] + k] * np.uint64(2 * k + 3))
-        extra = mix(extra + counts[short].astype(np.uint64))
-        values, owners = np.concatenate([values, extra]), np.concatenate([owners, short])
-        order = np.argsort(owners, kind="stable")
-        values, owners = values[order], owners[order]
-    return values, owners
+def dense(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value's rank among the distinct ones, and where one of each rank is."""
+    order = np.argsort(values)
+    heads = np.ones(len(values), bool)
+    np.not_equal(values[order[1:]], values[order[:-1]], out=heads[1:])
+    out = np.empty(len(values), np.int64)
+    out[order] = np.cumsum(heads) - 1
+    return out, order[heads]
+
+
+class Shingles:
+    """All runs of ``width`` words of one text, for texts with the given words; a text with fewer words, but not none, has its whole
+    sequence as one. Runs are numbered without hashing: equal numbers are equal words."""
+
+    def __init__(self, ids: np.ndarray, size: int, bounds: np.ndarray, width: int) -> None:
+        counts = np.diff(bounds)
+        n = np.where(counts >= width, counts - width + 1, (counts > 0).astype(counts.dtype))
+        self.width, self.ids, self.texts, self.size = width, ids, len(counts), size
+        self.owner = np.repeat(np.arange(len(counts)), n)
+        self.start = np.repeat(bounds[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        self.end = np.repeat(bounds[1:], n)
+        code, room = ids[self.start], size
+        for k in range(1, width):
+            if room > (1 << 62) // (size + 1):
+                code, first = dense(code)
+                room = len(first)
+            code = code * (size + 1) + self.word(k, slice(None))
+            room *= size + 1
+        self.number, self.first = dense(code)
+
+    def word(self, k: int, rows) -> np.ndarray:
+        """The k-th word of runs (``size`` where a short text has ended)."""
+        at = self.start[rows] + k
+        inside = at < self.end[rows]
+        return np.where(inside, self.ids[np.where(inside, at, 0)], self.size) if len(self.ids) else at
+
+    def hashes(self, codes: np.ndarray) -> np.ndarray:
+        """A hash of each distinct run, by number, from its words' codes."""
+        codes = np.append(codes, np.uint64(0))
+        out = np.zeros(len(self.first), np.uint64)
+        for k in range(self.width):
+            out = mix(out + codes[self.word(k, self.first)] * np.uint64(2 * k + 3))
+        return out
+
+    def sets(self, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct numbers of each text, ascending, and where each text's begin (with the end)."""
+        number = self.number if number is None else number
+        n = max(1, len(self.first))
+        pairs = distinct(self.owner * n + number)
+        return pairs % n, np.searchsorted(pairs, np.arange(self.texts + 1) * n)
+
+
+def text_shingles(raw: np.ndarray, offsets: np.ndarray, i: int, j: int, width: int, member: np.ndarray, fold: np.ndarray) -> tuple[Shingles, pa.Array]:
+    """Shingles of texts i to j - 1, and their distinct words."""
+    data, text_starts = joined(raw, offsets, i, j)
+    starts, ids, vocabulary = word_ids(data, member, fold)
+    return Shingles(ids, len(vocabulary), np.searchsorted(starts, text_starts), width), vocabulary

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import ALPHANUMERIC, FOLD, chunks, joined, materialize, releasing, text_slices, words
+from webloom.llm.common import ALPHANUMERIC, FOLD, chunks, discard, joined, materialize, releasing, text_slices, word_ids
 
 #: Words of a window, and bytes of benchmark texts that are matched in one pass over the index (further texts: further passes).
 WINDOW, QUERY_BYTES = 13, 1 << 23
@@ -20,41 +21,43 @@ WINDOW, QUERY_BYTES = 13, 1 << 23
 INDEX = "block bigint, n_words bigint, terms binary, counts binary, postings binary, doc_ids array<bigint>, doc_starts array<bigint>"
 
 
-def _tokens(raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of texts i to j - 1, and where each text's words begin among them (with the end)."""
+def _tokens(raw: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words of texts i to j - 1 by number, the distinct words, and where each text's words begin (with the end)."""
     data, text_starts = joined(raw, offsets, i, j)
-    starts, _, codes = words(data, ALPHANUMERIC, FOLD)
-    return codes, np.searchsorted(starts, text_starts)
+    starts, ids, vocabulary = word_ids(data, ALPHANUMERIC, FOLD)
+    return ids, vocabulary, np.searchsorted(starts, text_starts)
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = 1 << 22) -> DataFrame:
     """Positional postings of whole texts, one row per block of neighbouring documents of a partition.
 
-    A row holds the block's terms (sorted 64-bit word hashes), how often each occurs, and for each term its word positions in the
+    A row holds the block's terms (its distinct words), how often each occurs, and for each term its word positions in the
     block, ascending, as zstandard-compressed differences; doc_starts says which positions are whose. Words are the contract's:
-    A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Nulls and empty texts have no postings but keep their place."""
+    A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Nulls and empty texts have no postings but keep their place; repeated
+    rows and null keys are kept as they are; an empty table has no blocks; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         made, base = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             raw, offsets = text_slices(batch.column(text))
-            ids = batch.column(key)
+            ids = batch.column(key).cast(pa.int64())
             for i, j in chunks(offsets, block_bytes):
-                codes, doc_starts = _tokens(raw, offsets, i, j)
-                order = np.argsort(codes, kind="stable").astype(np.uint32)
-                terms, firsts, counts = np.unique(codes[order], return_index=True, return_counts=True)
+                numbers, vocabulary, doc_starts = _tokens(raw, offsets, i, j)
+                order = np.argsort(numbers, kind="stable").astype(np.uint32)
+                counts = np.bincount(numbers, minlength=len(vocabulary))
+                firsts = np.cumsum(counts) - counts
                 gaps = np.diff(order, prepend=np.uint32(0))
                 gaps[firsts] = order[firsts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([base + made], pa.int64()),
-                        pa.array([len(codes)], pa.int64()),
-                        pa.array([terms.tobytes()], pa.binary()),
+                        pa.array([len(numbers)], pa.int64()),
+                        pa.array([pack.compress(b" ".join(vocabulary.to_pylist()))], pa.binary()),
                         pa.array([pack.compress(counts.astype(np.uint32).tobytes())], pa.binary()),
                         pa.array([pack.compress(gaps.tobytes())], pa.binary()),
-                        pa.array([ids[i:j].to_pylist()], pa.list_(pa.int64())),
-                        pa.array([doc_starts.tolist()], pa.list_(pa.int64())),
+                        pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), ids[i:j]),
+                        pa.ListArray.from_arrays(pa.array([0, j - i + 1], pa.int32()), pa.array(doc_starts, pa.int64())),
                     ],
                     names=["block", "n_words", "terms", "counts", "postings", "doc_ids", "doc_starts"],
                 )
@@ -69,7 +72,7 @@ class Block:
     def __init__(self, row: dict) -> None:
         unpack = zstandard.ZstdDecompressor()
         self.n = row["n_words"]
-        self.terms = np.frombuffer(row["terms"], np.uint64)
+        self.terms = pa.array(unpack.decompressobj().decompress(row["terms"]).split(b" ") if self.n else [], pa.large_binary())
         self.counts = np.frombuffer(unpack.decompress(row["counts"], max_output_size=4 * len(self.terms) + 64), np.uint32).astype(np.int64) if len(self.terms) else np.zeros(0, np.int64)
         self.firsts = np.cumsum(self.counts) - self.counts
         self.positions = np.zeros(0, np.int64)
@@ -77,15 +80,13 @@ class Block:
             gaps = np.frombuffer(unpack.decompress(row["postings"], max_output_size=4 * self.n + 64), np.uint32).astype(np.int64)
             total = np.cumsum(gaps)
             self.positions = total - np.repeat(total[self.firsts] - gaps[self.firsts], self.counts)
-        #: Term rank and position in one ascending number: one list's entries are neighbours, and any entry is found by bisection.
+        #: Term and position in one ascending number: one list's entries are neighbours, and any entry is found by bisection.
         self.keys = np.repeat(np.arange(len(self.terms)), self.counts) * (self.n + 1) + self.positions
         self.doc_starts = np.asarray(row["doc_starts"], np.int64)
 
-    def rank(self, terms: np.ndarray) -> np.ndarray:
-        """Rank of each term in this block, -1 where it has no postings."""
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        return np.where(self.terms[at] == terms, at, -1) if len(self.terms) else np.full(terms.shape, -1)
+    def ranks(self, words: pa.Array) -> np.ndarray:
+        """Number of each word's term in this block, -1 where it has no postings."""
+        return pc.index_in(words, value_set=self.terms).fill_null(-1).to_numpy().astype(np.int64)
 
     def has(self, rank: np.ndarray, position: np.ndarray) -> np.ndarray:
         """Whether the term of each rank has a posting at each position."""
@@ -99,25 +100,26 @@ class Block:
 
     def _rarest_first(self, phrases: np.ndarray, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For phrases whose terms all occur here: (phrase, position of its rarest term, ranks, terms from rarest to most common)."""
-        ranks = self.rank(phrases)
-        whole = np.flatnonzero((ranks >= 0).all(axis=1))
+        whole = np.flatnonzero((phrases >= 0).all(axis=1))
         if not len(whole):
             return
-        ranks = ranks[whole]
+        ranks = phrases[whole]
         order = np.argsort(self.counts[ranks], axis=1, kind="stable")
         rare = ranks[np.arange(len(whole)), order[:, 0]]
         sums = np.cumsum(self.counts[rare])
         i = 0
         while i < len(whole):
             j = max(i + 1, int(np.searchsorted(sums, (sums[i - 1] if i else 0) + at_once, side="right")))
-            n = self.counts[rare[i:j]]
-            row = np.repeat(np.arange(i, j), n)
-            at = self.firsts[rare[row]] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield whole[row], self.positions[at], ranks[row], order[row]
+            row, at = self._lists(rare[i:j])
+            yield whole[i + row], self.positions[at], ranks[i + row], order[i + row]
             i = j
 
+    def _lists(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the lists of these terms: (which of them, entry)."""
+        return _expanded(self.firsts[ranks], self.firsts[ranks] + self.counts[ranks])
+
     def phrases(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All occurrences of phrases (rows of term hashes) inside single documents: (phrase, first position)."""
+        """All occurrences of phrases (rows of ranks) inside single documents: (phrase, first position)."""
         found = []
         length = phrases.shape[1]
         for phrase, position, ranks, order in self._rarest_first(phrases):
@@ -133,38 +135,60 @@ class Block:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
-    def near(self, phrases: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences of the rarest term of each row with every other term at most ``within`` words away in the same document,
-        in any order: (row, position)."""
-        found = []
-        for phrase, position, ranks, order in self._rarest_first(phrases):
+    def near(self, ranks: np.ndarray, within: int) -> np.ndarray:
+        """Positions of the first of these terms with every other one at most ``within`` words away in the same document, in any order."""
+        if not len(ranks) or (ranks < 0).any():
+            return np.zeros(0, np.int64)
+        first, others = ranks[0], np.unique(ranks[1:][ranks[1:] != ranks[0]])
+        others = others[np.argsort(self.counts[others], kind="stable")]
+
+        def around(rank: int, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Range of the term's entries near each position."""
             doc = self.doc(position)
             low = np.maximum(position - within, self.doc_starts[doc])
             high = np.minimum(position + within, self.doc_starts[doc + 1] - 1)
-            keep = np.ones(len(phrase), bool)
-            for k in range(1, phrases.shape[1]):
-                rank = ranks[np.arange(len(phrase)), order[:, k]] * (self.n + 1)
-                keep &= np.searchsorted(self.keys, rank + low) < np.searchsorted(self.keys, rank + high, side="right")
-            found.append((phrase[keep], position[keep]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            return np.searchsorted(self.keys, rank * (self.n + 1) + low), np.searchsorted(self.keys, rank * (self.n + 1) + high, side="right")
 
+        if len(others) and self.counts[others[0]] < self.counts[first]:  # from the rarest term to the first ones around it
+            rare = self.positions[self._lists(others[:1])[1]]
+            spots = np.unique(self.positions[_expanded(*around(first, rare))[1]])
+            others = others[1:]
+        else:
+            spots = self.positions[self._lists(ranks[:1])[1]]
+        for rank in others:
+            a, b = around(rank, spots)
+            spots = spots[a < b]
+        return spots
 
-class Windows:
-    """Distinct windows of a set of items, by length, with the items that have each."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
+def _expanded(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of ranges: (range, number)."""
+    n = ends - starts
+    row = np.repeat(np.arange(len(n)), n)
+    return row, starts[row] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+class Items:
+    """Texts to search for, as rows of word numbers."""
+
+    def __init__(self, items: list[tuple[str, bytes]]) -> None:
         self.names = [i for i, _ in items]
         offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in items])]).astype(np.int64)
-        raw = np.frombuffer(b"".join(t for _, t in items), np.uint8)
-        codes, firsts = _tokens(raw, offsets, 0, len(items))
+        self.words, self.vocabulary, firsts = _tokens(np.frombuffer(b"".join(t for _, t in items), np.uint8), offsets, 0, len(items))
+        self.spans = list(zip(firsts.tolist(), firsts[1:].tolist(), strict=False))
+
+
+class Windows(Items):
+    """Distinct windows of a set of items, by length, with the items that have each."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
+        super().__init__(items)
         rows: dict[int, list] = {}
-        for k, (a, b) in enumerate(zip(firsts, firsts[1:], strict=False)):
+        for k, (a, b) in enumerate(self.spans):
             n = min(window, b - a)
             if n > 0:
-                found = np.lib.stride_tricks.sliding_window_view(codes[a:b], n)
-                rows.setdefault(int(n), []).append((found, np.full(len(found), k)))
+                found = np.lib.stride_tricks.sliding_window_view(self.words[a:b], n)
+                rows.setdefault(n, []).append((found, np.full(len(found), k)))
         self.by_length = {}
         for n, parts in rows.items():
             phrases, inverse = np.unique(np.concatenate([p for p, _ in parts]), axis=0, return_inverse=True)
@@ -175,20 +199,25 @@ class Windows:
     def matches(self, block: Block) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
         """By document of the block: covered intervals (start, end) and items, for documents with any."""
         spots, owners = [], []
+        rank = block.ranks(self.vocabulary)
         for n, (phrases, owner, firsts) in self.by_length.items():
-            phrase, start = block.phrases(phrases)
+            phrase, start = block.phrases(rank[phrases])
             if len(start):
                 doc = block.doc(start)
                 spots.append(np.stack([doc, start, start + n], axis=1))
                 pair = np.unique(np.stack([doc, phrase], axis=1), axis=0)
-                size = firsts[pair[:, 1] + 1] - firsts[pair[:, 1]]
-                at = np.repeat(firsts[pair[:, 1]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                owners.append(np.stack([np.repeat(pair[:, 0], size), owner[at]], axis=1))
+                which, at = _expanded(firsts[pair[:, 1]], firsts[pair[:, 1] + 1])
+                owners.append(np.stack([pair[which, 0], owner[at]], axis=1))
         if not spots:
             return {}, {}
         spots, owners = np.concatenate(spots), np.unique(np.concatenate(owners), axis=0)
-        spots = spots[np.lexsort((spots[:, 1], spots[:, 0]))]
-        return ({int(d): spots[spots[:, 0] == d, 1:] for d in np.unique(spots[:, 0])}, {int(d): owners[owners[:, 0] == d, 1] for d in np.unique(owners[:, 0])})
+        return _by_first(spots[np.lexsort((spots[:, 1], spots[:, 0]))]), {d: o[:, 0] for d, o in _by_first(owners).items()}
+
+
+def _by_first(rows: np.ndarray) -> dict[int, np.ndarray]:
+    """Rows sorted by their first column, without it, by its values."""
+    values, cuts = np.unique(rows[:, 0], return_index=True)
+    return {int(v): part[:, 1:] for v, part in zip(values, np.split(rows, cuts[1:]), strict=True)}
 
 
 def covered(spots: np.ndarray) -> list[tuple[int, int]]:
@@ -226,29 +255,38 @@ def find_hits(index: DataFrame, items: list[tuple[str, bytes]], window: int, eve
     return index.mapInArrow(releasing(run), HITS)
 
 
+def _pieces(items: DataFrame, item: str, text: str, query_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Distinct (item, text) in pieces of about ``query_bytes`` bytes of text, of which the driver holds one at a time; at least one piece."""
+    rows = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
+    n = max(1, -(-2 * int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // query_bytes))
+    if n > 1:
+        rows = materialize(rows.repartition(F.pmod(F.xxhash64("item", "text"), F.lit(n))).withColumn("piece", F.pmod(F.xxhash64("item", "text"), F.lit(n))), "pieces")
+    for k in range(n):
+        part = rows if n == 1 else rows.filter(F.col("piece") == k)
+        yield [(r["item"], r["text"].encode()) for r in part.orderBy("item", "text").collect()]
+    discard(rows)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """Which words of each document lie in a run of ``window`` words that a benchmark item has too.
 
     Returns per document row: doc_id, n_words, n_hit, items (sorted as strings), starts and ends of the hit word runs. An item with
-    fewer words than a window, but not none, is one window. Null or empty texts have no words and no hits, null or empty items
-    match nothing, repeated documents give repeated rows, items with equal ids count once; empty tables are allowed, other columns are
-    not read. The benchmark is read in pieces of at most ``query_bytes`` bytes of text (plus one text), each shipped to the index's blocks
-    in one pass, so what a task receives is bounded whatever the benchmark's size."""
+    fewer words than a window, but not none, is one window. Words are compared as they are, not by hashes. Null or empty texts have no words
+    and no hits, null or empty items match nothing, repeated documents give repeated rows, items with equal ids count once, a null item
+    id is an empty one; empty tables are allowed, other columns are not read. The benchmark is matched in pieces of about ``query_bytes`` bytes
+    of text, one pass over the index each, so neither the driver nor a task holds more of it whatever its size; the results of a
+    pass are stored before the next begins."""
     index = materialize(build_index(docs, key, text), "postings")
-    pieces: list[list[tuple[str, bytes]]] = [[]]
-    size = 0
-    for row in benchmark.select(F.col(item).cast("string"), F.col(item_text)).toLocalIterator():
-        data = (row[1] or "").encode()
-        if size and size + len(data) > query_bytes:
-            pieces.append([])
-            size = 0
-        pieces[-1].append((row[0] if row[0] is not None else "", data))
-        size += len(data)
-    if len(pieces) == 1:
-        return _counted(find_hits(index, pieces[0], window, True))
-    found = find_hits(index, pieces[0], window, False)
-    for piece in pieces[1:]:
-        found = found.unionByName(find_hits(index, piece, window, False))
+    stored = []
+    pieces = _pieces(benchmark, item, item_text, query_bytes)
+    piece = next(pieces)
+    for following in pieces:
+        stored.append(materialize(find_hits(index, piece, window, False), "hits"))
+        piece = following
+    if not stored:
+        return _counted(find_hits(index, piece, window, True))
+    stored.append(materialize(find_hits(index, piece, window, False), "hits"))
+    found = docs.sparkSession.read.schema(HITS).parquet(*(t.stored_at for t in stored))
     merged = found.groupBy("block", "place").agg(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("_runs"), F.flatten(F.collect_list("items")).alias("_items"))
     runs = F.aggregate(
         "_runs",
@@ -268,6 +306,41 @@ def _counted(hits: DataFrame) -> DataFrame:
     return hits.select("doc_id", "n_words", total.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "starts", "ends")
 
 
+NEAR = "doc_id bigint, item string, positions array<bigint>"
+
+
+def proximity(docs: DataFrame, items: DataFrame, within: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """Where documents have all words of an item close together, in any order.
+
+    Returns a row (doc_id, item, positions) for each document row and distinct item that match: the positions, counted in words from the
+    document's first, of the item's first word with every other word of the item at most ``within`` words away. Items without words match
+    nothing; null and empty texts match nothing; repeated documents give repeated rows, null keys and ids are passed on (an item's as an empty
+    string); empty tables are allowed; other columns are not read. As in ``contamination`` items are searched in pieces of bounded size."""
+    index = materialize(build_index(docs, key, text), "postings")
+
+    def search(piece: list[tuple[str, bytes]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query = Items(piece)
+            schema = pa.schema([("doc_id", pa.int64()), ("item", pa.string()), ("positions", pa.list_(pa.int64()))])
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    row = batch.slice(k, 1).to_pylist()[0]
+                    block, rows = Block(row), []
+                    rank = block.ranks(query.vocabulary)
+                    for name, (a, b) in zip(query.names, query.spans, strict=True):
+                        spots = block.near(rank[query.words[a:b]], within)
+                        if len(spots):
+                            found = _by_first(np.stack([block.doc(spots), spots], axis=1))
+                            rows += [{"doc_id": row["doc_ids"][d], "item": name, "positions": (x[:, 0] - block.doc_starts[d]).tolist()} for d, x in found.items()]
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+
+        return index.mapInArrow(releasing(run), NEAR)
+
+    stored = [materialize(search(piece), "near") for piece in _pieces(items, item, item_text, query_bytes)]
+    discard(index)
+    return docs.sparkSession.read.schema(NEAR).parquet(*(t.stored_at for t in stored))
+
+
 def digest(found: DataFrame) -> DataFrame:
     """Counts and a digest instead of the lists."""
     return found.select(
