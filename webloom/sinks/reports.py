@@ -17,10 +17,14 @@ def yes_no(value: Column) -> Column:
     return F.when(value, "Yes").otherwise("No")
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """All values quoted, quotes doubled, nulls as empty strings; arrays and maps as JSON."""
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", order: list[str] | None = None) -> None:
+    """All values quoted, quotes doubled, nulls as empty strings; arrays, maps and structs as JSON.
+
+    Rows are gathered into parts of Spark's advisory size, so a small report is one file and no part has a header alone; with
+    ``order`` (names, falling with a leading '-') parts follow each other in that order."""
     flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.coalesce(F.col(f"`{f.name}`").cast("string"), F.lit("")).alias(f.name) for f in df.schema.fields]
-    df.select(*flat).write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
+    rows = df.orderBy(*[F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in order]) if order else df.hint("rebalance")
+    rows.select(*flat).write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 #: Columns of the reports, by name. A report's table must have them; the writers select and order.
@@ -45,9 +49,13 @@ REPORTS = {
 }
 
 
+#: Order of the reports that have one.
+ORDERS = {"all_resources_report": ["-uses", "url"], "llm_readability_report": ["-overall", "url"], "http_status_report": ["-status_code", "url"], "missing_sitemap_urls": ["url"]}
+
+
 def write_report(name: str, df: DataFrame, folder: str) -> None:
     """One of REPORTS as CSV in ``folder``."""
-    write_csv(df.select(*REPORTS[name]), f"{folder}/{name}")
+    write_csv(df.select(*REPORTS[name]), f"{folder}/{name}", order=ORDERS.get(name))
 
 
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
