@@ -97,16 +97,37 @@ def test_thresholds_and_csv(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.thresholds(spark, str(tmp_path / "w.json"))
     reports.write_report("missing_sitemap_urls", spark.createDataFrame([('a"b', None)], "url string, pages int"), str(tmp_path))
-    lines = next((tmp_path / "missing_sitemap_urls").glob("part-*.csv")).read_text().splitlines()
-    assert lines[0] in ('"url","pages"', "url,pages") and lines[1] == '"a""b",""'
+    assert csv_lines(tmp_path / "missing_sitemap_urls") == [["url,pages", '"a""b",""']]
     assert spark.createDataFrame([("1.2.9", 1), ("1.3.0", 2), (None, 3)], "v string, k int").filter(tables.compatible(F.col("v"), schemas.SCHEMA_VERSION)).count() == 1
 
 
+def csv_lines(folder):
+    """Lines of each part, in the parts' order."""
+    return [p.read_text().replace('"url","pages"', "url,pages").splitlines() for p in sorted(folder.glob("part-*.csv"))]
+
+
+def test_csv_parts(spark, tmp_path):
+    """A small table is one file, whatever its partitions, and no part is a header alone; an empty table is a header."""
+    rows = spark.range(0, 40, 1, 7).selectExpr("concat('u', id) url", "id pages").filter("pages % 13 = 5")
+    reports.write_csv(rows, str(tmp_path / "a"))
+    (lines,) = csv_lines(tmp_path / "a")
+    assert lines[0] == "url,pages" and sorted(lines[1:]) == ['"u18","18"', '"u31","31"', '"u5","5"']
+    reports.write_csv(rows.repartition(5), str(tmp_path / "b"), order=["-pages"])
+    assert csv_lines(tmp_path / "b") == [["url,pages", '"u31","31"', '"u18","18"', '"u5","5"']]
+    reports.write_csv(rows.limit(0), str(tmp_path / "c"))
+    assert csv_lines(tmp_path / "c") in ([["url,pages"]], [])
+
+
 def test_rate_limiter_stream_and_batch_agree(spark, tmp_path):
     statuses = [200] * 3 + [503, 429, 503, 503, 404] + [200] * 21 + [503]
     rows = [("h", k, s) for k, s in enumerate(statuses)] + [("g", 0, 200)]
+    rows += [("start", k, s) for k, s in enumerate([503, 503] + [200] * 20)] + [("none", k, None) for k in range(3)]
     fetches = spark.createDataFrame(rows, "host string, ts int, status int")
     batch = {r["host"]: (r["fetches"], r["concurrency"], r["pause"]) for r in flow.replay(fetches, "host", "ts", "status").collect()}
+    # at the initial concurrency successes leave the pause as it is
+    assert batch["start"] == (22, 3, 0.5) and batch["none"] == (3, 3, 0.0)
+    fetches = fetches.filter("status is not null")
+    batch.pop("none")
     fetches.coalesce(1).write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema(fetches.schema).json(str(tmp_path / "in"))
     query = fetch_log.rate_limits(stream).writeStream.outputMode("update").format("memory").queryName("limits").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()

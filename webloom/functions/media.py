@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 
 def image_score(alt: Column, size: Column, width: Column, height: Column, srcset: Column, loading: Column) -> Column:
-    """100, less for no alternative text, size, missing dimensions, no set of sources for a wide image, and no loading attribute."""
+    """100, less for no alternative text, size, missing dimensions (0 is missing too), no set of sources for a wide or high image,
+    and no loading attribute."""
     return F.greatest(
         F.lit(0),
         100
         - F.when(F.coalesce(alt, F.lit("")) == "", 30).otherwise(0)
         - F.when(size > 200000, 20).when(size > 100000, 10).otherwise(0)
-        - F.when(width.isNull() | height.isNull(), 15).otherwise(0)
-        - F.when(F.coalesce(srcset, F.lit("")) == "", F.when(width > 800, 15).otherwise(0)).otherwise(0)
+        - F.when((F.coalesce(width, F.lit(0)) == 0) | (F.coalesce(height, F.lit(0)) == 0), 15).otherwise(0)
+        - F.when(F.coalesce(srcset, F.lit("")) == "", F.when((width > 800) | (height > 800), 15).otherwise(0)).otherwise(0)
         - F.when(F.coalesce(loading, F.lit("")) == "", 10).otherwise(0),
     )
 

@@ -2,31 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Errors and successes in a row that change the concurrency, first and longest pause in seconds.
-ERRORS, SUCCESSES, FIRST_PAUSE, LONGEST_PAUSE = 2, 10, 1.0, 60.0
+from webloom.session import ship
+
+#: Errors and successes in a row that change the concurrency, first and longest pause in seconds, and what a pause grows and shrinks by.
+ERRORS, SUCCESSES, FIRST_PAUSE, LONGEST_PAUSE, FACTOR = 2, 10, 1.0, 60.0, 2.0
 
+#: Concurrency, pause, errors and successes in a row.
+State = tuple[int, float, int, int]
 
-def step(state: Column, status: Column, initial: int) -> Column:
-    """State after one response: 429 and 503 count as errors, 2xx as successes, others change nothing."""
-    bad, good = status.isin(429, 503), status.between(200, 299)
-    errors = F.when(bad, state["errors"] + 1).when(good, 0).otherwise(state["errors"])
-    successes = F.when(good, state["successes"] + 1).when(bad, 0).otherwise(state["successes"])
-    slow, fast = bad & (errors >= ERRORS), good & (successes >= SUCCESSES)
-    pause = F.when(slow, F.when(state["pause"] == 0, FIRST_PAUSE).otherwise(F.least(F.lit(LONGEST_PAUSE), state["pause"] * 2))).when(fast, F.floor(state["pause"] / 2 * 1000) / 1000).otherwise(state["pause"])
-    return F.struct(
-        F.when(slow, F.greatest(F.lit(1), state["concurrency"] - 1)).when(fast, F.least(F.lit(initial), state["concurrency"] + 1)).otherwise(state["concurrency"]).cast("int").alias("concurrency"),
-        pause.cast("double").alias("pause"),
-        F.when(slow, 0).otherwise(errors).cast("int").alias("errors"),
-        F.when(fast, 0).otherwise(successes).cast("int").alias("successes"),
-    )
+
+def advance(state: State, status: int, initial: int) -> State:
+    """State after one response: 429 and 503 count as errors, 2xx as successes, others change nothing. Enough successes at the initial
+    concurrency only start their count anew; below it, they give back one place and shorten the pause."""
+    concurrency, pause, errors, successes = state
+    if status in (429, 503):
+        errors, successes = errors + 1, 0
+        if errors >= ERRORS:
+            concurrency, pause, errors = max(1, concurrency - 1), FIRST_PAUSE if pause == 0 else min(LONGEST_PAUSE, pause * FACTOR), 0
+    elif 200 <= status < 300:
+        errors, successes = 0, successes + 1
+        if successes >= SUCCESSES:
+            successes = 0
+            if concurrency < initial:
+                concurrency, pause = concurrency + 1, pause / FACTOR
+    return concurrency, pause, errors, successes
 
 
 def replay(fetches: DataFrame, key: str, order: str, status: str, initial: int = 3) -> DataFrame:
-    """(key, fetches, concurrency, pause) after all of each key's responses in order. The fold is inherently sequential per key; hosts run in parallel."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(status).alias("s")))), lambda x: x["s"])
-    start = F.struct(F.lit(initial).alias("concurrency"), F.lit(0.0).alias("pause"), F.lit(0).alias("errors"), F.lit(0).alias("successes"))
-    folded = fetches.groupBy(key).agg(ordered.alias("_s")).select(key, F.size("_s").alias("fetches"), F.aggregate("_s", start, lambda s, x: step(s, x, initial)).alias("_state"))
-    return folded.select(key, "fetches", F.col("_state.concurrency").alias("concurrency"), F.col("_state.pause").alias("pause"))
+    """(key, fetches, concurrency, pause) after all of each key's responses in order. A null status changes nothing; a null key is a key.
+
+    The fold is sequential within a key by nature; a task goes through the sorted rows of its keys and holds one state, so a host's log is
+    never gathered in a row or a group."""
+    ship(fetches.sparkSession)
+    kind = fetches.schema[key].dataType.simpleString()
+    rows = fetches.select(F.col(key).alias("_key"), F.col(status).cast("int").alias("_status"), F.col(order).alias("_order"))
+    rows = rows.repartition("_key").sortWithinPartitions("_key", "_order").select("_key", "_status")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started, own, n, state, type_ = False, None, 0, (initial, 0.0, 0, 0), pa.null()
+
+        def out(done: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*done, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (type_, pa.int32(), pa.int32(), pa.float64()), strict=True)], names=[key, "fetches", "concurrency", "pause"])
+
+        for batch in batches:
+            type_, done = batch.schema.field(0).type, []
+            for k, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not started or k != own:
+                    if started:
+                        done.append((own, n, state[0], state[1]))
+                    started, own, n, state = True, k, 0, (initial, 0.0, 0, 0)
+                n += 1
+                state = advance(state, s or 0, initial)
+            if done:
+                yield out(done)
+        if started:
+            yield out([(own, n, state[0], state[1])])
+
+    return rows.mapInArrow(run, f"`{key}` {kind}, fetches int, concurrency int, pause double")

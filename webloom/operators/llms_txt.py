@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions.markup import word_count
 from webloom.functions.numbers import grade
+from webloom.operators.robots import said
 
 #: Words by which headings count as one of the six sections.
 SECTIONS = {
@@ -20,50 +20,55 @@ SECTIONS = {
 
 
 def parse(files: DataFrame, key: str = "url", content: str = "content") -> DataFrame:
-    """Columns of a file: title, description, contact, last_updated, site_type, headings, links, word_count, line_count, valid.
+    """Columns of a file: title, description, contact, last_updated, site_type (the last three also as has_...), headings, links, word_count,
+    line_count, valid.
 
     All within the row: a file is an array of lines. A null or blank file is not valid and has nulls and empty arrays."""
     text = F.coalesce(F.col(content), F.lit(""))
     lines = F.transform(F.split(text, r"\r?\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
-    headings = F.transform(F.filter(lines, lambda s: s.rlike(r"^#{1,6}\s+\S")), lambda s: F.regexp_replace(s, r"^#+\s+", ""))
-    title = F.regexp_extract(F.try_element_at(F.filter(lines, lambda s: s.rlike(r"^#\s+\S")), F.lit(1)), r"^#\s+(.*)$", 1)
-    at = F.array_position(F.transform(lines, lambda s: s.rlike(r"^#\s+\S")), F.lit(True))
-    after = F.slice(lines, F.greatest(at, F.lit(1)).cast("int") + F.when(at > 0, 1).otherwise(0), F.size(lines))
+    headings = F.transform(F.filter(lines, lambda s: s.rlike(r"^#+\s+\S")), lambda s: F.regexp_replace(s, r"^#+\s+", ""))
+    title = F.regexp_extract(F.try_element_at(F.filter(lines, lambda s: F.startswith(s, F.lit("# "))), F.lit(1)), r"^#\s+(.*)$", 1)
+    at = F.array_position(F.transform(lines, lambda s: F.startswith(s, F.lit("# "))), F.lit(True))
+    after = F.when(at > 0, F.slice(lines, F.greatest(at, F.lit(1)).cast("int") + 1, F.size(lines)))
     description = F.try_element_at(F.filter(after, lambda s: (F.char_length(s) > 20) & ~F.startswith(s, F.lit("#")) & ~F.startswith(s, F.lit("**"))), F.lit(1))
+    plain = F.filter(lines, lambda s: ~F.startswith(s, F.lit("#")))
 
-    def labelled(words: str):
-        line = F.try_element_at(F.filter(lines, lambda s: F.lower(s).rlike(rf"^[-*\s]*\**({words})\**\s*:")), F.lit(1))
-        return F.regexp_replace(F.regexp_extract(line, r":\**\s*(.*)$", 1), r"\*+", "")
+    def labelled(word: str):
+        """Whether a line has the label, and what follows it in the last such line."""
+        found = F.filter(plain, lambda s: F.contains(F.lower(s), F.lit(f"{word}:")) | F.contains(F.lower(s), F.lit(f"**{word}**:")))
+        values = F.filter(F.transform(found, lambda s: F.regexp_extract(s, rf"(?i){word}[:\s]+(.+)", 1)), lambda v: v != "")
+        name = word.replace(" ", "_")
+        return (F.size(found) > 0).alias(f"has_{name}"), F.trim(F.try_element_at(values, F.lit(-1))).alias(name)
 
-    links = F.transform(F.regexp_extract_all(text, F.lit(r"(\[[^\]]+\]\([^)\s]+\))"), F.lit(1)), lambda s: F.struct(F.regexp_extract(s, r"^\[([^\]]+)\]", 1).alias("text"), F.regexp_extract(s, r"\(([^)\s]+)\)$", 1).alias("url")))
+    links = F.transform(F.regexp_extract_all(text, F.lit(r"(\[[^\]]+\]\([^)]+\))"), F.lit(1)), lambda s: F.struct(F.regexp_extract(s, r"^\[([^\]]+)\]", 1).alias("text"), F.regexp_extract(s, r"\(([^)]+)\)$", 1).alias("url")))
     return files.select(
         key,
         F.nullif(title, F.lit("")).alias("title"),
         description.alias("description"),
-        F.nullif(labelled("contact|email|policy contact"), F.lit("")).alias("contact"),
-        F.nullif(labelled("last updated|updated|last-updated"), F.lit("")).alias("last_updated"),
-        F.nullif(labelled("site type|site-type|type"), F.lit("")).alias("site_type"),
+        *labelled("contact"),
+        *labelled("last updated"),
+        *labelled("site type"),
         headings.alias("headings"),
         links.alias("links"),
-        word_count(text).alias("word_count"),
+        F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("word_count"),
         F.size(lines).alias("line_count"),
-        (F.regexp_replace(text, r"\s", "") != "").alias("valid"),
+        (text != "").alias("valid"),
         text.alias("_content"),
     )
 
 
 def quality(files: DataFrame, key: str = "url", content: str = "content") -> DataFrame:
-    """Score (0 to 100) and label of every file."""
+    """Score (0 to 100), label, counts, and lists of issues and recommendations of every file."""
     p = parse(files, key, content)
     low = F.lower("_content")
 
     def present(name: str):
-        return F.when(F.coalesce(F.col(name), F.lit("")) != "", 10).otherwise(0)
+        return F.when(F.coalesce(F.col(name), F.lit("")) != "" if name in ("title", "description") else F.col(f"has_{name}"), 10).otherwise(0)
 
-    def section(words: tuple[str, ...]):
-        return F.when(F.exists("headings", lambda h: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(h), w))), 5).otherwise(0)
+    def has_section(words: tuple[str, ...]):
+        return F.exists("headings", lambda h: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(h), w)))
 
-    n_sections = sum((section(w) for w in SECTIONS.values()), F.lit(0))
+    n_sections = sum((F.when(has_section(w), 5).otherwise(0) for w in SECTIONS.values()), F.lit(0))
     words, links = F.col("word_count"), F.size("links")
     hits = (
         (F.contains(low, F.lit("rate")) & (F.contains("_content", F.lit("per hour")) | F.contains("_content", F.lit("per minute")))).cast("int")
@@ -75,9 +80,38 @@ def quality(files: DataFrame, key: str = "url", content: str = "content") -> Dat
         + F.when(words >= 200, 15).when(words >= 100, 10).when(words >= 50, 5).otherwise(0)
         + F.when(links >= 5, 10).when(links >= 3, 7).when(links >= 1, 4).otherwise(0)
         + F.when(hits >= 2, 5).when(hits == 1, 3).otherwise(0)
-        + F.when(F.col("site_type").isNotNull(), 3).otherwise(0)
+        + F.when(F.col("has_site_type"), 3).otherwise(0)
         + F.when(F.size("headings") >= 5, 2).otherwise(0)
     )
     score = F.when(F.col("valid"), F.least(F.lit(100), total)).otherwise(0)
     label = F.when(~F.col("valid"), "Missing").otherwise(grade(score, [(85, "Excellent"), (70, "Good"), (50, "Fair"), (30, "Poor")], "Very Poor"))
-    return p.select(key, score.cast("int").alias("score"), label.alias("quality"), (n_sections / 5).cast("int").alias("sections"), "word_count", links.alias("n_links"), F.size("headings").alias("n_headings"))
+    # fixed values: what is said of a file
+    core = {
+        "title": ("Missing H1 title identifying the site", "Add H1 heading as first element (# Site Name)"),
+        "description": ("Missing clear description of site purpose", "Add concise description of what the site does"),
+        "contact": ("Missing contact information for AI policy questions", "Add contact email or form for AI access inquiries"),
+        "last_updated": ('Missing "Last Updated" timestamp', "Add **Last updated:** [Date] for version tracking"),
+    }
+    issues = said(
+        ~F.col("valid"),
+        "llms.txt file is missing or invalid",
+        *((present(c) == 0, text) for c, (text, _) in core.items()),
+        (words < 50, "Very brief content - needs substantial expansion"),
+        (links == 0, "No documentation links found"),
+    )
+    advice = said(
+        ~F.col("valid"),
+        "Create a valid llms.txt file at the site root",
+        *((present(c) == 0, text) for c, (_, text) in core.items()),
+        *((~has_section(w), f"Add section for {name.replace('_', ' ')}") for name, w in SECTIONS.items()),
+        (words.between(100, 199), F.format_string("Expand content with more specific guidance (current: %d words)", words)),
+        (words.between(50, 99), "Add more detailed sections and guidance"),
+        (links.between(3, 4), "Add more documentation links (API docs, policies, etc.)"),
+        (links.between(1, 2), "Include links to key resources and documentation"),
+        (links == 0, "Add links to API documentation, policies, and resources"),
+        (hits == 1, "Add more specific details (rate limits, endpoints, paths)"),
+        (hits == 0, "Include specific rate limits, API endpoints, and restricted paths"),
+        (~F.col("has_site_type"), "Declare site type (E-Commerce, Content-Driven, API-Driven, etc.)"),
+    )
+    counts = [(n_sections / 5).cast("int").alias("sections"), F.col("word_count"), links.alias("n_links"), F.size("headings").alias("n_headings")]
+    return p.select(key, score.cast("int").alias("score"), label.alias("quality"), *counts, issues.alias("issues"), advice.alias("recommendations"))

@@ -16,10 +16,11 @@ SENSITIVE = ("/admin", "/account", "/cart", "/checkout", "/login", "/auth", "/ap
 def parse(files: DataFrame, key: str = "url", content: str = "content") -> DataFrame:
     """One row per line that says something: key, line_no, kind (comment, sitemap, user-agent, allow, disallow, other), user_agent, value.
 
-    A rule belongs to the last user-agent line above it, or to '*'; a file that is null or empty has no rows."""
+    A rule belongs to the last user-agent line above it, or to '*'; what follows a directive's colon is its value, comments at the end of a
+    line included; a file that is null or empty has no rows."""
     lines = files.select(key, F.posexplode(F.split(content, r"\r?\n")).alias("line_no", "_line")).withColumn("_line", F.regexp_replace("_line", r"^\s+|\s+$", ""))
-    name = F.lower(F.regexp_extract("_line", r"^([A-Za-z-]+)\s*:", 1))
-    value = F.regexp_replace(F.regexp_extract("_line", r"^[A-Za-z-]+\s*:(.*)$", 1), r"^\s+|\s*(#.*)?$", "")
+    name = F.lower(F.regexp_extract("_line", r"^([A-Za-z-]+):", 1))
+    value = F.regexp_replace(F.regexp_extract("_line", r"^[A-Za-z-]+:(.*)$", 1), r"^\s+|\s+$", "")
     kind = F.when(F.startswith("_line", F.lit("#")), "comment").when(name.isin("sitemap", "user-agent", "allow", "disallow"), name).otherwise("other")
     rows = lines.filter("_line <> ''").select(key, "line_no", kind.alias("kind"), F.when(kind == "comment", F.regexp_replace("_line", r"^#\s*", "")).otherwise(value).alias("value"))
     above = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -28,27 +29,52 @@ def parse(files: DataFrame, key: str = "url", content: str = "content") -> DataF
 
 
 def quality(files: DataFrame, key: str = "url", content: str = "content") -> DataFrame:
-    """Score (0 to 100) and label of every file; one without content is 'Missing'."""
+    """Score (0 to 100), label, what was counted, and lists of issues and recommendations of every file; one without content is 'Missing'."""
     rows = parse(files, key, content)
-    rule = F.col("kind") == "disallow"
-    agents = F.count_distinct(F.when((F.col("kind") == "user-agent") & _any_contains(F.lower("value"), AGENTS), F.lower("value")))
-    prefix = F.filter(F.array(*[F.lit(p) for p in SENSITIVE]), lambda p: F.startswith(F.col("value"), p))
+    low = F.lower("value")
+    agents = F.count_distinct(F.when((F.col("kind") == "user-agent") & _any_contains(low, AGENTS), F.col("value")))
+    guarded = (F.col("kind") == "disallow") & F.exists(F.array(*[F.lit(p) for p in SENSITIVE]), lambda p: F.startswith(low, p))
     found = rows.groupBy(key).agg(
         agents.alias("ai_agents"),
         F.count_if(F.col("kind") == "sitemap").alias("sitemaps"),
-        F.size(F.array_distinct(F.flatten(F.collect_list(F.when(rule, prefix))))).alias("protected_paths"),
-        F.count_if((F.col("kind") == "comment") & F.contains(F.lower("value"), F.lit("llms.txt"))).alias("llms_mentions"),
+        F.count_distinct(F.when(guarded, F.col("value"))).alias("protected_paths"),
+        F.count_if((F.col("kind") == "comment") & (F.contains(low, F.lit("llms.txt")) | F.contains(low, F.lit("llms-txt")))).alias("llms_mentions"),
         F.count_if(F.col("kind") == "comment").alias("comments"),
     )
-    all_ = files.select(key, (F.coalesce(F.regexp_replace(content, r"\s", ""), F.lit("")) == "").alias("missing")).join(found, key, "left").fillna(0)
-    by_agents = F.when(F.col("ai_agents") >= 3, 30).when(F.col("ai_agents") >= 1, 20).otherwise(5)
-    by_paths = F.when(F.col("protected_paths") >= 3, 25).when(F.col("protected_paths") >= 1, 15).otherwise(0)
-    by_comments = F.when(F.col("comments") >= 3, 10).when(F.col("comments") >= 1, 5).otherwise(0)
-    complete = (F.col("ai_agents") > 0) & (F.col("sitemaps") > 0) & (F.col("protected_paths") > 0) & (F.col("llms_mentions") > 0)
-    total = by_agents + F.when(F.col("sitemaps") > 0, 20).otherwise(0) + by_paths + F.when(F.col("llms_mentions") > 0, 15).otherwise(0) + by_comments + F.when(complete, 10).otherwise(0)
+    all_ = files.select(key, (F.coalesce(F.col(content), F.lit("")) == "").alias("missing")).join(found, key, "left").fillna(0)
+    agents, sitemaps, paths, mentions, comments = (F.col(c) for c in ("ai_agents", "sitemaps", "protected_paths", "llms_mentions", "comments"))
+    by_agents = F.when(agents >= 3, 30).when(agents >= 1, 20).otherwise(5)
+    by_paths = F.when(paths >= 3, 25).when(paths >= 1, 15).otherwise(0)
+    by_comments = F.when(comments >= 3, 10).when(comments >= 1, 5).otherwise(0)
+    complete = (agents > 0) & (sitemaps > 0) & (paths > 0) & (mentions > 0)
+    total = by_agents + F.when(sitemaps > 0, 20).otherwise(0) + by_paths + F.when(mentions > 0, 15).otherwise(0) + by_comments + F.when(complete, 10).otherwise(0)
     score = F.when(F.col("missing"), 0).otherwise(F.least(F.lit(100), total))
     label = F.when(F.col("missing"), "Missing").otherwise(grade(score, [(80, "Excellent"), (60, "Good"), (40, "Fair")], "Poor"))
-    return all_.select(key, score.alias("score"), label.alias("quality"), "ai_agents", "sitemaps", "protected_paths", "llms_mentions", "comments")
+    # fixed values: what is said of a file
+    issues = said(
+        F.col("missing"),
+        "robots.txt file is missing or invalid",
+        (agents == 0, "No AI-specific user agents found (e.g., GPTBot, ClaudeBot)"),
+        (sitemaps == 0, "No sitemap reference found"),
+        (paths == 0, "No sensitive paths are protected (admin, account, cart, checkout)"),
+    )
+    advice = said(
+        F.col("missing"),
+        "Create a valid robots.txt file at the site root",
+        (agents.between(1, 2), F.format_string("Add more AI user-agent declarations (found %d, recommend 3+)", agents)),
+        (agents == 0, "Add specific user-agent declarations for AI crawlers"),
+        (sitemaps == 0, 'Add "Sitemap: <URL>" declaration to help AI agents discover content'),
+        (paths.between(1, 2), "Consider protecting more sensitive paths (admin, account, cart, checkout)"),
+        (paths == 0, "Add Disallow rules for sensitive areas to prevent AI access"),
+        (mentions == 0, "Add comment referencing llms.txt for comprehensive AI guidance"),
+        (comments == 0, "Add comments to explain AI access policies"),
+    )
+    return all_.select(key, score.alias("score"), label.alias("quality"), "ai_agents", "sitemaps", "protected_paths", "llms_mentions", "comments", issues.alias("issues"), advice.alias("recommendations"))
+
+
+def said(missing: Column, if_missing: str, *rules: tuple[Column, Column | str]) -> Column:
+    """Texts of all rules that hold, in order, or the one text for a file that is missing."""
+    return F.when(missing, F.array(F.lit(if_missing))).otherwise(F.array_compact(F.array(*[F.when(when, F.lit(text) if isinstance(text, str) else text) for when, text in rules])))
 
 
 def _any_contains(value: Column, words: tuple[str, ...]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import accessibility as a11y
-from webloom.functions.numbers import clamp, grade, half_up, percentage
+from webloom.functions.numbers import clamp, grade, half_up, percentage, ratio
 
 
 def resource_totals(resources: DataFrame, url: str = "url", page: str = "page_url", kind: str = "type") -> DataFrame:
@@ -53,13 +53,12 @@ def summarize(rows: DataFrame, columns: list[str], null_as_zero: bool = False) -
 
 
 def issue_analysis(issues: DataFrame, page: str = "page_url") -> DataFrame:
-    """Per page: issues by severity and level, special kinds, and a score."""
+    """Per page: issues by severity and level, special kinds (told by the code alone), and a score."""
     level = F.col("code")
     rows = issues.withColumn("severity", a11y.severity(F.col("type"), level)).withColumn("level", a11y.level(level))
-    text = F.concat_ws(" ", F.col("code"), F.coalesce(F.col("message"), F.lit("")))
     counts = [F.count_if(F.col("severity") == s).alias(s.lower()) for s in a11y.SEVERITY_WEIGHTS]
     levels = [F.count_if(F.col("level") == v).alias(f"level_{v.lower()}") for v in ("A", "AA", "AAA")]
-    special = [F.count_if(F.contains(text, F.lit(w))).alias(n) for w, n in (("ARIA", "aria"), ("Contrast", "contrast"), ("keyboard", "keyboard"))]
+    special = [F.count_if(F.contains(c, F.lit(w))).alias(n) for c, w, n in ((level, "ARIA", "aria"), (level, "Contrast", "contrast"), (F.lower(level), "keyboard", "keyboard"))]
     return rows.groupBy(page).agg(F.count(F.lit(1)).alias("issues"), *counts, *levels, *special, a11y.page_score(F.sum(a11y.weight(F.col("severity")))).alias("score"))
 
 
@@ -69,7 +68,9 @@ def common_issues(issues: DataFrame, more_than: int = 1) -> DataFrame:
 
 
 def unrepeated(issues: DataFrame, common: DataFrame) -> DataFrame:
-    return issues.join(common.select("code", "message"), ["code", "message"], "left_anti")
+    """Issues that are not among the common ones; a missing message is like another missing one."""
+    seen = common.select(F.col("code").alias("_code"), F.col("message").alias("_message"))
+    return issues.join(seen, F.col("code").eqNullSafe(F.col("_code")) & F.col("message").eqNullSafe(F.col("_message")), "left_anti")
 
 
 def issues_by_page_and_code(issues: DataFrame) -> DataFrame:
@@ -85,16 +86,23 @@ def guideline_compliance(issues: DataFrame) -> DataFrame:
 
 
 def performance_summary(rows: DataFrame) -> DataFrame:
-    """Averages, the score of those parts that were measured, and how far it is known. A null counts as 0 in an average, as the score is defined."""
+    """Averages, a score and its label. A null counts as 0 in an average. Load time and first paint always count towards the score, the largest
+    paint if any is over 0, the layout shift if any is known."""
     mean = {c: F.coalesce(F.avg(F.coalesce(F.col(c), F.lit(0.0))), F.lit(0.0)) for c in ("load_time", "lcp", "fcp", "cls")}
-    one = rows.agg(*[v.alias(k) for k, v in mean.items()], F.max(F.col("lcp") > 0).alias("_lcp"), F.max(F.col("fcp") > 0).alias("_fcp"), F.max(F.col("cls").isNotNull()).alias("_cls"))
+    known = [F.coalesce(F.max(F.col("lcp") > 0), F.lit(False)).alias("_lcp"), F.coalesce(F.max(F.col("cls").isNotNull()), F.lit(False)).alias("_cls")]
+    one = rows.agg(*[v.alias(k) for k, v in mean.items()], *known, F.count(F.lit(1)).alias("_n"))
     load, lcp, fcp, cls = (F.col(c) for c in mean)
     score = F.when(load < 1000, 25).when(load < 2000, 20).when(load < 3000, 15).otherwise(0)
     most = F.lit(25)
-    for known, value, good, fair in ((F.col("_lcp"), lcp, 2500, 4000), (F.col("_fcp"), fcp, 1800, 3000), (F.col("_cls"), cls, 0.1, 0.25)):
-        score = score + F.when(known, F.when(value < good, 25).when(value < fair, 15).otherwise(0)).otherwise(0)
-        most = most + F.when(known, 25).otherwise(0)
-    return one.select("load_time", "lcp", "fcp", "cls", half_up(100 * score / most).alias("score"))
+    for counts, value, good, fair in ((F.col("_lcp"), lcp, 2500, 4000), (F.lit(True), fcp, 1800, 3000), (F.col("_cls"), cls, 0.1, 0.25)):
+        score = score + F.when(counts, F.when(value < good, 25).when(value < fair, 15).otherwise(0)).otherwise(0)
+        most = most + F.when(counts, 25).otherwise(0)
+    found = one.withColumn("score", F.when(F.col("_n") == 0, 0).otherwise(half_up(100 * score / most)))
+    return found.select("load_time", "lcp", "fcp", "cls", "score", _label(F.col("score"), [(75, "Excellent"), (50, "Good"), (25, "Fair")], "Needs Improvement").alias("status"))
+
+
+def _label(score: Column, limits: list[tuple[float, str]], otherwise: str) -> Column:
+    return F.when(F.col("_n") == 0, "No data").otherwise(grade(score, limits, otherwise))
 
 
 def accessibility_summary(issues: DataFrame, pages: Column | None = None) -> DataFrame:
@@ -103,31 +111,99 @@ def accessibility_summary(issues: DataFrame, pages: Column | None = None) -> Dat
     if pages is None:
         counts.append(F.count_distinct("page_url").alias("_pages"))
         pages = F.col("_pages")
-    one = issues.agg(*counts)
+    one = issues.agg(*counts, F.count(F.lit(1)).alias("issues"))
     score = a11y.site_score(F.col("errors"), F.col("warnings"), F.col("notices"))
-    total = F.col("errors") + F.col("warnings") + F.col("notices")
-    per_page = F.when(pages == 0, 0.0).otherwise(total / F.nullif(pages, F.lit(0)))
-    return one.select("errors", "warnings", "notices", score.alias("score"), grade(score, [(90, "Excellent"), (70, "Good"), (50, "Fair")], "Poor").alias("label"), per_page.alias("per_page"))
+    label = grade(score, [(90, "Excellent"), (70, "Good"), (50, "Fair")], "Critical")
+    return one.select("issues", "errors", "warnings", "notices", half_up(score).alias("score"), label.alias("label"), F.round(ratio(F.col("issues"), pages), 1).alias("per_page"))
+
+
+def seo_score_summary(scores: DataFrame) -> DataFrame:
+    """Average of column score with a label, and the number of pages; a null counts as 0."""
+    one = scores.agg(F.avg(F.coalesce(F.col("score"), F.lit(0.0))).alias("_mean"), F.count(F.lit(1)).alias("_n"))
+    mean = F.coalesce("_mean", F.lit(0.0))
+    return one.select(half_up(mean).alias("score"), _label(mean, [(90, "Excellent"), (80, "Very Good"), (70, "Good"), (60, "Fair")], "Needs Improvement").alias("status"), F.col("_n").alias("pages"))
+
+
+def content_summary(pages: DataFrame) -> DataFrame:
+    """Averages of word_count and of headings (h1, h2, h3: columns h1_count to h3_count), and pages with fewer than 300 words."""
+    words = F.coalesce(F.col("word_count"), F.lit(0))
+    headings = sum((F.coalesce(F.col(f"h{k}_count"), F.lit(0)) for k in (1, 2, 3)), F.lit(0))
+    one = pages.agg(F.coalesce(F.avg(words), F.lit(0.0)).alias("_words"), F.coalesce(F.avg(headings), F.lit(0.0)).alias("_headings"), F.count_if(words < 300).alias("low_content_pages"), F.count(F.lit(1)).alias("pages"))
+    share = F.round(100 * ratio(F.col("low_content_pages"), F.col("pages")), 1)
+    return one.select("pages", half_up(F.col("_words")).alias("average_words"), F.round("_headings", 1).alias("average_headings"), "low_content_pages", share.alias("low_content_percent"))
+
+
+def agent_summary(pages: DataFrame) -> DataFrame:
+    """Averages of served_score and rendered_score with a label, pages that refer to llms.txt (column has_llms_txt) and whether one is that file
+    (column url); that file counts as one more page."""
+    file = F.coalesce(F.max(F.endswith("url", F.lit("/llms.txt"))), F.lit(False))
+    one = pages.agg(F.avg("served_score").alias("_served"), F.avg("rendered_score").alias("_rendered"), F.count_if("has_llms_txt").alias("_refer"), file.alias("has_llms_txt_file"), F.count(F.lit(1)).alias("_n"))
+    served = F.coalesce("_served", F.lit(0.0))
+    return one.select(
+        half_up(served).alias("served_score"), half_up(F.coalesce("_rendered", F.lit(0.0))).alias("rendered_score"), _label(served, [(70, "Good"), (50, "Fair")], "Needs Improvement").alias("status"),
+        (F.col("_refer") + F.col("has_llms_txt_file").cast("int")).alias("pages_with_llms_txt"), "has_llms_txt_file",
+    )
+
+
+def _said(text: str, *values: Column) -> Column:
+    return F.format_string(text, *values) if values else F.lit(text)
+
+
+def _file_rules(name: str, limit: int, low: int, text: str, missing: str) -> list[tuple]:
+    """Rules about a file's quality: too low (of higher rank below ``low``), or the file is known to be missing."""
+    exists, score, quality = (F.col(f"{name}_{c}") for c in ("exists", "score", "quality"))
+    return [("AI Compatibility", F.when(score < low, "Medium").otherwise("Low"), exists & (score < limit), _said(text, quality, score.cast("long"))), ("AI Compatibility", F.lit("Low"), ~exists, _said(missing))]
+
+
+def finding_rules() -> list[tuple]:
+    """Category, severity, condition and text of what a summary can show, in order."""
+    load, seo, low = F.col("load_time"), F.col("seo_score"), F.col("low_content_pages")
+    return [
+        ("Performance", F.lit("High"), load > 3000, _said("Average load time of %dms exceeds recommended threshold of 3000ms", half_up(load))),
+        ("Accessibility", F.lit("Critical"), F.col("errors") > 0, _said("%d critical accessibility errors found across site", F.col("errors"))),
+        ("SEO", F.lit("Medium"), seo < 70, _said("Average SEO score of %d is below recommended threshold of 70", half_up(seo))),
+        ("Content", F.lit("Medium"), low > 0.2 * F.col("pages"), _said("%d pages (%d%%) have insufficient content (<300 words)", low, half_up(100 * ratio(low, F.col("pages"))))),
+        ("LLM Suitability", F.lit("Low"), ~F.col("has_llms_txt") & (F.col("llm_pages") > 0), _said("No llms.txt file detected - consider adding for better AI agent compatibility")),
+        *_file_rules("robots", 60, 40, "robots.txt quality is %s (%d/100) - needs improvement for AI agent compatibility", "robots.txt file not found - recommended for guiding AI agent access"),
+        *_file_rules("llms", 70, 50, "llms.txt quality is %s (%d/100) - consider improving for better AI agent guidance", "llms.txt file not found - recommended for comprehensive AI agent guidance (see llmstxt.org)"),
+    ]
+
+
+def recommendation_rules() -> list[tuple]:
+    """Category, priority, condition and text of what to do, in order."""
+
+    def of_file(name: str, limit: int, low: int, missing: str) -> list[tuple]:
+        exists, score, advice = (F.col(f"{name}_{c}") for c in ("exists", "score", "advice"))
+        return [("AI Compatibility", F.when(score < low, "Medium").otherwise("Low"), exists & (score < limit) & advice.isNotNull(), _said(f"{name}.txt: %s", advice)), ("AI Compatibility", F.lit("Low"), ~exists, _said(missing))]
+
+    return [
+        ("Performance", F.lit("High"), F.col("lcp") > 2500, _said("Optimize Largest Contentful Paint by optimizing images and reducing render-blocking resources")),
+        ("Accessibility", F.lit("Critical"), F.col("errors") > 0, _said("Address critical WCAG errors immediately to ensure site accessibility for all users")),
+        ("SEO", F.lit("Medium"), F.col("pages_without_description") > 0, _said("Add meta descriptions to %d pages to improve search engine visibility", F.col("pages_without_description"))),
+        ("Content", F.lit("Medium"), F.col("low_content_pages") > 0, _said("Expand content on %d pages to improve SEO and user experience", F.col("low_content_pages"))),
+        ("LLM Suitability", F.lit("Low"), (F.col("served_score") < 50) & (F.col("llm_pages") > 0), _said("Improve semantic HTML structure and add structured data for better AI agent compatibility")),
+        *of_file("robots", 60, 40, "Create a robots.txt file with AI-specific user agents (GPTBot, ClaudeBot) and sitemap references"),
+        *of_file("llms", 70, 50, "Create a comprehensive llms.txt file following llmstxt.org specification with access guidelines and content restrictions"),
+    ]
+
+
+def _applied(summary: DataFrame, keys: list[str], rules: list[tuple], rank: str, text: str) -> DataFrame:
+    rows = [F.when(when, F.struct(F.lit(k).alias("position"), F.lit(category).alias("category"), level.alias(rank), said.alias(text))) for k, (category, level, when, said) in enumerate(rules)]
+    return summary.select(*keys, F.inline(F.array_compact(F.array(*rows))))
+
 
+def findings(summary: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, position, category, severity, finding) of all findings that apply to a summary's rows.
 
-#: Findings about a site: name, kind and when it applies, over columns of a one-row summary.
-FINDINGS = [
-    ("fast_pages", "strength", lambda c: c("load_time") < 2000),
-    ("slow_pages", "problem", lambda c: c("load_time") > 3000),
-    ("few_issues", "strength", lambda c: c("a11y_score") >= 90),
-    ("many_issues", "problem", lambda c: c("a11y_score") < 50),
-    ("good_seo", "strength", lambda c: c("seo_score") >= 80),
-    ("weak_seo", "problem", lambda c: c("seo_score") < 60),
-    ("thin_content", "problem", lambda c: c("low_content_share") > 0.3),
-    ("readable_for_agents", "strength", lambda c: c("served_score") >= 70),
-    ("hard_for_agents", "problem", lambda c: c("served_score") < 50),
-]
+    Columns read: load_time, errors, seo_score, pages, low_content_pages, has_llms_txt, llm_pages, and exists, score and quality of both files
+    (robots_..., llms_...). What is null was not measured and shows nothing."""
+    return _applied(summary, keys or [], finding_rules(), "severity", "finding")
 
 
-def findings(summary: DataFrame) -> DataFrame:
-    """(position, finding, kind) of all findings that apply to a one-row summary."""
-    found = F.array_compact(F.array(*[F.when(rule(F.col), F.struct(F.lit(k).alias("position"), F.lit(name).alias("finding"), F.lit(kind).alias("kind"))) for k, (name, kind, rule) in enumerate(FINDINGS)]))
-    return summary.select(F.inline(found))
+def recommendations(summary: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, position, category, priority, recommendation), from the columns of ``findings`` and lcp, pages_without_description, served_score,
+    robots_advice and llms_advice (a file's first recommendation)."""
+    return _applied(summary, keys or [], recommendation_rules(), "priority", "recommendation")
 
 
 def headline_score(parts: list[Column]) -> Column:
@@ -138,7 +214,7 @@ def headline_score(parts: list[Column]) -> Column:
 
 
 def headline_label(score: Column) -> Column:
-    return grade(score, [(80, "Excellent"), (70, "Good"), (60, "Fair"), (40, "Needs improvement")], "Poor")
+    return grade(score, [(80, "Excellent"), (70, "Good"), (60, "Fair"), (40, "Needs Improvement")], "Critical")
 
 
 def overview(pages: DataFrame) -> DataFrame:

@@ -224,14 +224,15 @@ def certificate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, greatest(0, 100 - CASE WHEN l_linenumber % 3 = 0 THEN 30 ELSE 0 END - CASE WHEN l_extendedprice * 5 > 200000 THEN 20 WHEN l_extendedprice * 5 > 100000 THEN 10 ELSE 0 END
- - CASE WHEN l_quantity < 10 THEN 15 ELSE 0 END - CASE WHEN l_returnflag <> 'R' AND l_quantity >= 10 AND l_quantity * 40 > 800 THEN 15 ELSE 0 END - CASE WHEN l_linestatus = 'O' THEN 10 ELSE 0 END)::BIGINT AS score,
+ - CASE WHEN l_quantity < 10 OR l_partkey % 9 = 0 THEN 15 ELSE 0 END - CASE WHEN l_returnflag <> 'R' AND (l_quantity >= 10 AND l_quantity * 40 > 800 OR l_partkey % 9 * 200 > 800) THEN 15 ELSE 0 END - CASE WHEN l_linestatus = 'O' THEN 10 ELSE 0 END)::BIGINT AS score,
  CASE WHEN l_extendedprice * 5 > 200000 THEN 'Low' WHEN l_extendedprice * 5 > 100000 THEN 'Medium' ELSE 'High' END AS optimization,
  CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE least(100, 5 * len(l_returnflag || l_linestatus || l_partkey)) END::BIGINT AS alt_score FROM lineitem""")
 def image_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as images: size from price, dimensions from quantity, the rest from flags."""
+    """Line items as images: size from price, width from quantity, height from the part, the rest from flags."""
+    height = F.col("l_partkey") % 9 * 200
     size, width = F.col("l_extendedprice") * 5, F.when(F.col("l_quantity") >= 10, F.col("l_quantity") * 40)
     alt = F.when(F.col("l_linenumber") % 3 != 0, F.concat("l_returnflag", "l_linestatus", "l_partkey"))
-    score = media.image_score(alt, size, width, width, F.when(F.col("l_returnflag") == "R", "x"), F.when(F.col("l_linestatus") != "O", "lazy"))
+    score = media.image_score(alt, size, width, height, F.when(F.col("l_returnflag") == "R", "x"), F.when(F.col("l_linestatus") != "O", "lazy"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", long(F.col("l_linenumber")).alias("l_linenumber"), long(score).alias("score"), media.image_optimization(size).alias("optimization"), long(media.alt_text_score(alt)).alias("alt_score"))
 
 

@@ -14,7 +14,7 @@ from webloom.sources.tables import table
 from webloom.streaming import fetch_log
 
 #: Issue codes, types and messages that an event stands for.
-CODES = ["WCAG2AA.Principle1.Guideline1_1.1_1_1.H37", "WCAG2AA.Principle1.Guideline1_4.1_4_3.G18.Fail", "WCAG2A.Principle2.Guideline2_1.2_1_1", "WCAG2AAA.Principle3.Guideline3_1.3_1_1", "ARIA.4_1_2"]
+CODES = ["WCAG2AA.Principle1.Guideline1_1.1_1_1.H37", "WCAG2AA.Principle1.Guideline1_4.1_4_3.G18.Fail", "WCAG2A.Principle2.Guideline2_1.2_1_1", "WCAG2AAA.Principle3.Guideline3_1.3_1_1", "ARIA.4_1_2", "WCAG2AA.Principle1.Guideline1_4.1_4_3.Contrast", "custom.KeyboardTrap"]
 TYPES = ["error", "warning", "notice"]
 
 
@@ -23,20 +23,20 @@ def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         k,
         F.col("user_id").alias("page_url"),
-        F.array(*[F.lit(c) for c in CODES])[(k % 5).cast("int")].alias("code"),
+        F.array(*[F.lit(c) for c in CODES])[(k % len(CODES)).cast("int")].alias("code"),
         F.array(*[F.lit(t) for t in TYPES])[(k % 3).cast("int")].alias("type"),
-        F.concat(F.lit("Contrast "), F.col("event_type"), F.when(k % 4 == 0, " keyboard").otherwise("")).alias("message"),
+        F.when(k % 11 != 0, F.concat(F.lit("Contrast and ARIA "), F.col("event_type"), F.when(k % 4 == 0, " keyboard").otherwise(""))).alias("message"),
     )
 
 
 SQL_ISSUES = (
-    "i AS (SELECT event_id, user_id AS page_url, [" + ", ".join(f"'{c}'" for c in CODES) + "][(event_id % 5 + 1)::INT] AS code, [" + ", ".join(f"'{t}'" for t in TYPES) + "][(event_id % 3 + 1)::INT] AS type, 'Contrast ' || event_type || CASE WHEN event_id % 4 = 0 THEN ' keyboard' ELSE '' END AS message FROM events), "
+    "i AS (SELECT event_id, user_id AS page_url, [" + ", ".join(f"'{c}'" for c in CODES) + f"][(event_id % {len(CODES)} + 1)::INT] AS code, [" + ", ".join(f"'{t}'" for t in TYPES) + "][(event_id % 3 + 1)::INT] AS type, CASE WHEN event_id % 11 <> 0 THEN 'Contrast and ARIA ' || event_type || CASE WHEN event_id % 4 = 0 THEN ' keyboard' ELSE '' END END AS message FROM events), "
     "v AS (SELECT *, CASE WHEN type = 'error' AND code LIKE 'WCAG2AA%' THEN 'Critical' WHEN type = 'error' AND code LIKE 'WCAG2A%' THEN 'Serious' WHEN type = 'warning' AND code LIKE 'WCAG2%' THEN 'Moderate' ELSE 'Minor' END AS severity, regexp_extract(code, 'WCAG2(A{1,3})', 1) AS level, regexp_extract(code, 'Guideline(\\d+)_(\\d+)', 1) || '.' || regexp_extract(code, 'Guideline(\\d+)_(\\d+)', 2) AS guideline FROM i)"
 )
 
 
 @register(f"""WITH {SQL_ISSUES} SELECT page_url, count(*) AS issues, count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'Serious') AS serious, count(*) FILTER (severity = 'Moderate') AS moderate, count(*) FILTER (severity = 'Minor') AS minor,
- count(*) FILTER (level = 'A') AS level_a, count(*) FILTER (level = 'AA') AS level_aa, count(*) FILTER (level = 'AAA') AS level_aaa, count(*) FILTER (contains(code || ' ' || message, 'ARIA')) AS aria, count(*) FILTER (contains(message, 'Contrast')) AS contrast, count(*) FILTER (contains(message, 'keyboard')) AS keyboard,
+ count(*) FILTER (level = 'A') AS level_a, count(*) FILTER (level = 'AA') AS level_aa, count(*) FILTER (level = 'AAA') AS level_aaa, count(*) FILTER (contains(code, 'ARIA')) AS aria, count(*) FILTER (contains(code, 'Contrast')) AS contrast, count(*) FILTER (contains(lower(code), 'keyboard')) AS keyboard,
  greatest(0, 100 - 2 * sum(CASE severity WHEN 'Critical' THEN 5 WHEN 'Serious' THEN 3 WHEN 'Moderate' THEN 2 ELSE 1 END))::BIGINT AS score FROM v GROUP BY 1""")
 def accessibility_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.issue_analysis(_issues(spark, sf_dir)).withColumn("score", long(F.col("score")))
@@ -47,7 +47,7 @@ def common_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.common_issues(_issues(spark, sf_dir), more_than=40)
 
 
-@register(f"WITH {SQL_ISSUES}, c AS (SELECT code, message FROM i GROUP BY 1, 2 HAVING count(*) > 100) SELECT i.event_id FROM i LEFT JOIN c USING (code, message) WHERE c.code IS NULL")
+@register(f"WITH {SQL_ISSUES}, c AS (SELECT code, message FROM i GROUP BY 1, 2 HAVING count(*) > 100) SELECT i.event_id FROM i WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.code = i.code AND c.message IS NOT DISTINCT FROM i.message)")
 def issues_not_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = _issues(spark, sf_dir)
     return rollups.unrepeated(issues, rollups.common_issues(issues, more_than=100)).select("event_id")
@@ -64,20 +64,23 @@ def guideline_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.guideline_compliance(_issues(spark, sf_dir)).drop("name")
 
 
-@register(f"""WITH {SQL_ISSUES}, s AS (SELECT count(*) FILTER (type = 'error') AS errors, count(*) FILTER (type = 'warning') AS warnings, count(*) FILTER (type = 'notice') AS notices FROM i WHERE event_id % 997 = 0)
-SELECT errors, warnings, notices, greatest(0.0, 100 - 5 * errors - 2 * warnings - 0.5 * notices)::DOUBLE AS score, CASE WHEN greatest(0.0, 100 - 5 * errors - 2 * warnings - 0.5 * notices) >= 90 THEN 'Excellent' WHEN greatest(0.0, 100 - 5 * errors - 2 * warnings - 0.5 * notices) >= 70 THEN 'Good' WHEN greatest(0.0, 100 - 5 * errors - 2 * warnings - 0.5 * notices) >= 50 THEN 'Fair' ELSE 'Poor' END AS label, (errors + warnings + notices)::DOUBLE / 25 AS per_page FROM s""")
+@register(f"""WITH {SQL_ISSUES}, s AS (SELECT count(*) AS issues, count(*) FILTER (type = 'error') AS errors, count(*) FILTER (type = 'warning') AS warnings, count(*) FILTER (type = 'notice') AS notices, count(DISTINCT page_url) AS pages FROM i), g AS (SELECT *, greatest(0.0, 100 - 5 * errors - 2 * warnings - 0.5 * notices)::DOUBLE AS score FROM s)
+SELECT issues, errors, warnings, notices, floor(score + 0.5)::BIGINT AS score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 70 THEN 'Good' WHEN score >= 50 THEN 'Fair' ELSE 'Critical' END AS label, round(issues::DOUBLE / pages, 1) AS per_page FROM g""")
 def accessibility_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 997th event is taken as an issue of a site of 25 pages."""
-    return rollups.accessibility_summary(_issues(spark, sf_dir).filter("event_id % 997 = 0"), F.lit(25))
-
-
-@register(f"""WITH {SQL_ISSUES}, s AS (SELECT count(*) FILTER (type = 'error') AS errors, count(*) FILTER (type = 'warning') AS warnings, count(*) FILTER (type = 'notice') AS notices, count(DISTINCT page_url) AS pages FROM i), g AS (SELECT *, greatest(0.0, 100 - 5 * errors - 2 * warnings - 0.5 * notices)::DOUBLE AS score FROM s)
-SELECT errors, warnings, notices, score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 70 THEN 'Good' WHEN score >= 50 THEN 'Fair' ELSE 'Poor' END AS label, CASE WHEN pages = 0 THEN 0 ELSE (errors + warnings + notices)::DOUBLE / pages END AS per_page FROM g""")
-def accessibility_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as issues, over the pages that they name; so many issues take the score to its floor."""
     return rollups.accessibility_summary(_issues(spark, sf_dir))
 
 
+@register(f"""WITH {SQL_ISSUES}, s AS (SELECT user_id, count(*) FILTER (type = 'error') AS errors, count(*) FILTER (type = 'warning') AS warnings, count(*) FILTER (type = 'notice') AS notices, count(*) AS n FROM (SELECT page_url AS user_id, type FROM i) GROUP BY 1), g AS (SELECT *, greatest(0.0, 100 - 5 * errors - 2 * warnings - 0.5 * notices)::DOUBLE AS score FROM s)
+SELECT user_id, score FROM g""")
+def accessibility_site_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user as a site with its events as issues, so that scores come from all parts of the scale."""
+    from webloom.functions import accessibility
+
+    counts = _issues(spark, sf_dir).groupBy(F.col("page_url").alias("user_id")).agg(*[F.count_if(F.col("type") == t).alias(t) for t in TYPES])
+    return counts.select("user_id", accessibility.site_score(*[F.col(t) for t in TYPES]).alias("score"))
+
+
 @register(f"""WITH {SQL_ISSUES}, a AS (SELECT page_url, count(*) AS n FROM i WHERE type = 'error' GROUP BY 1) SELECT c_custkey AS url, coalesce(n, 0) AS errors, CASE WHEN n IS NULL THEN 100 ELSE greatest(0, 100 - n) END AS score FROM customer LEFT JOIN a ON c_custkey = page_url""")
 def pages_with_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as pages, left-joined with their aggregated issues; a page without any has the full score."""
@@ -124,32 +127,61 @@ def technology_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_url", "category", F.array_join("names", ",").alias("names"))
 
 
-ROBOTS = {
-    "a": "# see llms.txt\n# two\n# three\nUser-agent: GPTBot\nDisallow: /admin\nDisallow: /cart\n\nUser-agent: ClaudeBot\nDisallow: /checkout/\nUser-agent: cohere-ai\nAllow: /\nSitemap: https://a/sitemap.xml",
-    "b": "Disallow: /\nAllow: /en/\nUser-agent: Bingbot\nDisallow: /*?x=1$\n# note",
-    "c": "",
-}
-SQL_FILES = "f AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in ROBOTS.items()).replace("\n", "' || chr(10) || '") + ") t(url, content))"
-SQL_RULES = rf"""{SQL_FILES},
+def _lines(lines: list[tuple[str, str]]) -> str:
+    """An expression, for both engines, of a text made of those lines whose condition on k holds; null and empty for some k."""
+    parts = ", ".join(f"CASE WHEN {when} THEN {text} END" for text, when in lines)
+    return f"CASE WHEN k % 17 = 0 THEN NULL WHEN k % 19 = 0 THEN '' ELSE concat_ws(chr(10), {parts}) END"
+
+
+ROBOTS = _lines(
+    [
+        ("'# see LLMS.txt'", "k % 2 = 0"), ("'#note'", "k % 3 = 0"), ("'# more: x'", "k % 5 = 0"), ("'Disallow: /'", "k % 4 = 0"), ("'User-agent: GPTBot'", "k % 2 = 1"), ("'Disallow: /Admin/x'", "k % 4 < 2"),
+        ("'  User-agent: ClaudeBot '", "k % 7 = 0"), ("'Disallow: /cart # c'", "k % 3 = 1"), ("'Allow: /en/'", "k % 2 = 0"), ("'USER-AGENT: cohere-ai'", "k % 5 < 2"), ("'User-agent: GPTBot'", "k % 6 = 0"),
+        ("'disallow:/user/' || k", "k % 6 < 2"), ("'Disallow: /cart # c'", "k % 9 < 3"), ("'Disallow: /checkout'", "k % 10 < 3"), ("'Sitemap: https://a/s.xml'", "k % 3 > 0"), ("'Crawl-delay: 5'", "k % 9 = 0"), ("'   '", "k % 2 = 0"),
+    ]
+)
+SQL_RULES = rf"""f AS (SELECT k AS url, {ROBOTS} AS content FROM (SELECT c_custkey AS k FROM customer)),
 l AS (SELECT url, trim(line) AS line, n FROM (SELECT url, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS n FROM f) WHERE trim(line) <> ''),
 k AS (SELECT url, n, CASE WHEN line LIKE '#%' THEN 'comment' WHEN lower(split_part(line, ':', 1)) IN ('sitemap','user-agent','allow','disallow') THEN lower(split_part(line, ':', 1)) ELSE 'other' END AS kind,
       CASE WHEN line LIKE '#%' THEN trim(substr(line, 2)) ELSE trim(substr(line, instr(line, ':') + 1)) END AS value FROM l),
 r AS (SELECT url, n AS line_no, kind, coalesce(last_value(CASE WHEN kind = 'user-agent' THEN value END IGNORE NULLS) OVER (PARTITION BY url ORDER BY n ROWS UNBOUNDED PRECEDING), '*') AS user_agent, value FROM k)"""
 
 
-def _robots(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ROBOTS.items()), "url string, content string")
+def _files(spark: SparkSession, sf_dir: str, content: str) -> DataFrame:
+    """A file per customer, made from its key."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).select(F.col("k").alias("url"), F.expr(content).alias("content"))
 
 
 @register(f"WITH {SQL_RULES} SELECT url, line_no::BIGINT AS line_no, kind, user_agent, value FROM r")
 def robots_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robots.parse(_robots(spark)).withColumn("line_no", long(F.col("line_no")))
+    return robots.parse(_files(spark, sf_dir, ROBOTS)).withColumn("line_no", long(F.col("line_no")))
+
+
+def _texts(missing: str, if_missing: str, rules: list[tuple[str, str]]) -> str:
+    """SQL of a list of texts, joined: those whose condition holds, in order."""
+    quoted = ", ".join(f"CASE WHEN {when} THEN {text} END" for when, text in rules)
+    return f"CASE WHEN {missing} THEN '{if_missing}' ELSE concat_ws('; ', {quoted}) END"
 
 
-@register("SELECT * FROM (VALUES ('a', 100, 'Excellent'), ('b', 25, 'Poor'), ('c', 0, 'Missing')) t(url, score, quality)")
+SQL_ROBOTS_ISSUES = _texts("missing", "robots.txt file is missing or invalid", [("a = 0", "'No AI-specific user agents found (e.g., GPTBot, ClaudeBot)'"), ("s = 0", "'No sitemap reference found'"), ("p = 0", "'No sensitive paths are protected (admin, account, cart, checkout)'")])
+SQL_ROBOTS_ADVICE = _texts(
+    "missing",
+    "Create a valid robots.txt file at the site root",
+    [
+        ("a IN (1, 2)", "'Add more AI user-agent declarations (found ' || a || ', recommend 3+)'"), ("a = 0", "'Add specific user-agent declarations for AI crawlers'"), ("s = 0", "'Add \"Sitemap: <URL>\" declaration to help AI agents discover content'"),
+        ("p IN (1, 2)", "'Consider protecting more sensitive paths (admin, account, cart, checkout)'"), ("p = 0", "'Add Disallow rules for sensitive areas to prevent AI access'"), ("NOT m", "'Add comment referencing llms.txt for comprehensive AI guidance'"), ("c = 0", "'Add comments to explain AI access policies'"),
+    ],
+)
+
+
+@register(rf"""WITH {SQL_RULES}, g AS (SELECT url, count(DISTINCT value) FILTER (kind = 'user-agent' AND regexp_matches(lower(value), 'gptbot|claudebot|cohere-ai')) AS a, count(*) FILTER (kind = 'sitemap') AS s,
+ count(DISTINCT value) FILTER (kind = 'disallow' AND regexp_matches(lower(value), '^/(admin|cart|user|checkout)')) AS p, coalesce(bool_or(kind = 'comment' AND contains(lower(value), 'llms.txt')), false) AS m, count(*) FILTER (kind = 'comment') AS c FROM r GROUP BY 1),
+w AS (SELECT url, coalesce(content, '') = '' AS missing, coalesce(a, 0) AS a, coalesce(s, 0) AS s, coalesce(p, 0) AS p, coalesce(m, false) AS m, coalesce(c, 0) AS c FROM f LEFT JOIN g USING (url)),
+x AS (SELECT *, CASE WHEN missing THEN 0 ELSE least(100, CASE WHEN a >= 3 THEN 30 WHEN a >= 1 THEN 20 ELSE 5 END + CASE WHEN s > 0 THEN 20 ELSE 0 END + CASE WHEN p >= 3 THEN 25 WHEN p >= 1 THEN 15 ELSE 0 END + CASE WHEN m THEN 15 ELSE 0 END + CASE WHEN c >= 3 THEN 10 WHEN c >= 1 THEN 5 ELSE 0 END + CASE WHEN a > 0 AND s > 0 AND p > 0 AND m THEN 10 ELSE 0 END) END AS score FROM w)
+SELECT url, score::BIGINT AS score, CASE WHEN missing THEN 'Missing' WHEN score >= 80 THEN 'Excellent' WHEN score >= 60 THEN 'Good' WHEN score >= 40 THEN 'Fair' ELSE 'Poor' END AS quality, {SQL_ROBOTS_ISSUES} AS issues, {SQL_ROBOTS_ADVICE} AS recommendations FROM x""")
 def robots_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of three inline files, held against scores worked out by hand from the rules."""
-    return robots.quality(_robots(spark)).select("url", "score", "quality")
+    found = robots.quality(_files(spark, sf_dir, ROBOTS))
+    return found.select("url", long(F.col("score")).alias("score"), "quality", F.array_join("issues", "; ").alias("issues"), F.array_join("recommendations", "; ").alias("recommendations"))
 
 
 RULES = [("*", "disallow", "/fr/"), ("*", "allow", "/fr/1*"), ("*", "disallow", "/*.html$"), ("*", "allow", "/de/*.html$"), ("webloom", "disallow", "/es/2"), ("other", "disallow", "/"), ("*", "disallow", "/*?")]
@@ -165,18 +197,40 @@ def robots_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.allowed(table(spark, sf_dir, "pages").select("url"), rules, user_agent="webloom").select("url", "allowed")
 
 
-LLMS = {
-    "full": "# Shop\nA shop that sells many useful things to people.\n**Contact:** x@y.z\n**Last updated:** 2024-01-01\n**Site type:** shop\n## Access guidelines\nrate 10 per hour on /api/ endpoint\n## Restrictions\n## API\n## Training\n## Attribution\n## Errors\n[a](/a) [b](/b) [c](/c) [d](/d) [e](/e)",
-    "title": "# Only a title",
-    "none": "   ",
-}
-
-
-@register("SELECT * FROM (VALUES ('full', 90, 'Excellent', 6, 5, 7), ('title', 10, 'Very Poor', 0, 0, 1), ('none', 0, 'Missing', 0, 0, 0)) t(url, score, quality, sections, n_links, n_headings)")
+LLMS = _lines(
+    [
+        ("'short'", "k % 8 = 0"), ("'# Shop ' || k", "k % 5 > 0"), ("'**Bold words that are long enough.**'", "k % 3 = 0"), ("'A shop that sells many useful things.'", "k % 2 = 0"), ("'- **Contact:** x@y.z'", "k % 3 = 0"), ("'**Last updated**: 2024'", "k % 4 = 0"),
+        ("'the site type: shop'", "k % 6 < 2"), ("'## Access guidelines'", "k % 2 = 0"), ("'Rate 10 per hour'", "k % 3 = 1"), ("'use the endpoint'", "k % 7 = 2"), ("'## Restrictions'", "k % 5 < 2"), ("'####### API'", "k % 7 < 3"),
+        ("'### Training data usage'", "k % 4 < 2"), ("'##Attribution'", "k % 3 = 0"), ("'## Citation and credit'", "k % 9 < 4"), ("'## Errors'", "k % 9 = 0"), ("'[a](/a) [b](/b c)'", "k % 2 = 1"), ("'[c](/c) [d](/api) [e](/e)'", "k % 3 = 2"), ("repeat('word ', cast(k % 230 as int))", "k % 2 = 0"),
+    ]
+)
+SQL_SECTIONS = [("access guidelines", "access|guidelines|rate limit|usage"), ("content restrictions", "restrictions|prohibited|disallow|off-limits"), ("api access", "api|endpoint|authentication"), ("training guidelines", "training|machine learning|data usage"), ("attribution", "attribution|credit|citation"), ("error handling", "error|retry|fallback")]
+SQL_LLMS_ISSUES = _texts("missing", "llms.txt file is missing or invalid", [("NOT t", "'Missing H1 title identifying the site'"), ("NOT d", "'Missing clear description of site purpose'"), ("NOT c", "'Missing contact information for AI policy questions'"), ("NOT u", "'Missing \"Last Updated\" timestamp'"), ("w < 50", "'Very brief content - needs substantial expansion'"), ("n = 0", "'No documentation links found'")])
+SQL_LLMS_ADVICE = _texts(
+    "missing",
+    "Create a valid llms.txt file at the site root",
+    [
+        ("NOT t", "'Add H1 heading as first element (# Site Name)'"), ("NOT d", "'Add concise description of what the site does'"), ("NOT c", "'Add contact email or form for AI access inquiries'"), ("NOT u", "'Add **Last updated:** [Date] for version tracking'"),
+        *((f"NOT s{k}", f"'Add section for {name}'") for k, (name, _) in enumerate(SQL_SECTIONS)),
+        ("w >= 100 AND w < 200", "'Expand content with more specific guidance (current: ' || w || ' words)'"), ("w >= 50 AND w < 100", "'Add more detailed sections and guidance'"), ("n IN (3, 4)", "'Add more documentation links (API docs, policies, etc.)'"), ("n IN (1, 2)", "'Include links to key resources and documentation'"),
+        ("n = 0", "'Add links to API documentation, policies, and resources'"), ("z = 1", "'Add more specific details (rate limits, endpoints, paths)'"), ("z = 0", "'Include specific rate limits, API endpoints, and restricted paths'"), ("NOT y", "'Declare site type (E-Commerce, Content-Driven, API-Driven, etc.)'"),
+    ],
+)
+
+
+@register(rf"""WITH f AS (SELECT k AS url, {LLMS} AS content FROM (SELECT c_custkey AS k FROM customer)), l AS (SELECT url, coalesce(content, '') AS text, list_transform(string_split(coalesce(content, ''), chr(10)), lambda s: trim(s)) AS lines FROM f),
+h AS (SELECT *, list_filter(lines, lambda s: NOT starts_with(s, '#')) AS plain, list_transform(list_filter(lines, lambda s: regexp_matches(s, '^#+\s+\S')), lambda s: lower(regexp_replace(s, '^#+\s+', ''))) AS headings, list_position(list_transform(lines, lambda s: starts_with(s, '# ')), true) AS spot FROM l),
+g AS (SELECT url, text = '' AS missing, spot IS NOT NULL AS t, spot IS NOT NULL AND len(list_filter(lines[spot + 1:], lambda s: length(s) > 20 AND NOT starts_with(s, '#') AND NOT starts_with(s, '**'))) > 0 AS d,
+ len(list_filter(plain, lambda s: regexp_matches(lower(s), 'contact(\*\*)?:'))) > 0 AS c, len(list_filter(plain, lambda s: regexp_matches(lower(s), 'last updated(\*\*)?:'))) > 0 AS u, len(list_filter(plain, lambda s: regexp_matches(lower(s), 'site type(\*\*)?:'))) > 0 AS y,
+ """ + ", ".join(f"len(list_filter(headings, lambda s: regexp_matches(s, '{words}'))) > 0 AS s{k}" for k, (_, words) in enumerate(SQL_SECTIONS)) + r""",
+ len(list_filter(regexp_split_to_array(text, '\s+'), lambda s: s <> '')) AS w, len(regexp_extract_all(text, '\[[^\]]+\]\([^)]+\)')) AS n, len(headings) AS q,
+ (contains(lower(text), 'rate') AND (contains(text, 'per hour') OR contains(text, 'per minute')))::INT + (contains(lower(text), 'endpoint') OR contains(lower(text), 'api/'))::INT + (contains(text, '/') AND (contains(text, 'admin') OR contains(text, 'api')))::INT AS z FROM h),
+x AS (SELECT *, s0::INT + s1::INT + s2::INT + s3::INT + s4::INT + s5::INT AS sections FROM g),
+v AS (SELECT *, CASE WHEN missing THEN 0 ELSE least(100, 10 * (t::INT + d::INT + c::INT + u::INT) + 5 * sections + CASE WHEN w >= 200 THEN 15 WHEN w >= 100 THEN 10 WHEN w >= 50 THEN 5 ELSE 0 END + CASE WHEN n >= 5 THEN 10 WHEN n >= 3 THEN 7 WHEN n >= 1 THEN 4 ELSE 0 END + CASE WHEN z >= 2 THEN 5 WHEN z = 1 THEN 3 ELSE 0 END + CASE WHEN y THEN 3 ELSE 0 END + CASE WHEN q >= 5 THEN 2 ELSE 0 END) END AS score FROM x)
+""" + f"""SELECT url, score::BIGINT AS score, CASE WHEN missing THEN 'Missing' WHEN score >= 85 THEN 'Excellent' WHEN score >= 70 THEN 'Good' WHEN score >= 50 THEN 'Fair' WHEN score >= 30 THEN 'Poor' ELSE 'Very Poor' END AS quality, sections::BIGINT AS sections, n::BIGINT AS n_links, q::BIGINT AS n_headings, {SQL_LLMS_ISSUES} AS issues, {SQL_LLMS_ADVICE} AS recommendations FROM v""")
 def llms_txt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of three inline files, held against scores worked out by hand from the rules."""
-    files = spark.createDataFrame(list(LLMS.items()), "url string, content string")
-    return llms_txt.quality(files).select("url", "score", "quality", "sections", "n_links", "n_headings")
+    found = llms_txt.quality(_files(spark, sf_dir, LLMS))
+    return found.select("url", "quality", *[long(F.col(c)).alias(c) for c in ("score", "sections", "n_links", "n_headings")], F.array_join("issues", "; ").alias("issues"), F.array_join("recommendations", "; ").alias("recommendations"))
 
 
 SQL_PATTERNS = [
@@ -215,12 +269,28 @@ def _performance(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_PERF = "f AS (SELECT event_id, user_id, CASE WHEN event_id % 9 <> 0 THEN value * 30 END AS load_time, value * 40 AS lcp, value * 20 AS fcp, CASE WHEN event_id % 2 = 0 THEN value / 500 END AS cls FROM events)"
 
 
-@register(f"""WITH {SQL_PERF}, a AS (SELECT avg(coalesce(load_time, 0)) AS load_time, avg(coalesce(lcp, 0)) AS lcp, avg(coalesce(fcp, 0)) AS fcp, avg(coalesce(cls, 0)) AS cls FROM f)
-SELECT round(load_time, 6) AS load_time, round(lcp, 6) AS lcp, round(fcp, 6) AS fcp, round(cls, 6) AS cls, floor(100.0 * (CASE WHEN load_time < 1000 THEN 25 WHEN load_time < 2000 THEN 20 WHEN load_time < 3000 THEN 15 ELSE 0 END + CASE WHEN lcp < 2500 THEN 25 WHEN lcp < 4000 THEN 15 ELSE 0 END
- + CASE WHEN fcp < 1800 THEN 25 WHEN fcp < 3000 THEN 15 ELSE 0 END + CASE WHEN cls < 0.1 THEN 25 WHEN cls < 0.25 THEN 15 ELSE 0 END) / 100 + 0.5)::BIGINT AS score FROM a""")
+SQL_PERF_CASES = "c AS (SELECT 'all' AS kind, load_time, lcp, fcp, cls FROM f UNION ALL SELECT 'load time only', load_time * 5, NULL, NULL, NULL FROM f UNION ALL SELECT 'no paint', load_time / 9, 0 * lcp, 0 * fcp, cls / 99 FROM f UNION ALL SELECT 'slow', load_time * 9, lcp * 9, fcp * 9, NULL FROM f)"
+
+
+@register(f"""WITH {SQL_PERF}, {SQL_PERF_CASES}, a AS (SELECT kind, avg(coalesce(load_time, 0)) AS load_time, avg(coalesce(lcp, 0)) AS lcp, avg(coalesce(fcp, 0)) AS fcp, avg(coalesce(cls, 0)) AS cls, bool_or(coalesce(lcp, 0) > 0) AS has_lcp, bool_or(cls IS NOT NULL) AS has_cls FROM c GROUP BY kind),
+s AS (SELECT *, floor(100.0 * (CASE WHEN load_time < 1000 THEN 25 WHEN load_time < 2000 THEN 20 WHEN load_time < 3000 THEN 15 ELSE 0 END + CASE WHEN NOT has_lcp THEN 0 WHEN lcp < 2500 THEN 25 WHEN lcp < 4000 THEN 15 ELSE 0 END
+ + CASE WHEN fcp < 1800 THEN 25 WHEN fcp < 3000 THEN 15 ELSE 0 END + CASE WHEN NOT has_cls THEN 0 WHEN cls < 0.1 THEN 25 WHEN cls < 0.25 THEN 15 ELSE 0 END) / (50 + 25 * has_lcp::INT + 25 * has_cls::INT) + 0.5)::BIGINT AS score FROM a)
+SELECT kind, round(load_time, 6) AS load_time, round(lcp, 6) AS lcp, round(fcp, 6) AS fcp, round(cls, 6) AS cls, score, CASE WHEN score >= 75 THEN 'Excellent' WHEN score >= 50 THEN 'Good' WHEN score >= 25 THEN 'Fair' ELSE 'Needs Improvement' END AS status FROM s""")
 def performance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rollups.performance_summary(_performance(spark, sf_dir))
-    return found.select(*[six(F.col(c)).alias(c) for c in ("load_time", "lcp", "fcp", "cls")], "score")
+    """Summaries of four sites made of all events: everything measured, load times only, no paint and a steady layout, slow without layout shifts."""
+    f, out = _performance(spark, sf_dir), None
+    nothing = F.lit(None).cast("double")
+    cases = {
+        "all": {},
+        "load time only": {"load_time": F.col("load_time") * 5, "lcp": nothing, "fcp": nothing, "cls": nothing},
+        "no paint": {"load_time": F.col("load_time") / 9, "lcp": 0 * F.col("lcp"), "fcp": 0 * F.col("fcp"), "cls": F.col("cls") / 99},
+        "slow": {"load_time": F.col("load_time") * 9, "lcp": F.col("lcp") * 9, "fcp": F.col("fcp") * 9, "cls": nothing},
+    }
+    for kind, columns in cases.items():
+        found = rollups.performance_summary(f.withColumns(columns) if columns else f)
+        part = found.select(F.lit(kind).alias("kind"), *[six(F.col(c)).alias(c) for c in ("load_time", "lcp", "fcp", "cls")], "score", "status")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register(f"WITH {SQL_PERF} SELECT metric, round(avg(v), 6) AS average, round(min(v), 6) AS least, round(max(v), 6) AS most FROM (SELECT 'load_time' AS metric, load_time AS v FROM f UNION ALL SELECT 'lcp', lcp FROM f UNION ALL SELECT 'cls', cls FROM f) GROUP BY metric")
@@ -247,14 +317,74 @@ def observer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(six(F.sum(F.greatest(F.col("load_time") - 50, F.lit(0.0)) * F.when(F.col("load_time").isNotNull(), 1))).alias("tbt"), six(F.sum(F.when(F.col("event_id") % 3 != 0, F.col("cls")))).alias("cls"), F.max("lcp").alias("lcp"))
 
 
-@register("SELECT * FROM (VALUES (0, 'fast_pages', 'strength'), (3, 'many_issues', 'problem'), (5, 'weak_seo', 'problem'), (7, 'readable_for_agents', 'strength')) t(position, finding, kind)")
-def key_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of a one-row summary made by hand, held against the rules read by hand."""
-    one = spark.createDataFrame([(1500.0, 40.0, 55.0, 0.2, 75.0)], "load_time double, a11y_score double, seo_score double, low_content_share double, served_score double")
-    return rollups.findings(one)
+#: Summaries of sites, for both engines: a customer as a site, its orders as pages.
+SITE_COLUMNS = {
+    "load_time": "CASE WHEN n > 0 THEN cast(t % 6000 as double) END", "lcp": "CASE WHEN n > 0 THEN cast(t % 5000 as double) END", "errors": "n % 3", "seo_score": "CASE WHEN n > 0 THEN (t % 1000) / 10.0e0 END", "pages": "n", "low_content_pages": "few",
+    "pages_without_description": "few % 4", "has_llms_txt": "k % 2 = 0", "llm_pages": "n", "served_score": "cast(t % 97 as double)", "robots_exists": "CASE k % 3 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END", "robots_score": "k % 100", "robots_quality": "CASE WHEN k % 100 >= 40 THEN 'Fair' ELSE 'Poor' END",
+    "robots_advice": "CASE WHEN k % 5 > 0 THEN concat('advice ', k) END", "llms_exists": "CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END", "llms_score": "k % 90", "llms_quality": "CASE WHEN k % 90 >= 50 THEN 'Fair' ELSE 'Poor' END", "llms_advice": "CASE WHEN k % 7 > 0 THEN concat('hint ', k) END",
+}
+SQL_SITES = "o AS (SELECT o_custkey AS k, count(*) AS n, sum(o_orderkey) AS t, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS few FROM orders GROUP BY 1), a AS (SELECT c_custkey AS k, coalesce(n, 0) AS n, coalesce(t, 0) AS t, coalesce(few, 0) AS few FROM customer LEFT JOIN o ON c_custkey = k), z AS (SELECT k AS site, " + ", ".join(f"{v} AS {c}" for c, v in SITE_COLUMNS.items()) + " FROM a)"
 
 
-@register("SELECT o_custkey, floor((a + b + c + d) / 4.0 + 0.5)::BIGINT AS score, CASE WHEN floor((a + b + c + d) / 4.0 + 0.5) >= 80 THEN 'Excellent' WHEN floor((a + b + c + d) / 4.0 + 0.5) >= 70 THEN 'Good' WHEN floor((a + b + c + d) / 4.0 + 0.5) >= 60 THEN 'Fair' WHEN floor((a + b + c + d) / 4.0 + 0.5) >= 40 THEN 'Needs improvement' ELSE 'Poor' END AS label FROM (SELECT o_custkey, count(*) * 5 AS a, max(o_orderkey) % 101 AS b, min(o_orderkey) % 97 AS c, sum(o_orderkey) % 89 AS d FROM orders GROUP BY 1)")
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(k).alias("n"), F.sum(k).alias("t"), F.count_if(k % 4 == 0).alias("few"))
+    sites = table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left").fillna(0).withColumnRenamed("c_custkey", "k")
+    return sites.select(F.col("k").alias("site"), *[F.expr(v).alias(c) for c, v in SITE_COLUMNS.items()])
+
+
+def _sql_rules(rules: list[tuple[str, str, str, str]], rank: str, text: str) -> str:
+    return f"WITH {SQL_SITES} " + " UNION ALL ".join(f"SELECT site, {k}::BIGINT AS position, '{category}' AS category, {level} AS {rank}, {said} AS {text} FROM z WHERE {when}" for k, (category, level, when, said) in enumerate(rules))
+
+
+@register(_sql_rules([
+    ("Performance", "'High'", "load_time > 3000", "'Average load time of ' || floor(load_time + 0.5)::BIGINT || 'ms exceeds recommended threshold of 3000ms'"),
+    ("Accessibility", "'Critical'", "errors > 0", "errors || ' critical accessibility errors found across site'"),
+    ("SEO", "'Medium'", "seo_score < 70", "'Average SEO score of ' || floor(seo_score + 0.5)::BIGINT || ' is below recommended threshold of 70'"),
+    ("Content", "'Medium'", "low_content_pages > pages * 0.2", "low_content_pages || ' pages (' || floor(100 * (low_content_pages::DOUBLE / pages) + 0.5)::BIGINT || '%) have insufficient content (<300 words)'"),
+    ("LLM Suitability", "'Low'", "NOT has_llms_txt AND llm_pages > 0", "'No llms.txt file detected - consider adding for better AI agent compatibility'"),
+    ("AI Compatibility", "CASE WHEN robots_score < 40 THEN 'Medium' ELSE 'Low' END", "robots_exists AND robots_score < 60", "'robots.txt quality is ' || robots_quality || ' (' || robots_score || '/100) - needs improvement for AI agent compatibility'"),
+    ("AI Compatibility", "'Low'", "NOT robots_exists", "'robots.txt file not found - recommended for guiding AI agent access'"),
+    ("AI Compatibility", "CASE WHEN llms_score < 50 THEN 'Medium' ELSE 'Low' END", "llms_exists AND llms_score < 70", "'llms.txt quality is ' || llms_quality || ' (' || llms_score || '/100) - consider improving for better AI agent guidance'"),
+    ("AI Compatibility", "'Low'", "NOT llms_exists", "'llms.txt file not found - recommended for comprehensive AI agent guidance (see llmstxt.org)'"),
+], "severity", "finding"))
+def key_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.findings(_sites(spark, sf_dir), ["site"]).withColumn("position", long(F.col("position")))
+
+
+@register(_sql_rules([
+    ("Performance", "'High'", "lcp > 2500", "'Optimize Largest Contentful Paint by optimizing images and reducing render-blocking resources'"),
+    ("Accessibility", "'Critical'", "errors > 0", "'Address critical WCAG errors immediately to ensure site accessibility for all users'"),
+    ("SEO", "'Medium'", "pages_without_description > 0", "'Add meta descriptions to ' || pages_without_description || ' pages to improve search engine visibility'"),
+    ("Content", "'Medium'", "low_content_pages > 0", "'Expand content on ' || low_content_pages || ' pages to improve SEO and user experience'"),
+    ("LLM Suitability", "'Low'", "served_score < 50 AND llm_pages > 0", "'Improve semantic HTML structure and add structured data for better AI agent compatibility'"),
+    ("AI Compatibility", "CASE WHEN robots_score < 40 THEN 'Medium' ELSE 'Low' END", "robots_exists AND robots_score < 60 AND robots_advice IS NOT NULL", "'robots.txt: ' || robots_advice"),
+    ("AI Compatibility", "'Low'", "NOT robots_exists", "'Create a robots.txt file with AI-specific user agents (GPTBot, ClaudeBot) and sitemap references'"),
+    ("AI Compatibility", "CASE WHEN llms_score < 50 THEN 'Medium' ELSE 'Low' END", "llms_exists AND llms_score < 70 AND llms_advice IS NOT NULL", "'llms.txt: ' || llms_advice"),
+    ("AI Compatibility", "'Low'", "NOT llms_exists", "'Create a comprehensive llms.txt file following llmstxt.org specification with access guidelines and content restrictions'"),
+], "priority", "recommendation"))
+def site_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.recommendations(_sites(spark, sf_dir), ["site"]).withColumn("position", long(F.col("position")))
+
+
+@register("""WITH s AS (SELECT c_nationkey AS kind, c_acctbal / 100 AS score, c_custkey % 700 AS words, c_custkey % 3 AS h1, c_custkey % 5 AS h2, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 7 END AS h3, (c_custkey % 101)::DOUBLE AS served, (c_custkey % 103)::DOUBLE AS rendered, c_custkey % 6 = 0 AS refers, c_custkey % 50 = 7 AS file FROM customer),
+a AS (SELECT count(*) AS pages, avg(score) AS seo, avg(words) AS words, avg(h1 + h2 + coalesce(h3, 0)) AS headings, count(*) FILTER (words < 300) AS low, avg(served) AS served, avg(rendered) AS rendered, count(*) FILTER (refers) AS refer, bool_or(file) AS file FROM s)
+SELECT pages, floor(seo + 0.5)::BIGINT AS seo_score, CASE WHEN seo >= 90 THEN 'Excellent' WHEN seo >= 80 THEN 'Very Good' WHEN seo >= 70 THEN 'Good' WHEN seo >= 60 THEN 'Fair' ELSE 'Needs Improvement' END AS seo_status, floor(words + 0.5)::BIGINT AS average_words, round(headings, 1) AS average_headings, low AS low_content_pages, round(100 * (low::DOUBLE / pages), 1) AS low_content_percent,
+ floor(served + 0.5)::BIGINT AS served_score, floor(rendered + 0.5)::BIGINT AS rendered_score, CASE WHEN served >= 70 THEN 'Good' WHEN served >= 50 THEN 'Fair' ELSE 'Needs Improvement' END AS agent_status, refer + file::INT AS pages_with_llms_txt, file AS has_llms_txt_file FROM a""")
+def site_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search, content and agent summaries of customers as pages."""
+    k = F.col("c_custkey")
+    pages = table(spark, sf_dir, "customer").select(
+        (F.col("c_acctbal") / 100).cast("double").alias("score"), (k % 700).alias("word_count"), (k % 3).alias("h1_count"), (k % 5).alias("h2_count"), F.when(k % 4 > 0, k % 7).alias("h3_count"),
+        (k % 101).cast("double").alias("served_score"), (k % 103).cast("double").alias("rendered_score"), (k % 6 == 0).alias("has_llms_txt"), F.when(k % 50 == 7, "https://a.com/llms.txt").otherwise("https://a.com/x").alias("url"),
+    )
+    seo = rollups.seo_score_summary(pages).select(F.col("pages"), F.col("score").alias("seo_score"), F.col("status").alias("seo_status"))
+    agent = rollups.agent_summary(pages).withColumnRenamed("status", "agent_status").withColumn("pages_with_llms_txt", long(F.col("pages_with_llms_txt")))
+    content = rollups.content_summary(pages)
+    return seo.join(content, "pages").join(agent, F.lit(True))
+
+
+@register("SELECT o_custkey, floor((a + b + c + d) / 4.0 + 0.5)::BIGINT AS score, CASE WHEN floor((a + b + c + d) / 4.0 + 0.5) >= 80 THEN 'Excellent' WHEN floor((a + b + c + d) / 4.0 + 0.5) >= 70 THEN 'Good' WHEN floor((a + b + c + d) / 4.0 + 0.5) >= 60 THEN 'Fair' WHEN floor((a + b + c + d) / 4.0 + 0.5) >= 40 THEN 'Needs Improvement' ELSE 'Critical' END AS label FROM (SELECT o_custkey, count(*) * 5 AS a, max(o_orderkey) % 101 AS b, min(o_orderkey) % 97 AS c, sum(o_orderkey) % 89 AS d FROM orders GROUP BY 1)")
 def headline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     parts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.count(k) * 5).alias("a"), (F.max(k) % 101).alias("b"), (F.min(k) % 97).alias("c"), (F.sum(k) % 89).alias("d"))
@@ -284,7 +414,7 @@ WITH RECURSIVE s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORD
 z AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 3 AS c, 0.0::DOUBLE AS p, 0 AS e, 0 AS k FROM s UNION ALL
  SELECT z.user_id, s.i,
   CASE WHEN st = 503 AND e + 1 >= 2 THEN greatest(1, c - 1) WHEN st = 200 AND k + 1 >= 10 THEN least(3, c + 1) ELSE c END,
-  CASE WHEN st = 503 AND e + 1 >= 2 THEN CASE WHEN p = 0 THEN 1.0 ELSE least(60.0, p * 2) END WHEN st = 200 AND k + 1 >= 10 THEN floor(p / 2 * 1000) / 1000 ELSE p END,
+  CASE WHEN st = 503 AND e + 1 >= 2 THEN CASE WHEN p = 0 THEN 1.0 ELSE least(60.0, p * 2) END WHEN st = 200 AND k + 1 >= 10 AND c < 3 THEN p / 2 ELSE p END,
   CASE WHEN st = 503 THEN CASE WHEN e + 1 >= 2 THEN 0 ELSE e + 1 END WHEN st = 200 THEN 0 ELSE e END,
   CASE WHEN st = 200 THEN CASE WHEN k + 1 >= 10 THEN 0 ELSE k + 1 END WHEN st = 503 THEN 0 ELSE k END
  FROM z JOIN s ON s.user_id = z.user_id AND s.i = z.i + 1)

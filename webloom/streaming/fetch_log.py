@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from webloom.operators.flow import ERRORS, FIRST_PAUSE, LONGEST_PAUSE, SUCCESSES
+from webloom.operators.flow import advance
 from webloom.session import ship
 
 
@@ -28,20 +28,6 @@ def sessions(fetches: DataFrame, gap: str = "30 minutes", late: str = "1 hour",
     return found.select(key, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "fetches")
 
 
-def advance(state: tuple[int, float, int, int], status: int, initial: int) -> tuple[int, float, int, int]:
-    """(concurrency, pause, errors, successes) after one response; the same rules as the batch fold."""
-    concurrency, pause, errors, successes = state
-    if status in (429, 503):
-        errors, successes = errors + 1, 0
-        if errors >= ERRORS:
-            concurrency, pause, errors = max(1, concurrency - 1), FIRST_PAUSE if pause == 0 else min(LONGEST_PAUSE, pause * 2), 0
-    elif 200 <= status < 300:
-        errors, successes = 0, successes + 1
-        if successes >= SUCCESSES:
-            concurrency, pause, successes = min(initial, concurrency + 1), int(pause / 2 * 1000) / 1000, 0
-    return concurrency, pause, errors, successes
-
-
 def rate_limits(fetches: DataFrame, initial: int = 3, key: str = "host", order: str = "ts", status: str = "status") -> DataFrame:
     """Stream of (host, fetches, concurrency, pause): a host's state after each micro-batch that has responses of it. State per host is four numbers and a count."""
     ship(fetches.sparkSession)
