@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import contamination, neardup, packing, pii, quality
-from webloom.llm.common import materialize, table
+from webloom.llm.common import table
 from webloom.llm.queries import BPE, checksums
+from webloom.storage import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
