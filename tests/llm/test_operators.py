@@ -1,9 +1,12 @@
 """Training-data operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,16 +72,38 @@ def test_sharding(docs, rows, empty):
         assert sorted(r["slot"] for r in got.values() if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got.values())))
 
 
-def test_sharding_repeated_negative_and_null_keys(spark):
-    df = spark.createDataFrame([(-5, "a"), (-5, "a"), (None, None), (1 << 62, "b")], "doc_id bigint, text string")
-    got = sharding.shard(df).collect()
-    assert len(got) == 4
+def check_slots(got):
     slots = {}
     for r in got:
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_sharding_repeated_negative_and_null_keys(spark):
+    df = spark.createDataFrame([(-5, "a"), (-5, "a"), (None, None), (1 << 62, "b")], "doc_id bigint, text string")
+    got = sharding.shard(df).collect()
+    assert len(got) == 4
+    check_slots(got)
+
+
+def test_sharding_of_wide_skewed_and_other_keys(spark, monkeypatch):
+    """Keys over the whole range, one far from the rest, one key with a third of all rows, and keys that are texts."""
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 4)
+    keys = [-(2**63), 2**63 - 1, 2**62, *range(400), *[7] * 200]
+    df = spark.createDataFrame([(k, f"t{i % 150}") for i, k in enumerate(keys)], "doc_id bigint, text string").repartition(4)
+    got = sharding.shard(df).collect()
+    check_slots(got)
+    assert len(got) == len(keys) and sum(r["doc_id"] == 7 for r in got) == 201 and len({r["shard"] for r in got if r["doc_id"] == 7}) == 1
+    named = spark.createDataFrame([(f"k{i % 90}" if i % 10 else None, "x", "s") for i in range(300)], "name string, text string, shard string")
+    found = sharding.shard(named, key="name").collect()
+    check_slots(found)
+    shards = {}
+    for r in found:
+        shards.setdefault(r["name"], set()).add((r["shard"], r["grown_shard"]))
+    assert all(len(v) == 1 for v in shards.values()) and len(found) == 300
+    assert all(s == g or g == 8 for v in shards.values() for s, g in v) and len({s for v in shards.values() for s, _ in v}) > 4
+
+
 def test_encoder_matches_the_library(rows):
     from tokenizers import Tokenizer
 
@@ -112,6 +137,25 @@ def test_online_packing(docs, rows, empty):
     assert packing.pack_online(empty, BPE).count() == 0
 
 
+def test_checksums_of_wide_ids(spark, monkeypatch):
+    from webloom.llm import queries, tokens
+
+    ids = np.array([70000, 1, 2**31], "<u4")
+    df = spark.createDataFrame([(1, 0, 3, bytearray(ids.tobytes()), 3, 0, 0)], "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    monkeypatch.setattr(queries, "stored_type", lambda _: tokens.id_type(1 << 17))
+    assert queries.checksums(df).first()["ids_crc32"] == zlib.crc32(ids.tobytes())
+    assert tokens.stored_type(BPE) == Encoder(BPE).dtype
+
+
+def test_packing_of_repeated_rows_and_null_keys(spark):
+    rows = [(1, "a b"), (1, "a b"), (None, "c"), (2, None), (None, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, sequence_id string").repartition(3)
+    got = packing.pack_online(df, BPE, capacity=16).collect()
+    assert sorted((r["doc_id"] or 0) for r in got) == [0, 0, 1, 1, 2] and sum(r["length"] for r in got) == sum(len(Encoder(BPE)(t)) + 1 for _, t in rows)
+    found = packing.unpack_blocks(packing.pack_blocks(df, BPE, capacity=16)).collect()
+    assert sorted((r["doc_id"] or 0) for r in found) == [0, 0, 1, 1, 2]
+
+
 def test_leftovers_of_many_partitions_merge(spark):
     df = spark.createDataFrame([(k, "a b c") for k in range(300)], "doc_id bigint, text string").repartition(40)
     got = packing.pack_online(df, BPE, capacity=1024).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
@@ -349,6 +393,27 @@ def test_private_data(spark):
     assert pii.private_data(df.limit(0)).count() == 0
 
 
+def test_private_data_of_long_texts():
+    """Time in proportion to the spans of a text."""
+    text = " ".join(f"{k:07d}9 'tok{k:016d}' a{k}@b" for k in range(40000))
+    start = time.time()
+    base, more = pii.candidates(text)
+    assert len(base) + len(more) > 110000 and time.time() - start < 10
+    taken = sorted((a, b) for a, _, b in more)
+    assert all(b <= c for (_, b), (c, _) in zip(taken, taken[1:]))
+
+
+def test_private_data_spans_by_hand(spark):
+    """The spans that the method adds: each candidate that the trained model accepts, and nothing else."""
+    df = spark.createDataFrame([(k, t, "s") for k, t in enumerate([*PII, PII[3], None, ""])] + [(None, PII[0], "s")], "doc_id bigint, text string, spans string")
+    model = pii.fit(df)
+    for r in pii.private_data(df, model).collect():
+        text = PII[0] if r["doc_id"] is None else [*PII, PII[3], None, ""][r["doc_id"]]
+        base, more = pii.candidates(text or "")
+        want = sorted([*base, *(x for x in more if model.accepts(pii.features(text, *x)))])
+        assert r["spans"] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want)
+
+
 def test_em_finds_the_unreliable_labeler():
     rnd = np.random.default_rng(2)
     truth = rnd.integers(0, 2, 4000)
@@ -378,6 +443,22 @@ def test_quality_learns(spark):
     assert {r["score"] for r in quality.quality(docs.limit(3), marks.limit(0)).collect()} == {0.5}
 
 
+def test_quality_of_conflicting_labels_and_repeats(spark):
+    """An id with several labels counts by the least; results do not depend on partitions; clashing columns stay out of the way."""
+    rnd = random.Random(9)
+    rows = [(k // 2, " ".join(rnd.choices(WORDS, k=20)) if k % 3 else None, 0.5, k) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score double, label bigint")
+    marks = [(k, k % 2) for k in range(60)]
+    twice = spark.createDataFrame([*marks, *((k, 1) for k in range(60))], "doc_id bigint, quality int")
+    want = quality.fit(docs, spark.createDataFrame(marks, "doc_id bigint, quality int"))
+    for parts in (1, 5):
+        got = quality.fit(docs.repartition(parts), twice.repartition(parts))
+        assert np.array_equal(got.weights, want.weights) and got.bias == want.bias
+    assert quality.quality(docs, twice).count() == 120
+    few = quality.fit(docs, twice, most_ngrams=100)
+    assert not np.array_equal(few.weights, want.weights)
+
+
 def test_quality_learns_from_whole_counts(spark):
     text = "word " * 70000 + "other thing " * 40000
     raw = np.frombuffer(text.encode(), np.uint8)
@@ -401,28 +482,71 @@ def test_audio(docs, rows, empty):
     assert audio.read_wav(audio.wav(b"abc")) == (b"abc", audio.STORED_RATE)
 
 
+def samples(x):
+    return np.round(x * 120 + 128).astype(np.uint8)
+
+
 def test_resampling_keeps_a_tone():
     t = np.arange(24000) / 24000
-    out = audio.resample(np.sin(2 * np.pi * 1000 * t).astype(np.float32))
-    want = np.sin(2 * np.pi * 1000 * np.arange(len(out)) / 16000)
+    tone = samples(np.sin(2 * np.pi * 1000 * t))
+    out = audio.resample(tone)
+    want = np.sin(2 * np.pi * 1000 * np.arange(len(out)) / 16000) * 120 / 128
     assert len(out) == 16000 and np.abs(out[100:-100] - want[100:-100]).max() < 0.02
-    mels, _ = audio.log_mel(out)
-    low, _ = audio.log_mel(audio.resample(np.sin(2 * np.pi * 200 * t).astype(np.float32)))
+    mels, _ = audio.log_mel(tone)
+    low, _ = audio.log_mel(samples(np.sin(2 * np.pi * 200 * t)))
     assert mels.mean(axis=0).argmax() > low.mean(axis=0).argmax()
 
 
+@pytest.mark.parametrize("n", [1, 576, 576 * 3, 24000 * 9 + 7])
+def test_audio_in_pieces(n, monkeypatch):
+    """Pieces give what the whole gives: resampling by its definition, and features whatever the piece."""
+    x = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8)
+    whole = audio.resample(x)
+    assert np.array_equal(np.concatenate([audio.resample(x, a, min(len(whole), a + 1001)) for a in range(0, len(whole), 1001)]).round(4), whole.round(4))
+    h = audio.phases().T.ravel()
+    up = np.zeros(len(x) * audio.UP)
+    up[:: audio.UP] = (x.astype(float) - 128) / 128
+    half = audio.TAPS * max(audio.UP, audio.DOWN) // 2
+    want = np.convolve(up, h)[half :: audio.DOWN][: len(whole)]
+    assert np.abs(want - whole[: len(want)]).max() < 1e-4
+    mels, energy = audio.log_mel(x)
+    monkeypatch.setattr(audio, "FRAMES_AT_ONCE", 7)
+    other, other_energy = audio.log_mel(x)
+    assert np.allclose(mels.astype(float), other.astype(float), atol=0.02) and np.allclose(energy, other_energy, atol=1e-3)
+
+
 def test_hysteresis():
     e = np.array([0, 0, 0, -10, -3, -3, 0, -3, -10, -3, -10], np.float32)
     assert audio.segments(e, high=1.0, low=-2.0) == [(0, 3), (4, 8)]
     assert audio.segments(np.zeros(5, np.float32)) == [(0, 5)]
 
 
-def test_tensors_have_a_fixed_shape(docs):
+def test_clips_are_arrow_tensors_with_spans(docs):
     media = audio.encode_audio(docs, ["doc_id"])
-    table = audio.features(media, ["doc_id"]).select("tensor", "n_frames").toArrow()
-    tensor = audio.tensors(table["tensor"].combine_chunks())
-    assert tensor.to_numpy_ndarray().shape[1:] == (audio.CLIP, audio.BANDS)
-    assert len(tensor) == sum(-(-n // audio.CLIP) for n in table["n_frames"].to_pylist())
+    table = audio.features(media, ["doc_id"]).select("doc_id", "clips", "n_frames").toArrow()
+    clips = audio.read_clips(table["clips"].combine_chunks())
+    assert clips.schema == audio.CLIPS and clips["log_mel"].combine_chunks().to_numpy_ndarray().shape[1:] == (audio.CLIP, audio.BANDS)
+    assert clips.num_rows == sum(-(-n // audio.CLIP) for n in table["n_frames"].to_pylist())
+    one = audio.read_clips(table["clips"].combine_chunks()[:1])
+    assert one["start_ms"].to_pylist() == [960.0 * k for k in range(one.num_rows)] and one["end_ms"][-1].as_py() == 10.0 * (table["n_frames"][0].as_py() - 1) + 25
+    assert audio.read_clips(pa.array([None], pa.binary())).num_rows == 0
+
+
+def test_audio_values(spark):
+    """Every column of the query against the definitions, for repeated rows, null keys, clashing names and a long text."""
+    long = "long text " * 40000
+    rows = [(1, "abc", "x"), (1, "abc", "y"), (None, "abc", None), (2, None, None), (3, "", "z"), (4, long, "w")]
+    got = audio.media_features(spark.createDataFrame(rows, "doc_id bigint, text string, media string").repartition(2)).collect()
+    assert sorted((r["doc_id"] or 0) for r in got) == [0, 1, 1, 2, 3, 4]
+    for r in got:
+        raw = next((t or "") for d, t, _ in rows if d == r["doc_id"]).encode()
+        data = audio.payload(raw)
+        media = audio.wav(data)
+        mels, energy = audio.log_mel(np.frombuffer(data, np.uint8))
+        spans = ",".join(f"{int(a * 10.0)}-{int((b - 1) * 10.0 + 25.0)}" for a, b in audio.segments(energy))
+        want = (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(mels)};{hashlib.sha256(audio.write_clips(mels)).hexdigest()};{spans}")
+        assert tuple(r[c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")) == want
+        assert audio.read_wav(media)[0][: len(raw)] == raw
 
 
 LONG = "The quick story of the town and the people that live in it is told here with all the care of a writer who has the time for it. " * 2

@@ -20,8 +20,8 @@ UNIT, FILLER = 576, 255
 STORED_RATE, UP, DOWN, TAPS = 24_000, 2, 3, 12
 FRAME, HOP, FFT, BANDS, CLIP = 400, 160, 512, 40, 96
 RATE = STORED_RATE * UP // DOWN
-#: Frames that are transformed at a time, so that memory does not follow a text's length.
-FRAMES_AT_ONCE = 4096
+#: Frames whose samples are resampled and transformed at a time: beyond its samples, a sound costs what its features take.
+FRAMES_AT_ONCE = 1024
 
 
 def payload(text: bytes) -> bytes:
@@ -63,20 +63,29 @@ def phases() -> np.ndarray:
     return np.pad(h, (0, width * UP - len(h))).reshape(width, UP).T.astype(np.float32)
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """Change the rate by UP / DOWN: each output uses the one branch of the filter that meets non-zero inputs."""
+def resampled_length(n: int) -> int:
+    return -(-n * UP // DOWN)
+
+
+def resample(samples: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Change the rate of 8-bit samples by UP / DOWN: outputs ``first`` to ``last`` (default: all). Each output uses the one branch of
+    the filter that meets non-zero inputs."""
+    last = resampled_length(len(samples)) if last is None else last
+    if last <= first:
+        return np.zeros(0, np.float32)
     bank = phases()
     width = bank.shape[1]
     delay = (TAPS * max(UP, DOWN) // 2) // UP
-    n_out = -(-len(x) * UP // DOWN)
-    padded = np.pad(x, (width - 1, width + DOWN))
+    low, high = first * DOWN // UP + delay - width + 1, (last - 1) * DOWN // UP + delay + 1
+    padded = np.zeros(high - low, np.float32)
+    a, b = max(0, low), min(len(samples), high)
+    if a < b:
+        padded[a - low : b - low] = (samples[a:b].astype(np.float32) - 128) / 128
     view = np.lib.stride_tricks.sliding_window_view(padded, width)
-    out = np.empty(n_out, np.float32)
-    for first in range(min(UP, n_out)):
-        base, branch = first * DOWN // UP, first * DOWN % UP
-        count = len(range(first, n_out, UP))
-        at = np.arange(count) * DOWN + base + delay
-        out[first::UP] = view[np.minimum(at, len(view) - 1)] @ bank[branch][::-1]
+    out = np.empty(last - first, np.float32)
+    for k in range(first, min(first + UP, last)):
+        at = np.arange(len(range(k, last, UP))) * DOWN + k * DOWN // UP + delay - width + 1 - low
+        out[k - first :: UP] = view[at] @ bank[k * DOWN % UP][::-1]
     return out
 
 
@@ -91,20 +100,22 @@ def mel_bank() -> tuple[np.ndarray, np.ndarray]:
     return np.hanning(FRAME + 1)[:-1].astype(np.float32), np.maximum(0, np.minimum(rise, fall)).astype(np.float32)
 
 
-def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel rows of overlapping frames (the last one filled with silence), and each frame's energy in dB."""
+def log_mel(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-mel rows of overlapping frames of resampled 8-bit samples (the last one filled with silence), and each frame's energy in dB."""
     window, bank = mel_bank()
-    n = max(1, 1 + -(-(len(x) - FRAME) // HOP)) if len(x) > FRAME else 1
-    padded = np.zeros((n - 1) * HOP + FRAME, np.float32)
-    padded[: len(x)] = x[: len(padded)]
-    frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
-    mels, energy = np.empty((n, BANDS), np.float32), np.empty(n, np.float32)
+    length = resampled_length(len(samples))
+    n = 1 + -(-(length - FRAME) // HOP) if length > FRAME else 1
+    mels, energy = np.empty((n, BANDS), np.float16), np.empty(n, np.float32)
     for a in range(0, n, FRAMES_AT_ONCE):
-        part = frames[a : a + FRAMES_AT_ONCE] * window
-        spectrum = np.fft.rfft(part, FFT, axis=1)
+        b = min(n, a + FRAMES_AT_ONCE)
+        x = np.zeros((b - a - 1) * HOP + FRAME, np.float32)
+        part = resample(samples, a * HOP, min(length, a * HOP + len(x)))
+        x[: len(part)] = part
+        frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * window
+        spectrum = np.fft.rfft(frames, FFT, axis=1)
         power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        mels[a : a + len(part)] = np.log(power @ bank + np.float32(1e-6))
-        energy[a : a + len(part)] = 10 * np.log10((part * part).mean(axis=1) + np.float32(1e-9))
+        mels[a:b] = np.log(power @ bank + np.float32(1e-6))
+        energy[a:b] = 10 * np.log10((frames * frames).mean(axis=1) + np.float32(1e-9))
     return mels, energy
 
 
@@ -133,26 +144,48 @@ def encode_audio(docs: DataFrame, columns: list[str], text: str = "text") -> Dat
     return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(releasing(run), f"{fields}, media binary")
 
 
+#: A sound's clips: log-mel frames as tensors of one shape, and the time that each clip spans.
+CLIPS = pa.schema([("log_mel", pa.fixed_shape_tensor(pa.float16(), (CLIP, BANDS))), ("start_ms", pa.float64()), ("end_ms", pa.float64())])
+
+
+def write_clips(mels: np.ndarray) -> bytes:
+    """Frames as an Arrow stream of CLIPS; the last clip is filled with zeros, its span ends with its last frame."""
+    n = -(-len(mels) // CLIP)
+    clips = np.zeros((n, CLIP, BANDS), np.float16)
+    clips.reshape(-1, BANDS)[: len(mels)] = mels
+    first = np.arange(n) * CLIP
+    last = np.minimum(first + CLIP, len(mels)) - 1
+    step = 1000 * HOP / RATE
+    batch = pa.RecordBatch.from_arrays([pa.FixedShapeTensorArray.from_numpy_ndarray(clips), pa.array(first * step), pa.array(last * step + 1000 * FRAME / RATE)], schema=CLIPS)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, CLIPS) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_clips(column: pa.Array) -> pa.Table:
+    """Clips of a column of stored streams as one table of CLIPS, in row order; nulls have none."""
+    return pa.concat_tables([CLIPS.empty_table(), *(pa.ipc.open_stream(v.as_buffer()).read_all() for v in column if v.is_valid)])
+
+
 def features(media: DataFrame, columns: list[str], column: str = "media") -> DataFrame:
-    """Read sounds back and describe them: per row ``columns``, n_bytes (without filler), payload_bytes, payload_sha256, tail_crc32 (of the
-    last 32 bytes), media_bytes, media_sha256, n_frames, tensor (little-endian float16, shape (clips, CLIP, BANDS), the last clip padded
-    with zeros) and spans (array of segments in milliseconds). A null sound gives nulls; equal sounds give equal values."""
+    """Read sounds back and describe them: per row ``columns``, payload_bytes, payload_sha256, tail_crc32 (of the last 32 bytes), media_bytes,
+    media_sha256, n_frames, clips (an Arrow stream of fixed-shape float16 tensors (CLIP, BANDS) and their time spans) and spans (array of
+    segments in milliseconds). A null sound gives nulls; equal sounds give equal values; repeated rows and null columns are passed on."""
     fields = ", ".join(f"`{media.schema[c].name}` {media.schema[c].dataType.simpleString()}" for c in columns)
-    schema = f"{fields}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, n_frames int, tensor binary, spans array<struct<start_ms:double,end_ms:double>>"
+    schema = f"{fields}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, n_frames int, clips binary, spans array<struct<start_ms:double,end_ms:double>>"
     span = pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), span]
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "tensor", "spans"]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "clips", "spans"]
 
     def describe(sound: bytes | None) -> tuple:
         if sound is None:
             return (None,) * len(names)
         data, _ = read_wav(sound)
-        mels, energy = log_mel(resample((np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128))
-        clips = np.zeros((-(-len(mels) // CLIP), CLIP, BANDS), "<f2")
-        clips.reshape(-1, BANDS)[: len(mels)] = mels
+        mels, energy = log_mel(np.frombuffer(data, np.uint8))
         step = 1000 * HOP / RATE
         found = [{"start_ms": a * step, "end_ms": (b - 1) * step + 1000 * FRAME / RATE} for a, b in segments(energy)]
-        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(sound), hashlib.sha256(sound).hexdigest(), len(mels), clips.tobytes(), found
+        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(sound), hashlib.sha256(sound).hexdigest(), len(mels), write_clips(mels), found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,18 +197,12 @@ def features(media: DataFrame, columns: list[str], column: str = "media") -> Dat
     return media.select(*columns, F.col(column).alias("_media")).mapInArrow(releasing(run), schema)
 
 
-def tensors(column: pa.Array) -> pa.Array:
-    """Clips of a column of tensor bytes as one Arrow fixed-shape tensor array, in row order."""
-    flat = np.frombuffer(b"".join(v.as_py() or b"" for v in column), "<f2").reshape(-1, CLIP, BANDS)
-    return pa.FixedShapeTensorArray.from_numpy_ndarray(flat)
-
-
 def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Digest of encode_audio and features for every document: doc_id, n_bytes, payload and media sizes and sums, and the features as one
-    string (frames, sum of the tensor's bytes, segments). Nulls and empty texts are one unit of filler; repeated rows give
+    string (frames, sum of the stored tensors, segments). Nulls and empty texts are one unit of filler; repeated rows give
     repeated results; keys are passed on as they are; an empty table gives no rows; other columns are not read."""
     own = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint").alias("n_bytes"), F.col(text).alias("text"))
     found = features(encode_audio(own, ["doc_id", "n_bytes"]), ["doc_id", "n_bytes"])
     spans = F.concat_ws(",", F.transform("spans", lambda s: F.concat(s["start_ms"].cast("int").cast("string"), F.lit("-"), s["end_ms"].cast("int").cast("string"))))
-    feature = F.concat_ws(";", F.col("n_frames").cast("string"), F.sha2("tensor", 256), spans)
+    feature = F.concat_ws(";", F.col("n_frames").cast("string"), F.sha2("clips", 256), spans)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "n_frames", F.size("spans").alias("n_spans"))

@@ -1,15 +1,10 @@
-"""Shared pieces of the training-data operators: tables cut off from their lineage, Arrow text access, word hashing."""
+"""Shared pieces of the training-data operators: tables, Arrow text access, words and shingles."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
 import hashlib
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,81 +16,12 @@ from webloom.session import ship
 #: Bytes of text that the vectorised hashers handle at a time; one longer text is handled alone.
 CHUNK_BYTES = 1 << 21
 
-#: Settings while a table is written: what its query shuffled is not needed again, and batches of a few thousand texts keep both sides of
-#: the pipe to Python small.
-WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named Parquet table of a data folder."""
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and everything runs in one process, as in
-    local tests, one of our own; on a cluster its absence is an error, as other executors could not read what one writes."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a folder that driver and executors share")
-    return os.path.join(tempfile.gettempdir(), "webloom-shared")
-
-
-def _writer(spark: SparkSession) -> SparkSession:
-    """A session of its own for writing a table, so that what is set for that touches no other query."""
-    out = spark.newSession()
-    for name, value in {**spark.conf.getAll, **WHILE_WRITING}.items():
-        if out.conf.isModifiable(name) and out.conf.get(name, None) != value:
-            out.conf.set(name, value)
-    return out
-
-
-#: Folders written and not deleted yet, with the session that wrote them.
-_made: dict[str, SparkSession] = {}
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there, and losing an executor costs
-    no more than the tasks that ran on it. Folders are unique, so a repeated run never reads a half-written one. ``discard`` deletes
-    the table once nothing reads it any more; what is left goes at the end of the process."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _made[path] = spark
-    own = _writer(spark)
-    plan = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().logical())
-    DataFrame(plan, own).write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def _delete(path: str) -> None:
-    spark = _made.pop(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Delete materialized tables that nothing will read again."""
-    for table_ in tables:
-        path = getattr(table_, "stored_at", None)
-        if path in _made:
-            _delete(path)
-
-
-@atexit.register
-def discard_all() -> None:
-    """Delete all tables that are left."""
-    for path in list(_made):
-        try:
-            _delete(path)
-        except Exception:  # the session may have gone before; then only a local folder can still be reached
-            _made.pop(path, None)
-            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
-
-
 def release() -> None:
     """Give memory that is free inside this process back to the system. Workers outlive their tasks, and what one operator's task has
     freed but kept would count beside the next operator's."""
@@ -118,10 +44,10 @@ def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
 
 
 def text_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and len + 1 offsets into them; a null is an empty slice."""
+    """Bytes of a string or binary column and len + 1 offsets into them; a null is an empty slice."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     n = len(column)
     _, offsets, data = column.buffers()
     kind = np.int64 if wide else np.int32
@@ -216,7 +142,9 @@ def word_ids(data: np.ndarray, member: np.ndarray, fold: np.ndarray) -> tuple[np
 
 def word_codes(words: pa.Array) -> np.ndarray:
     """128 bits of a cryptographic digest for each word, as two columns."""
-    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words.to_pylist()), np.uint64).reshape(-1, 2)
+    raw, offsets = text_slices(words)
+    data, bounds, make = raw.tobytes(), offsets.tolist(), hashlib.blake2b
+    return np.frombuffer(b"".join([make(data[a:b], digest_size=16).digest() for a, b in zip(bounds, bounds[1:], strict=False)]), np.uint64).reshape(-1, 2)
 
 
 def lower_fold() -> np.ndarray:

@@ -13,7 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import ALPHANUMERIC, FOLD, chunks, discard, joined, materialize, releasing, text_slices, word_ids
+from webloom.llm.common import ALPHANUMERIC, FOLD, chunks, joined, releasing, text_slices, word_ids
+from webloom.storage import discard, materialize
 
 #: Words of a window, and bytes of benchmark texts that are matched in one pass over the index (further texts: further passes).
 WINDOW, QUERY_BYTES = 13, 1 << 23

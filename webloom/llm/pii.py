@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -88,20 +90,20 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     if not any(c in text for c in '@"\'') and not re.search("[0-9]", text):
         return [], []
     base = base_spans(text)
-    taken = [(a, b) for a, _, b in base]
+    taken = sorted((a, b) for a, _, b in base)
     more: list[tuple[int, int, int]] = []
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or y <= a for x, y in taken)
-
     for kind, pattern, least in ((4, SECRET, 18), (5, NUMBER, 7), (6, HANDLE, 5)):
         if kind == 6 and "@" not in text:
             continue
+        starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+        found = []
         for m in pattern.finditer(text):
             a, b = (m.start() + 1, m.end() - 1) if kind == 4 else m.span()
-            if m.end() - m.start() >= least and free(a, b):
-                more.append((a, kind, b))
-                taken.append((a, b))
+            before = bisect_left(starts, b)  # spans taken that start before this one's end
+            if m.end() - m.start() >= least and not (before and ends[before - 1] > a):
+                found.append((a, b))
+        more += [(a, kind, b) for a, b in found]
+        taken = sorted(taken + found)
     return base, sorted(more)
 
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import FOLD, NOT_BLANK, alphanumeric, chunks, joined, mix, powers, prefix_hash, releasing, text_slices
 
-#: Labelled rows that a model learns from at most, hash bits, passes over the rows, and the factor that keeps n-gram shares near 1.
-MOST_ROWS, BITS, EPOCHS, SCALE = 12_000, 18, 4, 16.0
+#: Labelled rows that a model learns from at most, distinct n-grams that they may have together, hash bits, passes over the rows, and the
+#: factor that keeps n-gram shares near 1.
+MOST_ROWS, MOST_NGRAMS, BITS, EPOCHS, SCALE = 12_000, 48_000_000, 18, 4, 16.0
 
 #: Bytes of text that are turned into n-grams at a time; each byte takes about a hundred bytes of arrays.
 TEXT_AT_ONCE = 1 << 19
@@ -108,10 +109,13 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, epoc
     return Model(bits, w[:-1].astype(np.float32), float(w[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS, bits: int = BITS, key: str = "doc_id", text: str = "text") -> Model:
-    """Learn from at most ``most_rows`` labelled documents (those with the least hash of their id). One task gets their n-gram counts and
-    trains; the driver gets the weights alone. Rows with a null label or id are not used; without any rows all scores are 0.5."""
-    chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_label")).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS, bits: int = BITS, key: str = "doc_id", text: str = "text", most_ngrams: int = MOST_NGRAMS) -> Model:
+    """Learn from at most ``most_rows`` labelled ids (those with the least hash), as far as their documents have at most ``most_ngrams`` distinct
+    n-grams together. One task gets their counts in that order and trains; the driver gets the weights alone. An id with several labels
+    counts by the least one; several documents of one id count each; rows with a null label or id are not used; without any rows all scores
+    are 0.5."""
+    chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.min(F.col(label).cast("int")).alias("_label"))
+    chosen = chosen.withColumn("_order", F.xxhash64("_id")).orderBy("_order", "_id").limit(most_rows)
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,19 +124,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
             for i, j in chunks(offsets, TEXT_AT_ONCE):
                 codes, bounds = ngrams(raw, offsets, i, j, bits)
                 found = [np.unique(codes[a:b], return_counts=True) for a, b in zip(bounds, bounds[1:], strict=False)]
+                part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id")[i:j].cast(pa.int64()), batch.column("_label")[i:j], pa.array([c.tobytes() for c, _ in found], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary())],
-                    names=["id", "label", "codes", "counts"],
+                    [part.column("_order"), part.column("_label"), pa.array([c.tobytes() for c, _ in found], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary())],
+                    names=["order", "label", "codes", "counts"],
                 )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(r["id"], r["label"], np.frombuffer(r["codes"], np.int32), np.frombuffer(r["counts"], "<u4").astype(np.float64)) for b in batches for r in b.to_pylist()]
-        got.sort(key=lambda r: (r[0], len(r[2])))
-        model = train([r[1:] for r in got], bits)
+        got, left = [], most_ngrams
+        for batch in batches:
+            for label, codes, counts in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+                left -= len(codes.as_buffer()) // 4
+                if left >= 0:
+                    got.append((label.as_py(), np.frombuffer(codes.as_py(), np.int32), np.frombuffer(counts.as_py(), "<u4")))
+        model = train(got, bits)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["weights", "bias"])
 
-    counted = rows.select("_id", "_text", "_label").mapInArrow(releasing(count), "id bigint, label int, codes binary, counts binary")
-    weights, bias = counted.repartition(1).mapInArrow(releasing(learn), "weights binary, bias double").first() or (np.zeros(1 << bits, np.float32).tobytes(), 0.0)
+    counted = rows.select("_order", "_text", "_label").mapInArrow(releasing(count), "order bigint, label int, codes binary, counts binary")
+    ordered = counted.repartition(1).sortWithinPartitions("order", "codes", "counts")
+    weights, bias = ordered.mapInArrow(releasing(learn), "weights binary, bias double").first() or (np.zeros(1 << bits, np.float32).tobytes(), 0.0)
     return Model(bits, np.frombuffer(weights, np.float32), bias)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm import audio, contamination, html_text, neardup, packing, pii, quality, sharding, suffix_dedup
 from webloom.llm.common import releasing, table
+from webloom.llm.tokens import stored_type
 
 BPE = "byte_bpe_50k.json"
 
@@ -34,12 +35,16 @@ def op4_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(packing.pack_online(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE), capacity=1024))
 
 
-def checksums(pieces: DataFrame) -> DataFrame:
-    """Pieces with the crc32 of their ids, as little-endian unsigned 32-bit numbers, in place of the ids."""
+def checksums(pieces: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Pieces with the crc32 of their ids, as little-endian unsigned 32-bit numbers, in place of the ids.
+
+    ``tokenizer`` is the vocabulary file that the ids are from (default: the queries' one); it says how they are stored. Repeated rows and null
+    keys are passed on; no rows give no rows."""
+    stored = stored_type(tokenizer or public_tokenizers.path(BPE))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [zlib.crc32(np.frombuffer(ids.as_buffer(), "<u2").astype("<u4").tobytes()) for ids in batch.column("ids")]
+            sums = [zlib.crc32(np.frombuffer(ids.as_buffer(), stored).astype("<u4").tobytes()) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("doc_id", "start", "length")), pa.array(sums, pa.int64()), *(batch.column(c) for c in ("doc_tokens", "sequence_id", "offset"))],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],

@@ -10,7 +10,7 @@ MULTIPLIER, KEPT, STEP = "2862933555777941757", "8589934592", "2147483648"
 
 
 def jump_hash(key: Column, shards: int) -> tuple[Column, Column]:
-    """Shard of ``key`` (a 64-bit integer; null counts as 0) among ``shards``, and among ``shards + 1``.
+    """Shard of ``key`` (an integer of up to 64 bits; null counts as 0) among ``shards``, and among ``shards + 1``.
 
     The jumps follow one key's sequence of growing shard numbers, so both come from one walk: adding a shard moves a key
     into the new shard or not at all. Spark checks overflow of 64-bit products, so the generator's state is a decimal."""
@@ -33,33 +33,40 @@ def jump_hash(key: Column, shards: int) -> tuple[Column, Column]:
     return walked["small"], walked["grown"]
 
 
+#: Rows that a range of slots holds at least, on average.
+RANGE_ROWS = 4096
+
+
 def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Give every row a shard by its key alone and a gapless slot, in key order, within that shard.
+    """Give every row a shard by its key alone and a gapless slot within that shard.
 
     Columns returned: ``key``, size (UTF-8 bytes + 1; a null text has none), text_crc32, law ('key'), shard, slot, grown_shard
-    (the shard if there was one more). A null key counts as 0, rows with equal keys share a shard, ties in slot order are
-    broken by crc and size (equal rows are interchangeable), an empty table gives no rows; other columns are not looked at.
+    (the shard if there was one more). Integer keys are hashed as they are, keys of any other type by the xxhash64 of their text; a null key
+    counts as 0, rows with equal keys share a shard, an empty table gives no rows; other columns are not looked at.
 
-    Texts leave the plan before the first exchange. Rows are dealt by (shard, range of keys); the ranges are as wide as needed
-    for about the square root of all rows in each, and only their counts meet in the window that makes running offsets."""
+    Texts leave the plan before the first exchange, and rows that are equal in all that is left become one row with a count. Slots run through
+    ranges that a hash of the whole row picks, however the keys are spread and however many rows one key has; about the square root of
+    all rows are in each, and only the ranges' counts meet in the window that makes running offsets."""
+    whole = docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
     narrow = docs.select(
         F.col(key).alias("_key"),
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint") + 1).alias("size"),
         F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("text_crc32"),
     )
-    low, high, n = docs.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) * int(max(4096, n**0.5)) // max(n, 1)))
-    small, grown = jump_hash(F.col("_key"), shards)
+    n = docs.count()
+    ranges = max(1, n // int(max(RANGE_ROWS, n**0.5)))
+    own = ["shard", "grown_shard", "_range", "_key", "size", "text_crc32"]
+    number = F.col("_key") if whole else F.when(F.col("_key").isNotNull(), F.xxhash64(F.col("_key").cast("string")))
+    small, grown = jump_hash(number, shards)
     rows = narrow.withColumn("_walk", F.struct(small.alias("s"), grown.alias("g"))).select(
-        "_key", "size", "text_crc32", F.col("_walk.s").alias("shard"), F.col("_walk.g").alias("grown_shard"), F.expr(f"cast(floor((coalesce(_key, {low}) - {low}) div {width}) as bigint)").alias("_range")
+        "_key", "size", "text_crc32", F.col("_walk.s").alias("shard"), F.col("_walk.g").alias("grown_shard"), F.pmod(F.xxhash64("_key", "size", "text_crc32"), F.lit(ranges)).alias("_range")
     )
+    kinds = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"))
     counts = rows.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("shard", "_range").orderBy("_key", "text_crc32", "size")
-    return (
-        rows.withColumn("_at", F.row_number().over(within))
-        .join(offsets, ["shard", "_range"])
-        .select(F.col("_key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_before") + F.col("_at") - 1).cast("bigint").alias("slot"), "grown_shard")
+    within = Window.partitionBy("shard", "_range").orderBy("_key", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    first = kinds.withColumn("_at", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(offsets, ["shard", "_range"])
+    return first.select(
+        F.col("_key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence(F.col("_before") + F.col("_at"), F.col("_before") + F.col("_at") + F.col("_n") - 1)).alias("slot"), "grown_shard"
     )

@@ -28,7 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import chunks, distinct, materialize, mix, powers, prefix_hash, releasing, text_slices
+from webloom.llm.common import chunks, distinct, mix, powers, prefix_hash, releasing, text_slices
+from webloom.storage import materialize
 
 #: Differences between members of COVER give every residue modulo PERIOD (a perfect difference set).
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)

@@ -21,6 +21,11 @@ def _printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def id_type(size: int) -> np.dtype:
+    """How ids of a vocabulary of that size are stored."""
+    return np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+
+
 class Encoder:
     """Ids as ``tokenizers`` gives them with ``add_special_tokens=False`` for the file at ``path``.
 
@@ -38,8 +43,7 @@ class Encoder:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"].get("merges", [])
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.size = self.slow.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.dtype = id_type(self.slow.get_vocab_size(with_added_tokens=True))
         self.doubles = re.compile(r"\s\s")
         self.fast = None
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
@@ -69,3 +73,10 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder a worker and file."""
     return Encoder(path)
+
+
+def stored_type(path: str) -> np.dtype:
+    """How ids of the vocabulary at ``path`` are stored."""
+    from tokenizers import Tokenizer
+
+    return id_type(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True))
