@@ -586,6 +586,52 @@ def test_main_text_without_known_words():
     assert html_text.main_text(f"<div><p>{LONG}</p><pre>{code}</pre><p>{LONG}</p></div>").split("\n")[1] == code.strip()
 
 
+def test_main_text_drops_and_keeps_inside_an_article():
+    body = " ".join(LONG.split())
+    for name in ("banner", "ad", "cookie-notice", "copyright"):
+        assert html_text.main_text(f"<article><h1>Head</h1><p>{LONG}</p><div class={name}>Buy now. {LONG}</div><p>{LONG}</p></article>") == f"Head\n{body}\n{body}"
+    for name in ("teaser", "tags", "byline"):
+        assert html_text.main_text(f"<article><div class={name}>By the author</div><p>{LONG}</p></article>") == f"By the author\n{body}"
+    assert html_text.main_text(f"<article><div class=hero-banner><h1>Head</h1><p>Offer</p></div><p>{LONG}</p></article>") == f"Head\n{body}"
+    assert html_text.main_text(f"<article><p>{LONG}</p><ul><li><a href=/x>One</a><li>Two <a href=/y>three</a></ul><p>End</article>") == f"{body}\nOne\nTwo three\nEnd"
+    menu = "Summer Deals Winter Boots Garden Tools Kitchen Knives Running Shoes Desk Lamps"
+    assert html_text.main_text(f"<article><p>{LONG}</p><h3>More stories</h3><p><a href=/z>{menu}</a></p></article>") == body
+
+
+def test_main_text_of_unclosed_elements_and_forms():
+    body = " ".join(LONG.split())
+    for name in ("object", "svg", "math", "select", "iframe", "noscript", "canvas", "audio", "video", "template", "title", "textarea", "nav", "aside", "form", "div class=ad", "span hidden"):
+        assert html_text.main_text(f"<article><p>{LONG}</p><{name}><p>{LONG}</p></article>") == f"{body}\n{body}", name
+        close = name.split()[0]
+        assert html_text.main_text(f"<article><p>{LONG}</p><{name}>gone</{close}><p>{LONG}</p></article>") == f"{body}\n{body}", name
+    assert html_text.main_text(f"<form id=page><nav><a href=/>x</a></nav><article><p>{LONG}</p><form>{LONG}</form></article></form>") == body
+    assert html_text.main_text(f"<article><p>{LONG}</p><script>var a = 1; <p>{LONG}</p></article>") == body
+    assert html_text.main_text(f'<article><p title="a > b">{LONG}</p><p title=\'x>{LONG}</p></article>').startswith(body)
+    assert html_text.main_text(f"<p class=notice>{LONG}<div><p>{LONG}</p></div>") == body
+
+
+def test_second_pass_decides():
+    """What the first pass leaves open goes with its neighbours, and the answer depends on it."""
+    good = " ".join(LONG.split())
+    bad = "Winter Boots Garden Tools Kitchen Knives Running Shoes Desk Lamps " * 4
+    page = f"<div><h2>Story</h2><p>{LONG}</p><p>It ends here.</p></div><div><h2>Offers</h2><p>{bad}</p><p>Only today.</p></div>"
+    found = html_text.blocks(page)
+    first = [html_text.decide(b) for b in found]
+    assert first == [None, True, None, None, False, None]
+    assert html_text.inherit(first, [b.heading for b in found]) == [True, True, True, False, False, False]
+    assert html_text.main_text(page) == f"Story\n{good}\nIt ends here."
+    assert html_text.inherit([None, None], [False, True]) == [True, True] and html_text.inherit([None, False], [True, False]) == [True, False]
+    assert html_text.inherit([True, None, False], [False, False, False]) == [True, True, False]
+
+
+def test_main_text_takes_linear_time():
+    for page in ("<p>short words here</p>" * 100000, "<div>" * 40000 + "</section>" * 40000, "<li><a href=x>y</a>" * 100000, "<object>" * 100000, "<p><b>x" * 100000):
+        start = time.time()
+        html_text.main_text(page)
+        assert time.time() - start < 5  # a second on a free core
+    assert html_text.main_text("<p>short words here</p>" * 1000).count("\n") == 999
+
+
 def test_extract_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (1, "u", PAGE, "x")], "page_id bigint, url string, html string, text string")
     got = html_text.extract(df, ["page_id", "url"]).collect()

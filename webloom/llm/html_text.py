@@ -1,11 +1,14 @@
-"""Main text of web pages by two passes of block rules."""
+"""Main text of web pages by two passes of block rules.
+
+A page becomes blocks of text. The first pass labels each by its length, its share of function words, its share of link text and the
+container it stands in; the second gives blocks that this leaves open the label of the nearest block that it does not."""
 
 from __future__ import annotations
 
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,10 +19,12 @@ from webloom.llm.common import releasing
 #: Element names by their part in a page.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base basefont br col embed frame hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style textarea title noscript iframe template svg math object noembed noframes xmp canvas audio video select".split())
-OUTSIDE_TAGS = frozenset("head nav footer aside form menu dialog button label fieldset".split())
+RAW_TAGS = frozenset("script style textarea title iframe noembed noframes xmp".split())
+CODE_TAGS = frozenset(("script", "style"))
+OUTSIDE_TAGS = frozenset("head nav footer aside menu dialog button label fieldset noscript template svg math object canvas audio video select datalist".split())
 MAIN_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+ITEM_TAGS = frozenset("p li dt dd tr td th option optgroup".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 
 #: Words of class and id names that mark what is not the article.
@@ -31,15 +36,15 @@ OUTSIDE_NAMES = frozenset(
 )
 
 #: Those of them that inside an article name its own parts.
-ARTICLE_PARTS = frozenset("banner byline copyright header tags teaser".split())
-OUTSIDE_IN_ARTICLE = OUTSIDE_NAMES - ARTICLE_PARTS
+OUTSIDE_IN_ARTICLE = OUTSIDE_NAMES - frozenset("byline header tags teaser".split())
 
 #: Those that hold articles of their own (comments, other pages, advertising); an article inside such an element stays outside.
 OTHER_ARTICLES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot comment comments commentlist disqus hidden promo promoted promotion recommended related replies reply respond sponsor sponsored teaser".split()
 )
+NOT_AN_ARTICLE = frozenset("comment comments related teaser promo sponsored ad advert".split())
 
-#: How an element stands outside: not, by a class or id word alone but with an article since, by such a word alone, in any other way.
+#: How an element stands outside: not, by a form or a class or id word alone but with an article since, by such alone, in any other way.
 NOT_OUTSIDE, CLEARED, NAMED, FIRM = range(4)
 
 #: Frequent function words of the languages read.
@@ -51,200 +56,195 @@ STOP_WORDS = frozenset(
     "il che di per non sono con della nel una gli ha più alla da dei delle".split()
 )
 
-#: Lengths in characters and shares of function words and of link text that decide a block alone.
-SHORT, LONG, FEW_STOPS, SOME_STOPS, MANY_LINKS = 70, 200, 0.04, 0.10, 0.35
+#: Lengths in characters, and shares of function words and of link text, that decide a block.
+SHORT, LONG, FEW_STOPS, SOME_STOPS, MANY_LINKS, ALL_LINKS = 70, 200, 0.04, 0.10, 0.35, 0.8
 
-TAG_NAME = re.compile(r"/?[A-Za-z][^\s/>\x00]*")
-TAG_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+#: A comment, a declaration, or a tag with its name and attributes; a quoted value may hold anything. The end of the page ends each.
+TOKEN = re.compile(r"<(?:!--(?:.*?--!?>|.*)|[!?][^>]*+>?|(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>?)", re.S)
 ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 LETTERS = re.compile(r"[^\W\d_]+")
+OTHER_SCRIPTS = re.compile(r"[^\W\d_\u0000-\u024f]")
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    """Text between two block borders."""
+    """Text between two block borders: how much of it is linked, and the container it stands in."""
 
-    parts: list[str] = field(default_factory=list)
+    text: str
     linked: int = 0
-    outside: bool = False
+    mark: int = NOT_OUTSIDE
     inside: bool = False
     heading: bool = False
-    text: str = ""
-    cleared: bool = False
-    technical: bool = False
-
-
-@dataclass
-class Open:
-    """An element that is not closed yet."""
-
-    tag: str
-    mark: int
-    inside: bool
     technical: bool = False
 
-    @property
-    def outside(self) -> bool:
-        return self.mark > NOT_OUTSIDE
-
 
 def _attributes(rest: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(rest)} if "=" in rest or "hidden" in rest else {}
+    return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(rest)} if "=" in rest or "hidden" in rest.lower() else {}
 
 
-def _outside(tag: str, rest: str, inside: bool) -> int:
+def _outside(tag: str, found: dict[str, str], inside: bool) -> int:
     """How an element stands outside by itself."""
     if tag in OUTSIDE_TAGS or (tag == "header" and not inside):
         return FIRM
-    found = _attributes(rest)
+    own = NAMED if tag == "form" else NOT_OUTSIDE
     if not found or tag in ("html", "body"):
-        return NOT_OUTSIDE
+        return own
     style = found.get("style", "").replace(" ", "").lower()
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
         return FIRM
     if found.get("role", "").lower() in OUTSIDE_ROLES:
         return FIRM
+    names = {w.lower() for w in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
     if tag in MAIN_TAGS and not inside:  # a page's own article may be called anything
-        names = {w.lower() for w in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-        return FIRM if names & {"comment", "comments", "related", "teaser", "promo", "sponsored", "ad", "advert"} else NOT_OUTSIDE
-    unwanted = OUTSIDE_IN_ARTICLE if inside else OUTSIDE_NAMES
-    names = {w.lower() for w in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")} & unwanted
-    return (FIRM if names & OTHER_ARTICLES else NAMED) if names else NOT_OUTSIDE
-
-
-def _mark(top: Open, tag: str, rest: str) -> int:
-    """How an element inside ``top`` stands outside: a page wrapper whose name alone marks it does not take the article with it."""
-    own = _outside(tag, rest, top.inside)
-    if own == NOT_OUTSIDE and top.mark in (CLEARED, NAMED):
-        if tag == "main" or _attributes(rest).get("role") == "main":
-            return NOT_OUTSIDE
-        if tag == "article":
-            return CLEARED
-    return max(top.mark, own)
-
-
-def blocks(page: str) -> list[Block]:
-    """Visible text of a page in blocks, with what is known of where each stands."""
-    out: list[Block] = []
-    now = Block()
-    stack: list[Open] = []
-    links, breaks = 0, 0
-    heading = False
-
-    def border() -> None:
-        nonlocal now, breaks
-        text = " ".join("".join(now.parts).split())
-        if text:
-            now.text = text
-            out.append(now)
-        top = stack[-1] if stack else None
-        now = Block(outside=bool(top and top.outside), inside=bool(top and top.inside), heading=heading, cleared=bool(top and top.mark == CLEARED), technical=bool(top and top.technical))
-        breaks = 0
-
-    def words(text: str) -> None:
-        nonlocal breaks
-        if not text:
-            return
+        return FIRM if names & NOT_AN_ARTICLE else own
+    names &= OUTSIDE_IN_ARTICLE if inside else OUTSIDE_NAMES
+    return max(own, FIRM if names & OTHER_ARTICLES else NAMED) if names else own
+
+
+class Page:
+    """The blocks of a page, found in one go over its tags."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.blocks: list[Block] = []
+        #: Open elements: name, mark, inside an article, in a table or preformatted. Inline elements are here only where they could matter.
+        self.stack: list[tuple[str, int, bool, bool]] = []
+        self.open: dict[str, int] = {}
+        self.ends: dict[str, int] = {}
+        self.low: str | None = None
+        self.parts: list[str] = []
+        self.linked = 0
+        self.heading = self.link = False
+        self.breaks = 0
+        self.read()
+
+    def border(self) -> None:
+        """End of a block, before anything changes about where it stands."""
+        self.breaks = 0
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
+            self.parts.clear()
+            if text:
+                _, mark, inside, technical = self.stack[-1] if self.stack else ("", NOT_OUTSIDE, False, False)
+                self.blocks.append(Block(text, min(self.linked, len(text)), mark, inside, self.heading, technical))
+            self.linked = 0
+
+    def words(self, text: str) -> None:
         if "&" in text:
             text = html.unescape(text)
-        now.parts.append(text)
-        if not text.isspace():
-            breaks = 0
-            if links:
-                now.linked += len(" ".join(text.split()))
-
-    at, n = 0, len(page)
-    while at < n:
-        mark = page.find("<", at)
-        if mark < 0:
-            words(page[at:])
-            break
-        words(page[at:mark])
-        if page.startswith("<!--", mark):
-            end = page.find("-->", mark + 4)
-            at = n if end < 0 else end + 3
-            continue
-        if page.startswith(("<!", "<?"), mark):
-            end = page.find(">", mark)
-            at = n if end < 0 else end + 1
-            continue
-        m = TAG_NAME.match(page, mark + 1)
-        if not m:
-            words("<")
-            at = mark + 1
-            continue
-        rest = TAG_REST.match(page, m.end())
-        end = rest.end() if rest else page.find(">", m.end()) + 1
-        if not end:
-            break
-        name, inner = m.group().lower(), page[m.end() : end - 1]
-        at = end
-        if name[0] == "/":
-            name = name[1:]
-            if name == "a":
-                links = 0
-            if name in BLOCK_TAGS:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == name), -1)
-                if k >= 0:
-                    del stack[k:]
-                if name in HEADINGS:
-                    heading = False
-                links = 0
-                border()
+        self.parts.append(text)
+        if self.breaks and not text.isspace():
+            self.breaks = 0
+        if self.link:
+            self.linked += len(" ".join(text.split()))
+
+    def pop(self) -> None:
+        name = self.stack.pop()[0]
+        self.open[name] -= 1
+
+    def ends_after(self, name: str, at: int) -> bool:
+        """Whether an end tag of that name comes later; what is never closed must not hide the rest of the page."""
+        if name not in self.ends:
+            if self.low is None:
+                self.low = self.page.lower()
+            self.ends[name] = self.low.rfind(f"</{name}")
+        return self.ends[name] >= at
+
+    def read(self) -> None:
+        page, at, n = self.page, 0, len(self.page)
+        search = TOKEN.search
+        while at < n:
+            m = search(page, at)
+            if m is None:
+                self.words(page[at:])
+                break
+            if m.start() > at:
+                self.words(page[at : m.start()])
+            at = m.end()
+            if m[2] is None:
+                continue
+            name = m[2].lower()
+            if m[1]:
+                self.end(name)
+            elif name in RAW_TAGS:
+                if not m[3].endswith("/"):
+                    at = self.after(name, at)
             else:
-                k = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 9), -1) if stack[k].tag == name), -1)
-                if k >= 0 and stack[k].outside and not (k and stack[k - 1].outside):
-                    del stack[k:]
-                    border()
-                elif k >= 0:
-                    del stack[k]
-            continue
-        top = stack[-1] if stack else Open("", NOT_OUTSIDE, False)
-        if name in RAW_TAGS:
-            if not inner.endswith("/"):
-                close = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(page, at)
-                if close is None:
-                    at = n
-                else:
-                    gap = page.find(">", close.end())
-                    at = n if gap < 0 else gap + 1
-            continue
+                self.start(name, m[3], at)
+        self.border()
+
+    def after(self, name: str, at: int) -> int:
+        """Where the page goes on after an element whose content is no markup."""
+        if not self.ends_after(name, at):
+            return len(self.page) if name in CODE_TAGS else at
+        close = self.low.find(f"</{name}", at)
+        gap = self.page.find(">", close)
+        return len(self.page) if gap < 0 else gap + 1
+
+    def end(self, name: str) -> None:
+        if name == "a":
+            self.link = False
+        block = name in BLOCK_TAGS
+        if block or self.open.get(name):
+            self.border()
+        if self.open.get(name):
+            while self.stack[-1][0] != name:
+                self.pop()
+            self.pop()
+        if block:
+            self.link = False
+            if name in HEADINGS:
+                self.heading = False
+
+    def start(self, name: str, rest: str, at: int) -> None:
         if name == "br":
-            breaks += 1
-            now.parts.append(" ")
-            if breaks > 1:
-                border()
-            continue
+            self.breaks += 1
+            self.parts.append(" ")
+            if self.breaks > 1:
+                self.border()
+            return
         if name in VOID_TAGS:
             if name == "hr":
-                border()
-            continue
+                self.border()
+            return
         if name == "a":
-            links = 1
-        if name in MAIN_TAGS:  # an unclosed menu does not swallow the article
-            while stack and stack[-1].tag in ("nav", "header", "ul", "li", "a", "head"):
-                stack.pop()
-            top = stack[-1] if stack else Open("", NOT_OUTSIDE, False)
-        if name == "body":
-            stack = [o for o in stack if o.tag == "html"]
-            top = stack[-1] if stack else Open("", NOT_OUTSIDE, False)
-        mark = _mark(top, name, inner)
-        if name in BLOCK_TAGS:
-            if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and top.tag == name:
-                stack.pop()
-                top = stack[-1] if stack else Open("", NOT_OUTSIDE, False)
-                mark = _mark(top, name, inner)
-            stack.append(Open(name, mark, top.inside or name in MAIN_TAGS or "main" == _attributes(inner).get("role"), top.technical or name in ("pre", "table")))
-            heading = name in HEADINGS or (heading and name not in BLOCK_TAGS)
-            border()
-        elif mark and not top.outside:
-            stack.append(Open(name, mark, top.inside, top.technical))
-            border()
-        elif name != "a":
-            stack.append(Open(name, mark, top.inside, top.technical))
-    border()
-    return out
+            self.link = True
+        block = name in BLOCK_TAGS
+        found = _attributes(rest)
+        main = name in MAIN_TAGS or found.get("role") == "main"
+        if block or main:
+            self.border()
+            if main:  # an unclosed menu does not swallow the article
+                while self.stack and self.stack[-1][0] in ("nav", "header", "ul", "li", "head"):
+                    self.pop()
+            if name == "body":
+                while self.stack and self.stack[-1][0] != "html":
+                    self.pop()
+            while self.stack and (self.stack[-1][0] == "p" or (name in ITEM_TAGS and self.stack[-1][0] == name)):
+                self.pop()
+        _, mark, inside, technical = self.stack[-1] if self.stack else ("", NOT_OUTSIDE, False, False)
+        own = _outside(name, found, inside)
+        if own and name not in ITEM_TAGS and name not in ("head", "html", "body") and not self.ends_after(name, at):
+            own = NOT_OUTSIDE
+        if own == NOT_OUTSIDE and mark in (CLEARED, NAMED) and main:
+            mark = CLEARED if name == "article" else NOT_OUTSIDE
+        elif own == NOT_OUTSIDE and mark == NAMED and inside and name == "h1":  # an article's title may stand in a banner
+            mark = NOT_OUTSIDE
+        else:
+            mark = max(mark, own)
+        if block or own or self.open.get(name):
+            if not block:
+                self.border()
+            self.stack.append((name, mark, inside or main, technical or name in ("pre", "table")))
+            self.open[name] = self.open.get(name, 0) + 1
+            if block:
+                self.heading = name in HEADINGS
+
+
+def blocks(page: str) -> list[Block]:
+    """Visible text of a page in blocks, with what is known of where each stands."""
+    return Page(page).blocks
 
 
 def _stops(text: str) -> float:
@@ -252,17 +252,25 @@ def _stops(text: str) -> float:
     return sum(w in STOP_WORDS for w in found) / max(1, len(found))
 
 
+def _unlisted(text: str) -> bool:
+    """Whether most letters are of a script that none of the listed function words has."""
+    return 2 * len(OTHER_SCRIPTS.findall(text)) > sum(map(len, LETTERS.findall(text)))
+
+
 def decide(block: Block, known: bool = True) -> bool | None:
     """First pass: True for text, False for what is not, None where a block alone cannot tell. Of a page whose language is not
-    ``known``, function words tell nothing."""
-    if block.outside:
+    ``known``, or a block in another script, function words tell nothing."""
+    if block.mark > CLEARED:
         return False
     n = len(block.text)
     if block.linked > MANY_LINKS * n:
-        return False
+        if not block.inside:
+            return False
+        # inside an article a link may be an item or a source; a long one that is no sentence is a menu's or a teaser's
+        return False if n >= SHORT and block.linked > ALL_LINKS * n and known and not _unlisted(block.text) and _stops(block.text) < SOME_STOPS else None
     if n < SHORT:
         return None
-    if not known:
+    if not known or _unlisted(block.text):
         return True
     stops = _stops(block.text)
     if stops >= SOME_STOPS:
@@ -272,37 +280,48 @@ def decide(block: Block, known: bool = True) -> bool | None:
     return None
 
 
+def inherit(labels: list[bool | None], headings: list[bool]) -> list[bool]:
+    """Second pass: an open label becomes that of the nearest decided neighbour, of two as near the better one; a heading goes with what
+    follows. Where nothing is text by itself, what is open is."""
+    if True not in labels:
+        return [x is None for x in labels]
+    n = len(labels)
+    before, after, last = [-1] * n, [-1] * n, -1
+    for k, x in enumerate(labels):
+        last = k if x is not None else last
+        before[k] = last
+    last = -1
+    for k in range(n - 1, -1, -1):
+        last = k if labels[k] is not None else last
+        after[k] = last
+    out = []
+    for k, x in enumerate(labels):
+        if x is None:
+            a, b = before[k], after[k]
+            if a < 0 or b < 0:
+                x = labels[max(a, b)]
+            elif headings[k]:
+                x = labels[b]
+            else:
+                x = labels[a] if k - a < b - k else labels[b] if b - k < k - a else labels[a] or labels[b]
+        out.append(bool(x))
+    return out
+
+
 def main_text(page: str | None) -> str:
-    """Main text of a page: the blocks that both passes keep, in order, one a line."""
+    """Main text of a page: the blocks that both passes keep, in order, one a line.
+
+    Where a page has an article, its blocks are looked at by themselves; where it has none, all blocks are."""
     if not page:
         return ""
     found = blocks(page)
-    own = [b for b in found if b.inside and not b.outside]
-    known = True
-    if own:  # a page that names its article has its text there
-        found = own
-    else:
-        for b in found:
-            b.outside = b.outside and not b.cleared
-        known = any(not b.outside and len(b.text) >= SHORT and b.linked <= MANY_LINKS * len(b.text) and _stops(b.text) >= SOME_STOPS for b in found)
-    labels = [decide(b, known) for b in found]
-    decided = [k for k, x in enumerate(labels) if x is not None]
-    final = list(labels)
-    for k, x in enumerate(labels):
-        if x is None:
-            before = next((j for j in range(k - 1, -1, -1) if labels[j] is not None), None) if decided else None
-            after = next((j for j in range(k + 1, len(labels)) if labels[j] is not None), None) if decided else None
-            if before is None and after is None:
-                final[k] = True
-            elif found[k].heading and after is not None:
-                final[k] = labels[after]
-            elif before is None or (after is not None and after - k < k - before):
-                final[k] = labels[after]
-            elif after is None or k - before < after - k:
-                final[k] = labels[before]
-            else:
-                final[k] = labels[before] or labels[after]
-    return "\n".join(b.text for b, keep in zip(found, final, strict=True) if keep)
+    own = [b for b in found if b.inside and b.mark == NOT_OUTSIDE]
+    if not own:
+        own = [b for b in found if b.inside and b.mark == CLEARED] or found
+    known = any(b.mark <= CLEARED and len(b.text) >= SHORT and b.linked <= MANY_LINKS * len(b.text) and _stops(b.text) >= SOME_STOPS for b in own)
+    labels = [decide(b, known) for b in own]
+    keep = inherit(labels, [b.heading for b in own])
+    return "\n".join(b.text for b, k in zip(own, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, columns: list[str], column: str = "html") -> DataFrame:
