@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+from tests.conftest import DATA  # noqa: E402
 from webloom.llm import audio, contamination, html_text, neardup, packing, pii, quality, sharding, suffix_dedup  # noqa: E402
 from webloom.llm.tokens import Encoder  # noqa: E402
 
@@ -637,3 +638,49 @@ def test_extract_table(spark):
     got = html_text.extract(df, ["page_id", "url"]).collect()
     assert len(got) == 3 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_text.extract(df.limit(0), ["page_id"]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op7_positional_index", "op8_cover_suffix_dedup", "op10_fast_sketch_dedup"])
+def test_queries_match_sql(spark, small, name):
+    import duckdb
+
+    from webloom.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{small}/{t}.parquet')")
+    found = QUERIES[name](spark, small)
+    want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_recall_of_near_duplicates(spark):
+    """Against brute force on the thousand documents of the small tables: no link is lost."""
+    data = f"{DATA}/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    for width, percent in ((3, 85), (5, 80)):
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs, width, percent).collect())
+        assert got == sorted(neardup.brute_force(rows, width, percent))
+
+
+def test_contamination_with_many_pieces(spark, small):
+    """Many items in many pieces give what one piece gives."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    items = spark.read.parquet(f"{small}/benchmark.parquet")
+    more = items.selectExpr("cast(item_id AS string) item_id", "text").union(docs.filter("doc_id % 3 = 0").selectExpr("concat('d', doc_id)", "text"))
+    one, many = (sorted(tuple(r) for r in contamination.digest(contamination.contamination(docs, more, query_bytes=n)).collect()) for n in (1 << 24, 40000))
+    assert one == many and any(r[5] for r in one)
+
+
+def test_discarded_tables_are_gone(spark, tmp_path):
+    from pathlib import Path
+
+    from webloom import storage
+
+    df = storage.materialize(spark.range(5), "x")
+    path = Path(df.stored_at.removeprefix("file://"))
+    assert path.is_dir() and df.count() == 5
+    before = spark.conf.getAll
+    storage.discard(df, None, spark.range(1))
+    assert not path.exists() and spark.conf.getAll == before

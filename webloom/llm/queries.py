@@ -1,4 +1,8 @@
-"""One query per training-data operator, over whole tables with production parameters."""
+"""One query per training-data operator, over whole tables with production parameters.
+
+Every query gives one row per row of its table (op3: per packed sequence, op4: per piece), for empty tables none; what a null, an empty text, a tie or a
+repeated row gives is said by the operator's function. SQL for a second engine is in webloom.llm.oracle, for those that SQL can
+express; trained weights, token ids, sounds and markup cannot be written there, and tests hold those queries against brute force."""
 
 from __future__ import annotations
 
@@ -13,20 +17,24 @@ from pyspark.sql import functions as F
 
 from webloom.llm import audio, contamination, html_text, neardup, packing, pii, quality, sharding, suffix_dedup
 from webloom.llm.common import releasing, table
+from webloom.llm.oracle import ORACLE_SQL
 from webloom.llm.tokens import stored_type
 
 BPE = "byte_bpe_50k.json"
 
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a stored sound, and digests of what was read back. A null text is an empty one."""
     return audio.media_features(table(spark, sf_dir, "documents"))
 
 
 def op2_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all texts, learned outside the held-out fold. Null and empty texts get the score of the bias."""
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_bfd_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed matrices of 2048 ids a row, a document closed by the end id. A null text is that id alone."""
     return packing.pack_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE), capacity=2048)
 
 
@@ -54,27 +62,33 @@ def checksums(pieces: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def op5_jump_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards by key. A null key counts as 0, a null text has no bytes; rows that are equal in all have neighbouring slots."""
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
 
 def op6_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of base spans, their digest, and all spans. A null text has none."""
     found = pii.private_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words in documents. Null texts have no words; items of one id count once."""
     return contamination.digest(contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op8_cover_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of documents without strings of earlier ones. Null texts are empty; rows of one id never cut each other."""
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50))
 
 
 def op9_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages. A null or text-free page has an empty one; repeated rows are extracted each."""
     return html_text.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
 def op10_fast_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes. Null, empty and blank texts are linked with nothing; a null id is its own class; rows of one id are compared each by its own text."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
@@ -83,6 +97,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_audio_features, op2_ftrl_quality, op3_bfd_matrices, op4_online_packing, op5_jump_shard, op6_weak_pii, op7_positional_index, op8_cover_suffix_dedup, op9_block_rules, op10_fast_sketch_dedup)
 }
 
-#: No digest here (crc32, sha256 of spans or bytes, hashed sketches, trained weights) can be written in the second engine's SQL at bearable
-#: cost; tests/llm hold every query against brute force instead.
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["BPE", "ORACLE_SQL", "QUERIES", "checksums"]
