@@ -24,6 +24,9 @@ FIELD_NAMES = frozenset(
 )
 GENERIC_ANCHORS = frozenset(("click here", "read more", "learn more"))
 ROBOT_WORDS = ("captcha", "verify you are human", "security check", "bot protection")
+HINTS = ("preload", "prefetch", "dns-prefetch", "preconnect")
+LANDMARKS = frozenset("nav header footer aside main article section form".split())
+FONT_FACE, FONT_URL = re.compile(r"@font-face\s*\{[^}]*\}", re.I), re.compile(r"url\(\s*[\"']?([^\"')]+)")
 PRELOAD_TYPES = {"script": "javascript", "style": "css", "image": "image", "font": "font", "video": "video", "audio": "audio"}
 
 #: Fields of the structural pass.
@@ -31,7 +34,7 @@ FEATURES = (
     "title string, meta_description string, h1 string, html_lang string, canonical string, has_viewport boolean, page_size int, total_elements int, hidden_elements int, text_nodes int, "
     "word_count int, body_text_length int, long_paragraph boolean, heading_counts array<int>, h2_before_h1 boolean, "
     "tag_counts map<string,int>, images array<struct<src:string,alt:string,width:string,height:string,srcset:string,loading:string>>, n_images_no_alt_attr int, n_images_empty_alt int, n_images_long_alt int, "
-    "links array<struct<position:int,href:string,url:string,text:string,rel:string,title:string>>, n_internal int, n_external int, n_nofollow int, n_empty_anchor int, n_generic_anchor int, "
+    "links array<struct<position:int,href:string,url:string,text:string,rel:string,title:string,context:string>>, n_internal int, n_external int, n_nofollow int, n_empty_anchor int, n_generic_anchor int, "
     "hreflangs array<string>, og map<string,string>, twitter map<string,string>, json_ld array<string>, schema_types array<string>, has_schema_org boolean, n_microdata int, "
     "resources array<struct<url:string,type:string>>, n_inputs int, n_standard_names int, n_labelled int, n_typed int, n_required int, name_ratio double, label_ratio double, "
     "n_fields int, n_autocomplete int, autocomplete_ratio double, has_llms_txt boolean, llms_href string, has_ai_txt boolean, robots_meta string, has_restrictions boolean, "
@@ -52,6 +55,7 @@ class _Tree(HTMLParser):
         self.spans: list[list[int]] = []
         self.texts: list[tuple[str, int]] = []
         self.stack: list[int] = []
+        self.open: dict[str, int] = {}
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         found: dict[str, str] = {}
@@ -63,14 +67,15 @@ class _Tree(HTMLParser):
         self.spans.append([len(self.texts), len(self.texts)])
         if tag not in VOID:
             self.stack.append(len(self.tags) - 1)
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.tags[self.stack[k]] == tag:
-                for e in self.stack[k:]:
-                    self.spans[e][1] = len(self.texts)
-                del self.stack[k:]
-                return
+        closed = "" if self.open.get(tag) else tag
+        while closed != tag:
+            e = self.stack.pop()
+            closed = self.tags[e]
+            self.open[closed] -= 1
+            self.spans[e][1] = len(self.texts)
 
     def handle_data(self, data: str) -> None:
         self.texts.append((data, self.stack[-1] if self.stack else -1))
@@ -146,10 +151,14 @@ def features(page: str | None, url: str | None, base: str | None) -> dict:
         except ValueError:
             return None
 
+    landmark: list[str] = []  # the nearest one around each element
+    for k, tag in enumerate(t.tags):
+        up = t.parents[k]
+        landmark.append("" if up < 0 else t.tags[up] if t.tags[up] in LANDMARKS else landmark[up])
     links, internal, external, nofollow, empty, generic = [], 0, 0, 0, 0, 0
     for position, k in enumerate(by.get("a", [])):
         href, text = get(k, "href"), " ".join(t.text(k).split())
-        links.append({"position": position, "href": href, "url": absolute(href) if href else None, "text": text, "rel": t.attrs[k].get("rel"), "title": t.attrs[k].get("title")})
+        links.append({"position": position, "href": href, "url": absolute(href) if href else None, "text": text, "rel": t.attrs[k].get("rel"), "title": t.attrs[k].get("title"), "context": landmark[k]})
         if href.startswith("/") or (base and href.startswith(base)):
             internal += 1
         else:
@@ -169,13 +178,17 @@ def features(page: str | None, url: str | None, base: str | None) -> dict:
             if part.strip():
                 resource(part.split()[0], kind)
 
+    for k in by.get("style", []):
+        for face in FONT_FACE.findall(t.text(k)):
+            for found in FONT_URL.findall(face):
+                resource(found, "font")
     for k, tag in enumerate(t.tags):
         a = t.attrs[k]
         if tag == "script":
             resource(a.get("src", ""), "javascript")
         elif tag == "link" and "stylesheet" in a.get("rel", ""):
             resource(a.get("href", ""), "css")
-        elif tag == "link" and a.get("rel", "") == "preload":
+        elif tag == "link" and a.get("rel", "") in HINTS:
             resource(a.get("href", ""), PRELOAD_TYPES.get(a.get("as", ""), "other"))
         elif tag == "img":
             resource(a.get("src", ""), "image")

@@ -29,15 +29,21 @@ def run_metrics(rows: DataFrame, keys: list[str], metrics: dict[str, object]) ->
     return wide.unpivot([F.col(k) for k in keys], [F.col(m) for m in metrics], "metric", "value")
 
 
+def _own(metrics: DataFrame) -> list[str]:
+    """What tells series apart: the site, where there is one, and the metric."""
+    return [c for c in ("site", "metric") if c in metrics.columns]
+
+
 def compare_previous(metrics: DataFrame) -> DataFrame:
-    """Every metric of every run but the first with the run before: old, new, delta, percent."""
-    before = Window.partitionBy("metric").orderBy("run_ts")
+    """Every metric of every run (of a site) but the first with the run before: old, new, delta, percent."""
+    before = Window.partitionBy(*_own(metrics)).orderBy("run_ts")
     return compared(metrics.withColumn("old", F.lag("value").over(before)).filter("old is not null").withColumnRenamed("value", "new"))
 
 
 def compare_baseline(metrics: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Every metric of every run with a pinned run's (metric, value)."""
-    return compared(metrics.withColumnRenamed("value", "new").join(baseline.select("metric", F.col("value").alias("old")), "metric"))
+    """Every metric of every run with a pinned run's (metric, value), of the same site where both have sites."""
+    own = [c for c in _own(metrics) if c in baseline.columns]
+    return compared(metrics.withColumnRenamed("value", "new").join(baseline.select(*own, F.col("value").alias("old")), own))
 
 
 def compared(rows: DataFrame) -> DataFrame:
@@ -67,9 +73,10 @@ def regressions(comparison: DataFrame) -> DataFrame:
 
 
 def trends(metrics: DataFrame) -> DataFrame:
-    """Each metric's values in order of runs; none with fewer than two runs."""
+    """Each metric's values (of a site) in order of runs; none with fewer than two runs."""
     ordered = F.array_sort(F.collect_list(F.struct("run_ts", "value")))
-    return metrics.groupBy("metric").agg(ordered.alias("_s")).filter(F.size("_s") >= 2).select("metric", F.col("_s.run_ts").alias("run_ts"), F.col("_s.value").alias("values"))
+    own = _own(metrics)
+    return metrics.groupBy(*own).agg(ordered.alias("_s")).filter(F.size("_s") >= 2).select(*own, F.col("_s.run_ts").alias("run_ts"), F.col("_s.value").alias("values"))
 
 
 def change_summary(comparison: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import markup, urls
 from webloom.session import ship
+from webloom.storage import materialize
 
 
 def resolve(href: Column, page: Column) -> Column:
@@ -53,23 +54,43 @@ def perfected_sitemap(sitemap: DataFrame, pages: DataFrame, links: DataFrame) ->
     return every.groupBy("url").agg(F.min("discovered").alias("discovered"))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
-    """(url, depth): breadth-first distance from the seeds over (source, target) edges, up to ``depth`` steps.
-
-    A round joins the last frontier with the edges and drops what was seen; frontiers are checkpointed, so lineage stays short."""
-    spark = ship(edges.sparkSession)
-    ready = spark.sparkContext.getCheckpointDir()
-    if not ready:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/webloom")
-    frontier = seeds.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    seen = frontier
-    for step in range(1, depth + 1):
-        after = edges.join(frontier.select(F.col("url").alias("source")), "source").select(F.col("target").alias("url")).distinct()
-        frontier = after.join(seen, "url", "left_anti").withColumn("depth", F.lit(step)).checkpoint()
-        if frontier.isEmpty():
+#: Frontiers that are kept as tables of their own before they become one.
+FRONTIERS = 16
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None, limit: int | None = None) -> DataFrame:
+    """(url, depth): breadth-first distance from the seeds over (source, target) edges, until nothing new is found, or ``depth`` steps, or ``limit``
+    addresses (of the last step the first in code-point order).
+
+    A round joins the last frontier with the edges and drops what was seen. Frontiers are stored, and every FRONTIERS of them become
+    one table, so plans stay short however deep the site is."""
+    ship(edges.sparkSession)
+    frontier = materialize(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "frontier")
+    parts, count, step = [frontier], frontier.count(), 0
+    while (depth is None or step < depth) and (limit is None or count < limit):
+        step += 1
+        after = edges.join(frontier.select(F.col("url").alias("source")), "source").select(F.col("target").alias("url")).filter("url is not null").distinct()
+        for part in parts:
+            after = after.join(part.select("url"), "url", "left_anti")
+        frontier = materialize(after.withColumn("depth", F.lit(step)), "frontier")
+        found = frontier.count()
+        if not found:
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        if limit is not None and count + found > limit:
+            frontier = materialize(frontier.orderBy("url").limit(limit - count), "frontier")
+        count += found
+        parts.append(frontier)
+        if len(parts) > FRONTIERS:
+            merged = materialize(_union(parts), "frontier")
+            parts = [merged]
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def rank_by_position(rows: DataFrame, by: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:

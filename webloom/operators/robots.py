@@ -90,17 +90,18 @@ def to_regex(pattern: Column) -> Column:
 def allowed(pages: DataFrame, rules: DataFrame, user_agent: str = "*", url: str = "url", site: str | None = None) -> DataFrame:
     """pages with column ``allowed`` and the deciding pattern: the longest matching one, 'allow' on a tie; none matching allows.
 
-    ``rules``: user_agent, kind, value (as from ``parse``), of this agent or '*'. They are a site's file, so the theta join broadcasts
-    them when they are few and falls back to a join by ``site`` (a column of both sides) for many sites' rules."""
-    chosen = rules.filter(F.col("kind").isin("allow", "disallow") & (F.col("value") != "") & F.lower("user_agent").isin(user_agent.lower(), "*")).select(
-        *([F.col(site).alias("_site")] if site else []), (F.col("kind") == "allow").alias("_allow"), F.col("value").alias("_pattern"), to_regex(F.col("value")).alias("_regex")
-    )
-    keyed = pages.select("*", F.concat(urls.path(F.col(url)), F.when(urls.query(F.col(url)) == "", "").otherwise(F.concat(F.lit("?"), urls.query(F.col(url))))).alias("_path")) if url else pages
-    match = F.expr("_path rlike _regex")
-    if site:
-        match = match & (F.col(site) == F.col("_site"))
-    best = keyed.select(url, *([site] if site else []), "_path").distinct().join(chosen, match, "left").groupBy(url, *([site] if site else [])).agg(F.max_by(F.struct("_allow", "_pattern"), F.struct(F.char_length("_pattern"), F.col("_allow").cast("int"))).alias("_best"))
-    return pages.join(best, [url, *([site] if site else [])], "left").withColumns({"allowed": F.coalesce("_best._allow", F.lit(True)), "pattern": F.col("_best._pattern")}).drop("_best")
+    ``rules``: user_agent, kind, value (as from ``parse``), of this agent or '*'; with ``site`` (a column of both sides) a page meets its own site's
+    rules only. A file's rules become one row, which is as long as the file, and pages are joined with that row by site, so no page meets
+    a rule through a join on patterns."""
+    chosen = rules.filter(F.col("kind").isin("allow", "disallow") & (F.col("value") != "") & F.lower("user_agent").isin(user_agent.lower(), "*"))
+    rule = F.struct((F.col("kind") == "allow").cast("int").alias("allow"), F.col("value").alias("pattern"), to_regex(F.col("value")).alias("regex"))
+    by_site = chosen.groupBy((F.col(site) if site else F.lit(0)).alias("_site")).agg(F.collect_set(rule).alias("_rules"))
+    query = urls.query(F.col(url))
+    path = F.concat(urls.path(F.col(url)), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    keyed = pages.withColumns({"_site": F.col(site) if site else F.lit(0), "_path": path}).join(by_site, "_site", "left")
+    matching = F.filter("_rules", lambda r: F.rlike(F.col("_path"), r["regex"]))
+    best = F.array_max(F.transform(matching, lambda r: F.struct(F.char_length(r["pattern"]).alias("n"), r["allow"].alias("allow"), r["pattern"].alias("pattern"))))
+    return keyed.withColumn("_best", best).withColumns({"allowed": F.coalesce(F.col("_best.allow") == 1, F.lit(True)), "pattern": F.col("_best.pattern")}).drop("_best", "_rules", "_site", "_path")
 
 
 def summary(rows: DataFrame) -> DataFrame:

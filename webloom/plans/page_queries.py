@@ -119,12 +119,14 @@ def url_language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(r"""
-WITH u AS (SELECT page_id, replace(url, '/en/', '//en///') || CASE WHEN contains(url, '?') THEN '' ELSE '?b=2&a=1' END AS url FROM pages WHERE NOT contains(url, '#'))
+WITH u AS (SELECT page_id, replace(regexp_extract(url, '^[^#]*'), '/en/', '//en///') || CASE WHEN contains(regexp_extract(url, '^[^#]*'), '?') THEN '' ELSE '?b=2&a=1' END || regexp_extract(url, '#.*$') AS url FROM pages)
 SELECT page_id, regexp_replace(regexp_replace(url, '/{2,}', '/', 'g'), '^([A-Za-z][A-Za-z0-9+.-]*:)/', '\1//') AS collapsed, regexp_replace(url, '[?#].*$', '') AS bare FROM u""")
 def url_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").filter(~F.contains(F.col("url"), F.lit("#")))
-    messy = F.concat(F.replace(F.col("url"), F.lit("/en/"), F.lit("//en///")), F.when(F.contains(F.col("url"), F.lit("?")), "").otherwise("?b=2&a=1"))
-    return pages.select("page_id", messy.alias("url")).select("page_id", urls.collapse_slashes(F.col("url")).alias("collapsed"), urls.without_query(F.col("url")).alias("bare"))
+    """Normal forms of all addresses, made messy before their fragments."""
+    bare, fragment = F.regexp_extract("url", "^[^#]*", 0), F.regexp_extract("url", "#.*$", 0)
+    messy = F.concat(F.replace(bare, F.lit("/en/"), F.lit("//en///")), F.when(F.contains(bare, F.lit("?")), "").otherwise("?b=2&a=1"), fragment)
+    pages = table(spark, sf_dir, "pages").select("page_id", messy.alias("url"))
+    return pages.select("page_id", urls.collapse_slashes(F.col("url")).alias("collapsed"), urls.without_query(F.col("url")).alias("bare"))
 
 
 @register(r"""
@@ -186,13 +188,13 @@ def link_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""
 WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS s, (l_suppkey * 7 + l_linenumber * 13) % 100 AS t FROM lineitem),
-r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.t, r.depth + 1 FROM r JOIN e ON e.s = r.node WHERE r.depth < 4)
+r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.t, r.depth + 1 FROM r JOIN e ON e.s = r.node WHERE r.depth < 120)
 SELECT 'n' || node AS url, min(depth)::BIGINT AS depth FROM r GROUP BY node""")
 def crawl_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breadth-first distances in a link graph made of line items (supplier to a fixed function of supplier and line)."""
     made = (F.col("l_suppkey") * 7 + F.col("l_linenumber") * 13) % 100
     edges = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("n"), F.col("l_suppkey")).alias("source"), F.concat(F.lit("n"), made).alias("target")).distinct()
-    found = links.reachable(edges, spark.createDataFrame([("n1",)], "url string"), depth=4)
+    found = links.reachable(edges, spark.createDataFrame([("n1",)], "url string"))
     return found.select("url", long(F.col("depth")).alias("depth"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webloom.operators import flow, llms_txt, patterns, robots, rollups, technology
 from webloom.plans.page_queries import SQL_FIRST, long, six
 from webloom.plans.registry import register
-from webloom.plans.score_queries import SQL_EXTRA, SQL_PAGES, SQL_SERVED, _columns, _pages
+from webloom.plans.score_queries import SQL_PAGES, _pages, sql_points
 from webloom.sources import tables
 from webloom.sources.tables import table
 from webloom.streaming import fetch_log
@@ -234,31 +234,33 @@ def llms_txt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_PATTERNS = [
-    ("structured_data", "has_schema_org"),
+    ("structured_data", "n_structured > 0"),
     ("semantic", "has_main::INT + has_nav::INT + has_header::INT + has_footer::INT + has_article::INT + has_section::INT >= 4"),
-    ("forms", "n_inputs > 0 AND name_ratio >= 0.7"),
-    ("errors", "has_persistent_errors OR has_invalid"),
-    ("state", "has_state OR has_agent_visible"),
+    ("forms", "n_forms > 0 AND n_standard_names > 0"),
+    ("errors", "has_persistent_errors"),
+    ("state", "has_validation OR has_loading OR has_agent_visible"),
     ("llms_txt", "has_llms_txt"),
 ]
+#: Further measures of an order taken as a page, for both engines.
+PATTERN_COLUMNS = {"n_structured": "page * 3 % 5", "n_forms": "page % 3", "n_standard_names": "page % 5", "robots_score": "page * 7 % 101", "n_required": "page * 5 % 3", "has_live": "page * 3 % 7 < 4", "has_alert": "page * 5 % 11 < 5"}
+SQL_PATTERN_SERVED = sql_points([("has_main", 5), ("has_nav", 3), ("has_header", 3), ("has_footer", 3), ("has_article", 3), ("has_section", 3), ("has_llms_txt", 10), ("has_hsts", 3), ("has_csp", 3), ("has_frame_options", 2), ("has_content_type_options", 2)]) + " + least(25, 8 * n_structured) + CASE WHEN n_forms > 0 THEN floor(15 * (n_standard_names::DOUBLE / greatest(n_inputs, 1)) + 0.5) ELSE 0 END + floor(robots_score::DOUBLE / 100 * 15 + 0.5)"
+SQL_PATTERN_RENDERED = sql_points([("has_validation", 10), ("has_loading", 10), ("has_agent_visible", 10), ("n_required > 0", 20), ("has_persistent_errors", 25), ("has_live", 10), ("has_invalid", 10), ("has_alert", 5)])
 
 
 @register(
-    f"WITH {SQL_PAGES}, s AS (SELECT *, {SQL_SERVED}::DOUBLE AS served, {SQL_EXTRA} AS extra FROM p), g AS (SELECT *, served + least(100, served + least(30, extra)) AS score FROM s WHERE served >= 70 AND least(100, served + least(30, extra)) >= 70), x AS ("
+    f"WITH {SQL_PAGES}, q AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in PATTERN_COLUMNS.items()) + f" FROM p), s AS (SELECT *, least(100, {SQL_PATTERN_SERVED})::DOUBLE AS served, least(100, {SQL_PATTERN_RENDERED})::DOUBLE AS rendered FROM q), g AS (SELECT *, served + rendered AS score FROM s WHERE served >= 60 AND rendered >= 60), x AS ("
     + " UNION ALL ".join(f"SELECT '{n}' AS pattern, page, score FROM g WHERE {c}" for n, c in SQL_PATTERNS)
     + "), r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY score DESC, page) AS rank FROM x) SELECT pattern, rank, page AS url, score::DOUBLE AS score FROM r WHERE rank <= 5"
 )
 def exemplary_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Report of at most five exemplary pages per pattern."""
-    from webloom.functions import agents
-
+    """Report of at most five exemplary pages per pattern, by the selection's own scores."""
     # measures go into one struct: a filter over many aliased flags would make the optimizer try every mix of names
     flags = _pages(spark, sf_dir)
+    flags = flags.select("*", *[F.expr(v).alias(k) for k, v in PATTERN_COLUMNS.items()])
     rows = flags.select(F.col("page").alias("url"), F.struct(*flags.columns[1:]).alias("m"))
-    m = {c: F.col(f"m.{c}") for c in flags.columns[1:]} | {"has_alert": F.col("m.has_invalid")}
-    served = agents.served_score(m).cast("double")
-    rows = rows.withColumns({"served_score": served, "rendered_score": agents.rendered_score(served, m)})
-    return patterns.extract(rows, column=m.__getitem__).select("pattern", long(F.col("rank")).alias("rank"), "url", F.col("score").cast("double").alias("score"))
+    m = {c: F.col(f"m.{c}") for c in flags.columns[1:]}
+    rows = rows.withColumns({"served_score": patterns.served_score(m), "rendered_score": patterns.rendered_score(m)})
+    return patterns.extract(rows, 60, 60, column=m.__getitem__).select("pattern", long(F.col("rank")).alias("rank"), "url", F.col("score").cast("double").alias("score"))
 
 
 def _performance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ LINKS = "source_url string, position int, target_url string, text string, rel st
 RESOURCES = "page_url string, url string, type string"
 A11Y_ISSUES = "page_url string, code string, type string, message string, context string, selector string"
 PERFORMANCE = "url string, load_time double, dom_content_loaded double, first_paint double, fcp double, lcp double, tti double, tbt double, cls double"
-RUN_METRICS = "run_id string, run_ts timestamp, family string, metric string, value double"
+RUN_METRICS = "run_id string, run_ts timestamp, site string, family string, metric string, value double"
 THRESHOLDS = "category string, metric string, higher_is_better boolean, pass double, warn double"
 
 #: Version written with each stored run; runs with the same major and minor number can be read.

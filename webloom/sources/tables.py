@@ -64,9 +64,10 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
-    """Stored runs as rows of RUN_METRICS; unreadable lines are left out, and runs of another major or minor schema version too."""
+    """Stored runs as rows of RUN_METRICS; unreadable lines are left out, and runs of another major or minor schema version too. Runs
+    stored without a site are one site's."""
     raw = spark.read.schema(f"{schemas.RUN_METRICS}, schema_version string, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return raw.filter(F.col("_corrupt").isNull() & compatible(F.col("schema_version"))).drop("_corrupt")
+    return raw.filter(F.col("_corrupt").isNull() & compatible(F.col("schema_version"))).drop("_corrupt").fillna("", ["site"])
 
 
 def compatible(version, current: str = schemas.SCHEMA_VERSION):
