@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Guidelines with their names, and weights of severities.
+#: Guidelines with their names, what has to be checked by hand for each, and weights of severities.
 GUIDELINES = {
     "1.1": "Text Alternatives",
     "1.2": "Time-based Media",
@@ -21,6 +21,21 @@ GUIDELINES = {
     "3.3": "Input Assistance",
     "4.1": "Compatible",
 }
+MANUAL_CHECKS = {
+    "1.1": "Verify all non-text content has appropriate text alternatives",
+    "1.2": "Check time-based media has captions and transcripts",
+    "1.3": "Verify content structure and relationships are programmatically determinable",
+    "1.4": "Check color contrast and text resizing",
+    "2.1": "Verify all functionality is available via keyboard",
+    "2.2": "Check timing is adjustable or can be turned off",
+    "2.3": "Verify no content flashes more than 3 times per second",
+    "2.4": "Check navigation and focus order",
+    "2.5": "Verify pointer gestures have alternative input methods",
+    "3.1": "Check language of page and parts",
+    "3.2": "Verify consistent navigation and identification",
+    "3.3": "Check error prevention and recovery",
+    "4.1": "Verify compatibility with assistive technologies",
+}
 SEVERITY_WEIGHTS = {"Critical": 5, "Serious": 3, "Moderate": 2, "Minor": 1}
 
 
@@ -44,6 +59,11 @@ def guideline(code: Column) -> Column:
     return F.nullif(both, F.lit(""))
 
 
+def named(guideline_: Column, table: dict[str, str]) -> Column:
+    """What a table says of a guideline; null if nothing."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), guideline_)
+
+
 def weight(severity_: Column) -> Column:
     out = F
     for name, value in SEVERITY_WEIGHTS.items():

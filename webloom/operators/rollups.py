@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import accessibility as a11y
+from webloom.functions import urls
 from webloom.functions.numbers import clamp, grade, half_up, percentage, ratio
 
 
@@ -58,8 +59,9 @@ def issue_analysis(issues: DataFrame, page: str = "page_url") -> DataFrame:
     rows = issues.withColumn("severity", a11y.severity(F.col("type"), level)).withColumn("level", a11y.level(level))
     counts = [F.count_if(F.col("severity") == s).alias(s.lower()) for s in a11y.SEVERITY_WEIGHTS]
     levels = [F.count_if(F.col("level") == v).alias(f"level_{v.lower()}") for v in ("A", "AA", "AAA")]
+    checks = F.array_sort(F.collect_set(a11y.named(a11y.guideline(level), a11y.MANUAL_CHECKS)))
     special = [F.count_if(F.contains(c, F.lit(w))).alias(n) for c, w, n in ((level, "ARIA", "aria"), (level, "Contrast", "contrast"), (F.lower(level), "keyboard", "keyboard"))]
-    return rows.groupBy(page).agg(F.count(F.lit(1)).alias("issues"), *counts, *levels, *special, a11y.page_score(F.sum(a11y.weight(F.col("severity")))).alias("score"))
+    return rows.groupBy(page).agg(F.count(F.lit(1)).alias("issues"), *counts, *levels, *special, checks.alias("manual_checks"), a11y.page_score(F.sum(a11y.weight(F.col("severity")))).alias("score"))
 
 
 def common_issues(issues: DataFrame, more_than: int = 1) -> DataFrame:
@@ -73,16 +75,101 @@ def unrepeated(issues: DataFrame, common: DataFrame) -> DataFrame:
     return issues.join(seen, F.col("code").eqNullSafe(F.col("_code")) & F.col("message").eqNullSafe(F.col("_message")), "left_anti")
 
 
+def enriched(issues: DataFrame) -> DataFrame:
+    """Issues with severity, level, guideline and its name, advice, and what has to be checked by hand."""
+    code = F.col("code")
+    guideline = a11y.guideline(code)
+    return issues.withColumns({
+        "severity": a11y.severity(F.col("type"), code), "level": a11y.level(code), "guideline": guideline, "guideline_name": a11y.named(guideline, a11y.GUIDELINES),
+        "remediation": a11y.remediation(code), "manual_check": a11y.named(guideline, a11y.MANUAL_CHECKS),
+    })
+
+
 def issues_by_page_and_code(issues: DataFrame) -> DataFrame:
-    return issues.groupBy("page_url", "code").agg(F.count(F.lit(1)).alias("n"), F.min("type").alias("type"), F.min("message").alias("message"))
+    """Issues counted by page and code, with the least type and message, and what the code says: level, guideline, advice, and the highest severity."""
+    rows = enriched(issues.select("page_url", "code", "type", "message"))
+    order = F.array_position(F.array(*[F.lit(x) for x in a11y.SEVERITY_WEIGHTS]), F.col("severity"))
+    return rows.groupBy("page_url", "code").agg(
+        F.count(F.lit(1)).alias("n"), F.min("type").alias("type"), F.min("message").alias("message"), F.min_by("severity", order).alias("severity"), *[F.first(c).alias(c) for c in ("level", "guideline", "guideline_name", "remediation", "manual_check")]
+    )
 
 
 def guideline_compliance(issues: DataFrame) -> DataFrame:
-    """Every guideline with its name, number of issues and whether it has none."""
+    """Every guideline with its name, number of issues, whether it has none, and what has to be checked by hand."""
     spark = issues.sparkSession
-    names = spark.createDataFrame(list(a11y.GUIDELINES.items()), "guideline string, name string")
+    names = spark.createDataFrame([(g, name, a11y.MANUAL_CHECKS[g]) for g, name in a11y.GUIDELINES.items()], "guideline string, name string, manual_check string")
     counts = issues.groupBy(a11y.guideline(F.col("code")).alias("guideline")).agg(F.count(F.lit(1)).alias("n"))
-    return names.join(counts, "guideline", "left").select("guideline", "name", F.coalesce("n", F.lit(0)).alias("issues"), (F.coalesce("n", F.lit(0)) == 0).alias("compliant"))
+    return names.join(counts, "guideline", "left").select("guideline", "name", F.coalesce("n", F.lit(0)).alias("issues"), (F.coalesce("n", F.lit(0)) == 0).alias("compliant"), "manual_check")
+
+
+def _sections(rows: DataFrame, items: list[tuple[str, str, Column, Column | None]]) -> DataFrame:
+    """(section, item, value, percent) of aggregates in one pass; ``items``: section, item, value, and what it is a share of (null: nothing)."""
+    aggregates = [c.cast("double").alias(f"_v{k}") for k, (_, _, c, _) in enumerate(items)] + [c.cast("double").alias(f"_t{k}") for k, (_, _, _, c) in enumerate(items) if c is not None]
+    one = rows.agg(*aggregates)
+
+    def percent(k: int, total: Column | None) -> Column:
+        return percentage(F.col(f"_v{k}"), F.col(f"_t{k}")) if total is not None else F.lit(None).cast("double")
+
+    made = F.array(*[F.struct(F.lit(k).alias("position"), F.lit(section).alias("section"), F.lit(item).alias("item"), F.coalesce(F.col(f"_v{k}"), F.lit(0.0)).alias("value"), percent(k, total).alias("percent")) for k, (section, item, _, total) in enumerate(items)])
+    return one.select(F.inline(made))
+
+
+def address_sections(pages: DataFrame) -> DataFrame:
+    """Report sections on addresses and answers: position, section, item, value, percent.
+
+    ``pages``: url, status_code, is_internal, indexable."""
+    n, total = F.count_if, F.count(F.lit(1))
+    flags = urls.url_flags(F.col("url"), F.col("url"))
+    internal, indexable, status = F.coalesce("is_internal", F.lit(False)), F.coalesce("indexable", F.lit(False)), F.col("status_code")
+    items = [("Summary", "Total URLs", total), ("Summary", "Internal URLs", n(internal)), ("Summary", "External URLs", n(~internal)), ("Summary", "Indexable URLs", n(internal & indexable)), ("Summary", "Non-Indexable URLs", n(internal & ~indexable))]
+    items += [("Response Codes", f"{k}xx", n(status.between(100 * k, 100 * k + 99))) for k in (2, 3, 4, 5)]
+    named = (("has_non_ascii", "URLs with non-ASCII characters"), ("has_uppercase", "URLs with uppercase characters"), ("has_underscore", "URLs with underscores"), ("has_space", "URLs with spaces"), ("is_long", "URLs over 115 characters"))
+    items += [("URL Analysis", item, n(flags[flag])) for flag, item in named]
+    return _sections(pages, [(*i, total) for i in items])
+
+
+def page_sections(pages: DataFrame) -> DataFrame:
+    """Report sections on the contents of pages: position, section, item, value, percent.
+
+    ``pages``: url, title, meta_description, h1_count, images, images_without_alt, internal_links, external_links, has_hsts, has_csp, has_frame_options,
+    has_content_type_options, hreflangs (how many), canonical, word_count, js_errors (how many); missing numbers are 0."""
+    n, total = F.count_if, F.count(F.lit(1))
+
+    def number(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0))
+
+    title, description = (F.char_length(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "meta_description"))
+    canonical = F.col("canonical")
+    items = [
+        ("Page Title Analysis", "Missing titles", n(title == 0), total), ("Page Title Analysis", "Titles over 60 characters", n(title > 60), total), ("Page Title Analysis", "Titles under 30 characters", n((title < 30) & (title > 0)), total),
+        ("Meta Description Analysis", "Missing meta descriptions", n(description == 0), total), ("Meta Description Analysis", "Meta descriptions over 155 characters", n(description > 155), total), ("Meta Description Analysis", "Meta descriptions under 70 characters", n((description < 70) & (description > 0)), total),
+        ("Heading Analysis", "Missing H1", n(number("h1_count") == 0), total), ("Heading Analysis", "Multiple H1s", n(number("h1_count") > 1), total),
+        ("Image Analysis", "Total images", F.sum(number("images")), F.sum(number("images"))), ("Image Analysis", "Images missing alt text", F.sum(number("images_without_alt")), F.sum(number("images"))),
+        ("Link Analysis", "Pages without internal links", n(number("internal_links") == 0), total), ("Link Analysis", "Pages with high number of external links", n(number("external_links") > 100), total),
+        ("Security Analysis", "HTTP URLs (non-secure)", n(F.startswith(F.lower("url"), F.lit("http:"))), total),
+        *(("Security Analysis", f"Missing {item}", n(~F.coalesce(F.col(c), F.lit(False))), total) for c, item in (("has_hsts", "HSTS header"), ("has_csp", "Content Security Policy"), ("has_frame_options", "X-Frame-Options header"), ("has_content_type_options", "X-Content-Type-Options header"))),
+        ("Hreflang Analysis", "Pages with hreflang", n(number("hreflangs") > 0), total),
+        ("Canonical Analysis", "Pages with canonical tags", F.count(canonical), total), ("Canonical Analysis", "Self-referencing canonicals", n(canonical == F.col("url")), total), ("Canonical Analysis", "Non-self canonicals", n(canonical != F.col("url")), total), ("Canonical Analysis", "Missing canonical tags", n(canonical.isNull()), total),
+        ("Content Analysis", "Low content pages", n(number("word_count") < 300), total), ("Content Analysis", "Average word count", half_up(F.avg(number("word_count"))), None),
+        ("JavaScript Errors Analysis", "Pages with JavaScript errors", n(number("js_errors") > 0), total),
+    ]
+    return _sections(pages, items)
+
+
+def section_advice(sections: DataFrame) -> DataFrame:
+    """Top recommendations from the rows of the sections: (position, recommendation)."""
+    # fixed values: the counter that brings up each
+    advice = {
+        "Missing titles": "Add title tags to pages missing them",
+        "Titles over 60 characters": "Shorten title tags that are over 60 characters",
+        "Missing meta descriptions": "Add meta descriptions to pages missing them",
+        "Missing H1": "Add H1 tags to pages missing them",
+        "Images missing alt text": "Add alt text to images missing it",
+        "HTTP URLs (non-secure)": "Migrate all pages to HTTPS",
+        "Low content pages": "Improve content on pages with low word count",
+    }
+    items = F.array(*[F.lit(x) for x in advice])
+    return sections.filter("value > 0").select(F.array_position(items, F.col("item")).alias("position"), a11y.named(F.col("item"), advice).alias("recommendation")).filter("position > 0")
 
 
 def performance_summary(rows: DataFrame) -> DataFrame:

@@ -85,6 +85,27 @@ def agent_feedback_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("page", F.array_join(agents.feedback(_columns(df), F.col("page") % 2 == 0), ",").alias("rules"))
 
 
+#: Texts by rule, for the second engine.
+SQL_TEXTS = {
+    "no_main": ("'No <main> element - agents cannot identify primary content'", "Add <main> element around primary page content"), "no_nav": ("'No <nav> element - agents cannot identify navigation'", "Wrap navigation menus in <nav> elements"),
+    "field_names": ("'Only ' || floor(100 * name_ratio + 0.5)::BIGINT || '% of form fields use standard names'", "Use standard field names: email, firstName, lastName, phone, etc."), "field_labels": ("floor(100 * (1 - label_ratio) + 0.5)::BIGINT || '% of form fields missing labels'", "Add <label> or aria-label to all form fields"),
+    "no_schema_org": ("'No Schema.org structured data'", "Add JSON-LD with Schema.org vocabulary for key content"), "no_llms_txt": ("'No llms.txt file detected'", "Add llms.txt file at site root for LLM agent discovery (see llmstxt.org)"),
+    "autocomplete": ("'Only ' || floor(100 * autocomplete_ratio + 0.5)::BIGINT || '% of form fields have autocomplete attributes'", 'Add autocomplete attributes to form fields (e.g., autocomplete="email", "name", "tel")'), "robots_restrictions": ("'Page has robot restrictions (noindex/nofollow) that may block agents'", "Review robots meta tags - consider allowing agent access where appropriate"),
+    "no_ai_txt": ("'No ai.txt file detected for AI-specific instructions'", "Consider adding ai.txt file for AI agent-specific guidance"), "no_data_state": ("'No data-state attributes for dynamic content'", "Add data-state to loading indicators and dynamic content"),
+    "no_agent_visible": ("'No data-agent-visible attributes found'", "Consider using data-agent-visible to explicitly control agent visibility"), "no_persistent_errors": ("'Error messages may not persist'", 'Use role="alert" and aria-live for persistent errors'),
+    "bot_protection": ("'Bot protection detected: ' || CASE WHEN page % 3 = 0 THEN 'reCAPTCHA' ELSE 'None' END", "Bot protection may prevent agent access - consider alternative verification for agents"), "api_discovery": ("'Low API endpoint discoverability'", "Add API documentation links and OpenAPI/Swagger specifications for agent access"),
+    "table_scope": ("'Tables missing scope attributes'", 'Add scope="col" and scope="row" to table headers'),
+}
+
+
+@register(f"WITH {SQL_PAGES} " + " UNION ALL ".join(f"SELECT page, '{n}' AS rule, {SQL_TEXTS[n][0]} AS issue, '{SQL_TEXTS[n][1]}' AS recommendation FROM p WHERE {c}" for n, c in SQL_RULES))
+def agent_feedback_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said about each page that breaks a rule, and what to do."""
+    df = _pages(spark, sf_dir)
+    m = _columns(df) | {"captcha_type": F.when(F.col("page") % 3 == 0, "reCAPTCHA").otherwise("None")}
+    return df.select("page", F.inline(agents.feedback_details(m, F.col("page") % 2 == 0))).select("page", "rule", "issue", "recommendation")
+
+
 SQL_READ = {
     "structural": "least(100, " + sql_points([("n_main > 0", 10), ("n_article > 0", 10), ("n_section > 0", 5), ("has_header", 5), ("has_footer", 5), ("n_nav > 0", 5), ("n_h1 = 1", 20), ("n_h2 > 0", 10), ("n_h3 > 0", 5), ("n_h4 + n_h5 + n_h6 > 0", 5), ("n_lists > 0", 10), ("n_tables > 0", 10)]) + ")",
     "organization": "least(100, 50 + CASE WHEN paragraphs = 0 THEN 5 WHEN paragraphs < 100 THEN 25 ELSE 15 END + CASE WHEN text_length > 100 AND text_length < 50000 THEN 25 WHEN text_length >= 50000 THEN 15 ELSE 5 END)",

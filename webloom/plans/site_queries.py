@@ -39,7 +39,7 @@ SQL_ISSUES = (
  count(*) FILTER (level = 'A') AS level_a, count(*) FILTER (level = 'AA') AS level_aa, count(*) FILTER (level = 'AAA') AS level_aaa, count(*) FILTER (contains(code, 'ARIA')) AS aria, count(*) FILTER (contains(code, 'Contrast')) AS contrast, count(*) FILTER (contains(lower(code), 'keyboard')) AS keyboard,
  greatest(0, 100 - 2 * sum(CASE severity WHEN 'Critical' THEN 5 WHEN 'Serious' THEN 3 WHEN 'Moderate' THEN 2 ELSE 1 END))::BIGINT AS score FROM v GROUP BY 1""")
 def accessibility_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.issue_analysis(_issues(spark, sf_dir)).withColumn("score", long(F.col("score")))
+    return rollups.issue_analysis(_issues(spark, sf_dir)).drop("manual_checks").withColumn("score", long(F.col("score")))
 
 
 @register(f"WITH {SQL_ISSUES} SELECT code, message, count(*) AS n FROM i GROUP BY 1, 2 HAVING count(*) > 40")
@@ -53,15 +53,16 @@ def issues_not_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.unrepeated(issues, rollups.common_issues(issues, more_than=100)).select("event_id")
 
 
-@register(f"WITH {SQL_ISSUES} SELECT page_url, code, count(*) AS n, min(type) AS type, min(message) AS message FROM i GROUP BY 1, 2")
+@register(f"""WITH {SQL_ISSUES} SELECT page_url, code, count(*) AS n, min(type) AS type, min(message) AS message, arg_min(severity, list_position(['Critical', 'Serious', 'Moderate', 'Minor'], severity)) AS severity, nullif(min(level), '') AS level, CASE WHEN min(guideline) = '.' THEN NULL ELSE min(guideline) END AS guideline,
+ CASE min(guideline) WHEN '1.1' THEN 'Verify all non-text content has appropriate text alternatives' WHEN '1.4' THEN 'Check color contrast and text resizing' WHEN '2.1' THEN 'Verify all functionality is available via keyboard' WHEN '3.1' THEN 'Check language of page and parts' END AS manual_check FROM v GROUP BY 1, 2""")
 def issues_by_page_and_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.issues_by_page_and_code(_issues(spark, sf_dir))
+    return rollups.issues_by_page_and_code(_issues(spark, sf_dir)).drop("guideline_name", "remediation")
 
 
 @register(f"""WITH {SQL_ISSUES}, g AS (SELECT unnest(['1.1','1.2','1.3','1.4','2.1','2.2','2.3','2.4','2.5','3.1','3.2','3.3','4.1']) AS guideline), n AS (SELECT guideline, count(*) AS n FROM v GROUP BY 1)
 SELECT g.guideline, coalesce(n, 0) AS issues, coalesce(n, 0) = 0 AS compliant FROM g LEFT JOIN n USING (guideline)""")
 def guideline_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.guideline_compliance(_issues(spark, sf_dir)).drop("name")
+    return rollups.guideline_compliance(_issues(spark, sf_dir)).drop("name", "manual_check")
 
 
 @register(f"""WITH {SQL_ISSUES}, s AS (SELECT count(*) AS issues, count(*) FILTER (type = 'error') AS errors, count(*) FILTER (type = 'warning') AS warnings, count(*) FILTER (type = 'notice') AS notices, count(DISTINCT page_url) AS pages FROM i), g AS (SELECT *, greatest(0.0, 100 - 5 * errors - 2 * warnings - 0.5 * notices)::DOUBLE AS score FROM s)
@@ -319,6 +320,51 @@ def observer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(six(F.sum(F.greatest(F.col("load_time") - 50, F.lit(0.0)) * F.when(F.col("load_time").isNotNull(), 1))).alias("tbt"), six(F.sum(F.when(F.col("event_id") % 3 != 0, F.col("cls")))).alias("cls"), F.max("lcp").alias("lcp"))
 
 
+#: Customers taken as pages for the report's sections, for both engines.
+SECTION_COLUMNS = {
+    "url": "concat(CASE WHEN k % 4 = 0 THEN 'http' ELSE 'https' END, '://a.com/', CASE WHEN k % 6 = 0 THEN 'Up_x' ELSE 'low' END, CASE WHEN k % 13 = 0 THEN 'é z' ELSE '' END, '/', k, repeat('q', cast(k % 9 * 15 as int)))", "status_code": "cast(200 + 100 * (k % 5) - 100 * (k % 2) + k % 3 as int)", "is_internal": "k % 7 > 0", "indexable": "k % 3 > 0",
+    "title": "CASE WHEN k % 8 > 0 THEN repeat('t', cast(k % 90 as int)) END", "meta_description": "CASE WHEN k % 9 > 0 THEN repeat('m', cast(k % 230 as int)) END", "h1_count": "k % 4", "images": "CASE WHEN k % 5 > 0 THEN k % 12 END", "images_without_alt": "k % 3",
+    "internal_links": "k % 6", "external_links": "k % 140", "has_hsts": "k % 2 = 0", "has_csp": "CASE WHEN k % 3 > 0 THEN k % 3 = 1 END", "has_frame_options": "k % 5 = 0", "has_content_type_options": "k % 7 = 0", "hreflangs": "k % 3", "canonical": "CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 'https://a.com/other' ELSE concat('https://a.com/low/', k, repeat('q', cast(k % 9 * 15 as int))) END",
+    "word_count": "k % 700", "js_errors": "CASE WHEN k % 10 = 0 THEN 2 END",
+}
+SQL_SECTIONS_PAGES = "x AS (SELECT " + ", ".join(f"{v} AS {c}" for c, v in SECTION_COLUMNS.items()) + " FROM (SELECT c_custkey AS k FROM customer))"
+
+
+def _sql_sections(items: list[tuple[str, str, str, str]]) -> str:
+    rows = " UNION ALL ".join(f"SELECT {k}::BIGINT AS position, '{section}' AS section, '{item}' AS item, ({value})::DOUBLE AS value, {f'round(100 * (({value})::DOUBLE / ({total})), 2)' if total else 'NULL::DOUBLE'} AS percent FROM x" for k, (section, item, value, total) in enumerate(items))
+    return f"WITH {SQL_SECTIONS_PAGES} {rows}"
+
+
+def _when(condition: str) -> str:
+    return f"count(*) FILTER (WHERE {condition})"
+
+
+def _section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).select(*[F.expr(v).alias(c) for c, v in SECTION_COLUMNS.items()])
+
+
+@register(_sql_sections([
+    ("Summary", "Total URLs", "count(*)", "count(*)"), ("Summary", "Internal URLs", _when("is_internal"), "count(*)"), ("Summary", "External URLs", _when("NOT is_internal"), "count(*)"), ("Summary", "Indexable URLs", _when("is_internal AND indexable"), "count(*)"), ("Summary", "Non-Indexable URLs", _when("is_internal AND NOT indexable"), "count(*)"),
+    *(("Response Codes", f"{k}xx", _when(f"status_code // 100 = {k}"), "count(*)") for k in (2, 3, 4, 5)),
+    ("URL Analysis", "URLs with non-ASCII characters", _when("strlen(url) > length(url)"), "count(*)"), ("URL Analysis", "URLs with uppercase characters", _when("regexp_matches(url, '[A-Z]')"), "count(*)"), ("URL Analysis", "URLs with underscores", _when("contains(url, '_')"), "count(*)"), ("URL Analysis", "URLs with spaces", _when("contains(url, ' ')"), "count(*)"), ("URL Analysis", "URLs over 115 characters", _when("length(url) > 115"), "count(*)"),
+]))
+def address_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.address_sections(_section_pages(spark, sf_dir)).withColumn("position", long(F.col("position")))
+
+
+@register(_sql_sections([
+    ("Page Title Analysis", "Missing titles", _when("coalesce(title, '') = ''"), "count(*)"), ("Page Title Analysis", "Titles over 60 characters", _when("length(title) > 60"), "count(*)"), ("Page Title Analysis", "Titles under 30 characters", _when("length(title) < 30 AND title <> ''"), "count(*)"),
+    ("Meta Description Analysis", "Missing meta descriptions", _when("coalesce(meta_description, '') = ''"), "count(*)"), ("Meta Description Analysis", "Meta descriptions over 155 characters", _when("length(meta_description) > 155"), "count(*)"), ("Meta Description Analysis", "Meta descriptions under 70 characters", _when("length(meta_description) < 70 AND meta_description <> ''"), "count(*)"),
+    ("Heading Analysis", "Missing H1", _when("h1_count = 0"), "count(*)"), ("Heading Analysis", "Multiple H1s", _when("h1_count > 1"), "count(*)"), ("Image Analysis", "Total images", "sum(images)", "sum(images)"), ("Image Analysis", "Images missing alt text", "sum(images_without_alt)", "sum(images)"),
+    ("Link Analysis", "Pages without internal links", _when("internal_links = 0"), "count(*)"), ("Link Analysis", "Pages with high number of external links", _when("external_links > 100"), "count(*)"), ("Security Analysis", "HTTP URLs (non-secure)", _when("url LIKE 'http:%'"), "count(*)"), ("Security Analysis", "Missing HSTS header", _when("has_hsts IS NOT TRUE"), "count(*)"),
+    ("Security Analysis", "Missing Content Security Policy", _when("has_csp IS NOT TRUE"), "count(*)"), ("Security Analysis", "Missing X-Frame-Options header", _when("has_frame_options IS NOT TRUE"), "count(*)"), ("Security Analysis", "Missing X-Content-Type-Options header", _when("has_content_type_options IS NOT TRUE"), "count(*)"), ("Hreflang Analysis", "Pages with hreflang", _when("hreflangs > 0"), "count(*)"),
+    ("Canonical Analysis", "Pages with canonical tags", "count(canonical)", "count(*)"), ("Canonical Analysis", "Self-referencing canonicals", _when("canonical = url"), "count(*)"), ("Canonical Analysis", "Non-self canonicals", _when("canonical <> url"), "count(*)"), ("Canonical Analysis", "Missing canonical tags", _when("canonical IS NULL"), "count(*)"),
+    ("Content Analysis", "Low content pages", _when("word_count < 300"), "count(*)"), ("Content Analysis", "Average word count", "floor(avg(word_count) + 0.5)", ""), ("JavaScript Errors Analysis", "Pages with JavaScript errors", _when("js_errors > 0"), "count(*)"),
+]))
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.page_sections(_section_pages(spark, sf_dir)).withColumn("position", long(F.col("position")))
+
+
 #: Summaries of sites, for both engines: a customer as a site, its orders as pages.
 SITE_COLUMNS = {
     "load_time": "CASE WHEN n > 0 THEN cast(t % 6000 as double) END", "lcp": "CASE WHEN n > 0 THEN cast(t % 5000 as double) END", "errors": "n % 3", "seo_score": "CASE WHEN n > 0 THEN (t % 1000) / 10.0e0 END", "pages": "n", "low_content_pages": "few",
