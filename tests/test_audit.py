@@ -46,11 +46,51 @@ def test_audit_and_history(spark, tmp_path):
     for name in REPORTS:
         assert list((tmp_path / "out" / name).glob("part-*.csv")), name
     assert found["regressions"].count() == 0
+    check_more(found, tmp_path / "out")
     slow = dict(inputs, performance=inputs["performance"].withColumn("load_time", F.lit(9000.0)))
     again = audit.run(pages(spark), cfg, "r2", datetime.datetime(2024, 1, 6), **slow)
     assert ("load_time", "critical") in {(r["metric"], r["severity"]) for r in again["regressions"].collect()}
 
 
+def text(folder):
+    return "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+
+
+def check_more(found, out):
+    """Site-wide files, summaries, advice, older reports and chart data of the first run."""
+    two = {r["url"]: r for r in found["llm_backend_suitability"].collect()}["https://a.com/en/two"]
+    assert two["has_llms_txt"] and two["backend_score"] == 40  # 30 for its status, 10 for the site's llms.txt
+    links = {(r["source_url"], r["target_url"]): r["in_navigation"] for r in found["link_analysis"].collect()}
+    assert links["https://a.com/", "https://a.com/in"] is True and links["https://a.com/en/two", "https://a.com/gone"] is False
+    one = found["summary_seo"].first()
+    assert one["pages"] == 2 and one["status"] in ("Fair", "Needs Improvement", "Good")
+    assert found["summary_accessibility"].first()["errors"] == 1 and found["summary_content"].first()["low_content_pages"] == 2
+    assert {r["category"] for r in found["findings"].collect()} >= {"Accessibility", "Content", "AI Compatibility"}
+    assert "Expand content on 2 pages to improve SEO and user experience" in {r["recommendation"] for r in found["recommendations"].collect()}
+    sections = {r["item"]: r["value"] for r in found["seo_sections"].collect()}
+    assert sections["Total URLs"] == 3 and sections["4xx"] == 1 and sections["Missing titles"] == 1 and sections["Pages with hreflang"] == 1 and sections["Self-referencing canonicals"] == 0
+    assert "Add title tags to pages missing them" in {r["recommendation"] for r in found["seo_advice"].collect()}
+    assert [r["manual_check"] for r in found["issues_by_code"].collect()] == ["Verify all non-text content has appropriate text alternatives"]
+    summary = json.loads(text(out / "executive_summary.json"))
+    assert summary["seo"][0]["pages"] == 2 and "## findings" in text(out / "executive_summary.md")
+    assert "Semantic HTML Structure" in text(out / "pattern_library.md") and "llms.txt" in text(out / "ai_files_summary.md") and "Text Alternatives" in text(out / "accessibility_report.md")
+    assert (out / "regression_report.md").is_dir()
+    assert {r["label"]: r["value"] for r in found["chart_seo_distribution"].collect()}["<60"] == 2.0
+    assert {p.name for p in (out / "charts").iterdir()} == {"performance", "seo_distribution", "content", "agents", "accessibility", "performance_trend", "accessibility_trend"}
+    rows = text(out / "seo_sections").splitlines()
+    assert rows[1].startswith('"Summary","Total URLs"') and len(rows) == found["seo_sections"].count() + 1
+    assert {r["metric"] for r in found["comparison"].collect()} == set()
+
+
+def test_runs_of_sites_are_compared_by_site(spark):
+    from webloom.operators import history
+
+    rows = [(s, t, "load_time", v) for s, t, v in (("a", 1, 100.0), ("b", 2, 900.0), ("a", 3, 110.0), ("b", 4, 890.0))]
+    df = spark.createDataFrame(rows, "site string, run_ts int, metric string, value double")
+    assert sorted((r["site"], r["old"], r["new"]) for r in history.compare_previous(df).collect()) == [("a", 100.0, 110.0), ("b", 900.0, 890.0)]
+    assert {r["site"]: r["values"] for r in history.trends(df).collect()} == {"a": [100.0, 110.0], "b": [900.0, 890.0]}
+
+
 def test_config(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"limit": 5, "base_url": "https://x.org"}))
     got = config.load(str(tmp_path / "c.json"), {"WEBLOOM_LIMIT": "7", "WEBLOOM_RENDERED": "yes", "OTHER": "x"}, output="o")

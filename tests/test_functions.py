@@ -55,7 +55,7 @@ def test_markup(spark):
     m = markup.heading_metrics(html)
     assert one(spark, markup.title(html), markup.html_lang(html), m["h2_before_h1"], m["h1_missing"], markup.count_tag(html, "h1")) == ("A", "de", True, False, 1)
     assert one(spark, markup.word_count(F.lit("")), markup.word_count(F.lit(" a b "))) == (1, 2)
-    assert one(spark, markup.missing_heading_levels([F.lit(x) for x in (1, 0, 2, 0, 0, 1)]), markup.missing_heading_levels([F.lit(0)] * 6)) == ("h2, h4, h5", "None")
+    assert one(spark, markup.missing_heading_levels([F.lit(x) for x in (1, 0, 2, 0, 0, 1)]), markup.missing_heading_levels([F.lit(0)] * 6)) == ("H2, H4, H5", "H1")
 
 
 def test_security(spark):

@@ -86,7 +86,7 @@ def hrefs(html: Column) -> Column:
 
 
 def missing_heading_levels(counts: list[Column]) -> Column:
-    """Levels without headings above the deepest level that has any, as 'h2, h4', or 'None'."""
-    deepest = F.greatest(*[F.when(c > 0, k + 1).otherwise(0) for k, c in enumerate(counts)])
-    gaps = F.array_compact(F.array(*[F.when((c == 0) & (F.lit(k + 1) < deepest), f"h{k + 1}") for k, c in enumerate(counts)]))
+    """Levels without headings above the deepest level that has any, and H1 wherever there is none: as 'H2, H4', or 'None'."""
+    deepest = F.greatest(F.lit(2), *[F.when(c > 0, k + 1).otherwise(0) for k, c in enumerate(counts)])
+    gaps = F.array_compact(F.array(*[F.when((c == 0) & (F.lit(k + 1) < deepest), f"H{k + 1}") for k, c in enumerate(counts)]))
     return F.when(F.size(gaps) == 0, "None").otherwise(F.array_join(gaps, ", "))

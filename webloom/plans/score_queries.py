@@ -169,8 +169,8 @@ def non_200_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"""WITH {SQL_PAGES} SELECT page, greatest(0, 100 - CASE WHEN n_h1 = 0 THEN 30 WHEN n_h1 > 1 THEN 15 ELSE 0 END - CASE WHEN n_h2 > 0 AND n_h1 = 0 THEN 20 ELSE 0 END - CASE WHEN n_h3 > 0 AND n_h2 = 0 THEN 15 ELSE 0 END
  - CASE WHEN n_h4 > 0 AND n_h3 = 0 THEN 10 ELSE 0 END - CASE WHEN n_h2 > 10 THEN 10 ELSE 0 END - CASE WHEN n_h3 > 15 THEN 10 ELSE 0 END)::DOUBLE AS score,
- coalesce(nullif(concat_ws(', ', CASE WHEN n_h1 = 0 AND n_h2 + n_h3 + n_h4 + n_h5 + n_h6 > 0 THEN 'h1' END, CASE WHEN n_h2 = 0 AND n_h3 + n_h4 + n_h5 + n_h6 > 0 THEN 'h2' END, CASE WHEN n_h3 = 0 AND n_h4 + n_h5 + n_h6 > 0 THEN 'h3' END,
- CASE WHEN n_h4 = 0 AND n_h5 + n_h6 > 0 THEN 'h4' END, CASE WHEN n_h5 = 0 AND n_h6 > 0 THEN 'h5' END), ''), 'None') AS missing FROM p""")
+ coalesce(nullif(concat_ws(', ', CASE WHEN n_h1 = 0 THEN 'H1' END, CASE WHEN n_h2 = 0 AND n_h3 + n_h4 + n_h5 + n_h6 > 0 THEN 'H2' END, CASE WHEN n_h3 = 0 AND n_h4 + n_h5 + n_h6 > 0 THEN 'H3' END,
+ CASE WHEN n_h4 = 0 AND n_h5 + n_h6 > 0 THEN 'H4' END, CASE WHEN n_h5 = 0 AND n_h6 > 0 THEN 'H5' END), ''), 'None') AS missing FROM p""")
 def heading_structure_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from webloom.functions.markup import missing_heading_levels
 
