@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from webloom.llm import contamination, neardup, packing, pii, quality
 from webloom.llm.common import table
 from webloom.llm.queries import BPE, checksums
-from webloom.storage import materialize
+from webloom.storage import discard, materialize, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score >= 0.3), learned from the labels outside the held-out fold."""
+    """Documents that the quality classifier accepts (score >= 0.3), learned from the labels outside the held-out fold. Null and empty texts
+    have the score of the bias; equal texts equal scores, so repeated rows stay or go together; no documents give none."""
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(~quality.held_out()))
     return quality.score(docs, model, COLUMNS).filter("score >= 0.3").select(*COLUMNS)
 
@@ -44,7 +45,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share too little with the benchmark to count as contaminated, decided row by row, whatever their ids."""
+    """Documents that share too little with the benchmark to count as contaminated, decided row by row, whatever their ids. Null and empty
+    texts share nothing and stay; repeated rows stay or go together."""
     rows = numbered(docs)
     found = contamination.digest(contamination.contamination(rows, table(spark, sf_dir, "benchmark"), key="_row"))
     bad = found.filter("contaminated").select(F.col("doc_id").alias("_row"))
@@ -52,13 +54,14 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every span of personal data replaced by its kind."""
+    """All documents, with every span of personal data replaced by its kind. A null text stays null, with null characters; repeated rows and
+    null ids are rewritten each."""
     clean = pii.private_data(docs, columns=["doc_id", "lang", "source"], redacted=True)
     return clean.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.char_length("redacted").cast("bigint").alias("n_chars"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of at most 1024 ids: one row per piece."""
+    """Training sequences of at most 1024 ids: one row per piece. A null or empty text is the end id alone."""
     return checksums(packing.pack_online(docs, public_tokenizers.path(BPE), capacity=1024))
 
 
@@ -75,10 +78,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``."""
+    """All stages on the documents of ``sf_dir``. A stage's working tables, and the documents it read, go once its own are stored."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        kept: list[DataFrame] = []
+        with scratch(kept):
+            kept.append(materialize(stage(spark, docs, sf_dir), f"stage{k}"))
+        discard(docs)
+        docs = kept[0]
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,6 +70,18 @@ def discard(*tables: DataFrame | None) -> None:
             _delete(path)
 
 
+@contextmanager
+def scratch(keep: list[DataFrame]) -> Iterator[None]:
+    """Delete, at the end, all tables that were written inside, but for those that ``keep`` has by then."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        kept = {getattr(df, "stored_at", None) for df in keep}
+        for path in set(_made) - before - kept:
+            _delete(path)
+
+
 @atexit.register
 def discard_all() -> None:
     """Delete all tables that are left."""
