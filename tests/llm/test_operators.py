@@ -684,3 +684,35 @@ def test_discarded_tables_are_gone(spark, tmp_path):
     before = spark.conf.getAll
     storage.discard(df, None, spark.range(1))
     assert not path.exists() and spark.conf.getAll == before
+
+
+def test_contamination_of_repeated_rows_and_null_keys(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text), (1, text), (None, text), (2, None), (None, "w1 w2"), (3, "x " * 40 + text), (4, text.upper())]
+    items = [("b", text), ("b", text), ("a", " ".join(text.split()[5:20])), (None, "w1 w2 w9"), ("c", "w1 w2")]
+    docs = spark.createDataFrame([(*r, "i", 9) for r in rows], "doc_id bigint, text string, items string, n_words int").repartition(3)
+    bench = spark.createDataFrame([(*i, "t") for i in items], "item_id string, text string, doc_id string")
+    got = contamination.digest(contamination.contamination(docs, bench)).collect()
+    want = contamination.brute_force(rows, [(i or "", t) for i, t in items])
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_near_duplicates_of_many_revisions(spark):
+    """A document and its successive revisions: each like the one before, the last unlike the first, all one class."""
+    words = [f"w{k}" for k in range(300)]
+    rows = [(100, " ".join(words))]
+    for k in range(60):
+        words[(k * 37) % 300 : (k * 37) % 300 + 4] = [f"r{k}x{j}" for j in range(4)]
+        rows.append((99 - k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df, 3, 85).collect())
+    assert got == sorted(neardup.brute_force(rows, 3, 85)) and {r[2] for r in got} == {40}
+
+
+def test_private_data_and_main_text_of_very_long_texts(spark):
+    text = "plain words and more of them " * 60000 + "mail a.b@c.example.com end"
+    docs = spark.createDataFrame([(1, text), (2, "9" * 300000), (3, "@" * 300000), (4, "+1 " * 100000)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.private_data(docs).withColumn("sum", F.sha2("base", 256)).collect()}
+    assert got[1]["n_email"] == 1 and all(got[k]["sum"] == pii.brute_force(t) for k, t in ((1, text), (4, "+1 " * 100000)))
+    page = f"<article><p>{text}</p></article>"
+    assert html_text.main_text(page) == " ".join(text.split())
