@@ -91,6 +91,24 @@ def test_runs_of_sites_are_compared_by_site(spark):
     assert {r["site"]: r["values"] for r in history.trends(df).collect()} == {"a": [100.0, 110.0], "b": [900.0, 890.0]}
 
 
+def test_tables_written_by_several_threads(spark):
+    """Settings while tables are written are those of no other query afterwards, whoever writes."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from webloom import storage
+
+    before = spark.conf.getAll
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda k: storage.materialize(spark.range(k), "t"), range(1, 9)))
+    assert [df.count() for df in made] == list(range(1, 9)) and spark.conf.getAll == before
+    kept = []
+    with storage.scratch(kept):
+        kept.append(storage.materialize(spark.range(3), "t"))
+        other = storage.materialize(spark.range(4), "t")
+    assert kept[0].count() == 3 and other.stored_at not in storage._made
+    storage.discard(*made, *kept)
+
+
 def test_config(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"limit": 5, "base_url": "https://x.org"}))
     got = config.load(str(tmp_path / "c.json"), {"WEBLOOM_LIMIT": "7", "WEBLOOM_RENDERED": "yes", "OTHER": "x"}, output="o")

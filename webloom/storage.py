@@ -6,16 +6,22 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Settings while a table is written: what its query shuffled is not needed again, and batches of a few thousand rows keep both sides of
-#: the pipe to Python small.
+#: Settings while tables are written: what their queries shuffled is not needed again, and batches of a few thousand rows keep both sides of
+#: the pipe to Python small. They change no result. A session of its own for writing would have Python workers of its own, which take
+#: too much of an executor's memory beside the others.
 WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
+#: How many tables are being written, and the settings that the first writer found; the last one puts them back.
+_lock = threading.Lock()
+_writing: dict[str, tuple[int, dict[str, str | None]]] = {}
+
 #: Folders written and not deleted yet, with the session that wrote them.
 _made: dict[str, SparkSession] = {}
 
@@ -32,13 +38,28 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "webloom-shared")
 
 
-def _writer(spark: SparkSession) -> SparkSession:
-    """A session of its own for writing a table, so that what is set for that touches no other query."""
-    out = spark.newSession()
-    for name, value in {**spark.conf.getAll, **WHILE_WRITING}.items():
-        if out.conf.isModifiable(name) and out.conf.get(name, None) != value:
-            out.conf.set(name, value)
-    return out
+@contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """WHILE_WRITING for as long as any thread writes in this session."""
+    own = spark._jsparkSession.sessionUUID()
+    with _lock:
+        n, before = _writing.get(own) or (0, {name: spark.conf.get(name, None) for name in WHILE_WRITING})
+        _writing[own] = (n + 1, before)
+        for name, value in WHILE_WRITING.items():
+            spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writing.pop(own)
+            if n > 1:
+                _writing[own] = (n - 1, before)
+            else:
+                for name, value in before.items():
+                    if value is None:
+                        spark.conf.unset(name)
+                    else:
+                        spark.conf.set(name, value)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -48,9 +69,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     _made[path] = spark
-    own = _writer(spark)
-    plan = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().logical())
-    DataFrame(plan, own).write.parquet(path)
+    with _settings(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
