@@ -46,8 +46,8 @@ RULES = [
 
 
 def detect(resources: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by…, category, name, confidence) of all technologies seen. Resources are made distinct first; the rules are a fixed
-    array inside the expression, so nothing is broadcast or joined."""
+    """(by…, category, name, confidence) of all technologies seen. The rules, a fixed array inside the expression, are tried once on each distinct
+    address, which most pages share with others; what they find is joined back to the resources."""
     by = by or []
     url, low = F.col("url"), F.lower("url")
     hits = []
@@ -58,7 +58,9 @@ def detect(resources: DataFrame, by: list[str] | None = None) -> DataFrame:
         if scripts:
             seen = seen & (F.col("type") == "javascript")
         hits.append(F.when(seen, F.struct(F.lit(category).alias("category"), F.lit(name).alias("name"), F.lit(confidence).alias("confidence"))))
-    rows = resources.select(*by, "url", "type").distinct().select(*by, F.inline(F.array_compact(F.array(*hits))))
+    rows = resources.select(*by, "url", F.coalesce("type", F.lit("")).alias("type"))
+    found = rows.select("url", "type").distinct().select("url", "type", F.inline(F.array_compact(F.array(*hits))))
+    rows = rows.join(found, ["url", "type"]) if by else found
     return rows.groupBy(*by, "category", "name").agg(F.min("confidence").alias("confidence"))
 
 
