@@ -223,26 +223,32 @@ def syllable_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", long(content.syllables(F.col("text"))).alias("syllables"))
 
 
+def _seo_measures(pages: DataFrame) -> DataFrame:
+    """What the parts of the score need, each searched for once in a page's markup."""
+    html = F.col("html")
+    found = {
+        "title": markup.title(html), "h1": markup.first_h1(html), "description": markup.meta(html, "description"), "words": markup.word_count(markup.strip_tags(markup.body(html))), "links": markup.count_tag(html, "a"), "images": markup.count_tag(html, "img"), "h2": markup.count_tag(html, "h2"),
+        "h3": markup.count_tag(html, "h3"), "mobile": markup.meta(html, "viewport") != "", "data": F.contains(html, F.lit("application/ld+json")), "social": F.contains(html, F.lit('property="og:')),
+    }
+    return pages.select("page_id", "url", *[v.alias(k) for k, v in found.items()]).withColumn("keyword", keywords.main_keyword(F.concat_ws(" ", "title", "h1")))
+
+
 def _seo_parts() -> dict[str, Column]:
-    text = markup.strip_tags(markup.body(F.col("html")))
-    title, h1_, description = markup.title(F.col("html")), markup.first_h1(F.col("html")), markup.meta(F.col("html"), "description")
-    words, n_links = markup.word_count(text), markup.count_tag(F.col("html"), "a")
-    keyword = keywords.main_keyword(F.concat_ws(" ", title, h1_))
-    images = markup.count_tag(F.col("html"), "img")
+    c = F.col
     return {
-        "title": seo.title(F.char_length(title)),
-        "meta_description": seo.meta_description(F.char_length(description)),
-        "url_structure": seo.url_structure(F.col("url")),
-        "h1": seo.h1(F.char_length(h1_)),
-        "content_length": seo.content_length(words),
-        "content_quality": seo.content_quality(keyword, title, description, h1_, markup.count_tag(F.col("html"), "h2"), markup.count_tag(F.col("html"), "h3"), images, F.lit(0), words),
-        "internal_linking": seo.internal_linking(n_links),
-        "image_alt": seo.image_alt(F.lit(0), images),
-        "page_speed": seo.page_speed((F.col("page_id") * 37 % 9000).cast("double")),
-        "mobile": seo.flag(markup.meta(F.col("html"), "viewport") != ""),
-        "security": seo.security_flag(F.col("url")),
-        "structured_data": seo.flag(F.contains(F.col("html"), F.lit("application/ld+json"))),
-        "social": seo.flag(F.contains(F.col("html"), F.lit('property="og:'))),
+        "title": seo.title(F.char_length("title")),
+        "meta_description": seo.meta_description(F.char_length("description")),
+        "url_structure": seo.url_structure(c("url")),
+        "h1": seo.h1(F.char_length("h1")),
+        "content_length": seo.content_length(c("words")),
+        "content_quality": seo.content_quality(c("keyword"), c("title"), c("description"), c("h1"), c("h2"), c("h3"), c("images"), F.lit(0), c("words")),
+        "internal_linking": seo.internal_linking(c("links")),
+        "image_alt": seo.image_alt(F.lit(0), c("images")),
+        "page_speed": seo.page_speed((c("page_id") * 37 % 9000).cast("double")),
+        "mobile": seo.flag(c("mobile")),
+        "security": seo.security_flag(c("url")),
+        "structured_data": seo.flag(c("data")),
+        "social": seo.flag(c("social")),
     }
 
 
@@ -266,7 +272,7 @@ SEO_COLUMNS = list(seo.WEIGHTS)
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _seo_parts()
-    rows = table(spark, sf_dir, "pages").select("page_id", "url", *[parts[c].alias(c) for c in SEO_COLUMNS])
+    rows = _seo_measures(table(spark, sf_dir, "pages")).select("page_id", "url", *[parts[c].alias(c) for c in SEO_COLUMNS])
     return rows.withColumn("score", long(seo.overall({c: F.col(c) for c in SEO_COLUMNS})))
 
 
