@@ -45,9 +45,9 @@ LAST = np.iinfo(np.int64).max
 
 
 @lru_cache(maxsize=1)
-def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
-    """One of each a worker; making them takes longer than most of their work here."""
-    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor, zstandard.ZstdCompressor]:
+    """A fast one, the way back, and a tighter one, one of each a worker; making them takes longer than most of their work here."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
 
 
 def _blocks(docs: DataFrame, key: str, text: str, block_bytes: int) -> DataFrame:
@@ -99,6 +99,18 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpack_plain(data, n, np.uint64), dtype=np.uint64)
 
 
+def pack_contexts(rows: np.ndarray, length: int) -> bytes:
+    """Rows of Block.contexts with the bytes before the sample forwards again, as text packs better than text that turns round."""
+    left = rows[:, length + PERIOD - 2 : length - 1 : -1]
+    return _codec()[2].compress(np.concatenate([left, rows[:, :length], rows[:, -3:-1]], axis=1).tobytes())
+
+
+def unpack_contexts(data: bytes, n: int, length: int) -> np.ndarray:
+    reach = PERIOD - 1
+    flat = np.frombuffer(_codec()[1].decompress(data, max_output_size=n * (length + reach + 2)), np.uint8).reshape(n, -1)
+    return np.concatenate([flat[:, reach : reach + length], flat[:, reach - 1 :: -1], flat[:, -2:], np.ones((n, 1), np.uint8)], axis=1)
+
+
 def _heads(rows: np.ndarray) -> np.ndarray:
     """Where sorted rows (of bytes, or numbers) differ from the one before."""
     out = np.ones(len(rows), bool)
@@ -170,7 +182,7 @@ class Block:
         padded = np.zeros(len(self.data) + reach + n, np.uint8)
         padded[reach : reach + len(self.data)] = self.data
         around = np.lib.stride_tricks.sliding_window_view(padded, n + reach)[at]
-        out[:, :n], out[:, n : n + reach] = around[:, reach:], around[:, reach - 1 :: -1] if reach else 0
+        out[:, :n], out[:, n : n + reach] = around[:, reach:], around[:, reach - 1 :: -1]
         near = np.flatnonzero(right < n)
         out[near, :n] *= np.arange(n) < right[near, None]
         near = np.flatnonzero(left < reach)
@@ -331,16 +343,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         for row in _rows(batches):
             _, _, rows, ids = Block(row, length).suffixes(_gathered(row["answers"], _bits, bool), bits)
             cuts = np.concatenate([[0], np.searchsorted(rows.view(f"S{rows.shape[1]}").ravel(), borders), [len(rows)]])
-            yield from _dealt(row["block"], np.arange(len(cuts) - 1), cuts, lambda a, b, rows=rows, ids=ids: (_codec()[0].compress(np.ascontiguousarray(rows[a:b, :-1])), pack_plain(ids[a:b])))
+            yield from _dealt(row["block"], np.arange(len(cuts) - 1), cuts, lambda a, b, rows=rows, ids=ids: (pack_contexts(rows[a:b], length), pack_plain(ids[a:b])))
 
     def earlier(frame: pd.DataFrame) -> list[bytes]:
-        width, n = length + PERIOD + 2, frame["n"].to_numpy()
+        n = frame["n"].to_numpy()
         ends = np.cumsum(n)
-        rows, ids = np.ones((int(ends[-1]), width), np.uint8), np.empty(int(ends[-1]), np.int64)
+        rows, ids = np.empty((int(ends[-1]), length + PERIOD + 2), np.uint8), np.empty(int(ends[-1]), np.int64)
         for k, b in enumerate(ends):
-            a = b - n[k]
-            rows[a:b, :-1] = np.frombuffer(_codec()[1].decompress(frame["suffixes"][k], max_output_size=int(n[k]) * (width - 1)), np.uint8).reshape(-1, width - 1)
-            ids[a:b] = unpack_plain(frame["ids"][k], int(n[k]))
+            rows[b - n[k] : b] = unpack_contexts(frame["suffixes"][k], int(n[k]), length)
+            ids[b - n[k] : b] = unpack_plain(frame["ids"][k], int(n[k]))
         found = resolve(rows, ids, length)
         return [pack_plain(found[b - m : b]) for m, b in zip(n, ends, strict=True)]
 
