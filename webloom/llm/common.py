@@ -60,6 +60,13 @@ def text_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
+def array_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows with lists as Arrow arrays, not as objects."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {name: c.slice(k, 1).flatten() if pa.types.is_list(c.type) else c[k].as_py() for name, c in zip(batch.schema.names, batch.columns, strict=True)}
+
+
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of neighbouring texts with at most ``limit`` bytes together (a longer text alone)."""
     i, n = 0, len(offsets) - 1

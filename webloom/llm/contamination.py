@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import ALPHANUMERIC, FOLD, chunks, joined, releasing, text_slices, word_ids
+from webloom.llm.common import ALPHANUMERIC, FOLD, array_rows, chunks, joined, releasing, text_slices, word_ids
 from webloom.storage import discard, materialize
 
 #: Words of a window, and bytes of benchmark texts that are matched in one pass over the index (further texts: further passes).
@@ -84,6 +84,7 @@ class Block:
         #: Term and position in one ascending number: one list's entries are neighbours, and any entry is found by bisection.
         self.keys = np.repeat(np.arange(len(self.terms)), self.counts) * (self.n + 1) + self.positions
         self.doc_starts = np.asarray(row["doc_starts"], np.int64)
+        self.doc_ids = row["doc_ids"]
 
     def ranks(self, words: pa.Array) -> np.ndarray:
         """Number of each word's term in this block, -1 where it has no postings."""
@@ -241,17 +242,18 @@ def find_hits(index: DataFrame, items: list[tuple[str, bytes]], window: int, eve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query = Windows(items, window)
-        schema = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                block, rows = Block(row), []
-                spots, owners = query.matches(block)
-                for place in range(len(row["doc_ids"])) if every else sorted(spots):
-                    first = int(block.doc_starts[place])
-                    runs = covered(spots[place]) if place in spots else []
-                    rows.append({"block": row["block"], "place": place, "doc_id": row["doc_ids"][place], "n_words": int(block.doc_starts[place + 1]) - first, "starts": [a - first for a, _ in runs], "ends": [b - first for _, b in runs], "items": [query.names[i] for i in owners.get(place, ())]})
-                yield pa.RecordBatch.from_pylist(rows, schema)
+        for row in array_rows(batches):
+            block = Block(row)
+            spots, owners = query.matches(block)
+            places = np.arange(len(block.doc_ids)) if every else np.array(sorted(spots), np.int64)
+            runs = [np.array(covered(spots[p]), np.int64) - block.doc_starts[p] if p in spots else np.zeros((0, 2), np.int64) for p in places.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(places), row["block"])), pa.array(places, pa.int32()), block.doc_ids.take(pa.array(places)), pa.array(np.diff(block.doc_starts)[places]),
+                    *(pa.array([r[:, k] for r in runs], pa.list_(pa.int64())) for k in (0, 1)), pa.array([[query.names[i] for i in owners.get(p, ())] for p in places.tolist()], pa.list_(pa.string())),
+                ],
+                names=["block", "place", "doc_id", "n_words", "starts", "ends", "items"],
+            )
 
     return index.mapInArrow(releasing(run), HITS)
 
@@ -323,17 +325,15 @@ def proximity(docs: DataFrame, items: DataFrame, within: int = 10, key: str = "d
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             query = Items(piece)
             schema = pa.schema([("doc_id", pa.int64()), ("item", pa.string()), ("positions", pa.list_(pa.int64()))])
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    row = batch.slice(k, 1).to_pylist()[0]
-                    block, rows = Block(row), []
-                    rank = block.ranks(query.vocabulary)
-                    for name, (a, b) in zip(query.names, query.spans, strict=True):
-                        spots = block.near(rank[query.words[a:b]], within)
-                        if len(spots):
-                            found = _by_first(np.stack([block.doc(spots), spots], axis=1))
-                            rows += [{"doc_id": row["doc_ids"][d], "item": name, "positions": (x[:, 0] - block.doc_starts[d]).tolist()} for d, x in found.items()]
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+            for row in array_rows(batches):
+                block, rows = Block(row), []
+                rank = block.ranks(query.vocabulary)
+                for name, (a, b) in zip(query.names, query.spans, strict=True):
+                    spots = block.near(rank[query.words[a:b]], within)
+                    if len(spots):
+                        found = _by_first(np.stack([block.doc(spots), spots], axis=1))
+                        rows += [{"doc_id": block.doc_ids[d].as_py(), "item": name, "positions": x[:, 0] - block.doc_starts[d]} for d, x in found.items()]
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
         return index.mapInArrow(releasing(run), NEAR)
 

@@ -21,16 +21,16 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 #: All 50-byte strings with the least document that each starts in; runs of covered bytes; what is left.
 REPEATS = """
-WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-s AS (SELECT doc_id, i, substring(x, 2 * i + 1, 100) AS w FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS i FROM h)),
+WITH h AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+s AS (SELECT doc_id, i, array_slice(x, i + 1, i + 50) AS w FROM (SELECT doc_id, x, unnest(range(0, octet_length(x) - 49)) AS i FROM h)),
 least_doc AS (SELECT w, min(doc_id) AS first FROM s GROUP BY w HAVING min(doc_id) < max(doc_id)),
 hit AS (SELECT s.doc_id, i FROM s JOIN least_doc USING (w) WHERE first < s.doc_id),
 edges AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit),
 runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges) GROUP BY doc_id, run),
 gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM runs),
-cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substring(x, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept FROM gaps JOIN h USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substring(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
-FROM h LEFT JOIN cut USING (doc_id)"""
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(CASE WHEN a > z THEN hex(array_slice(x, z + 1, a)) ELSE '' END, '' ORDER BY a) AS kept FROM gaps JOIN h USING (doc_id) GROUP BY doc_id),
+rest AS (SELECT doc_id, octet_length(x) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept, '') || CASE WHEN coalesce(last, 0) < octet_length(x) THEN hex(array_slice(x, coalesce(last, 0) + 1, octet_length(x))) ELSE '' END AS kept FROM h LEFT JOIN cut USING (doc_id))
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM rest"""
 
 #: Exact similarity of all documents that share a three-word shingle, and what can be reached over links.
 NEAR_DUPLICATES = rf"""

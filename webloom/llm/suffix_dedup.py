@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import chunks, distinct, mix, powers, prefix_hash, releasing, text_slices
+from webloom.llm.common import array_rows, chunks, distinct, mix, powers, prefix_hash, releasing, text_slices
 from webloom.storage import materialize
 
 #: Differences between members of COVER give every residue modulo PERIOD (a perfect difference set).
@@ -202,13 +202,6 @@ class Block:
         return at, index, rows[heads], least
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Rows with lists as arrays."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield {name: c.slice(k, 1).flatten() if pa.types.is_list(c.type) else c[k].as_py() for name, c in zip(batch.schema.names, batch.columns, strict=True)}
-
-
 ENTRIES = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("suffixes", pa.binary()), ("ids", pa.binary())])
 ENTRY = "bucket bigint, block bigint, n bigint, suffixes binary, ids binary"
 
@@ -323,7 +316,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     bits = min(63, max(samples.bit_length() + 8, digits))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in array_rows(batches):
             block = Block(row, length)
             codes = distinct(block.hashes(block.sample(), bits))
             bucket = codes >> np.uint64(bits - digits)
@@ -340,7 +333,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     borders = np.unique(ordered[np.arange(1, buckets) * len(ordered) // buckets]) if len(ordered) else ordered
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in array_rows(batches):
             _, _, rows, ids = Block(row, length).suffixes(_gathered(row["answers"], _bits, bool), bits)
             cuts = np.concatenate([[0], np.searchsorted(rows.view(f"S{rows.shape[1]}").ravel(), borders), [len(rows)]])
             yield from _dealt(row["block"], np.arange(len(cuts) - 1), cuts, lambda a, b, rows=rows, ids=ids: (pack_contexts(rows[a:b], length), pack_plain(ids[a:b])))
@@ -358,7 +351,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     later = materialize(_answer(with_shared.mapInArrow(releasing(suffixes), ENTRY), earlier), "earlier").withColumnRenamed("answers", "later")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in array_rows(batches):
             block = Block(row, length)
             at, index, _, least = block.suffixes(_gathered(row["answers"], _bits, bool), bits)
             hit = np.zeros(len(block.data) + 1, np.int32)
