@@ -293,6 +293,11 @@ def recommendations(summary: DataFrame, keys: list[str] | None = None) -> DataFr
     return _applied(summary, keys or [], recommendation_rules(), "priority", "recommendation")
 
 
+def join_reports(one: DataFrame, other: DataFrame, on: str = "url") -> DataFrame:
+    """Rows that two reports have in common by ``on``, with the columns of both; of columns that both have, the first one's."""
+    return one.join(other.drop(*(c for c in other.columns if c in one.columns and c != on)), on)
+
+
 def headline_score(parts: list[Column]) -> Column:
     total = parts[0]
     for p in parts[1:]:

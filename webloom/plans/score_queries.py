@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import accessibility, agents, content, markup, media, numbers, security, urls
+from webloom.operators import rollups
 from webloom.plans.page_queries import long, six
 from webloom.plans.registry import register
 from webloom.sources.tables import table
@@ -291,3 +292,12 @@ def changes_and_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accessibility_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     return table(spark, sf_dir, "events").select(k, accessibility.overview(F.col("value")).alias("label"), accessibility.site_score(k % 7, k % 11, k % 3).alias("score"))
+
+
+@register(f"WITH {SQL_PAGES}, s AS (SELECT page, {SQL_SERVED}::DOUBLE AS served FROM p), r AS (SELECT l_orderkey AS page, count(*) AS resources, max(l_linenumber)::BIGINT AS depth FROM lineitem GROUP BY 1) SELECT page, served, resources, depth FROM s JOIN r USING (page) WHERE served < 50 AND resources > 3")
+def reports_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reports joined by page and filtered on both: poorly served pages with many resources."""
+    df = _pages(spark, sf_dir)
+    scores = df.select("page", _served(_columns(df)).cast("double").alias("served"))
+    resources = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.count(F.lit(1)).alias("resources"), F.max("l_linenumber").cast("bigint").alias("depth"))
+    return rollups.join_reports(scores, resources, "page").filter("served < 50 AND resources > 3")
