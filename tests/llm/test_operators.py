@@ -178,6 +178,18 @@ def test_block_packing(docs, rows, empty):
     assert packing.pack_blocks(empty, BPE).count() == 0
 
 
+def test_stored_matrices(spark, docs, empty, tmp_path):
+    packed = packing.pack_blocks(docs, BPE, capacity=128, block_ids=4000)
+    packing.write_matrices(packed, str(tmp_path / "m"), sequences=7)
+    stored = spark.read.parquet(str(tmp_path / "m"))
+    assert all(len(r["ids"]) == len(r["sequence_ids"]) * 256 and len(r["sequence_ids"]) <= 7 for r in stored.collect())
+    back = packing.read_matrices(spark, str(tmp_path / "m"))
+    assert back.columns == packed.columns
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, packed.collect()), key=repr)
+    packing.write_matrices(packing.pack_blocks(empty, BPE), str(tmp_path / "e"))
+    assert packing.read_matrices(spark, str(tmp_path / "e")).count() == 0
+
+
 def test_best_fit_decreasing_against_a_plain_search():
     rnd = random.Random(3)
     sizes = [rnd.randint(1, 50) for _ in range(400)]
@@ -290,6 +302,7 @@ def test_near_duplicates_of_reused_ids_and_repeated_rows(spark):
 def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     """One band key for all: the second look splits by further keys, and deals what is left into blocks."""
     monkeypatch.setattr(neardup, "BLOCK", 6)
+    monkeypatch.setattr(neardup, "LAST_LINKS", 5)
     monkeypatch.setattr(neardup, "HOT_ROWS", 3)
     monkeypatch.setattr(neardup, "MOST_HOT", 4)
     rnd = random.Random(8)
@@ -313,13 +326,16 @@ def test_sketches_estimate_similarity():
     assert (s[2] == neardup.EMPTY).all() and (s[3] != neardup.EMPTY).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last", [1 << 16, 0])
+def test_components(spark, monkeypatch, last):
+    monkeypatch.setattr(neardup, "LAST_LINKS", last)
     pairs = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 7), (20, 21), (6, 5), (30, 30)]
     got = {r["id"]: r["component"] for r in neardup.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
     assert {k: min(x for x in got if got[x] == v) for k, v in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20}
 
 
 def test_components_of_long_chains(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LAST_LINKS", 0)
     made = []
     plain = neardup.materialize
     monkeypatch.setattr(neardup, "materialize", lambda df, label: made.append(label) or plain(df, label))

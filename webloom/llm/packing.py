@@ -8,12 +8,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import releasing
+from webloom.llm.common import array_rows, releasing
 from webloom.llm.tokens import encoder
+from webloom.session import ship
 from webloom.storage import materialize
 
 #: Windows that a partition keeps open, and groups of partitions whose leftovers meet in one task.
@@ -256,7 +258,8 @@ def pack_blocks(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: i
 
 
 def unpack_blocks(packed: DataFrame, wide: bool = False) -> DataFrame:
-    """The reverse of pack_blocks: (doc_id, start, ids) of every segment."""
+    """The reverse of pack_blocks: (doc_id, start, ids) of every segment. Null keys stay null, repeated rows give repeated segments, no rows
+    give none; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = 4 if wide else 2
@@ -269,3 +272,42 @@ def unpack_blocks(packed: DataFrame, wide: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())]))
 
     return packed.mapInArrow(releasing(run), "doc_id bigint, start bigint, ids binary")
+
+
+#: Some sequences as one matrix: their ids and positions one sequence after the other, and the lists of all of them with how long each is.
+STORED = "sequence_ids array<bigint>, n_tokens array<int>, ids binary, position_ids binary, cu_seqlens array<int>, segments array<int>, doc_ids array<bigint>, starts array<bigint>"
+
+
+def write_matrices(packed: DataFrame, path: str, sequences: int = 1024) -> None:
+    """Packed sequences as binary matrices of up to ``sequences`` rows, a matrix a row of Parquet files: ids and position_ids are contiguous, so a
+    reader maps them as arrays of shape (sequences, capacity). No sequences give an empty table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, sequences):
+                part = batch.slice(at, sequences)
+                flat = {c: [part.column(c).flatten()] for c in ("cu_seqlens", "doc_ids", "starts")}
+                segments = pc.list_value_length(part.column("doc_ids"))
+                joined = {c: b"".join(v.as_py() for v in part.column(c)) for c in ("ids", "position_ids")}
+                lists = {"sequence_ids": part.column("sequence_id"), "n_tokens": part.column("n_tokens"), "segments": segments, **{c: pa.concat_arrays(v) for c, v in flat.items()}}
+                columns = {c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for c, v in lists.items()} | {c: pa.array([v], pa.binary()) for c, v in joined.items()}
+                yield pa.RecordBatch.from_arrays([columns[c.split()[0]] for c in STORED.split(", ")], names=[c.split()[0] for c in STORED.split(", ")])
+
+    packed.select("sequence_id", "n_tokens", "ids", "cu_seqlens", "position_ids", "doc_ids", "starts").mapInArrow(releasing(run), STORED).write.parquet(path)
+
+
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """The sequences of stored matrices, as ``pack_blocks`` gave them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("sequence_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
+        for row in array_rows(batches):
+            n, segments = len(row["sequence_ids"]), row["segments"].to_numpy()
+            ends = np.concatenate([[0], np.cumsum(segments)]).astype(np.int32)
+            cuts = ends + np.arange(n + 1, dtype=np.int32)  # a sequence has one more border than segments
+            cells = {c: [row[c][k * len(row[c]) // n : (k + 1) * len(row[c]) // n] for k in range(n)] for c in ("ids", "position_ids")}
+            columns = {"sequence_id": row["sequence_ids"], "n_tokens": row["n_tokens"], "cu_seqlens": pa.ListArray.from_arrays(pa.array(cuts), row["cu_seqlens"])}
+            columns |= {c: pa.ListArray.from_arrays(pa.array(ends), row[c]) for c in ("doc_ids", "starts")} | {c: pa.array(v, pa.binary()) for c, v in cells.items()}
+            yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], schema=schema)
+
+    return ship(spark).read.schema(STORED).parquet(path).mapInArrow(releasing(run), MATRIX)
