@@ -22,8 +22,8 @@ WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "tru
 _lock = threading.Lock()
 _writing: dict[str, tuple[int, dict[str, str | None]]] = {}
 
-#: Folders written and not deleted yet, with the session that wrote them.
-_made: dict[str, SparkSession] = {}
+#: Folders written and not deleted yet, with the session and the thread that wrote them.
+_made: dict[str, tuple[SparkSession, int]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,7 +68,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     the table once nothing reads it any more; what is left goes at the end of the process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _made[path] = spark
+    _made[path] = (spark, threading.get_ident())
     with _settings(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -77,7 +77,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def _delete(path: str) -> None:
-    spark = _made.pop(path)
+    spark, _ = _made.pop(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -92,13 +92,14 @@ def discard(*tables: DataFrame | None) -> None:
 
 @contextmanager
 def scratch(keep: list[DataFrame]) -> Iterator[None]:
-    """Delete, at the end, all tables that were written inside, but for those that ``keep`` has by then."""
+    """Delete, at the end, all tables that this thread wrote inside, but for those that ``keep`` has by then."""
+    own = threading.get_ident()
     before = set(_made)
     try:
         yield
     finally:
         kept = {getattr(df, "stored_at", None) for df in keep}
-        for path in set(_made) - before - kept:
+        for path in [p for p, (_, thread) in list(_made.items()) if thread == own and p not in before and p not in kept]:
             _delete(path)
 
 
