@@ -5,6 +5,9 @@ written as Parquet and read again as the next stage's docs, so each stage starts
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,28 +32,39 @@ def numbered(docs: DataFrame) -> DataFrame:
     return materialize(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
+@contextmanager
+def working_tables() -> Iterator[list[DataFrame]]:
+    """What is written inside is deleted at the end, but for the tables in the list."""
+    kept: list[DataFrame] = []
+    with scratch(kept):
+        yield kept
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: the one with the least id (five-word shingles, similarity 0.8).
 
     Rows are compared and dropped one by one: different texts that share an id are different documents, and rows with a null id take
     part (one is kept where its class has no id). Blank texts are like no other; equal rows of them with one id are one."""
     rows = numbered(docs)
-    found = neardup.near_duplicates(rows, width=5, percent=80, key="_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
-    visible = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    ids = rows.select("_row", "doc_id", F.when(~visible, F.col("text")).alias("_blank"))
-    empty = F.col("n_shingles") == 0
-    classes = found.join(ids, "_row").groupBy(F.when(~empty, F.col("component_id")).alias("_class"), F.when(empty, F.col("doc_id")).alias("_id"), F.when(empty, F.col("_blank")).alias("_text"))
-    kept = classes.agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row")).alias("least")).select("least._row")
-    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
+    with working_tables() as kept:
+        found = neardup.near_duplicates(rows, width=5, percent=80, key="_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+        visible = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        ids = rows.select("_row", "doc_id", F.when(~visible, F.col("text")).alias("_blank"))
+        empty = F.col("n_shingles") == 0
+        classes = found.join(ids, "_row").groupBy(F.when(~empty, F.col("component_id")).alias("_class"), F.when(empty, F.col("doc_id")).alias("_id"), F.when(empty, F.col("_blank")).alias("_text"))
+        least = classes.agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row")).alias("least")).select("least._row")
+        kept.append(materialize(least, "kept"))
+    return rows.join(kept[0], "_row", "left_semi").select(*COLUMNS)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share too little with the benchmark to count as contaminated, decided row by row, whatever their ids. Null and empty
     texts share nothing and stay; repeated rows stay or go together."""
     rows = numbered(docs)
-    found = contamination.digest(contamination.contamination(rows, table(spark, sf_dir, "benchmark"), key="_row"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("_row"))
-    return rows.join(bad, "_row", "left_anti").select(*COLUMNS)
+    with working_tables() as kept:
+        found = contamination.digest(contamination.contamination(rows, table(spark, sf_dir, "benchmark"), key="_row"))
+        kept.append(materialize(found.filter("contaminated").select(F.col("doc_id").alias("_row")), "contaminated"))
+    return rows.join(kept[0], "_row", "left_anti").select(*COLUMNS)
 
 
 def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,8 +95,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of ``sf_dir``. A stage's working tables, and the documents it read, go once its own are stored."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        kept: list[DataFrame] = []
-        with scratch(kept):
+        with working_tables() as kept:
             kept.append(materialize(stage(spark, docs, sf_dir), f"stage{k}"))
         discard(docs)
         docs = kept[0]
