@@ -476,6 +476,22 @@ def test_quality_of_conflicting_labels_and_repeats(spark):
     assert not np.array_equal(few.weights, want.weights)
 
 
+def test_scores_are_sparse_dot_products(spark, docs, rows):
+    """Scores against plain sums of weights, text by text, wherever a text stands and whatever is scored with it."""
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, quality int")
+    model = quality.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs.drop("score"), model, ["doc_id"]).collect()}
+    for i, t in rows:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        codes, _ = quality.ngrams(raw, np.array([0, len(raw)]), 0, 1, model.bits)
+        total = 0.0
+        for c in codes.tolist():
+            total += float(model.weights[c])
+        margin = model.bias + quality.SCALE * total / max(1, len(codes))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-9)
+    assert len({round(v, 6) for v in got.values()}) > 10
+
+
 def test_quality_learns_from_whole_counts(spark):
     text = "word " * 70000 + "other thing " * 40000
     raw = np.frombuffer(text.encode(), np.uint8)
