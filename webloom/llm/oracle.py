@@ -44,8 +44,44 @@ r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e
 m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)"""
 
+#: Lines of each text, cut at ranks from a digest of the id, and the text put together again from the output's parts.
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT doc_id, x, u, len(u) AS n, list_transform(range(0, 4), lambda k: CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT)) AS h FROM d),
+c AS (SELECT doc_id, x, u, n, h, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT doc_id, x, n, form, array_to_string(u[1 : a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle, array_to_string(u[b + 1 : n], '') AS suffix FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM p),
+s AS (SELECT *, regexp_split_to_array(output, '<P>|<S>|<M>') AS q FROM o)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(output) AS output_sha256, sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN q[2] || q[4] || q[3] ELSE q[3] || q[4] || q[2] END) AS restored_sha256 FROM s"""
+
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """The codebooks of each round as tables: all distances, the nearest entry, floored means."""
+    distance = "list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - y.v[i]) * (x.v[i] - y.v[i])))"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT x.vec_id, x.label, x.p, x.v, unnest(min({{'d': CAST({distance} AS BIGINT), 'e': y.e}})) FROM x JOIN b{k} y USING (p) GROUP BY x.vec_id, x.label, x.p, x.v)")
+        if k < rounds:
+            steps.append(f"m{k} AS (SELECT p, e, i, sum(s) AS s, count(*) AS c FROM (SELECT p, e, unnest(v) AS s, unnest(range(1, len(v) + 1)) AS i FROM a{k}) GROUP BY p, e, i)")
+            steps.append(f"n{k} AS (SELECT p, e, list(CAST((s - ((s % c) + c) % c) // c AS BIGINT) ORDER BY i) AS v FROM m{k} GROUP BY p, e)")
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(n{k}.v, b{k}.v) AS v FROM b{k} LEFT JOIN n{k} USING (p, e))")
+    return f"""
+WITH z AS (SELECT vec_id, label, list_transform(embedding, lambda q: CAST(floor({scale} * q) AS BIGINT)) AS v, len(embedding) // {parts} AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda q: q IS NULL OR NOT isfinite(q))) = 0),
+x AS MATERIALIZED (SELECT vec_id, label, p, v[p * w + 1 : p * w + w] AS v FROM (SELECT *, unnest(range(0, {parts})) AS p FROM z)),
+b0 AS MATERIALIZED (SELECT p, e, v FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM x) WHERE e < {entries}),
+{", ".join(steps)},
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, books"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op7_positional_index": CONTAMINATION,
     "op8_cover_suffix_dedup": REPEATS,
     "op10_fast_sketch_dedup": NEAR_DUPLICATES,
+    "op11_chunked_fim": FILL_IN_MIDDLE,
+    "op12_annular_codes": vector_codes_sql(),
 }

@@ -1,6 +1,6 @@
 """One query per training-data operator, over whole tables with production parameters.
 
-Every query gives one row per row of its table (op3: per packed sequence, op4: per piece), for empty tables none; what a null, an empty text, a tie or a
+Every query gives one row per row of its table (op3: per packed sequence, op4 and op13: per piece), for empty tables none; what a null, an empty text, a tie or a
 repeated row gives is said by the operator's function. SQL for a second engine is in webloom.llm.oracle, for those that SQL can
 express; trained weights, token ids, sounds and markup cannot be written there, and tests hold those queries against brute force."""
 
@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import audio, contamination, html_text, neardup, packing, pii, quality, sharding, suffix_dedup
+from webloom.llm import audio, contamination, fill_middle, html_text, neardup, packing, pii, quality, repacking, sharding, suffix_dedup, vector_codes
 from webloom.llm.common import releasing, table
 from webloom.llm.oracle import ORACLE_SQL
 from webloom.llm.tokens import stored_type
 
-BPE = "byte_bpe_50k.json"
+BPE, WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +92,27 @@ def op10_fast_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op11_chunked_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut by lines into prefix, middle and suffix, and digests of the output and of the text rebuilt from it. A null or empty text is plain."""
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), unit="line", seed=7, rate=100, spm=50)
+    digests = [F.sha2(c.cast("binary"), 256).alias(n) for c, n in ((F.col("output"), "output_sha256"), (fill_middle.restored(F.col("output"), F.col("form")), "restored_sha256"))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all whole and finite vectors. Equal distances take the lower entry, null labels are one label."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def op13_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in few sequences. A null text is the end id alone; repeated rows are packed each."""
+    packed = repacking.pack_certified(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), capacity=4096, end_id=1)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_audio_features, op2_ftrl_quality, op3_bfd_matrices, op4_online_packing, op5_jump_shard, op6_weak_pii, op7_positional_index, op8_cover_suffix_dedup, op9_block_rules, op10_fast_sketch_dedup)
+    for f in (op1_audio_features, op2_ftrl_quality, op3_bfd_matrices, op4_online_packing, op5_jump_shard, op6_weak_pii, op7_positional_index, op8_cover_suffix_dedup, op9_block_rules, op10_fast_sketch_dedup, op11_chunked_fim, op12_annular_codes, op13_certified_packing)
 }
 
 __all__ = ["BPE", "ORACLE_SQL", "QUERIES", "checksums"]
