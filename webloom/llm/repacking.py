@@ -19,10 +19,10 @@ from webloom.session import ship
 from webloom.storage import discard, materialize
 
 #: Ids of a block that is packed at once, pieces that a block or group hands on in an exchange, and groups that meet in one task.
-BLOCK_IDS, HANDED_ON, FAN_IN = 1 << 22, 1024, 16
+BLOCK_IDS, HANDED_ON, FAN_IN = 1 << 22, 8192, 16
 
-#: A certified block hands on windows with at least this share of their room free; its last windows, where the bound rounds up.
-LOOSE = 64
+#: A certified block, where only the rounding up of its own bound is left, hands on this share of what one with a gap does.
+CERTIFIED = 4
 
 #: Rounding functions tried by the bound, of the family u^(k).
 ROUNDINGS = 64
@@ -74,15 +74,14 @@ def histogram(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def handed_on(windows: list[tuple[int, int, int]], gap: int, capacity: int, limit: int) -> set[int]:
-    """Which of (used, pieces, window) take part in the next exchange: the loosest first, up to ``limit`` pieces together. Where the count has a gap to its bound all windows
-    with room may, otherwise those with much of it. The loosest always does."""
-    least, pieces, out = (1 if gap else max(1, capacity // LOOSE)), 0, set()
+    """Which of (used, pieces, window) take part in the next exchange: those with room, the loosest first, up to ``limit`` pieces together where the count has a gap to its
+    bound, and a quarter of that otherwise. The loosest always does."""
+    room, out = (limit if gap else limit // CERTIFIED), set()
     for used, n, window in sorted(windows):
-        if out and (capacity - used < least or pieces + n > limit):
+        room -= n
+        if used == capacity or (out and room < 0):
             break
-        if used < capacity:
-            out.add(window)
-            pieces += n
+        out.add(window)
     return out
 
 
@@ -199,7 +198,7 @@ def pack_certified(
 
     A document's ids, of a vocabulary of words, end with ``end_id``. A document longer than a window is cut into pieces of ``capacity`` ids, the last as long as what is left. Each
     partition packs blocks of about ``block_ids`` ids by best-fit-decreasing, where it reads them, and compares the count with its lower bound. If the count of all is above the bound for
-    all pieces together, blocks hand on their loosest windows: all with room where the count has a gap, the last ones where it is certified. Those are packed anew,
+    all pieces together, blocks hand on their loosest windows, more of them where their count has a gap than where it is certified. Those are packed anew,
     ``fan_in`` partitions in one task, until the bound is reached or one group is left. ``certificate`` tells how near the result is.
 
     A null or empty text is the end id alone; repeated rows and null keys are packed like any other, keys may be of any type; an empty table gives no rows; other columns
