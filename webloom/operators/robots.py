@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pickle
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import urls
 from webloom.functions.numbers import grade
+from webloom.operators.automata import pack_rules
+from webloom.session import ship
+from webloom.storage import materialize
 
 #: Agents and path prefixes that the quality score looks for.
 AGENTS = ("gptbot", "claudebot", "claude-web", "googlebot-ai", "perplexitybot", "bingbot", "anthropic-ai", "cohere-ai", "chatgpt-user")
@@ -81,27 +89,85 @@ def _any_contains(value: Column, words: tuple[str, ...]) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(value, w))
 
 
-def to_regex(pattern: Column) -> Column:
-    """A rule's path as a regular expression: '*' is anything, a final '$' the end, all else literal and from the start."""
-    literal = F.regexp_replace(pattern, r"([\\^$.|?+()\[\]{}])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(literal, r"\*", ".*"), r"\\\$$", r"\$"))
+#: Bytes of compiled rules that are sent to all tasks; with more, addresses go to the rules. Tasks that the addresses of one site are spread over then.
+BROADCAST_BYTES, SALTS = 32 << 20, 16
+
+_VERDICT = "allow int, pattern string"
+
+
+def compiled(rules: DataFrame, site: Column) -> DataFrame:
+    """(_site, _rules): the rules (kind, value) of each site as one automaton, built once. A site's rules are as many as its file has lines."""
+    rows = rules.select(site.alias("_site"), (F.col("kind") == "allow").cast("int").alias("allow"), F.col("value").alias("pattern")).distinct()
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        packed = pack_rules(list(zip(frame["allow"].tolist(), frame["pattern"].tolist(), strict=True)))
+        return pd.DataFrame({"_site": frame["_site"].iloc[:1], "_rules": [packed]})
+
+    return rows.groupBy("_site").applyInPandas(build, f"_site {rows.schema['_site'].dataType.simpleString()}, _rules binary")
+
+
+def _verdicts_here(spark: SparkSession, automata: DataFrame) -> Callable[[Column, Column], Column]:
+    """Matching with all automata in every task."""
+    packed = spark.sparkContext.broadcast({r["_site"]: bytes(r["_rules"]) for r in automata.collect()})
+
+    @F.pandas_udf(_VERDICT)
+    def match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        ready: dict = {}
+        for sites, paths in batches:
+            out = []
+            for site, path in zip(sites, paths, strict=True):
+                if site not in ready and site in packed.value:
+                    ready[site] = pickle.loads(packed.value[site])
+                found = ready[site].match(path) if site in ready and path is not None else None
+                out.append((found[1], found[2]) if found else (None, None))
+            yield pd.DataFrame(out, columns=["allow", "pattern"]).astype({"allow": "Int32"})
+
+    return match
+
+
+def _verdicts_there(keys: DataFrame, automata: DataFrame) -> DataFrame:
+    """(_site, _path, allow, pattern): distinct addresses go to SALTS tasks a site, each of which gets the site's automaton first and then reads paths past it."""
+    kind = keys.schema["_site"].dataType.simpleString()
+    paths = keys.select("_site", "_path", F.pmod(F.xxhash64("_path"), F.lit(SALTS)).alias("_salt"), F.lit(None).cast("binary").alias("_rules"))
+    rules = automata.select("_site", F.lit(None).cast("string").alias("_path"), F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(SALTS)])).alias("_salt"), "_rules")
+    rows = rules.unionByName(paths).repartition("_site", "_salt").sortWithinPartitions("_site", "_salt", F.col("_rules").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        site, automaton = None, None
+        for batch in batches:
+            out = []
+            for own, path, packed in zip(batch.column("_site").to_pylist(), batch.column("_path").to_pylist(), batch.column("_rules").to_pylist(), strict=True):
+                if packed is not None:
+                    site, automaton = own, pickle.loads(packed)
+                    continue
+                found = automaton.match(path) if automaton is not None and site == own and path is not None else None
+                if found:
+                    out.append({"_site": own, "_path": path, "allow": found[1], "pattern": found[2]})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("_site", batch.column("_site").type), ("_path", pa.string()), ("allow", pa.int32()), ("pattern", pa.string())]))
+
+    return rows.select("_site", "_path", "_rules").mapInArrow(run, f"_site {kind}, _path string, {_VERDICT}")
 
 
 def allowed(pages: DataFrame, rules: DataFrame, user_agent: str = "*", url: str = "url", site: str | None = None) -> DataFrame:
     """pages with column ``allowed`` and the deciding pattern: the longest matching one, 'allow' on a tie; none matching allows.
 
-    ``rules``: user_agent, kind, value (as from ``parse``), of this agent or '*'; with ``site`` (a column of both sides) a page meets its own site's
-    rules only. A file's rules become one row, which is as long as the file, and pages are joined with that row by site, so no page meets
-    a rule through a join on patterns."""
+    ``rules``: user_agent, kind, value (as from ``parse``), of this agent or '*'; with ``site`` (a column of both sides) a page meets its own site's rules only. In a path '*' is anything,
+    a final '$' the end, all else literal and from the start. A site's rules are one automaton, which reads a path once however many they are. Where all automata together are small, every
+    task has them and no page moves; beyond BROADCAST_BYTES distinct paths go to the automata, and what they find is joined back."""
+    spark = ship(pages.sparkSession)
     chosen = rules.filter(F.col("kind").isin("allow", "disallow") & (F.col("value") != "") & F.lower("user_agent").isin(user_agent.lower(), "*"))
-    rule = F.struct((F.col("kind") == "allow").cast("int").alias("allow"), F.col("value").alias("pattern"), to_regex(F.col("value")).alias("regex"))
-    by_site = chosen.groupBy((F.col(site) if site else F.lit(0)).alias("_site")).agg(F.collect_set(rule).alias("_rules"))
+    own = F.col(site) if site else F.lit(0)
+    automata = materialize(compiled(chosen, own), "path_rules")
+    size = automata.agg(F.sum(F.octet_length("_rules").cast("bigint"))).first()[0] or 0
     query = urls.query(F.col(url))
     path = F.concat(urls.path(F.col(url)), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    keyed = pages.withColumns({"_site": F.col(site) if site else F.lit(0), "_path": path}).join(by_site, "_site", "left")
-    matching = F.filter("_rules", lambda r: F.rlike(F.col("_path"), r["regex"]))
-    best = F.array_max(F.transform(matching, lambda r: F.struct(F.char_length(r["pattern"]).alias("n"), r["allow"].alias("allow"), r["pattern"].alias("pattern"))))
-    return keyed.withColumn("_best", best).withColumns({"allowed": F.coalesce(F.col("_best.allow") == 1, F.lit(True)), "pattern": F.col("_best.pattern")}).drop("_best", "_rules", "_site", "_path")
+    keyed = pages.withColumns({"_site": own, "_path": path})
+    if size <= BROADCAST_BYTES:
+        found = keyed.withColumn("_verdict", _verdicts_here(spark, automata)(F.col("_site"), F.col("_path"))).withColumns({"_allow": F.col("_verdict.allow"), "_pattern": F.col("_verdict.pattern")}).drop("_verdict")
+    else:
+        keys = keyed.select("_site", "_path").distinct()
+        found = keyed.join(_verdicts_there(keys, automata).withColumnsRenamed({"allow": "_allow", "pattern": "_pattern"}), ["_site", "_path"], "left")
+    return found.withColumns({"allowed": F.coalesce(F.col("_allow") == 1, F.lit(True)), "pattern": F.col("_pattern")}).select(*pages.columns, "allowed", "pattern")
 
 
 def summary(rows: DataFrame) -> DataFrame:

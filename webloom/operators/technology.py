@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.operators.automata import substrings
+from webloom.session import ship
+
 #: Name, category, confidence, whether only scripts count, whether case counts, and the substrings.
 RULES = [
     ("Adobe Experience Manager Edge Delivery Services", "CMS", "high", True, False, ("aem.js", ".hlx.page", ".hlx.live")),
@@ -45,21 +48,29 @@ RULES = [
 ]
 
 
-def detect(resources: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by…, category, name, confidence) of all technologies seen. The rules, a fixed array inside the expression, are tried once on each distinct
-    address, which most pages share with others; what they find is joined back to the resources."""
-    by = by or []
-    url, low = F.col("url"), F.lower("url")
-    hits = []
-    for name, category, confidence, scripts, case, words in RULES:
-        seen = F.lit(False)
-        for w in words:
-            seen = seen | F.contains(url if case else low, F.lit(w))
-        if scripts:
-            seen = seen & (F.col("type") == "javascript")
-        hits.append(F.when(seen, F.struct(F.lit(category).alias("category"), F.lit(name).alias("name"), F.lit(confidence).alias("confidence"))))
+def _numbered(found: Column, numbers: list[int]) -> Column:
+    """``numbers`` at the places that an array names."""
+    every = F.array(*[F.lit(k) for k in numbers])
+    return F.transform(found, lambda i: every[i])
+
+
+def detect(resources: DataFrame, by: list[str] | None = None, rules: list[tuple] | None = None) -> DataFrame:
+    """(by…, category, name, confidence) of all technologies seen, by RULES or a list like it of any length. Each distinct address, which most pages share with others, is scanned once by
+    one automaton over all substrings (and, in lower case, by one over those that ignore case); what is found is joined back to the resources."""
+    by, rules = by or [], RULES if rules is None else rules
+    words = {case: [(k, w) for k, r in enumerate(rules) for w in r[5] if r[4] == case] for case in (True, False)}
     rows = resources.select(*by, "url", F.coalesce("type", F.lit("")).alias("type"))
-    found = rows.select("url", "type").distinct().select("url", "type", F.inline(F.array_compact(F.array(*hits))))
+    ship(resources.sparkSession)
+    found, hits = rows.select("url", "type").distinct(), []
+    for case, text in ((True, F.col("url")), (False, F.lower("url"))):
+        if words[case]:
+            found = found.withColumn(f"_{case}", substrings(text, [w for _, w in words[case]]))
+            hits.append(_numbered(F.col(f"_{case}"), [k for k, _ in words[case]]))
+    if not hits:
+        hits = [F.array().cast("array<int>")]
+    known = resources.sparkSession.createDataFrame([(k, r[0], r[1], r[2], r[3]) for k, r in enumerate(rules)], "_rule int, name string, category string, confidence string, _scripts boolean")
+    found = found.select("url", "type", F.explode(F.array_distinct(F.concat(*hits))).alias("_rule")).join(known, "_rule").filter(~F.col("_scripts") | (F.col("type") == "javascript"))
+    found = found.select("url", "type", "category", "name", "confidence")
     rows = rows.join(found, ["url", "type"]) if by else found
     return rows.groupBy(*by, "category", "name").agg(F.min("confidence").alias("confidence"))
 
