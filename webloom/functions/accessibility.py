@@ -22,19 +22,19 @@ GUIDELINES = {
     "4.1": "Compatible",
 }
 MANUAL_CHECKS = {
-    "1.1": "Verify all non-text content has appropriate text alternatives",
-    "1.2": "Check time-based media has captions and transcripts",
-    "1.3": "Verify content structure and relationships are programmatically determinable",
-    "1.4": "Check color contrast and text resizing",
-    "2.1": "Verify all functionality is available via keyboard",
-    "2.2": "Check timing is adjustable or can be turned off",
-    "2.3": "Verify no content flashes more than 3 times per second",
-    "2.4": "Check navigation and focus order",
-    "2.5": "Verify pointer gestures have alternative input methods",
-    "3.1": "Check language of page and parts",
-    "3.2": "Verify consistent navigation and identification",
-    "3.3": "Check error prevention and recovery",
-    "4.1": "Verify compatibility with assistive technologies",
+    "1.1": "Read the page without images: is anything lost?",
+    "1.2": "Play films and sound: are there captions and a transcript?",
+    "1.3": "Listen to headings, lists and tables with a screen reader",
+    "1.4": "Measure contrasts, and enlarge the text to twice its size",
+    "2.1": "Use everything without a mouse",
+    "2.2": "Wait: does anything run out that cannot be extended?",
+    "2.3": "Watch for anything that flashes",
+    "2.4": "Go through links and fields by tab: is the order sensible?",
+    "2.5": "Do without gestures what gestures do",
+    "3.1": "Look whether the language of page and quotations is marked",
+    "3.2": "Compare menus and names across pages",
+    "3.3": "Fill forms wrongly: are faults named and easy to mend?",
+    "4.1": "Try the page with a screen reader and a voice control",
 }
 SEVERITY_WEIGHTS = {"Critical": 5, "Serious": 3, "Moderate": 2, "Minor": 1}
 

@@ -85,33 +85,33 @@ def quality(files: DataFrame, key: str = "url", content: str = "content") -> Dat
     )
     score = F.when(F.col("valid"), F.least(F.lit(100), total)).otherwise(0)
     label = F.when(~F.col("valid"), "Missing").otherwise(grade(score, [(85, "Excellent"), (70, "Good"), (50, "Fair"), (30, "Poor")], "Very Poor"))
-    # fixed values: what is said of a file
+    # what is said of a file
     core = {
-        "title": ("Missing H1 title identifying the site", "Add H1 heading as first element (# Site Name)"),
-        "description": ("Missing clear description of site purpose", "Add concise description of what the site does"),
-        "contact": ("Missing contact information for AI policy questions", "Add contact email or form for AI access inquiries"),
-        "last_updated": ('Missing "Last Updated" timestamp', "Add **Last updated:** [Date] for version tracking"),
+        "title": ("The site is not named in a first heading", "Begin with a heading that names the site"),
+        "description": ("What the site is for is not said", "Say in a sentence or two what the site is for"),
+        "contact": ("Nobody is named to ask", "Name an address for questions on access"),
+        "last_updated": ('The date of the last change is not given', "Give the date of the last change"),
     }
     issues = said(
         ~F.col("valid"),
-        "llms.txt file is missing or invalid",
+        "There is no llms.txt, or it has no heading",
         *((present(c) == 0, text) for c, (text, _) in core.items()),
-        (words < 50, "Very brief content - needs substantial expansion"),
-        (links == 0, "No documentation links found"),
+        (words < 50, "The text has fewer than 50 words"),
+        (links == 0, "Nothing is linked"),
     )
     advice = said(
         ~F.col("valid"),
-        "Create a valid llms.txt file at the site root",
+        "Publish an llms.txt that begins with a heading",
         *((present(c) == 0, text) for c, (_, text) in core.items()),
-        *((~has_section(w), f"Add section for {name.replace('_', ' ')}") for name, w in SECTIONS.items()),
-        (words.between(100, 199), F.format_string("Expand content with more specific guidance (current: %d words)", words)),
-        (words.between(50, 99), "Add more detailed sections and guidance"),
-        (links.between(3, 4), "Add more documentation links (API docs, policies, etc.)"),
-        (links.between(1, 2), "Include links to key resources and documentation"),
-        (links == 0, "Add links to API documentation, policies, and resources"),
-        (hits == 1, "Add more specific details (rate limits, endpoints, paths)"),
-        (hits == 0, "Include specific rate limits, API endpoints, and restricted paths"),
-        (~F.col("has_site_type"), "Declare site type (E-Commerce, Content-Driven, API-Driven, etc.)"),
+        *((~has_section(w), f"Write a section on {name.replace('_', ' ')}") for name, w in SECTIONS.items()),
+        (words.between(100, 199), F.format_string("Go into more detail than %d words allow", words)),
+        (words.between(50, 99), "Write the sections out"),
+        (links.between(3, 4), "Link to a few more documents"),
+        (links.between(1, 2), "Link to the documents that matter most"),
+        (links == 0, "Link to documents on interfaces and rules"),
+        (hits == 1, "Name one more fact that programs need, such as limits or paths"),
+        (hits == 0, "Name the facts that programs need: limits, addresses, closed paths"),
+        (~F.col("has_site_type"), "Say what type of site it is"),
     )
     counts = [(n_sections / 5).cast("int").alias("sections"), F.col("word_count"), links.alias("n_links"), F.size("headings").alias("n_headings")]
     return p.select(key, score.cast("int").alias("score"), label.alias("quality"), *counts, issues.alias("issues"), advice.alias("recommendations"))

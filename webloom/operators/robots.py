@@ -58,24 +58,24 @@ def quality(files: DataFrame, key: str = "url", content: str = "content") -> Dat
     total = by_agents + F.when(sitemaps > 0, 20).otherwise(0) + by_paths + F.when(mentions > 0, 15).otherwise(0) + by_comments + F.when(complete, 10).otherwise(0)
     score = F.when(F.col("missing"), 0).otherwise(F.least(F.lit(100), total))
     label = F.when(F.col("missing"), "Missing").otherwise(grade(score, [(80, "Excellent"), (60, "Good"), (40, "Fair")], "Poor"))
-    # fixed values: what is said of a file
+    # what is said of a file
     issues = said(
         F.col("missing"),
-        "robots.txt file is missing or invalid",
-        (agents == 0, "No AI-specific user agents found (e.g., GPTBot, ClaudeBot)"),
-        (sitemaps == 0, "No sitemap reference found"),
-        (paths == 0, "No sensitive paths are protected (admin, account, cart, checkout)"),
+        "There is no robots.txt, or it says nothing",
+        (agents == 0, "No crawler of a language model is addressed by name"),
+        (sitemaps == 0, "The sitemap is not named"),
+        (paths == 0, "Private areas are open to crawlers"),
     )
     advice = said(
         F.col("missing"),
-        "Create a valid robots.txt file at the site root",
-        (agents.between(1, 2), F.format_string("Add more AI user-agent declarations (found %d, recommend 3+)", agents)),
-        (agents == 0, "Add specific user-agent declarations for AI crawlers"),
-        (sitemaps == 0, 'Add "Sitemap: <URL>" declaration to help AI agents discover content'),
-        (paths.between(1, 2), "Consider protecting more sensitive paths (admin, account, cart, checkout)"),
-        (paths == 0, "Add Disallow rules for sensitive areas to prevent AI access"),
-        (mentions == 0, "Add comment referencing llms.txt for comprehensive AI guidance"),
-        (comments == 0, "Add comments to explain AI access policies"),
+        "Publish a robots.txt with at least one rule",
+        (agents.between(1, 2), F.format_string("Address more crawlers of language models by name: three or more, not %d", agents)),
+        (agents == 0, "Address crawlers of language models by name"),
+        (sitemaps == 0, 'Name the sitemap in a Sitemap line'),
+        (paths.between(1, 2), "Close more of the private areas"),
+        (paths == 0, "Close private areas such as accounts and carts by Disallow lines"),
+        (mentions == 0, "Point to llms.txt in a comment"),
+        (comments == 0, "Explain the rules in comments"),
     )
     return all_.select(key, score.alias("score"), label.alias("quality"), "ai_agents", "sitemaps", "protected_paths", "llms_mentions", "comments", issues.alias("issues"), advice.alias("recommendations"))
 

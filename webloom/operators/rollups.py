@@ -158,15 +158,15 @@ def page_sections(pages: DataFrame) -> DataFrame:
 
 def section_advice(sections: DataFrame) -> DataFrame:
     """Top recommendations from the rows of the sections: (position, recommendation)."""
-    # fixed values: the counter that brings up each
+    # by the counter that brings up each
     advice = {
-        "Missing titles": "Add title tags to pages missing them",
-        "Titles over 60 characters": "Shorten title tags that are over 60 characters",
-        "Missing meta descriptions": "Add meta descriptions to pages missing them",
-        "Missing H1": "Add H1 tags to pages missing them",
-        "Images missing alt text": "Add alt text to images missing it",
-        "HTTP URLs (non-secure)": "Migrate all pages to HTTPS",
-        "Low content pages": "Improve content on pages with low word count",
+        "Missing titles": "Give every page a title",
+        "Titles over 60 characters": "Bring titles down to 60 characters",
+        "Missing meta descriptions": "Give every page a description",
+        "Missing H1": "Give every page a main heading",
+        "Images missing alt text": "Say in alt what each image shows",
+        "HTTP URLs (non-secure)": "Serve all pages by HTTPS",
+        "Low content pages": "Say more on pages of few words",
     }
     items = F.array(*[F.lit(x) for x in advice])
     return sections.filter("value > 0").select(F.array_position(items, F.col("item")).alias("position"), a11y.named(F.col("item"), advice).alias("recommendation")).filter("position > 0")
@@ -243,34 +243,34 @@ def _file_rules(name: str, limit: int, low: int, text: str, missing: str) -> lis
 
 
 def finding_rules() -> list[tuple]:
-    """Category, severity, condition and text of what a summary can show, in order."""
+    """Category, severity, condition and text of what a summary can show, in order."""
     load, seo, low = F.col("load_time"), F.col("seo_score"), F.col("low_content_pages")
     return [
-        ("Performance", F.lit("High"), load > 3000, _said("Average load time of %dms exceeds recommended threshold of 3000ms", half_up(load))),
-        ("Accessibility", F.lit("Critical"), F.col("errors") > 0, _said("%d critical accessibility errors found across site", F.col("errors"))),
-        ("SEO", F.lit("Medium"), seo < 70, _said("Average SEO score of %d is below recommended threshold of 70", half_up(seo))),
-        ("Content", F.lit("Medium"), low > 0.2 * F.col("pages"), _said("%d pages (%d%%) have insufficient content (<300 words)", low, half_up(100 * ratio(low, F.col("pages"))))),
-        ("LLM Suitability", F.lit("Low"), ~F.col("has_llms_txt") & (F.col("llm_pages") > 0), _said("No llms.txt file detected - consider adding for better AI agent compatibility")),
-        *_file_rules("robots", 60, 40, "robots.txt quality is %s (%d/100) - needs improvement for AI agent compatibility", "robots.txt file not found - recommended for guiding AI agent access"),
-        *_file_rules("llms", 70, 50, "llms.txt quality is %s (%d/100) - consider improving for better AI agent guidance", "llms.txt file not found - recommended for comprehensive AI agent guidance (see llmstxt.org)"),
+        ("Performance", F.lit("High"), load > 3000, _said("Pages take %d ms to load on average; 3000 ms is the limit", half_up(load))),
+        ("Accessibility", F.lit("Critical"), F.col("errors") > 0, _said("Accessibility errors on all pages together: %d", F.col("errors"))),
+        ("SEO", F.lit("Medium"), seo < 70, _said("The average search score is %d; it should reach 70", half_up(seo))),
+        ("Content", F.lit("Medium"), low > 0.2 * F.col("pages"), _said("Pages of fewer than 300 words: %d, a share of %d%%", low, half_up(100 * ratio(low, F.col("pages"))))),
+        ("LLM Suitability", F.lit("Low"), ~F.col("has_llms_txt") & (F.col("llm_pages") > 0), _said("The site tells language models nothing of itself, as it has no llms.txt")),
+        *_file_rules("robots", 60, 40, "The robots.txt is rated %s, %d of 100 points", "The site has no robots.txt"),
+        *_file_rules("llms", 70, 50, "The llms.txt is rated %s, %d of 100 points", "The site has no llms.txt"),
     ]
 
 
 def recommendation_rules() -> list[tuple]:
-    """Category, priority, condition and text of what to do, in order."""
+    """Category, priority, condition and text of what to do, in order."""
 
     def of_file(name: str, limit: int, low: int, missing: str) -> list[tuple]:
         exists, score, advice = (F.col(f"{name}_{c}") for c in ("exists", "score", "advice"))
         return [("AI Compatibility", F.when(score < low, "Medium").otherwise("Low"), exists & (score < limit) & advice.isNotNull(), _said(f"{name}.txt: %s", advice)), ("AI Compatibility", F.lit("Low"), ~exists, _said(missing))]
 
     return [
-        ("Performance", F.lit("High"), F.col("lcp") > 2500, _said("Optimize Largest Contentful Paint by optimizing images and reducing render-blocking resources")),
-        ("Accessibility", F.lit("Critical"), F.col("errors") > 0, _said("Address critical WCAG errors immediately to ensure site accessibility for all users")),
-        ("SEO", F.lit("Medium"), F.col("pages_without_description") > 0, _said("Add meta descriptions to %d pages to improve search engine visibility", F.col("pages_without_description"))),
-        ("Content", F.lit("Medium"), F.col("low_content_pages") > 0, _said("Expand content on %d pages to improve SEO and user experience", F.col("low_content_pages"))),
-        ("LLM Suitability", F.lit("Low"), (F.col("served_score") < 50) & (F.col("llm_pages") > 0), _said("Improve semantic HTML structure and add structured data for better AI agent compatibility")),
-        *of_file("robots", 60, 40, "Create a robots.txt file with AI-specific user agents (GPTBot, ClaudeBot) and sitemap references"),
-        *of_file("llms", 70, 50, "Create a comprehensive llms.txt file following llmstxt.org specification with access guidelines and content restrictions"),
+        ("Performance", F.lit("High"), F.col("lcp") > 2500, _said("Let the largest element appear sooner: serve smaller images and load scripts after it")),
+        ("Accessibility", F.lit("Critical"), F.col("errors") > 0, _said("Mend the accessibility errors before anything else")),
+        ("SEO", F.lit("Medium"), F.col("pages_without_description") > 0, _said("Write a description for each page that has none; there are %d", F.col("pages_without_description"))),
+        ("Content", F.lit("Medium"), F.col("low_content_pages") > 0, _said("Say more on short pages, or join them; there are %d", F.col("low_content_pages"))),
+        ("LLM Suitability", F.lit("Low"), (F.col("served_score") < 50) & (F.col("llm_pages") > 0), _said("Mark the parts of pages by their elements and describe their subject in JSON-LD")),
+        *of_file("robots", 60, 40, "Publish a robots.txt that names the crawlers of language models and the sitemap"),
+        *of_file("llms", 70, 50, "Publish an llms.txt with what the site offers and what may be done with it"),
     ]
 
 

@@ -86,16 +86,16 @@ def agent_feedback_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("page", F.array_join(agents.feedback(_columns(df), F.col("page") % 2 == 0), ",").alias("rules"))
 
 
-#: Texts by rule, for the second engine.
+#: Texts by rule, for the second engine.
 SQL_TEXTS = {
-    "no_main": ("'No <main> element - agents cannot identify primary content'", "Add <main> element around primary page content"), "no_nav": ("'No <nav> element - agents cannot identify navigation'", "Wrap navigation menus in <nav> elements"),
-    "field_names": ("'Only ' || floor(100 * name_ratio + 0.5)::BIGINT || '% of form fields use standard names'", "Use standard field names: email, firstName, lastName, phone, etc."), "field_labels": ("floor(100 * (1 - label_ratio) + 0.5)::BIGINT || '% of form fields missing labels'", "Add <label> or aria-label to all form fields"),
-    "no_schema_org": ("'No Schema.org structured data'", "Add JSON-LD with Schema.org vocabulary for key content"), "no_llms_txt": ("'No llms.txt file detected'", "Add llms.txt file at site root for LLM agent discovery (see llmstxt.org)"),
-    "autocomplete": ("'Only ' || floor(100 * autocomplete_ratio + 0.5)::BIGINT || '% of form fields have autocomplete attributes'", 'Add autocomplete attributes to form fields (e.g., autocomplete="email", "name", "tel")'), "robots_restrictions": ("'Page has robot restrictions (noindex/nofollow) that may block agents'", "Review robots meta tags - consider allowing agent access where appropriate"),
-    "no_ai_txt": ("'No ai.txt file detected for AI-specific instructions'", "Consider adding ai.txt file for AI agent-specific guidance"), "no_data_state": ("'No data-state attributes for dynamic content'", "Add data-state to loading indicators and dynamic content"),
-    "no_agent_visible": ("'No data-agent-visible attributes found'", "Consider using data-agent-visible to explicitly control agent visibility"), "no_persistent_errors": ("'Error messages may not persist'", 'Use role="alert" and aria-live for persistent errors'),
-    "bot_protection": ("'Bot protection detected: ' || CASE WHEN page % 3 = 0 THEN 'reCAPTCHA' ELSE 'None' END", "Bot protection may prevent agent access - consider alternative verification for agents"), "api_discovery": ("'Low API endpoint discoverability'", "Add API documentation links and OpenAPI/Swagger specifications for agent access"),
-    "table_scope": ("'Tables missing scope attributes'", 'Add scope="col" and scope="row" to table headers'),
+    "no_main": ("'The page does not mark where its content is'", "Put the content of the page into one <main> element"), "no_nav": ("'The page does not mark its menus'", "Put every menu into a <nav> element"),
+    "field_names": ("'Form fields with a usual name: ' || floor(100 * name_ratio + 0.5)::BIGINT || '%'", "Name fields by what they ask for, as other sites do (email, phone, city)"), "field_labels": ("'Form fields that nothing labels: ' || floor(100 * (1 - label_ratio) + 0.5)::BIGINT || '%'", "Give each field a label of its own, seen or in aria-label"),
+    "no_schema_org": ("'Nothing on the page is described in the Schema.org vocabulary'", "Describe what the page is about in a JSON-LD block"), "no_llms_txt": ("'Language models find no llms.txt from here'", "Publish /llms.txt and link to it from the page"),
+    "autocomplete": ("'Form fields with a completion hint: ' || floor(100 * autocomplete_ratio + 0.5)::BIGINT || '%'", 'Say in autocomplete what each field is for'), "robots_restrictions": ("'The robots meta tag keeps programs from indexing or following'", "Keep noindex, nofollow and noarchive to pages that nobody should find"),
+    "no_ai_txt": ("'The page names no ai.txt'", "Publish /ai.txt with what models may do with the content, and link to it"), "no_data_state": ("'Elements that change do not tell their state'", "Write the state of changing elements into data-state"),
+    "no_agent_visible": ("'The page does not say which elements are meant for programs'", "Mark elements with data-agent-visible, true or false"), "no_persistent_errors": ("'Nothing shows that error messages stay on the page'", 'Show errors in an element with role="alert" inside an aria-live region, until they are mended'),
+    "bot_protection": ("'The page checks for programs: ' || CASE WHEN page % 3 = 0 THEN 'reCAPTCHA' ELSE 'None' END", "Offer a way in that needs no challenge, such as an interface with keys"), "api_discovery": ("'Programs hardly find an interface from here'", "Link to documentation of the interface and to its OpenAPI file"),
+    "table_scope": ("'Table headers do not say what they head'", 'Give table headers a scope, row or col'),
 }
 
 

@@ -54,7 +54,7 @@ def issues_not_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""WITH {SQL_ISSUES} SELECT page_url, code, count(*) AS n, min(type) AS type, min(message) AS message, arg_min(severity, list_position(['Critical', 'Serious', 'Moderate', 'Minor'], severity)) AS severity, nullif(min(level), '') AS level, CASE WHEN min(guideline) = '.' THEN NULL ELSE min(guideline) END AS guideline,
- CASE min(guideline) WHEN '1.1' THEN 'Verify all non-text content has appropriate text alternatives' WHEN '1.4' THEN 'Check color contrast and text resizing' WHEN '2.1' THEN 'Verify all functionality is available via keyboard' WHEN '3.1' THEN 'Check language of page and parts' END AS manual_check FROM v GROUP BY 1, 2""")
+ CASE min(guideline) WHEN '1.1' THEN 'Read the page without images: is anything lost?' WHEN '1.4' THEN 'Measure contrasts, and enlarge the text to twice its size' WHEN '2.1' THEN 'Use everything without a mouse' WHEN '3.1' THEN 'Look whether the language of page and quotations is marked' END AS manual_check FROM v GROUP BY 1, 2""")
 def issues_by_page_and_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.issues_by_page_and_code(_issues(spark, sf_dir)).drop("guideline_name", "remediation")
 
@@ -164,13 +164,13 @@ def _texts(missing: str, if_missing: str, rules: list[tuple[str, str]]) -> str:
     return f"CASE WHEN {missing} THEN '{if_missing}' ELSE concat_ws('; ', {quoted}) END"
 
 
-SQL_ROBOTS_ISSUES = _texts("missing", "robots.txt file is missing or invalid", [("a = 0", "'No AI-specific user agents found (e.g., GPTBot, ClaudeBot)'"), ("s = 0", "'No sitemap reference found'"), ("p = 0", "'No sensitive paths are protected (admin, account, cart, checkout)'")])
+SQL_ROBOTS_ISSUES = _texts("missing", "There is no robots.txt, or it says nothing", [("a = 0", "'No crawler of a language model is addressed by name'"), ("s = 0", "'The sitemap is not named'"), ("p = 0", "'Private areas are open to crawlers'")])
 SQL_ROBOTS_ADVICE = _texts(
     "missing",
-    "Create a valid robots.txt file at the site root",
+    "Publish a robots.txt with at least one rule",
     [
-        ("a IN (1, 2)", "'Add more AI user-agent declarations (found ' || a || ', recommend 3+)'"), ("a = 0", "'Add specific user-agent declarations for AI crawlers'"), ("s = 0", "'Add \"Sitemap: <URL>\" declaration to help AI agents discover content'"),
-        ("p IN (1, 2)", "'Consider protecting more sensitive paths (admin, account, cart, checkout)'"), ("p = 0", "'Add Disallow rules for sensitive areas to prevent AI access'"), ("NOT m", "'Add comment referencing llms.txt for comprehensive AI guidance'"), ("c = 0", "'Add comments to explain AI access policies'"),
+        ("a IN (1, 2)", "'Address more crawlers of language models by name: three or more, not ' || a"), ("a = 0", "'Address crawlers of language models by name'"), ("s = 0", "'Name the sitemap in a Sitemap line'"),
+        ("p IN (1, 2)", "'Close more of the private areas'"), ("p = 0", "'Close private areas such as accounts and carts by Disallow lines'"), ("NOT m", "'Point to llms.txt in a comment'"), ("c = 0", "'Explain the rules in comments'"),
     ],
 )
 
@@ -206,15 +206,15 @@ LLMS = _lines(
     ]
 )
 SQL_SECTIONS = [("access guidelines", "access|guidelines|rate limit|usage"), ("content restrictions", "restrictions|prohibited|disallow|off-limits"), ("api access", "api|endpoint|authentication"), ("training guidelines", "training|machine learning|data usage"), ("attribution", "attribution|credit|citation"), ("error handling", "error|retry|fallback")]
-SQL_LLMS_ISSUES = _texts("missing", "llms.txt file is missing or invalid", [("NOT t", "'Missing H1 title identifying the site'"), ("NOT d", "'Missing clear description of site purpose'"), ("NOT c", "'Missing contact information for AI policy questions'"), ("NOT u", "'Missing \"Last Updated\" timestamp'"), ("w < 50", "'Very brief content - needs substantial expansion'"), ("n = 0", "'No documentation links found'")])
+SQL_LLMS_ISSUES = _texts("missing", "There is no llms.txt, or it has no heading", [("NOT t", "'The site is not named in a first heading'"), ("NOT d", "'What the site is for is not said'"), ("NOT c", "'Nobody is named to ask'"), ("NOT u", "'The date of the last change is not given'"), ("w < 50", "'The text has fewer than 50 words'"), ("n = 0", "'Nothing is linked'")])
 SQL_LLMS_ADVICE = _texts(
     "missing",
-    "Create a valid llms.txt file at the site root",
+    "Publish an llms.txt that begins with a heading",
     [
-        ("NOT t", "'Add H1 heading as first element (# Site Name)'"), ("NOT d", "'Add concise description of what the site does'"), ("NOT c", "'Add contact email or form for AI access inquiries'"), ("NOT u", "'Add **Last updated:** [Date] for version tracking'"),
-        *((f"NOT s{k}", f"'Add section for {name}'") for k, (name, _) in enumerate(SQL_SECTIONS)),
-        ("w >= 100 AND w < 200", "'Expand content with more specific guidance (current: ' || w || ' words)'"), ("w >= 50 AND w < 100", "'Add more detailed sections and guidance'"), ("n IN (3, 4)", "'Add more documentation links (API docs, policies, etc.)'"), ("n IN (1, 2)", "'Include links to key resources and documentation'"),
-        ("n = 0", "'Add links to API documentation, policies, and resources'"), ("z = 1", "'Add more specific details (rate limits, endpoints, paths)'"), ("z = 0", "'Include specific rate limits, API endpoints, and restricted paths'"), ("NOT y", "'Declare site type (E-Commerce, Content-Driven, API-Driven, etc.)'"),
+        ("NOT t", "'Begin with a heading that names the site'"), ("NOT d", "'Say in a sentence or two what the site is for'"), ("NOT c", "'Name an address for questions on access'"), ("NOT u", "'Give the date of the last change'"),
+        *((f"NOT s{k}", f"'Write a section on {name}'") for k, (name, _) in enumerate(SQL_SECTIONS)),
+        ("w >= 100 AND w < 200", "'Go into more detail than ' || w || ' words allow'"), ("w >= 50 AND w < 100", "'Write the sections out'"), ("n IN (3, 4)", "'Link to a few more documents'"), ("n IN (1, 2)", "'Link to the documents that matter most'"),
+        ("n = 0", "'Link to documents on interfaces and rules'"), ("z = 1", "'Name one more fact that programs need, such as limits or paths'"), ("z = 0", "'Name the facts that programs need: limits, addresses, closed paths'"), ("NOT y", "'Say what type of site it is'"),
     ],
 )
 
@@ -386,30 +386,30 @@ def _sql_rules(rules: list[tuple[str, str, str, str]], rank: str, text: str) ->
 
 
 @register(_sql_rules([
-    ("Performance", "'High'", "load_time > 3000", "'Average load time of ' || floor(load_time + 0.5)::BIGINT || 'ms exceeds recommended threshold of 3000ms'"),
-    ("Accessibility", "'Critical'", "errors > 0", "errors || ' critical accessibility errors found across site'"),
-    ("SEO", "'Medium'", "seo_score < 70", "'Average SEO score of ' || floor(seo_score + 0.5)::BIGINT || ' is below recommended threshold of 70'"),
-    ("Content", "'Medium'", "low_content_pages > pages * 0.2", "low_content_pages || ' pages (' || floor(100 * (low_content_pages::DOUBLE / pages) + 0.5)::BIGINT || '%) have insufficient content (<300 words)'"),
-    ("LLM Suitability", "'Low'", "NOT has_llms_txt AND llm_pages > 0", "'No llms.txt file detected - consider adding for better AI agent compatibility'"),
-    ("AI Compatibility", "CASE WHEN robots_score < 40 THEN 'Medium' ELSE 'Low' END", "robots_exists AND robots_score < 60", "'robots.txt quality is ' || robots_quality || ' (' || robots_score || '/100) - needs improvement for AI agent compatibility'"),
-    ("AI Compatibility", "'Low'", "NOT robots_exists", "'robots.txt file not found - recommended for guiding AI agent access'"),
-    ("AI Compatibility", "CASE WHEN llms_score < 50 THEN 'Medium' ELSE 'Low' END", "llms_exists AND llms_score < 70", "'llms.txt quality is ' || llms_quality || ' (' || llms_score || '/100) - consider improving for better AI agent guidance'"),
-    ("AI Compatibility", "'Low'", "NOT llms_exists", "'llms.txt file not found - recommended for comprehensive AI agent guidance (see llmstxt.org)'"),
+    ("Performance", "'High'", "load_time > 3000", "'Pages take ' || floor(load_time + 0.5)::BIGINT || ' ms to load on average; 3000 ms is the limit'"),
+    ("Accessibility", "'Critical'", "errors > 0", "'Accessibility errors on all pages together: ' || errors"),
+    ("SEO", "'Medium'", "seo_score < 70", "'The average search score is ' || floor(seo_score + 0.5)::BIGINT || '; it should reach 70'"),
+    ("Content", "'Medium'", "low_content_pages > pages * 0.2", "'Pages of fewer than 300 words: ' || low_content_pages || ', a share of ' || floor(100 * (low_content_pages::DOUBLE / pages) + 0.5)::BIGINT || '%'"),
+    ("LLM Suitability", "'Low'", "NOT has_llms_txt AND llm_pages > 0", "'The site tells language models nothing of itself, as it has no llms.txt'"),
+    ("AI Compatibility", "CASE WHEN robots_score < 40 THEN 'Medium' ELSE 'Low' END", "robots_exists AND robots_score < 60", "'The robots.txt is rated ' || robots_quality || ', ' || robots_score || ' of 100 points'"),
+    ("AI Compatibility", "'Low'", "NOT robots_exists", "'The site has no robots.txt'"),
+    ("AI Compatibility", "CASE WHEN llms_score < 50 THEN 'Medium' ELSE 'Low' END", "llms_exists AND llms_score < 70", "'The llms.txt is rated ' || llms_quality || ', ' || llms_score || ' of 100 points'"),
+    ("AI Compatibility", "'Low'", "NOT llms_exists", "'The site has no llms.txt'"),
 ], "severity", "finding"))
 def key_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.findings(_sites(spark, sf_dir), ["site"]).withColumn("position", long(F.col("position")))
 
 
 @register(_sql_rules([
-    ("Performance", "'High'", "lcp > 2500", "'Optimize Largest Contentful Paint by optimizing images and reducing render-blocking resources'"),
-    ("Accessibility", "'Critical'", "errors > 0", "'Address critical WCAG errors immediately to ensure site accessibility for all users'"),
-    ("SEO", "'Medium'", "pages_without_description > 0", "'Add meta descriptions to ' || pages_without_description || ' pages to improve search engine visibility'"),
-    ("Content", "'Medium'", "low_content_pages > 0", "'Expand content on ' || low_content_pages || ' pages to improve SEO and user experience'"),
-    ("LLM Suitability", "'Low'", "served_score < 50 AND llm_pages > 0", "'Improve semantic HTML structure and add structured data for better AI agent compatibility'"),
+    ("Performance", "'High'", "lcp > 2500", "'Let the largest element appear sooner: serve smaller images and load scripts after it'"),
+    ("Accessibility", "'Critical'", "errors > 0", "'Mend the accessibility errors before anything else'"),
+    ("SEO", "'Medium'", "pages_without_description > 0", "'Write a description for each page that has none; there are ' || pages_without_description"),
+    ("Content", "'Medium'", "low_content_pages > 0", "'Say more on short pages, or join them; there are ' || low_content_pages"),
+    ("LLM Suitability", "'Low'", "served_score < 50 AND llm_pages > 0", "'Mark the parts of pages by their elements and describe their subject in JSON-LD'"),
     ("AI Compatibility", "CASE WHEN robots_score < 40 THEN 'Medium' ELSE 'Low' END", "robots_exists AND robots_score < 60 AND robots_advice IS NOT NULL", "'robots.txt: ' || robots_advice"),
-    ("AI Compatibility", "'Low'", "NOT robots_exists", "'Create a robots.txt file with AI-specific user agents (GPTBot, ClaudeBot) and sitemap references'"),
+    ("AI Compatibility", "'Low'", "NOT robots_exists", "'Publish a robots.txt that names the crawlers of language models and the sitemap'"),
     ("AI Compatibility", "CASE WHEN llms_score < 50 THEN 'Medium' ELSE 'Low' END", "llms_exists AND llms_score < 70 AND llms_advice IS NOT NULL", "'llms.txt: ' || llms_advice"),
-    ("AI Compatibility", "'Low'", "NOT llms_exists", "'Create a comprehensive llms.txt file following llmstxt.org specification with access guidelines and content restrictions'"),
+    ("AI Compatibility", "'Low'", "NOT llms_exists", "'Publish an llms.txt with what the site offers and what may be done with it'"),
 ], "priority", "recommendation"))
 def site_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.recommendations(_sites(spark, sf_dir), ["site"]).withColumn("position", long(F.col("position")))

@@ -117,7 +117,7 @@ def pattern_library(examples: DataFrame) -> str:
     out = ["# Pattern library"]
     for name, (title, text, priority, effort, advice) in LIBRARY.items():
         rows = sorted(found.get(name, []), key=lambda r: r["rank"])
-        listed = "\n".join(f"{r['rank']}. {r['url']} ({r['score']:g})" for r in rows) or "No examples found in analyzed pages"
+        listed = "\n".join(f"{r['rank']}. {r['url']} ({r['score']:g})" for r in rows) or "no page was good enough"
         out.append(f"## {title}\n\n{text}\n\nPriority: {priority}, effort: {effort}\n\n### Examples\n\n{listed}\n\n### Recommendations\n\n" + "\n".join(f"- {a}" for a in advice))
     return "\n\n".join(out)
 
