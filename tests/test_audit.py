@@ -28,7 +28,7 @@ def pages(spark):
 
 
 def test_audit_and_history(spark, tmp_path):
-    cfg = config.load(env={}, base_url="https://a.com/", output=str(tmp_path / "out"), history=str(tmp_path / "runs"), as_of="2024-01-05")
+    cfg = config.load(env={}, base_url="https://a.com/", output=str(tmp_path / "out"), history=str(tmp_path / "runs"), as_of="2024-01-05", establish_baseline=True)
     inputs = {
         "sitemap": spark.createDataFrame([("https://a.com/",), ("https://a.com/lonely",)], "url string"),
         "issues": spark.createDataFrame([("https://a.com/", "WCAG2AA.Principle1.Guideline1_1.x", "error", "no alt")], "page_url string, code string, type string, message string"),
@@ -74,7 +74,18 @@ def check_more(found, out):
     summary = json.loads(text(out / "executive_summary.json"))
     assert summary["seo"][0]["pages"] == 2 and "## findings" in text(out / "executive_summary.md")
     assert "Semantic HTML Structure" in text(out / "pattern_library.md") and "llms.txt" in text(out / "ai_files_summary.md") and "Text Alternatives" in text(out / "accessibility_report.md")
-    assert (out / "regression_report.md").is_dir()
+    assert text(out / "regression_report.md").splitlines()[2] == "no baseline is pinned"
+    read = lambda name: {r["url"]: r for r in found["seo_scores"].sparkSession.read.option("header", True).option("escape", '"').csv(str(out / name)).collect()}
+    general, front, back, readable = (read(n) for n in ("llm_general_suitability", "llm_frontend_suitability", "llm_backend_suitability", "llm_readability_report"))
+    two, home = "https://a.com/en/two", "https://a.com/"
+    assert general[two]["has_nav"] == "false" and general[two]["top_issue"] == "The page does not mark where its content is" and general[two]["site_has_llms_txt"] == "true"
+    assert int(general[two]["essential_issues"]) + int(general[two]["other_issues"]) == len(json.loads(general[two]["feedback"])) and general[two]["priority"] == "Critical"
+    assert front[two]["recommendations"].count("; ") == 1 and front[home]["forms"] == "1" and front[home]["standard_percent"] == "50" and front[home]["captcha_type"] == "None"
+    assert back[two]["status_good"] == "true" and "Schema.org" in back[two]["issues"] and back[home]["json_ld"] == "1" and back[two]["llms_href"] == "N/A"
+    assert readable[two]["semantic_usage"] == "Poor" and readable[home]["heading_quality"] == "Excellent" and readable[home]["has_main_content"] == "true" and float(readable[home]["text_percent"]) > 0
+    files = {n: next(iter(read(n).values())) for n in ("robots_txt_quality", "llms_txt_quality")}
+    assert files["robots_txt_quality"]["exists"] == "true" and files["robots_txt_quality"]["max_score"] == "100" and int(files["robots_txt_quality"]["rules"]) >= 1
+    assert files["llms_txt_quality"]["core_total"] == "4" and files["llms_txt_quality"]["sections_total"] == "6" and files["llms_txt_quality"]["length"] == "Insufficient"
     assert {r["label"]: r["value"] for r in found["chart_seo_distribution"].collect()}["<60"] == 2.0
     assert {p.name for p in (out / "charts").iterdir()} == {"performance", "seo_distribution", "content", "agents", "accessibility", "performance_trend", "accessibility_trend"}
     rows = text(out / "seo_sections").splitlines()

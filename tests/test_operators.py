@@ -14,7 +14,7 @@ from webloom.streaming import fetch_log
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>T &amp; U</title><meta name="description" content="d"><meta name="viewport" content="w"><meta name="robots" content="noindex">
 <meta property="og:title" content="o"><link rel="canonical" href="https://a.com/p"><link rel="stylesheet" href="/s.css"><link rel="alternate" hreflang="x-default" href="/x"><script src="https://cdn/jquery.js"></script>
 <script type="application/ld+json">{"@context":"https://schema.org","@type":["Shop","Thing"]}</script></head><body><h2>early</h2><header>h</header><nav><a href="/in">in</a><a href="https://b.org/" rel="nofollow">out</a><a href="/llms.txt"></a></nav>
-<main><h1>Big</h1><img src="a.png" alt=""><img src="b.png"><img src="c.png" alt="c" style="display:none"><table><caption>c</caption><tr><th scope="col">x<td data-v="1">1<td>2</table>
+<main><h1>Big</h1><img src="a.png" alt=""><img src="b.png"><img src="c.png" alt="c" style="display: none"><table><caption>c</caption><tr><th scope="col">x<td data-price="1">1<td data-v="2">2</table>
 <form><label for="e">E</label><input id="e" name="email" type="email" autocomplete="email" required><input name="odd"><button disabled title="why">b</button></form><div role="alert" aria-live="polite" data-state="x" data-agent-visible="true">!</div></main></body></html>"""
 
 
@@ -76,7 +76,7 @@ def test_links(spark):
 def test_history(spark, tmp_path):
     runs = [("r1", "2024-01-01 00:00:00", "m", "load_time", 100.0), ("r2", "2024-01-02 00:00:00", "m", "load_time", 140.0), ("r1", "2024-01-01 00:00:00", "m", "url_count", 0.0), ("r2", "2024-01-02 00:00:00", "m", "url_count", 5.0)]
     rows = spark.createDataFrame(runs, "run_id string, run_ts string, family string, metric string, value double").withColumn("run_ts", F.col("run_ts").cast("timestamp"))
-    reports.write_run(rows, str(tmp_path / "h"))
+    rows.withColumn("schema_version", F.lit(schemas.SCHEMA_VERSION)).write.json(str(tmp_path / "h"))
     (tmp_path / "h" / "bad.json").write_text("{not json\n" + json.dumps({"run_id": "old", "metric": "m", "value": 1.0, "schema_version": "0.9.0"}))
     stored = tables.history(spark, str(tmp_path / "h"))
     assert stored.count() == 4
@@ -86,8 +86,11 @@ def test_history(spark, tmp_path):
     assert history.establish_baseline(stored).count() == 2
     with pytest.raises(ValueError):
         history.establish_baseline(stored.limit(0))
-    text = reports.regression_report(history.regressions(history.compare_previous(stored)))
-    assert "critical" in text and "load_time" in text
+    lines = [r[0] for r in reports.regression_report(history.regressions(history.compare_previous(stored))).collect()]
+    assert lines[0] == "# Regressions" and lines[2] == "2 found" and any("load_time" in x for x in lines[lines.index("## critical") : lines.index("## warning")]) and lines[-1].startswith("| ") and "url_count" in lines[-1]
+    many = spark.range(3000).selectExpr("concat('s', id) site", "'load_time' metric", "1D old", "2D new", "100D percent", "if(id % 2 = 0, 'critical', 'warning') severity")
+    reports.write_lines(reports.regression_report(many), str(tmp_path / "lines"))
+    assert sum(1 for p in sorted((tmp_path / "lines").glob("part-*")) for x in p.read_text().splitlines() if x.startswith("| s") and "site" not in x) == 3000
 
 
 def test_thresholds_and_csv(spark, tmp_path):

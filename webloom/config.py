@@ -21,6 +21,7 @@ class AuditConfig:
     user_agent: str = "webloom"
     as_of: str = ""
     history: str = ""
+    establish_baseline: bool = False
     thresholds: str = ""
     pattern_score_threshold: float = 70.0
     pattern_examples: int = 5

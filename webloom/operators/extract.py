@@ -24,6 +24,8 @@ FIELD_NAMES = frozenset(
 )
 GENERIC_ANCHORS = frozenset(("click here", "read more", "learn more"))
 ROBOT_WORDS = ("captcha", "verify you are human", "security check", "bot protection")
+STATES = ("data-state", "data-authenticated", "data-validation-state", "data-error-code", "data-loading")
+CELL_DATA = ("data-price", "data-currency", "data-quantity", "data-in-stock", "data-product-id", "data-rating")
 HINTS = ("preload", "prefetch", "dns-prefetch", "preconnect")
 LANDMARKS = frozenset("nav header footer aside main article section form".split())
 FONT_FACE, FONT_URL = re.compile(r"@font-face\s*\{[^}]*\}", re.I), re.compile(r"url\(\s*[\"']?([^\"')]+)")
@@ -37,9 +39,10 @@ FEATURES = (
     "links array<struct<position:int,href:string,url:string,text:string,rel:string,title:string,context:string>>, n_internal int, n_external int, n_nofollow int, n_empty_anchor int, n_generic_anchor int, "
     "hreflangs array<string>, og map<string,string>, twitter map<string,string>, json_ld array<string>, schema_types array<string>, has_schema_org boolean, n_microdata int, "
     "resources array<struct<url:string,type:string>>, n_inputs int, n_standard_names int, n_labelled int, n_typed int, n_required int, name_ratio double, label_ratio double, "
-    "n_fields int, n_autocomplete int, autocomplete_ratio double, has_llms_txt boolean, llms_href string, has_ai_txt boolean, robots_meta string, has_restrictions boolean, "
-    "has_captcha boolean, captcha_type string, has_bot_protection boolean, api_score int, has_api_docs boolean, has_state boolean, has_auth_state boolean, has_validation boolean, has_error_state boolean, has_loading boolean, "
-    "n_agent_visible int, n_agent_hidden int, has_alert boolean, has_live boolean, has_persistent_errors boolean, has_invalid boolean, n_tables int, tables_with_caption int, tables_with_scope int, machine_readable_ratio double, "
+    "n_fields int, n_autocomplete int, autocomplete_ratio double, autocomplete_values array<string>, good_autocomplete boolean, has_llms_txt boolean, has_llms_link boolean, has_llms_meta boolean, llms_href string, has_ai_txt boolean, has_robots_txt boolean, robots_meta string, "
+    "is_noindex boolean, is_nofollow boolean, is_noarchive boolean, has_restrictions boolean, "
+    "has_captcha boolean, captcha_type string, has_recaptcha boolean, has_hcaptcha boolean, has_turnstile boolean, has_challenge boolean, has_bot_protection boolean, api_score int, has_api_docs boolean, has_api_meta boolean, has_openapi boolean, n_api_links int, n_state int, n_state_elements int, has_state boolean, has_auth_state boolean, has_validation boolean, has_error_state boolean, has_loading boolean, "
+    "n_agent_elements int, n_agent_visible int, n_agent_hidden int, has_alert boolean, has_live boolean, has_persistent_errors boolean, has_invalid boolean, n_alerts int, n_live int, n_invalid int, n_field_errors int, n_tables int, tables_with_caption int, tables_with_scope int, machine_readable_ratio double, "
     "n_buttons int, n_disabled int, n_explained int, explained_ratio double, has_login boolean, has_logout boolean, has_account boolean, has_user_id boolean, text string"
 )
 
@@ -95,16 +98,18 @@ class _Tree(HTMLParser):
 
 
 def _types(texts: list[str]) -> tuple[list[str], bool]:
+    """Types of the objects that have one, and whether one of those names schema.org as its context (as a part of a text, or as an entry of a list)."""
     types, schema = [], False
     for t in texts:
         try:
             top = json.loads(t)
         except ValueError:
             continue
-        if isinstance(top, dict):
-            kind = top.get("@type")
-            types += [str(x) for x in kind] if isinstance(kind, list) else [str(kind)] if kind else []
-            schema = schema or "schema.org" in str(top.get("@context", ""))
+        kind = top.get("@type") if isinstance(top, dict) else None
+        if kind:
+            types += [str(x) for x in kind] if isinstance(kind, list) else [str(kind)]
+            context = top.get("@context")
+            schema = schema or (isinstance(context, (str, list)) and "schema.org" in context)
     return types, schema
 
 
@@ -173,6 +178,13 @@ def features(page: str | None, url: str | None, base: str | None) -> dict:
         if href and not href.startswith(("#", "javascript:", "data:")) and (found := absolute(href)):
             resources.append({"url": found, "type": kind})
 
+    def above(k: int) -> set[str]:
+        found, up = set(), t.parents[k]
+        while up >= 0:
+            found.add(t.tags[up])
+            up = t.parents[up]
+        return found
+
     def sources(text: str, kind: str) -> None:
         for part in text.split(","):
             if part.strip():
@@ -186,35 +198,44 @@ def features(page: str | None, url: str | None, base: str | None) -> dict:
         a = t.attrs[k]
         if tag == "script":
             resource(a.get("src", ""), "javascript")
-        elif tag == "link" and "stylesheet" in a.get("rel", ""):
+        elif tag == "link" and a.get("rel", "").lower() == "stylesheet":
             resource(a.get("href", ""), "css")
         elif tag == "link" and a.get("rel", "") in HINTS:
             resource(a.get("href", ""), PRELOAD_TYPES.get(a.get("as", ""), "other"))
         elif tag == "img":
             resource(a.get("src", ""), "image")
         elif tag == "source":
-            parent = t.tags[t.parents[k]] if t.parents[k] >= 0 else ""
-            kind = "image" if parent == "picture" else "audio" if parent == "audio" else "video"
-            resource(a.get("src", ""), kind)
-            sources(a.get("srcset", ""), kind)
-        elif tag in ("object", "embed"):
-            resource(a.get("data", "") or a.get("src", ""), "svg" if "svg" in a.get("type", "") + a.get("data", "") + a.get("src", "") else "other")
+            around = above(k)
+            if "picture" in around:
+                sources(a.get("srcset", ""), "image")
+            if "video" in around:
+                resource(a.get("src", ""), "video")
+                sources(a.get("srcset", ""), "video")
+            if "audio" in around:
+                resource(a.get("src", ""), "audio")
+        elif tag in ("object", "embed") and ("data" if tag == "object" else "src") in a:
+            drawn = a.get("data", "") or a.get("src", "")
+            if a.get("type", "").lower() == "image/svg+xml" or (absolute(drawn.strip()) or "").endswith(".svg"):
+                resource(drawn, "image")
         elif tag in ("video", "audio"):
             resource(a.get("src", ""), tag)
         elif tag == "iframe":
             resource(a.get("src", ""), "iframe")
-        for found in re.findall(r"background(?:-image)?\s*:[^;]*?url\(\s*[\"']?([^\"')]+)", a.get("style", "")):
-            resource(found, "image")
+        if "background" in a.get("style", ""):
+            for found in FONT_URL.findall(a["style"]):
+                resource(found, "image")
     json_ld = [t.text(k) for k in by.get("script", []) if get(k, "type").lower() == "application/ld+json"]
     schema_types, schema_org = _types(json_ld)
     inputs = sorted(by.get("input", []) + by.get("select", []) + by.get("textarea", []))
-    labelled_ids = {get(k, "for") for k in by.get("label", [])} - {""}
+    labelled_ids = {t.attrs[k]["for"] for k in by.get("label", []) if "for" in t.attrs[k]}
     named = sum(get(k, "name") in FIELD_NAMES or get(k, "id") in FIELD_NAMES for k in inputs)
     labelled = sum(bool(get(k, "aria-label")) or get(k, "id") in labelled_ids for k in inputs)
     fields = [k for k in inputs if get(k, "type").lower() not in ("hidden", "submit", "button")]
-    completed = sum(bool(get(k, "autocomplete")) for k in fields)
+    completions = [get(k, "autocomplete") for k in fields if get(k, "autocomplete")]
+    completed = len(completions)
     anchors = by.get("a", []) + by.get("link", [])
     llms = [get(k, "href") for k in anchors if "llms.txt" in get(k, "href")]
+    llms_meta = any(get(k, "name") == "llms-txt" or get(k, "property") == "llms:txt" for k in by.get("meta", []))
     robots = metas.get("robots", "").lower()
     scripts = [get(k, "src") for k in by.get("script", [])]
     low = "".join(x for x, _ in t.texts).lower()
@@ -223,29 +244,26 @@ def features(page: str | None, url: str | None, base: str | None) -> dict:
     hcaptcha = any("h-captcha" in c for c in classes) or any("hcaptcha" in s for s in scripts)
     cloudflare = any("cloudflare" in s for s in scripts)
     turnstile = (bool(has("data-sitekey")) or any("turnstile" in s for s in scripts)) and cloudflare
+    challenge = cloudflare or any("cf-browser-verification" in c for c in classes)
     captcha = recaptcha or hcaptcha or turnstile or any(w in low for w in ROBOT_WORDS)
     fetched = [get(k, "src") or get(k, "href") for k in by.get("script", []) + by.get("link", [])]
-    docs = any(x in get(k, "href") for k in by.get("a", []) for x in ("/api", "/docs", "/swagger", "/openapi"))
+    api_links = sum(any(x in get(k, "href") for x in ("/api", "/docs", "/swagger", "/openapi")) for k in by.get("a", []))
+    docs = api_links > 0
     openapi = any(get(k, "rel") == "alternate" and get(k, "type") == "application/json" and re.search("openapi|swagger", get(k, "href")) for k in by.get("link", []))
     api = 25 * docs + 25 * bool(openapi) + 15 * any("/api/" in s or "/rest/" in s for s in fetched) + 15 * any("graphql" in s for s in fetched)
     visible = [get(k, "data-agent-visible") for k in has("data-agent-visible")]
-    alert = any(get(k, "role") == "alert" for k in has("role"))
-    live = bool(has("aria-live"))
+    alerts, lives = sum(get(k, "role") == "alert" for k in has("role")), len(has("aria-live"))
+    alert, live = alerts > 0, lives > 0
+    invalid = sum(get(k, "aria-invalid") == "true" for k in has("aria-invalid"))
     tables = by.get("table", [])
-    within: dict[int, set[str]] = {k: set() for k in tables}
-    for k, tag in enumerate(t.tags):
-        if tag == "caption" or "scope" in t.attrs[k]:
-            up = t.parents[k]
-            while up >= 0 and t.tags[up] != "table":
-                up = t.parents[up]
-            if up in within:
-                within[up] |= {"caption"} if tag == "caption" else {"scope"}
+    captions = sum("table" in above(k) for k in by.get("caption", []))
+    scoped = any("scope" in t.attrs[k] for k in by.get("th", []))
     cells = by.get("td", [])
     buttons = sorted(by.get("button", []) + [k for k in by.get("input", []) if get(k, "type").lower() in ("submit", "button")])
-    disabled = [k for k in buttons if "disabled" in t.attrs[k]]
-    explained = sum(bool(get(k, "title") or get(k, "aria-label") or get(k, "aria-describedby") or get(k, "data-disabled-reason")) for k in disabled)
-    hrefs = [get(k, "href").lower() for k in by.get("a", [])]
-    styles = [a.get("style", "").replace(" ", "").lower() for a in t.attrs]
+    disabled = [k for k in buttons if "disabled" in t.attrs[k] and (t.tags[k] == "button" or get(k, "type").lower() == "submit")]
+    explained = sum(bool(get(k, "title") or get(k, "aria-describedby") or get(k, "data-disabled-reason")) for k in disabled)
+    hrefs = [get(k, "href") for k in by.get("a", [])]
+    styles = [a.get("style", "") for a in t.attrs]
     headings = [len(by.get(f"h{k}", [])) for k in range(1, 7)]
     return {
         "title": first("title"),
@@ -256,7 +274,7 @@ def features(page: str | None, url: str | None, base: str | None) -> dict:
         "has_viewport": "viewport" in metas,
         "page_size": len(page),
         "total_elements": len(t.tags),
-        "hidden_elements": sum("display:none" in s or "visibility:hidden" in s or "hidden" in a for s, a in zip(styles, t.attrs, strict=True)),
+        "hidden_elements": sum("display: none" in s or "visibility: hidden" in s or "hidden" in a for s, a in zip(styles, t.attrs, strict=True)),
         "text_nodes": sum(1 for x, owner in t.texts if owner == body and x.strip()),
         "word_count": len(clean.split()) if clean else 1,
         "body_text_length": len(clean),
@@ -286,45 +304,67 @@ def features(page: str | None, url: str | None, base: str | None) -> dict:
         "n_standard_names": named,
         "n_labelled": labelled,
         "n_typed": sum("type" in t.attrs[k] for k in inputs),
-        "n_required": sum("required" in t.attrs[k] for k in inputs),
+        "n_required": sum("required" in t.attrs[k] or get(k, "aria-required") == "true" for k in inputs),
         "name_ratio": _share(named, len(inputs)),
         "label_ratio": _share(labelled, len(inputs)),
         "n_fields": len(fields),
         "n_autocomplete": completed,
         "autocomplete_ratio": _share(completed, len(fields)),
-        "has_llms_txt": bool(llms) or "llms-txt" in metas,
+        "autocomplete_values": list(dict.fromkeys(completions)),
+        "good_autocomplete": _share(completed, len(fields)) >= 0.7,
+        "has_llms_txt": bool(llms) or llms_meta,
+        "has_llms_link": bool(llms),
+        "has_llms_meta": llms_meta,
         "llms_href": llms[0] if llms else None,
         "has_ai_txt": any("ai.txt" in get(k, "href") for k in anchors),
+        "has_robots_txt": any("robots.txt" in get(k, "href") for k in anchors),
         "robots_meta": robots,
+        "is_noindex": "noindex" in robots,
+        "is_nofollow": "nofollow" in robots,
+        "is_noarchive": "noarchive" in robots,
         "has_restrictions": any(w in robots for w in ("noindex", "nofollow", "noarchive")),
         "has_captcha": captcha,
         "captcha_type": "reCAPTCHA" if recaptcha else "hCaptcha" if hcaptcha else "Turnstile" if turnstile else "Unknown" if captcha else "None",
-        "has_bot_protection": captcha or cloudflare or any("cf-browser-verification" in c for c in classes),
+        "has_recaptcha": recaptcha,
+        "has_hcaptcha": hcaptcha,
+        "has_turnstile": turnstile,
+        "has_challenge": challenge,
+        "has_bot_protection": captcha or challenge,
         "api_score": api,
         "has_api_docs": docs,
+        "has_api_meta": any("api" in get(k, "name") or "api" in get(k, "property") for k in by.get("meta", [])),
+        "has_openapi": openapi,
+        "n_api_links": api_links,
+        "n_state": len(has("data-state")),
+        "n_state_elements": sum(any(x in a for x in STATES) for a in t.attrs),
         "has_state": bool(has("data-state")),
-        "has_auth_state": bool(has("data-auth-state") or has("data-authenticated")),
-        "has_validation": bool(has("data-validation-state") or has("data-valid")),
-        "has_error_state": bool(has("data-error") or has("data-error-code")),
-        "has_loading": bool(has("data-loading") or has("data-loading-state")),
+        "has_auth_state": bool(has("data-authenticated")),
+        "has_validation": bool(has("data-validation-state")),
+        "has_error_state": bool(has("data-error-code")),
+        "has_loading": bool(has("data-loading")) or any(a.get("data-state") == "loading" for a in t.attrs),
+        "n_agent_elements": len(visible),
         "n_agent_visible": sum(v in ("", "true") for v in visible),
         "n_agent_hidden": sum(v == "false" for v in visible),
         "has_alert": alert,
         "has_live": live,
         "has_persistent_errors": alert and live,
-        "has_invalid": bool(has("aria-invalid")),
+        "has_invalid": invalid > 0,
+        "n_alerts": alerts,
+        "n_live": lives,
+        "n_invalid": invalid,
+        "n_field_errors": sum("error" in a.get("class", "") for a in t.attrs),
         "n_tables": len(tables),
-        "tables_with_caption": sum("caption" in v for v in within.values()),
-        "tables_with_scope": len(tables) if any("scope" in v for v in within.values()) else 0,
-        "machine_readable_ratio": _share(sum(any(x.startswith("data-") for x in t.attrs[k]) for k in cells), len(cells)),
+        "tables_with_caption": captions,
+        "tables_with_scope": len(tables) if scoped else 0,
+        "machine_readable_ratio": sum(any(get(k, x) for x in CELL_DATA) for k in cells) / len(cells) if cells else 0.0,
         "n_buttons": len(buttons),
         "n_disabled": len(disabled),
         "n_explained": explained,
         "explained_ratio": _share(explained, len(disabled)),
-        "has_login": any("login" in h or "signin" in h for h in hrefs),
-        "has_logout": any("logout" in h or "signout" in h for h in hrefs),
+        "has_login": any(x in h for h in hrefs for x in ("login", "signin", "sign-in")),
+        "has_logout": any(x in h for h in hrefs for x in ("logout", "signout", "sign-out")) or any("logout" in get(k, "action") for k in by.get("form", [])),
         "has_account": any("account" in h or "profile" in h for h in hrefs),
-        "has_user_id": bool(has("data-user-id") or has("data-userid")),
+        "has_user_id": bool(has("data-user-id") or has("data-user-name") or has("data-user-email")),
         "text": " ".join(clean.split()),
     }
 

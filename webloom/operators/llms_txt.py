@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.numbers import grade
@@ -20,13 +20,24 @@ SECTIONS = {
 
 
 def parse(files: DataFrame, key: str = "url", content: str = "content") -> DataFrame:
-    """Columns of a file: title, description, contact, last_updated, site_type (the last three also as has_...), headings, links, word_count,
-    line_count, valid.
+    """Columns of a file: title, description, contact, last_updated, site_type (the last three also as has_...), headings, outline (level, text and line of each), sections (those but the
+    title, with the lines below each), links, word_count, line_count, valid.
 
     All within the row: a file is an array of lines. A null or blank file is not valid and has nulls and empty arrays."""
     text = F.coalesce(F.col(content), F.lit(""))
     lines = F.transform(F.split(text, r"\r?\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     headings = F.transform(F.filter(lines, lambda s: s.rlike(r"^#+\s+\S")), lambda s: F.regexp_replace(s, r"^#+\s+", ""))
+    numbered = F.transform(lines, lambda s, i: F.struct(F.char_length(F.regexp_extract(s, r"^(#+)\s+\S", 1)).alias("level"), F.regexp_replace(s, r"^#+\s+", "").alias("text"), (i + 1).alias("line")))
+    outline = F.filter(numbered, lambda h: h["level"] > 0)
+    first = F.array_position(F.transform(lines, lambda s: F.startswith(s, F.lit("# "))), F.lit(True))
+    bodies = F.filter(outline, lambda h: h["line"] != first)
+
+    def body(h: Column, i: Column) -> Column:
+        """Lines that say something from a heading to the next."""
+        end = F.coalesce(F.try_element_at(bodies, i + 2)["line"], F.size(lines) + 1)
+        return F.filter(F.slice(lines, h["line"] + 1, F.greatest(end - h["line"] - 1, F.lit(0))), lambda s: (s != "") & ~F.startswith(s, F.lit("#")))
+
+    sections = F.transform(bodies, lambda h, i: F.struct(h["text"].alias("heading"), h["level"].alias("level"), h["line"].alias("line"), body(h, i).alias("content")))
     title = F.regexp_extract(F.try_element_at(F.filter(lines, lambda s: F.startswith(s, F.lit("# "))), F.lit(1)), r"^#\s+(.*)$", 1)
     at = F.array_position(F.transform(lines, lambda s: F.startswith(s, F.lit("# "))), F.lit(True))
     after = F.when(at > 0, F.slice(lines, F.greatest(at, F.lit(1)).cast("int") + 1, F.size(lines)))
@@ -49,6 +60,8 @@ def parse(files: DataFrame, key: str = "url", content: str = "content") -> DataF
         *labelled("last updated"),
         *labelled("site type"),
         headings.alias("headings"),
+        outline.alias("outline"),
+        sections.alias("sections"),
         links.alias("links"),
         F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("word_count"),
         F.size(lines).alias("line_count"),
@@ -113,5 +126,12 @@ def quality(files: DataFrame, key: str = "url", content: str = "content") -> Dat
         (hits == 0, "Name the facts that programs need: limits, addresses, closed paths"),
         (~F.col("has_site_type"), "Say what type of site it is"),
     )
-    counts = [(n_sections / 5).cast("int").alias("sections"), F.col("word_count"), links.alias("n_links"), F.size("headings").alias("n_headings")]
+    core_elements = sum((F.when(present(c) > 0, 1).otherwise(0) for c in core), F.lit(0))
+    length = F.when(~F.col("valid"), "Unknown").when(words >= 200, "Comprehensive").when(words >= 100, "Adequate").when(words >= 50, "Minimal").otherwise("Insufficient")
+    more = {
+        "exists": F.col("valid"), "max_score": F.lit(100), "has_title": F.col("title").isNotNull(), "title": F.col("title"), "has_description": F.col("description").isNotNull(), "has_contact": F.col("has_contact"), "contact": F.col("contact"), "has_last_updated": F.col("has_last_updated"), "last_updated": F.col("last_updated"),
+        "has_site_type": F.col("has_site_type"), "site_type": F.col("site_type"), "core_elements": core_elements, "core_total": F.lit(len(core)), "sections_total": F.lit(len(SECTIONS)), "line_count": F.col("line_count"), "length": length,
+        "specificity": F.when(~F.col("valid"), "Unknown").when(hits >= 2, "High").when(hits == 1, "Medium").otherwise("Low"), "structured": F.col("valid") & (words >= 200),
+    }
+    counts = [*[v.alias(k) for k, v in more.items()], (n_sections / 5).cast("int").alias("sections"), F.col("word_count"), links.alias("n_links"), F.size("headings").alias("n_headings")]
     return p.select(key, score.cast("int").alias("score"), label.alias("quality"), *counts, issues.alias("issues"), advice.alias("recommendations"))

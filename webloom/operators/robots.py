@@ -48,6 +48,9 @@ def quality(files: DataFrame, key: str = "url", content: str = "content") -> Dat
         F.count_distinct(F.when(guarded, F.col("value"))).alias("protected_paths"),
         F.count_if((F.col("kind") == "comment") & (F.contains(low, F.lit("llms.txt")) | F.contains(low, F.lit("llms-txt")))).alias("llms_mentions"),
         F.count_if(F.col("kind") == "comment").alias("comments"),
+        F.count_if(F.col("kind").isin("allow", "disallow")).alias("rules"),
+        _in_order((F.col("kind") == "user-agent") & _any_contains(low, AGENTS)).alias("ai_agent_names"),
+        _in_order(guarded).alias("paths"),
     )
     all_ = files.select(key, (F.coalesce(F.col(content), F.lit("")) == "").alias("missing")).join(found, key, "left").fillna(0)
     agents, sitemaps, paths, mentions, comments = (F.col(c) for c in ("ai_agents", "sitemaps", "protected_paths", "llms_mentions", "comments"))
@@ -77,7 +80,17 @@ def quality(files: DataFrame, key: str = "url", content: str = "content") -> Dat
         (mentions == 0, "Point to llms.txt in a comment"),
         (comments == 0, "Explain the rules in comments"),
     )
-    return all_.select(key, score.alias("score"), label.alias("quality"), "ai_agents", "sitemaps", "protected_paths", "llms_mentions", "comments", issues.alias("issues"), advice.alias("recommendations"))
+    none = F.array().cast("array<string>")
+    more = {
+        "exists": ~F.col("missing"), "max_score": F.lit(100), "has_ai_agents": agents > 0, "ai_agent_names": F.coalesce("ai_agent_names", none), "has_sitemap": sitemaps > 0, "protects_paths": paths > 0, "paths": F.coalesce("paths", none), "mentions_llms": mentions > 0,
+        "has_comments": comments > 0, "rules": F.col("rules"), "structure": F.when(F.col("missing"), "Unknown").when(agents >= 3, "Excellent").when(agents >= 1, "Good").otherwise("Basic"),
+    }
+    return all_.select(key, *[v.alias(k) for k, v in more.items()], score.alias("score"), label.alias("quality"), "ai_agents", "sitemaps", "protected_paths", "llms_mentions", "comments", issues.alias("issues"), advice.alias("recommendations"))
+
+
+def _in_order(when: Column) -> Column:
+    """The values of the lines for which ``when`` holds, each once, in the order of lines."""
+    return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("line_no", "value")))), lambda x: x["value"]))
 
 
 def said(missing: Column, if_missing: str, *rules: tuple[Column, Column | str]) -> Column:

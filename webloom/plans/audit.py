@@ -10,8 +10,9 @@ from webloom.functions import agents, content, markup, media, security, seo, url
 from webloom.operators import history, keywords, links, llms_txt, patterns, robots, rollups, technology
 from webloom.operators.extract import page_features
 from webloom.functions.markup import STATUS_TEXTS
+from webloom.functions.numbers import half_up
 from webloom.sinks import reports
-from webloom.sources import tables
+from webloom.sources.run_store import RunStore, run_key
 from webloom.storage import materialize
 
 SPECIAL = r"/(robots|llms)\.txt$"
@@ -51,7 +52,7 @@ def audit(pages: DataFrame, config: AuditConfig, sitemap: DataFrame | None = Non
     m |= {f"n_{t}": count(t) for t in ("main", "nav", "header", "footer", "article", "section")} | {f"n_h{k + 1}": v for k, v in enumerate(heads)}
     m |= {"has_hsts": security.header(h, "strict-transport-security").isNotNull(), "has_csp": security.header(h, "content-security-policy").isNotNull(), "has_frame_options": security.header(h, "x-frame-options").isNotNull(), "has_content_type_options": security.header(h, "x-content-type-options").isNotNull()}
     m |= {"n_lists": count("ul") + count("ol"), "description_length": F.char_length("meta_description"), "has_json_ld": F.size("json_ld") > 0, "has_microdata": F.col("n_microdata") > 0, "has_agent_visible": F.col("n_agent_visible") > 0}
-    m |= {f"has_og_{t}": F.try_element_at("og", F.lit(f"og:{t}")).isNotNull() for t in ("title", "description", "image", "type")}
+    m |= {f"has_og_{t}": (F.coalesce(F.try_element_at("og", F.lit(f"og:{t}")), F.lit("")) != "") for t in ("title", "description", "image", "type")}
     with_alt = F.size(F.filter("images", lambda i: F.coalesce(i["alt"], F.lit("")) != ""))
     keyword = keywords.main_keyword(F.concat_ws(" ", "title", "meta_description", "h1"))
     timings = performance if performance is not None else spark.createDataFrame([], "url string, load_time double, dom_content_loaded double, first_paint double, fcp double, lcp double, tti double, tbt double, cls double")
@@ -72,6 +73,12 @@ def audit(pages: DataFrame, config: AuditConfig, sitemap: DataFrame | None = Non
     image_rows = f.select("url", F.inline("images"))
     numeric = {c: F.expr(f"try_cast({c} as int)") for c in ("width", "height")}
     resources = f.select(F.col("url").alias("page_url"), F.inline("resources"))
+    # what is said of a page, once for the three reports that show it
+    said = f.withColumn("_said", agents.feedback_details(m, F.lit(config.rendered)))
+    essential, top = F.size(F.filter("_said", lambda x: x["essential"])), F.try_element_at("_said", F.lit(1))
+    ranks = [F.coalesce(top[c], F.lit("N/A")).alias(c) for c in ("priority", "effort")]
+    source, rendered_score = F.lit("rendered" if config.rendered else "served"), agents.rendered_score(served, m)
+    whole = lambda ratio: half_up(100 * ratio)
     out = {
         "seo_report": f.select("url", "title", F.char_length("title").alias("title_length"), "meta_description", m["description_length"].alias("description_length"), "h1", heads[0].alias("h1_count"), "word_count", F.size("images").alias("images"), (F.size("images") - with_alt).alias("images_without_alt"), F.col("n_internal").alias("internal_links"), "canonical", "html_lang", "has_viewport", "has_schema_org"),
         "seo_scores": f.select("url", seo.overall(parts).alias("score"), *[v.alias(k) for k, v in parts.items()]),
@@ -81,9 +88,17 @@ def audit(pages: DataFrame, config: AuditConfig, sitemap: DataFrame | None = Non
         "content_quality": f.select("url", "word_count", heading.alias("heading_score"), fresh.alias("freshness_score"), rich.alias("media_score"), F.lit(100.0).alias("uniqueness"), F.lit(100.0).alias("grammar"), content.content_quality(heading, fresh, rich).alias("score"), content.freshness_status(F.col("last_modified"), F.col("last_crawled"), as_of).alias("freshness")),
         "security_report": f.select("url", (urls.scheme(F.col("url")) == "https").alias("https"), *[m[c].alias(c) for c in ("has_hsts", "has_csp", "has_frame_options", "has_content_type_options")]),
         "all_resources_report": rollups.resource_totals(resources).orderBy(F.desc("uses"), "url"),
-        "llm_readability_report": f.select("url", *[v.alias(n) for n, v in zip(("structural", "organization", "metadata", "extractability"), read, strict=True)], agents.readability(read).alias("overall")),
+        "llm_readability_report": f.select(
+            "url", *[v.alias(n) for n, v in zip(("structural", "organization", "metadata", "extractability"), read, strict=True)], agents.readability(read).alias("overall"), agents.semantic_usage(sum((count(t) for t in ("article", "section", "nav", "header", "footer", "main", "aside")), F.lit(0))).alias("semantic_usage"),
+            agents.heading_quality(heads[0], heads[1]).alias("heading_quality"), (m["has_main"] | m["has_article"]).alias("has_main_content"), (m["has_json_ld"] | m["has_microdata"]).alias("has_structured_data"), agents.percent(F.col("body_text_length"), F.col("page_size")).alias("text_percent"),
+            agents.percent(F.col("hidden_elements"), F.col("total_elements")).alias("hidden_percent"), count("p").alias("paragraphs"), m["n_lists"].alias("lists"), count("table").alias("tables"), (count("pre") + count("code")).alias("code_blocks"), "total_elements",
+        ),
         "http_status_report": status.filter("status_code <> 200"),
-        "llm_general_suitability": f.select("url", served.alias("served_score"), agents.rendered_score(served, m).alias("rendered_score"), agents.status(served).alias("status"), agents.feedback(m, F.lit(config.rendered)).alias("feedback"), "has_llms_txt"),
+        "llm_general_suitability": said.select(
+            "url", source.alias("html_source"), served.alias("served_score"), rendered_score.alias("rendered_score"), agents.status(served).alias("status"), agents.feedback(m, F.lit(config.rendered)).alias("feedback"), "has_llms_txt", *[m[c].alias(c) for c in ("has_main", "has_nav", "has_agent_visible")],
+            whole(F.col("name_ratio")).alias("standard_percent"), whole(F.col("autocomplete_ratio")).alias("autocomplete_percent"), "has_schema_org", backend["has_llms_txt"].alias("site_has_llms_txt"), "has_ai_txt", "has_restrictions", "has_bot_protection", "has_api_docs",
+            essential.alias("essential_issues"), (F.size("_said") - essential).alias("other_issues"), F.coalesce(F.try_element_at(F.filter("_said", lambda x: x["essential"]), F.lit(1))["issue"], F.lit("None")).alias("top_issue"), F.coalesce(top["recommendation"], F.lit("None")).alias("top_recommendation"), *ranks,
+        ),
         "llm_feedback": f.select("url", F.inline(agents.feedback_details(m, F.lit(config.rendered)))),
         "content_analysis": f.select(
             "url", "word_count", *[v.alias(f"h{k + 1}_count") for k, v in enumerate(heads)], markup.missing_heading_levels(heads).alias("missing_headers"), (heads[0] == 0).alias("zero_h1"), F.size("images").alias("images"), (F.size("images") - with_alt).alias("images_without_alt"), F.col("n_internal").alias("internal_links"), F.col("n_external").alias("external_links"),
@@ -92,8 +107,16 @@ def audit(pages: DataFrame, config: AuditConfig, sitemap: DataFrame | None = Non
         "images_without_alt": image_rows.filter(F.coalesce(F.col("alt"), F.lit("")) == "").select("url", "src"),
         "image_info": image_rows.select("url", "src", "alt", "width", "height"),
         "internal_links": link_rows.filter(urls.host(F.col("target_url")) == urls.host(F.col("source_url"))).select(F.col("source_url").alias("source"), F.col("target_url").alias("target"), F.coalesce("text", F.lit("")).alias("anchor_text")),
-        "llm_frontend_suitability": f.select("url", served.alias("served_score"), agents.rendered_score(served, m).alias("rendered_score"), "n_inputs", "name_ratio", "label_ratio", "autocomplete_ratio"),
-        "llm_backend_suitability": f.select("url", "status_code", agents.backend_score(backend, F.col("status_code"), F.col("api_score")).alias("backend_score"), "has_schema_org", backend["has_llms_txt"].alias("has_llms_txt"), "api_score"),
+        "llm_frontend_suitability": said.select(
+            "url", source.alias("html_source"), served.alias("served_score"), rendered_score.alias("rendered_score"), "n_inputs", "name_ratio", "label_ratio", "autocomplete_ratio", count("form").alias("forms"), whole(F.col("name_ratio")).alias("standard_percent"), whole(F.col("autocomplete_ratio")).alias("autocomplete_percent"), whole(F.col("label_ratio")).alias("label_percent"),
+            sum((m[f"has_{t}"].cast("int") for t in ("main", "nav", "header", "footer", "article", "section")), F.lit(0)).alias("semantic_elements"), F.col("n_state_elements").alias("state_elements"), "has_persistent_errors", "has_validation", F.col("n_agent_elements").alias("agent_elements"), F.col("n_agent_visible").alias("agent_visible"),
+            F.col("n_agent_hidden").alias("agent_hidden"), "has_captcha", "captcha_type", essential.alias("essential_issues"), F.coalesce(F.nullif(F.array_join(F.transform(F.slice("_said", 1, 2), lambda x: x["recommendation"]), "; "), F.lit("")), F.lit("None")).alias("recommendations"), *ranks,
+        ),
+        "llm_backend_suitability": said.select(
+            "url", "status_code", agents.backend_score(backend, F.col("status_code"), F.col("api_score")).alias("backend_score"), "has_schema_org", backend["has_llms_txt"].alias("has_llms_txt"), "api_score", F.col("status_code").between(200, 299).alias("status_good"), (urls.scheme(F.col("url")) == "https").alias("https"),
+            *[m[c].alias(c) for c in ("has_hsts", "has_csp", "has_frame_options")], F.size("json_ld").alias("json_ld"), F.coalesce("llms_href", F.lit("N/A")).alias("llms_href"), "has_ai_txt", "has_restrictions", F.coalesce(F.nullif("robots_meta", F.lit("")), F.lit("N/A")).alias("robots_meta"), "has_api_docs", "has_openapi",
+            *[F.coalesce(F.nullif(F.array_join(F.array_compact(F.array(*[F.when(when, text) for when, text in rules])), "; "), F.lit("")), F.lit("None")).alias(name) for name, rules in agents.backend_rules(backend, F.col("status_code"), urls.scheme(F.col("url")) == "https").items()], *ranks,
+        ),
         "robots_txt_quality": robots_quality,
         "llms_txt_quality": llms_quality,
         "technologies": technology.by_category(technology.detect(resources)),
@@ -209,7 +232,7 @@ def site_metrics(found: dict[str, DataFrame]) -> DataFrame:
 
 
 def run(pages: DataFrame, config: AuditConfig, run_id: str, run_ts, **inputs: DataFrame | None) -> dict[str, DataFrame]:
-    """Audit, write all reports, summaries and chart data, and store and compare the run if a history folder is set."""
+    """Audit, write all reports, summaries and chart data, and if a history folder is set store the run, and compare it with the run before and with the pinned baseline."""
     spark = pages.sparkSession
     found = audit(pages, config, **inputs)
     for name in reports.REPORTS:
@@ -219,12 +242,16 @@ def run(pages: DataFrame, config: AuditConfig, run_id: str, run_ts, **inputs: Da
         reports.write_sitemap(found["perfected_sitemap"], f"{config.output}/v-sitemap")
     if config.history:
         metrics = site_metrics(found).select(F.lit(run_id).alias("run_id"), F.lit(run_ts).cast("timestamp").alias("run_ts"), "site", "family", "metric", "value")
-        reports.write_run(metrics, config.history)
-        stored = tables.history(spark, config.history)
-        found["comparison"] = history.compare_previous(stored).filter(F.col("run_ts") == F.lit(run_ts).cast("timestamp"))
-        found["regressions"] = history.regressions(found["comparison"])
+        store = RunStore(spark, config.history)
+        store.write(metrics)
+        stored = store.metrics()
+        name = spark.range(1).select(run_key(F.lit(run_ts).cast("timestamp"), F.lit(run_id))).first()[0]
+        found["comparison"] = history.compare_previous(stored).filter(F.col("run") == name)
+        found["regressions"] = store.regressions(name)
         found |= trend_charts(stored)
-        reports.write_text(spark, reports.regression_report(found["regressions"]), f"{config.output}/regression_report.md")
+        reports.write_lines(reports.regression_report(found["regressions"], store.baseline() is not None), f"{config.output}/regression_report.md")
+        if config.establish_baseline:  # what follows is compared with this run
+            store.pin(run=name)
     names = ["headline", *(n for n in found if n.startswith("summary_")), "findings", "recommendations", "seo_advice"]
     small = {n.removeprefix("summary_"): reports.small_rows(found[n]) for n in names}
     reports.write_text(spark, reports.executive_summary(small), f"{config.output}/executive_summary.md")

@@ -7,7 +7,6 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom import schemas
 from webloom.operators.patterns import LIBRARY
 
 
@@ -46,13 +45,13 @@ REPORTS = {
     "security_report": ["url", "https", "has_hsts", "has_csp", "has_frame_options", "has_content_type_options"],
     "all_resources_report": ["url", "type", "uses"],
     "missing_sitemap_urls": ["url", "pages"],
-    "llm_readability_report": ["url", "structural", "organization", "metadata", "extractability", "overall"],
+    "llm_readability_report": ["url", "overall", "structural", "organization", "metadata", "extractability", "semantic_usage", "heading_quality", "has_main_content", "has_structured_data", "text_percent", "hidden_percent", "paragraphs", "lists", "tables", "code_blocks", "total_elements"],
     "http_status_report": ["url", "status_code", "status_text", "ts"],
-    "llm_general_suitability": ["url", "served_score", "rendered_score", "status", "feedback"],
-    "llm_frontend_suitability": ["url", "served_score", "rendered_score", "n_inputs", "name_ratio", "label_ratio", "autocomplete_ratio"],
-    "llm_backend_suitability": ["url", "status_code", "backend_score", "has_schema_org", "has_llms_txt", "api_score"],
-    "robots_txt_quality": ["url", "score", "quality", "ai_agents", "sitemaps", "protected_paths", "llms_mentions", "comments", "issues", "recommendations"],
-    "llms_txt_quality": ["url", "score", "quality", "sections", "word_count", "n_links", "n_headings", "issues", "recommendations"],
+    "llm_general_suitability": ["url", "html_source", "served_score", "rendered_score", "has_main", "has_nav", "standard_percent", "autocomplete_percent", "has_schema_org", "site_has_llms_txt", "has_ai_txt", "has_restrictions", "has_bot_protection", "has_api_docs", "has_agent_visible", "essential_issues", "other_issues", "top_issue", "top_recommendation", "priority", "effort", "status", "feedback"],
+    "llm_frontend_suitability": ["url", "html_source", "served_score", "forms", "standard_percent", "autocomplete_percent", "label_percent", "semantic_elements", "rendered_score", "state_elements", "has_persistent_errors", "has_validation", "agent_elements", "agent_visible", "agent_hidden", "has_captcha", "captcha_type", "essential_issues", "recommendations", "priority", "effort", "n_inputs", "name_ratio", "label_ratio", "autocomplete_ratio"],
+    "llm_backend_suitability": ["url", "backend_score", "status_code", "status_good", "https", "has_hsts", "has_csp", "has_frame_options", "has_schema_org", "json_ld", "has_llms_txt", "llms_href", "has_ai_txt", "has_restrictions", "robots_meta", "has_api_docs", "api_score", "has_openapi", "issues", "recommendations", "priority", "effort"],
+    "robots_txt_quality": ["url", "exists", "quality", "score", "max_score", "has_ai_agents", "ai_agent_names", "has_sitemap", "sitemaps", "protects_paths", "paths", "mentions_llms", "has_comments", "rules", "structure", "issues", "recommendations"],
+    "llms_txt_quality": ["url", "exists", "quality", "score", "max_score", "has_title", "title", "has_description", "has_contact", "contact", "has_last_updated", "last_updated", "has_site_type", "site_type", "core_elements", "core_total", "sections", "sections_total", "word_count", "line_count", "n_links", "n_headings", "length", "specificity", "structured", "issues", "recommendations"],
     "llm_feedback": ["url", "rule", "essential", "issue", "recommendation", "priority", "effort"],
     "seo_sections": ["section", "item", "value", "percent"],
     "seo_scores_summary": ["metric", "average", "least", "most"],
@@ -133,12 +132,26 @@ def ai_files_summary(robots: DataFrame, llms: DataFrame) -> str:
     return "\n\n".join(parts)
 
 
-def regression_report(found: DataFrame) -> str:
-    """Markdown with one section per severity."""
-    parts = [f"# Regressions\n\n{found.count()} found"]
-    for level in ("critical", "warning", "info"):
-        parts.append(f"## {level}\n\n{markdown_table(found.filter(F.col('severity') == level).select(*(c for c in ('site', 'run_ts', 'metric', 'old', 'new', 'percent') if c in found.columns)))}")
-    return "\n\n".join(parts)
+def regression_report(found: DataFrame, baseline: bool = True) -> DataFrame:
+    """(value): the lines of a Markdown report with one section and table per severity, in order, however many regressions there are."""
+    columns = [c for c in ("site", "run_ts", "metric", "old", "new", "percent") if c in found.columns]
+    levels = ("critical", "warning", "info")
+    spark = found.sparkSession
+    counts = found.groupBy("severity").agg(F.count(F.lit(1)).alias("n")).collect()
+    n = {r["severity"]: r["n"] for r in counts}
+    heads = [(0, 0, "# Regressions"), (0, 1, ""), (0, 2, f"{sum(n.values())} found" if baseline else "no baseline is pinned")]
+    for k, level in enumerate(levels, 1):
+        heads += [(k, 0, ""), (k, 1, f"## {level}"), (k, 2, "")]
+        heads += [(k, 3, "| " + " | ".join(columns) + " |"), (k, 4, "|" + "---|" * len(columns))] if n.get(level) else [(k, 3, "none")]
+    cells = [F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"\|", r"\\|"), F.lit("")) for c in columns]
+    level = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col("severity")).cast("int")
+    rows = found.select(level.alias("_part"), F.lit(5).alias("_line"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+    return spark.createDataFrame(heads, "_part int, _line int, value string").unionByName(rows).orderBy("_part", "_line", "value").select("value")
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines of text in their order, in as many files as they need."""
+    lines.write.mode("overwrite").text(path)
 
 
 def write_text(df_session, text: str, path: str) -> None:
@@ -152,11 +165,6 @@ def write_sitemap(df: DataFrame, path: str) -> None:
     df.select(F.col("url").alias("loc"), *columns).orderBy("loc").write.mode("overwrite").format("xml").option("rootTag", 'urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"').option("rowTag", "url").save(path)
 
 
-def write_run(metrics: DataFrame, path: str) -> None:
-    """Append a run's metrics as JSON, partitioned by run, with the schema version."""
-    metrics.withColumn("schema_version", F.lit(schemas.SCHEMA_VERSION)).write.mode("append").json(path)
-
-
 def append_invalid_urls(rows: DataFrame, path: str) -> None:
     """(url, reason) appended as JSON lines."""
     rows.select("url", "reason").write.mode("append").json(path)
