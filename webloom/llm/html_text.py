@@ -9,6 +9,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd
 VOID_TAGS = frozenset("area base basefont br col embed frame hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style textarea title iframe noembed noframes xmp".split())
 CODE_TAGS = frozenset(("script", "style"))
-OUTSIDE_TAGS = frozenset("head nav footer aside menu dialog button label fieldset noscript template svg math object canvas audio video select datalist".split())
+OUTSIDE_TAGS = frozenset("head nav footer aside menu dialog button noscript template svg math object canvas audio video select datalist".split())
 MAIN_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ITEM_TAGS = frozenset("p li dt dd tr td th option optgroup".split())
@@ -38,14 +39,28 @@ OUTSIDE_NAMES = frozenset(
 #: Those of them that inside an article name its own parts.
 OUTSIDE_IN_ARTICLE = OUTSIDE_NAMES - frozenset("byline header tags teaser".split())
 
+#: Those that, as a name of their own, may as well be the subject of an article's part, which is kept if it is long prose.
+SUBJECTS = frozenset("search share sharing social subscription".split())
+
 #: Those that hold articles of their own (comments, other pages, advertising); an article inside such an element stays outside.
 OTHER_ARTICLES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot comment comments commentlist disqus hidden promo promoted promotion recommended related replies reply respond sponsor sponsored teaser".split()
 )
 NOT_AN_ARTICLE = frozenset("comment comments related teaser promo sponsored ad advert".split())
 
-#: How an element stands outside: not, by a form or a class or id word alone but with an article since, by such alone, in any other way.
-NOT_OUTSIDE, CLEARED, NAMED, FIRM = range(4)
+#: Words that say nothing of a part's subject. A name of several words marks what is not the article only if all of them are among these and OUTSIDE_NAMES
+#: ("site-header", "main_nav", "comment-list"; not "market-share", "has-sidebar", "search-engine-history").
+PLAIN_WORDS = frozenset(
+    "area article b bar blog hero body bottom box btn button buttons card col column container content cta desktop el first form fixed global grid group head icon icons id inner item items js last layout left level line link links list main "
+    "mini mobile module o outer page panel post posts primary row right rail secondary section site slot small static sticky story tertiary text the thread top ui ul unit view web wrap wrapper zone".split()
+)
+
+#: Those that inside an article may hold its title.
+BANNERS = frozenset("banner masthead".split())
+
+#: How an element stands outside: not, by a form or a name alone but with an article since, by a name that may be a subject's, by another name or a form, by the name of what holds
+#: other articles, in any other way.
+NOT_OUTSIDE, CLEARED, SUBJECT, NAMED, LISTED, FIRM = range(6)
 
 #: Frequent function words of the languages read.
 STOP_WORDS = frozenset(
@@ -61,8 +76,10 @@ SHORT, LONG, FEW_STOPS, SOME_STOPS, MANY_LINKS, ALL_LINKS = 70, 200, 0.04, 0.10,
 
 #: A comment, a declaration, or a tag with its name and attributes; a quoted value may hold anything. The end of the page ends each.
 TOKEN = re.compile(r"<(?:!--(?:.*?--!?>|.*)|[!?][^>]*+>?|(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>?)", re.S)
-ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'>]+))?")
+READ = frozenset(("class", "id", "role", "hidden", "style", "aria-hidden"))
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_]+|:")
+MARKS = re.compile(r"[.,;:!?()\d]")
 LETTERS = re.compile(r"[^\W\d_]+")
 OTHER_SCRIPTS = re.compile(r"[^\W\d_\u0000-\u024f]")
 
@@ -76,16 +93,37 @@ class Block:
     mark: int = NOT_OUTSIDE
     inside: bool = False
     heading: bool = False
+    title: bool = False
     technical: bool = False
 
 
 def _attributes(rest: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(rest)} if "=" in rest or "hidden" in rest.lower() else {}
+    """Those attributes of a tag that are read, each as it comes first. A quoted value is passed over as a whole."""
+    found: dict[str, str] = {}
+    if rest and not rest.isspace():
+        for m in ATTRIBUTE.finditer(rest):
+            name = m[1].lower()
+            if name in READ:
+                found.setdefault(name, (m[2] or "").strip("\"'"))
+    return found
+
+
+@lru_cache(maxsize=4096)
+def _named(names: str, outside: frozenset[str]) -> frozenset[str]:
+    """The words of ``outside`` by which class names or an id mark what is not the article: names that are such a word, or are put together from such and from words that say
+    nothing. "hidden" counts as a name of its own alone, as utility classes have it for one size of screen or for what runs over."""
+    found: set[str] = set()
+    for token in names.split():
+        parts = [w.lower() for w in NAME_PARTS.findall(token)]
+        hits = outside.intersection(parts)
+        if hits and (len(parts) == 1 or ("hidden" not in hits and all(w in outside or w in PLAIN_WORDS for w in parts))):
+            found |= hits
+    return frozenset(found)
 
 
 def _outside(tag: str, found: dict[str, str], inside: bool) -> int:
     """How an element stands outside by itself."""
-    if tag in OUTSIDE_TAGS or (tag == "header" and not inside):
+    if tag in OUTSIDE_TAGS or (tag == "header" and not inside) or (tag == "form" and inside):
         return FIRM
     own = NAMED if tag == "form" else NOT_OUTSIDE
     if not found or tag in ("html", "body"):
@@ -95,11 +133,14 @@ def _outside(tag: str, found: dict[str, str], inside: bool) -> int:
         return FIRM
     if found.get("role", "").lower() in OUTSIDE_ROLES:
         return FIRM
-    names = {w.lower() for w in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+    given = f"{found.get('class', '')} {found.get('id', '')}"
+    names = _named(given, OUTSIDE_NAMES)
     if tag in MAIN_TAGS and not inside:  # a page's own article may be called anything
-        return FIRM if names & NOT_AN_ARTICLE else own
-    names &= OUTSIDE_IN_ARTICLE if inside else OUTSIDE_NAMES
-    return max(own, FIRM if names & OTHER_ARTICLES else NAMED) if names else own
+        return LISTED if names & NOT_AN_ARTICLE else own
+    if inside:
+        names &= OUTSIDE_IN_ARTICLE
+        return max(own, SUBJECT if names <= SUBJECTS.intersection(given.lower().split()) else NAMED if names <= BANNERS else LISTED) if names else own
+    return max(own, LISTED if names & OTHER_ARTICLES else NAMED) if names else own
 
 
 class Page:
@@ -115,7 +156,7 @@ class Page:
         self.low: str | None = None
         self.parts: list[str] = []
         self.linked = 0
-        self.heading = self.link = False
+        self.heading = self.title = self.link = False
         self.breaks = 0
         self.read()
 
@@ -127,7 +168,7 @@ class Page:
             self.parts.clear()
             if text:
                 _, mark, inside, technical = self.stack[-1] if self.stack else ("", NOT_OUTSIDE, False, False)
-                self.blocks.append(Block(text, min(self.linked, len(text)), mark, inside, self.heading, technical))
+                self.blocks.append(Block(text, min(self.linked, len(text)), mark, inside, self.heading, self.title, technical))
             self.linked = 0
 
     def words(self, text: str) -> None:
@@ -195,7 +236,7 @@ class Page:
         if block:
             self.link = False
             if name in HEADINGS:
-                self.heading = False
+                self.heading = self.title = False
 
     def start(self, name: str, rest: str, at: int) -> None:
         if name == "br":
@@ -227,7 +268,7 @@ class Page:
         own = _outside(name, found, inside)
         if own and name not in ITEM_TAGS and name not in ("head", "html", "body") and not self.ends_after(name, at):
             own = NOT_OUTSIDE
-        if own == NOT_OUTSIDE and mark in (CLEARED, NAMED) and main:
+        if own == NOT_OUTSIDE and mark in (CLEARED, SUBJECT, NAMED) and main:
             mark = CLEARED if name == "article" else NOT_OUTSIDE
         elif own == NOT_OUTSIDE and mark == NAMED and inside and name == "h1":  # an article's title may stand in a banner
             mark = NOT_OUTSIDE
@@ -239,7 +280,7 @@ class Page:
             self.stack.append((name, mark, inside or main, technical or name in ("pre", "table")))
             self.open[name] = self.open.get(name, 0) + 1
             if block:
-                self.heading = name in HEADINGS
+                self.heading, self.title = name in HEADINGS, name == "h1"
 
 
 def blocks(page: str) -> list[Block]:
@@ -260,14 +301,16 @@ def _unlisted(text: str) -> bool:
 def decide(block: Block, known: bool = True) -> bool | None:
     """First pass: True for text, False for what is not, None where a block alone cannot tell. Of a page whose language is not
     ``known``, or a block in another script, function words tell nothing."""
-    if block.mark > CLEARED:
-        return False
     n = len(block.text)
-    if block.linked > MANY_LINKS * n:
+    linked = block.linked > MANY_LINKS * n
+    if block.mark > CLEARED:  # such a name alone does not take long prose out of an article
+        return block.mark == SUBJECT and block.inside and n >= LONG and not linked and _stops(block.text) >= SOME_STOPS
+    if linked:
         if not block.inside:
             return False
-        # inside an article a link may be an item or a source; a long one that is no sentence is a menu's or a teaser's
-        return False if n >= SHORT and block.linked > ALL_LINKS * n and known and not _unlisted(block.text) and _stops(block.text) < SOME_STOPS else None
+        # inside an article a link may be an item or a source; a long one without a mark or a number, and with few function words, is a menu's
+        menu = n >= SHORT and block.linked > ALL_LINKS * n and known and not MARKS.search(block.text) and not _unlisted(block.text) and _stops(block.text) < SOME_STOPS
+        return False if menu else None
     if n < SHORT:
         return None
     if not known or _unlisted(block.text):
@@ -275,8 +318,8 @@ def decide(block: Block, known: bool = True) -> bool | None:
     stops = _stops(block.text)
     if stops >= SOME_STOPS:
         return True
-    if n >= LONG:
-        return True if stops >= FEW_STOPS or block.inside else None if block.technical else False
+    if n >= LONG:  # code and tables have few function words, and go with what is around them
+        return True if stops >= FEW_STOPS or block.inside else None if block.technical or MARKS.search(block.text) else False
     return None
 
 
@@ -311,16 +354,40 @@ def inherit(labels: list[bool | None], headings: list[bool]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """Main text of a page: the blocks that both passes keep, in order, one a line.
 
-    Where a page has an article, its blocks are looked at by themselves; where it has none, all blocks are."""
+    Where a page has an article, its blocks are looked at by themselves, with a main heading just before it; where it has none, all blocks are. Names that would leave nothing of a
+    page are not believed: first those of forms and parts, then those of what holds other articles. Elements, attributes and roles that mark the outside always do."""
     if not page:
         return ""
     found = blocks(page)
-    own = [b for b in found if b.inside and b.mark == NOT_OUTSIDE]
-    if not own:
-        own = [b for b in found if b.inside and b.mark == CLEARED] or found
+    for ignored in ((), (SUBJECT, NAMED), (LISTED,)):
+        for b in found:
+            if b.mark in ignored:
+                b.mark = NOT_OUTSIDE
+        for own in _candidates(found, bool(ignored)):
+            text = _kept(own)
+            if text:
+                return text
+    return ""
+
+
+def _candidates(found: list[Block], again: bool) -> Iterator[list[Block]]:
+    """What a page's text is looked for in: its article, an article in a wrapper that is called something else, the whole page."""
+    own = [b for b in found if b.inside and b.mark in (NOT_OUTSIDE, SUBJECT)]
+    if any(b.mark == NOT_OUTSIDE for b in own):
+        first = next(k for k, b in enumerate(found) if b.inside)
+        before = found[first - 1] if first else None
+        if before and before.title and before.mark <= CLEARED and not any(b.title for b in own):
+            own = [before, *own]
+        yield own
+    yield [b for b in found if b.inside and b.mark == CLEARED]
+    if again or not any(b.inside and b.mark <= CLEARED for b in found):
+        yield found
+
+
+def _kept(own: list[Block]) -> str:
+    """The blocks of ``own`` that both passes keep."""
     known = any(b.mark <= CLEARED and len(b.text) >= SHORT and b.linked <= MANY_LINKS * len(b.text) and _stops(b.text) >= SOME_STOPS for b in own)
-    labels = [decide(b, known) for b in own]
-    keep = inherit(labels, [b.heading for b in own])
+    keep = inherit([decide(b, known) for b in own], [b.heading for b in own])
     return "\n".join(b.text for b, k in zip(own, keep, strict=True) if k)
 
 
