@@ -78,7 +78,7 @@ def check_more(found, out):
     read = lambda name: {r["url"]: r for r in found["seo_scores"].sparkSession.read.option("header", True).option("escape", '"').csv(str(out / name)).collect()}
     general, front, back, readable = (read(n) for n in ("llm_general_suitability", "llm_frontend_suitability", "llm_backend_suitability", "llm_readability_report"))
     two, home = "https://a.com/en/two", "https://a.com/"
-    assert general[two]["has_nav"] == "false" and general[two]["top_issue"] == "The page does not mark where its content is" and general[two]["site_has_llms_txt"] == "true"
+    assert general[two]["has_nav"] == "false" and general[two]["top_issue"] == "The page does not mark its menus" and general[two]["site_has_llms_txt"] == "true"
     assert int(general[two]["essential_issues"]) + int(general[two]["other_issues"]) == len(json.loads(general[two]["feedback"])) and general[two]["priority"] == "Critical"
     assert front[two]["recommendations"].count("; ") == 1 and front[home]["forms"] == "1" and front[home]["standard_percent"] == "50" and front[home]["captcha_type"] == "None"
     assert back[two]["status_good"] == "true" and "Schema.org" in back[two]["issues"] and back[home]["json_ld"] == "1" and back[two]["llms_href"] == "N/A"
