@@ -62,7 +62,7 @@ def checksums(pieces: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def op5_jump_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards by key. A null key counts as 0, a null text has no bytes; rows that are equal in all have neighbouring slots."""
+    """Shards by key. A null key counts as 0, a null text has no bytes; equal rows get a slot each."""
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
 

@@ -36,6 +36,9 @@ def jump_hash(key: Column, shards: int) -> tuple[Column, Column]:
 #: Rows that a range of slots holds at least, on average.
 RANGE_ROWS = 4096
 
+#: Equal rows that one row stands for at most when slots are given out.
+PIECE = 1 << 16
+
 
 def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Give every row a shard by its key alone and a gapless slot within that shard.
@@ -44,9 +47,9 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
     (the shard if there was one more). Integer keys are hashed as they are, keys of any other type by the xxhash64 of their text; a null key
     counts as 0, rows with equal keys share a shard, an empty table gives no rows; other columns are not looked at.
 
-    Texts leave the plan before the first exchange, and rows that are equal in all that is left become one row with a count. Slots run through
-    ranges that a hash of the whole row picks, however the keys are spread and however many rows one key has; about the square root of
-    all rows are in each, and only the ranges' counts meet in the window that makes running offsets."""
+    Texts are read once and leave the plan before the first exchange; rows that are equal in all that is left become one row with a count, and a large count becomes
+    pieces of at most PIECE rows. Slots run through ranges that a hash of the row and its piece picks, however the keys are spread and however many rows are equal; about the
+    square root of all rows are in each, and only the ranges' counts meet in the window that makes running offsets."""
     whole = docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
     narrow = docs.select(
         F.col(key).alias("_key"),
@@ -55,17 +58,16 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
     )
     n = docs.count()
     ranges = max(1, n // int(max(RANGE_ROWS, n**0.5)))
-    own = ["shard", "grown_shard", "_range", "_key", "size", "text_crc32"]
+    own = ["shard", "grown_shard", "_key", "size", "text_crc32"]
     number = F.col("_key") if whole else F.when(F.col("_key").isNotNull(), F.xxhash64(F.col("_key").cast("string")))
     small, grown = jump_hash(number, shards)
-    rows = narrow.withColumn("_walk", F.struct(small.alias("s"), grown.alias("g"))).select(
-        "_key", "size", "text_crc32", F.col("_walk.s").alias("shard"), F.col("_walk.g").alias("grown_shard"), F.pmod(F.xxhash64("_key", "size", "text_crc32"), F.lit(ranges)).alias("_range")
-    )
-    kinds = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"))
-    counts = rows.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    rows = narrow.withColumn("_walk", F.struct(small.alias("s"), grown.alias("g"))).select("_key", "size", "text_crc32", F.col("_walk.s").alias("shard"), F.col("_walk.g").alias("grown_shard"))
+    kinds = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_all")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_all") - 1) / PIECE))).alias("_piece"))
+    kinds = kinds.select(*own, "_piece", F.least(F.lit(PIECE).cast("bigint"), F.col("_all") - F.col("_piece") * PIECE).alias("_n"), F.pmod(F.xxhash64("_key", "size", "text_crc32", "_piece"), F.lit(ranges)).alias("_range"))
+    counts = kinds.groupBy("shard", "_range").agg(F.sum("_n").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("shard", "_range").orderBy("_key", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("shard", "_range").orderBy("_key", "text_crc32", "size", "_piece").rowsBetween(Window.unboundedPreceding, -1)
     first = kinds.withColumn("_at", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(offsets, ["shard", "_range"])
     return first.select(
         F.col("_key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence(F.col("_before") + F.col("_at"), F.col("_before") + F.col("_at") + F.col("_n") - 1)).alias("slot"), "grown_shard"
