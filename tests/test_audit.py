@@ -82,7 +82,7 @@ def check_more(found, out):
     assert int(general[two]["essential_issues"]) + int(general[two]["other_issues"]) == len(json.loads(general[two]["feedback"])) and general[two]["priority"] == "Critical"
     assert front[two]["recommendations"].count("; ") == 1 and front[home]["forms"] == "1" and front[home]["standard_percent"] == "50" and front[home]["captcha_type"] == "None"
     assert back[two]["status_good"] == "true" and "Schema.org" in back[two]["issues"] and back[home]["json_ld"] == "1" and back[two]["llms_href"] == "N/A"
-    assert readable[two]["semantic_usage"] == "Poor" and readable[home]["heading_quality"] == "Excellent" and readable[home]["has_main_content"] == "true" and float(readable[home]["text_percent"]) > 0
+    assert readable[two]["semantic_usage"] == "Fair" and readable[home]["heading_quality"] == "Excellent" and readable[home]["has_main_content"] == "true" and float(readable[home]["text_percent"]) > 0
     files = {n: next(iter(read(n).values())) for n in ("robots_txt_quality", "llms_txt_quality")}
     assert files["robots_txt_quality"]["exists"] == "true" and files["robots_txt_quality"]["max_score"] == "100" and int(files["robots_txt_quality"]["rules"]) >= 1
     assert files["llms_txt_quality"]["core_total"] == "4" and files["llms_txt_quality"]["sections_total"] == "6" and files["llms_txt_quality"]["length"] == "Insufficient"

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.content import keyword_tokens
+from webloom.session import ship
 
 
 def main_keyword(text: Column) -> Column:
@@ -18,14 +23,15 @@ def main_keyword(text: Column) -> Column:
 def top_keywords(rows: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
     """(key, rank, word, n) of the ``n`` most frequent keywords of each row's text; ties by first position.
 
-    All within the row, without a shuffle: in the sorted words each word's occurrences are neighbours, and their number is the distance to
-    where the next word begins. First positions are looked up only for words as frequent as the last that counts."""
-    words = rows.select(key, keyword_tokens(F.col(text)).alias("_w")).filter(F.size("_w") > 0).withColumn("_s", F.sort_array("_w"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
-    begun = words.withColumn("_f", F.concat(starts, F.array(F.size("_s"))))
-    counted = begun.withColumn("_n", F.zip_with(F.slice("_f", 2, F.size("_f")), F.slice("_f", 1, F.size("_f") - 1), lambda b, a: b - a))
-    least = counted.withColumn("_least", F.coalesce(F.get(F.sort_array("_n", asc=False), F.lit(n - 1)), F.lit(1)))
-    often = F.filter(F.sequence(F.lit(0), F.size("_n") - 1), lambda j: F.get("_n", j) >= F.col("_least"))
-    found = F.transform(often, lambda j: F.struct((-F.get("_n", j)).alias("n"), F.array_position("_w", F.get("_s", F.get("_f", j))).alias("i"), F.get("_s", F.get("_f", j)).alias("w")))
-    best = least.select(key, F.posexplode(F.slice(F.sort_array(found), 1, n)).alias("_at", "_b"))
-    return best.select(key, F.col("_b.w").alias("word"), (-F.col("_b.n")).cast("bigint").alias("n"), (F.col("_at") + 1).alias("rank"))
+    All within the row, without a shuffle: words are found by expressions and counted in Arrow batches in time linear in their number, as expressions over arrays
+    look up each word's place anew."""
+    ship(rows.sparkSession)
+
+    @F.pandas_udf("array<struct<word:string,n:bigint>>")
+    def most_frequent(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for words in batches:
+            yield words.map(lambda w: [{"word": x, "n": k} for x, k in Counter(w).most_common(n)])
+
+    words = rows.select(key, keyword_tokens(F.col(text)).alias("_w")).filter(F.size("_w") > 0)
+    best = words.select(key, F.posexplode(most_frequent("_w")).alias("_at", "_b"))
+    return best.select(key, F.col("_b.word").alias("word"), F.col("_b.n").alias("n"), (F.col("_at") + 1).alias("rank"))
