@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +88,22 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None, limi
     return _union(parts)
 
 
+def reachable_sql(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(url, depth) as ``reachable`` has it within ``depth`` steps, by a recursive query. A step joins the rows of the step before, each address once, with all edges; an address found again
+    later is found again, so this is for small depths."""
+    spark = edges.sparkSession
+    names = [f"reach_{kind}_{uuid.uuid4().hex}" for kind in ("edges", "seeds")]
+    edges.select("source", "target").filter("target is not null").distinct().createOrReplaceTempView(names[0])
+    seeds.select("url").distinct().createOrReplaceTempView(names[1])
+    found = spark.sql(
+        f"WITH RECURSIVE reach(url, depth) MAX RECURSION LEVEL {depth + 2} AS (SELECT url, 0 FROM {names[1]} UNION ALL "
+        f"SELECT DISTINCT e.target, r.depth + 1 FROM reach r JOIN {names[0]} e ON e.source = r.url WHERE r.depth < {int(depth)}) SELECT url, min(depth) AS depth FROM reach GROUP BY url"
+    )
+    for name in names:
+        spark.catalog.dropTempView(name)
+    return found
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

@@ -24,4 +24,4 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     return enter
 
 
-from webloom.plans import history_queries, markup_queries, page_queries, score_queries, site_queries  # noqa: E402, F401
+from webloom.plans import history_queries, markup_queries, page_queries, score_queries, site_queries, store_queries  # noqa: E402, F401
