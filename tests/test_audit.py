@@ -18,6 +18,7 @@ def pages(spark):
         ("https://a.com/", PAGE, 200, {"content-security-policy": "x"}),
         ("https://a.com/en/two", "<html><body><main><p>hi <a href='/gone'>g</a></main></body></html>", 200, {}),
         ("https://a.com/de/drei", PAGE, 200, {}),
+        ("https://a.com/deep", '<script type="application/ld+json">' + "[" * 100_000 + "</script>", 200, {}),
         ("https://a.com/private/x", PAGE, 200, {}),
         ("https://a.com/gone", "", 404, {}),
         ("https://a.com/robots.txt", "User-agent: *\nDisallow: /private", 200, {}),
@@ -43,6 +44,8 @@ def test_audit_and_history(spark, tmp_path):
     feedback = {r["url"]: r["feedback"] for r in found["llm_general_suitability"].collect()}
     assert "robots_restrictions" in feedback["https://a.com/"] and "no_nav" in feedback["https://a.com/en/two"]
     assert found["technologies"].first()["names"] == ["jQuery"]
+    assert {(r["url"], r["reason"].split(":")[0], r["attempts"]) for r in found["failed_urls"].collect()} == {("https://a.com/gone", "status 404", 1), ("https://a.com/deep", "RecursionError", 1)}
+    assert tuple(found["pass_counts"].first()) == (3, 1)
     for name in REPORTS:
         assert list((tmp_path / "out" / name).glob("part-*.csv")), name
     assert found["regressions"].count() == 0
@@ -68,7 +71,10 @@ def check_more(found, out):
     assert {r["category"] for r in found["findings"].collect()} >= {"Accessibility", "Content", "AI Compatibility"}
     assert "Say more on short pages, or join them; there are 2" in {r["recommendation"] for r in found["recommendations"].collect()}
     sections = {r["item"]: r["value"] for r in found["seo_sections"].collect()}
-    assert sections["Total URLs"] == 3 and sections["4xx"] == 1 and sections["Missing titles"] == 1 and sections["Pages with hreflang"] == 1 and sections["Self-referencing canonicals"] == 0
+    assert sections["Total URLs"] == 4 and sections["4xx"] == 1 and sections["Missing titles"] == 1 and sections["Pages with hreflang"] == 1 and sections["Self-referencing canonicals"] == 0
+    comments = {r["item"]: (r["value"], r["comment"]) for r in found["seo_sections"].collect()}
+    assert sections["Orphaned URLs"] == found["orphaned_urls"].count() and sections["Total issues"] == sections["error issues"] == 1
+    assert comments["Average Load Time"] == (900.0, "Excellent") and comments["Average First Paint"] == (None, "N/A") and comments["Lowest SEO Score"][1] == "Poor"
     assert "Give every page a title" in {r["recommendation"] for r in found["seo_advice"].collect()}
     assert [r["manual_check"] for r in found["issues_by_code"].collect()] == ["Read the page without images: is anything lost?"]
     summary = json.loads(text(out / "executive_summary.json"))
@@ -89,7 +95,7 @@ def check_more(found, out):
     assert {r["label"]: r["value"] for r in found["chart_seo_distribution"].collect()}["<60"] == 2.0
     assert {p.name for p in (out / "charts").iterdir()} == {"performance", "seo_distribution", "content", "agents", "accessibility", "performance_trend", "accessibility_trend"}
     rows = text(out / "seo_sections").splitlines()
-    assert rows[1].startswith('"Summary","Total URLs"') and len(rows) == found["seo_sections"].count() + 1
+    assert rows[1].startswith('"Header","https://a.com/"') and rows[2].startswith('"Summary","Total URLs"') and len(rows) == found["seo_sections"].count() + 1
     assert {r["metric"] for r in found["comparison"].collect()} == set()
 
 

@@ -43,7 +43,7 @@ FEATURES = (
     "is_noindex boolean, is_nofollow boolean, is_noarchive boolean, has_restrictions boolean, "
     "has_captcha boolean, captcha_type string, has_recaptcha boolean, has_hcaptcha boolean, has_turnstile boolean, has_challenge boolean, has_bot_protection boolean, api_score int, has_api_docs boolean, has_api_meta boolean, has_openapi boolean, n_api_links int, n_state int, n_state_elements int, has_state boolean, has_auth_state boolean, has_validation boolean, has_error_state boolean, has_loading boolean, "
     "n_agent_elements int, n_agent_visible int, n_agent_hidden int, has_alert boolean, has_live boolean, has_persistent_errors boolean, has_invalid boolean, n_alerts int, n_live int, n_invalid int, n_field_errors int, n_tables int, tables_with_caption int, tables_with_scope int, machine_readable_ratio double, "
-    "n_buttons int, n_disabled int, n_explained int, explained_ratio double, has_login boolean, has_logout boolean, has_account boolean, has_user_id boolean, text string"
+    "n_buttons int, n_disabled int, n_explained int, explained_ratio double, has_login boolean, has_logout boolean, has_account boolean, has_user_id boolean, text string, error string"
 )
 
 
@@ -366,13 +366,23 @@ def features(page: str | None, url: str | None, base: str | None) -> dict:
         "has_account": any("account" in h or "profile" in h for h in hrefs),
         "has_user_id": bool(has("data-user-id") or has("data-user-name") or has("data-user-email")),
         "text": " ".join(clean.split()),
+        "error": None,
     }
 
 
+def guarded(page: str | None, url: str | None, base: str | None) -> dict:
+    """The same, or for a page that the pass fails on the metrics of an empty one, with what went wrong in ``error``."""
+    try:
+        return features(page, url, base)
+    except Exception as e:  # whatever a page does, it is that page's own failure and not the task's
+        return features(None, None, None) | {"error": f"{type(e).__name__}: {e}"[:200]}
+
+
 def page_features(pages: DataFrame, base: str | None = None, columns: list[str] | None = None, wanted: list[str] | None = None) -> DataFrame:
     """``columns`` of every page (default: its url) and the fields of FEATURES (or those ``wanted``) as columns.
 
-    One Python pass: filter and prune before it, score with expressions after it. A null or empty page has empty metrics."""
+    One Python pass: filter and prune before it, score with expressions after it. A null or empty page has empty metrics; one that the pass fails on has them too, and
+    says so in ``error``."""
     ship(pages.sparkSession)
     columns = columns or ["url"]
     fields = [f for f in T.StructType.fromDDL(FEATURES).fields if wanted is None or f.name in wanted]
@@ -386,7 +396,7 @@ def page_features(pages: DataFrame, base: str | None = None, columns: list[str]
                 part = batch.slice(i, 128)
                 rows = []
                 for html, url in zip(part.column("_html").to_pylist(), part.column("_url").to_pylist(), strict=True):
-                    found = features(html, url, base)
+                    found = guarded(html, url, base)
                     rows.append({n: found[n] for n in names})
                 made = pa.RecordBatch.from_pylist([{k: list(v.items()) if isinstance(v, dict) else v for k, v in r.items()} for r in rows], schema=out)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *made.columns], names=[*columns, *names])

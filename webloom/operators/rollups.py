@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import accessibility as a11y
-from webloom.functions import urls
+from webloom.functions import seo, urls
 from webloom.functions.numbers import clamp, grade, half_up, percentage, ratio
 
 
@@ -312,3 +312,47 @@ def headline_label(score: Column) -> Column:
 def overview(pages: DataFrame) -> DataFrame:
     """Pages, site name by the first URL, and whether the first page tells when it was modified (columns position, host, last_modified)."""
     return pages.agg(F.count(F.lit(1)).alias("pages"), F.min_by("host", "position").alias("site"), F.min_by(F.col("last_modified").isNotNull(), "position").alias("tells_last_modified"))
+
+
+#: Upper limits in milliseconds of the comments on average timings.
+TIMING_LIMITS = {
+    "load_time": ("Average Load Time", (1000, 2000, 3000)),
+    "first_paint": ("Average First Paint", (1000, 2000, 3000)),
+    "fcp": ("Average First Contentful Paint", (1500, 2500, 4000)),
+}
+
+
+def timing_comment(value: Column, limits: tuple[int, int, int]) -> Column:
+    """Label of an average timing; 'N/A' where none was measured."""
+    return F.when(value.isNull(), "N/A").when(value <= limits[0], "Excellent").when(value <= limits[1], "Good").when(value <= limits[2], "Fair").otherwise("Needs Improvement")
+
+
+def other_sections(scores: DataFrame, timings: DataFrame, orphans: DataFrame | None = None, issues: DataFrame | None = None, base: str = "") -> DataFrame:
+    """Report sections beside those of addresses and pages: position, section, item, value, percent, comment. ``scores``: url, score; ``timings``: columns of
+    TIMING_LIMITS, whose nulls are left out of averages; ``orphans``: url; ``issues``: type. What is not given has no section but the site's, and no scores have null values."""
+    spark = scores.sparkSession
+    rows = "position int, section string, item string, value double, percent double, comment string"
+    parts = [spark.createDataFrame([(0, "Header", base, None, None, None)], rows)]
+    pages = scores.agg(F.count(F.lit(1)).alias("_pages"))
+    if orphans is not None:
+        one = orphans.agg(F.count(F.lit(1)).cast("double").alias("_n")).join(pages, F.lit(True))
+        parts.append(one.select(F.lit(1000).alias("position"), F.lit("Orphaned URLs Analysis").alias("section"), F.lit("Orphaned URLs").alias("item"), F.col("_n").alias("value"), percentage(F.col("_n"), F.col("_pages")).alias("percent"), F.lit(None).cast("string").alias("comment")))
+    if issues is not None:
+        counts = issues.rollup("type").agg(F.count(F.lit(1)).cast("double").alias("value"), F.grouping_id().alias("_all")).filter("_all = 1 OR type IS NOT NULL")
+        kind = F.when(F.col("_all") == 1, "Total issues").otherwise(F.concat("type", F.lit(" issues")))
+        place = F.when(F.col("_all") == 1, 1100).otherwise(1101 + F.coalesce(F.array_position(F.array(F.lit("error"), F.lit("warning"), F.lit("notice")), F.col("type")), F.lit(9)))
+        parts.append(counts.select(place.cast("int").alias("position"), F.lit("Accessibility Analysis").alias("section"), kind.alias("item"), "value", F.lit(None).cast("double").alias("percent"), F.lit(None).cast("string").alias("comment")))
+
+    def listed(one: DataFrame, first: int, section: str, items: list[tuple[str, Column, Column]]) -> DataFrame:
+        made = F.array(*[F.struct(F.lit(first + k).alias("position"), F.lit(section).alias("section"), F.lit(item).alias("item"), value.alias("value"), F.lit(None).cast("double").alias("percent"), said.alias("comment")) for k, (item, value, said) in enumerate(items)])
+        return one.select(F.inline(made))
+
+    mark = F.col("score").cast("double")
+    one = scores.agg(F.avg(mark).alias("a"), F.min(mark).alias("b"), F.max(mark).alias("c"))
+    parts.append(listed(one, 1200, "SEO Score Analysis", [("Average SEO Score", F.round("a", 2), seo.comment(F.col("a"))), ("Lowest SEO Score", F.col("b"), seo.comment(F.col("b"))), ("Highest SEO Score", F.col("c"), seo.comment(F.col("c")))]))
+    one = timings.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in TIMING_LIMITS])
+    parts.append(listed(one, 1300, "Performance Analysis", [(item, F.round(F.col(c), 2), timing_comment(F.col(c), limits)) for c, (item, limits) in TIMING_LIMITS.items()]))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

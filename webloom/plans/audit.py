@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from webloom.config import AuditConfig
@@ -22,7 +22,7 @@ def audit(pages: DataFrame, config: AuditConfig, sitemap: DataFrame | None = Non
     """Report tables by name, for pages of (url, html, status_code, headers, last_modified, last_crawled).
 
     Robots and language filters, the limit and the split-off of robots.txt and llms.txt come before the structural pass, which is the
-    only Python in the plan; its result is stored once, and all reports read it from there. Pages that failed (status other than 200, or no markup) are reported but not scored. Issues (page_url,
+    only Python in the plan; its result is stored once, and all reports read it from there. Pages that failed (status other than 200, no markup, or markup that the pass fails on) are rows of failed_urls with the reason and the number of attempts, and are not scored. Issues (page_url,
     code, type, message) and timings (columns of PERFORMANCE) are joined from the left, so a page without them keeps its row."""
     spark = pages.sparkSession
     files = pages.filter(F.lower(urls.path(F.col("url"))).rlike(SPECIAL)).select("url", F.col("html").alias("content"))
@@ -41,7 +41,14 @@ def audit(pages: DataFrame, config: AuditConfig, sitemap: DataFrame | None = Non
     status = rest.select("url", "status_code", F.coalesce(F.try_element_at(texts, F.col("status_code")), F.lit("Unknown")).alias("status_text"), F.col("last_crawled").alias("ts"))
     as_of = F.to_timestamp(F.lit(config.as_of)) if config.as_of else F.coalesce(F.col("last_crawled"), F.current_timestamp())
     h = F.col("headers")
-    f = materialize(page_features(good, config.base_url or None, ["url", "status_code", "headers", "last_modified", "last_crawled"]), "features")
+    seen = Observation("pages")  # counted while the pass runs, without another scan
+    passed = page_features(good, config.base_url or None, ["url", "status_code", "headers", "last_modified", "last_crawled"])
+    f = materialize(passed.observe(seen, F.count(F.lit(1)).alias("pages"), F.count("error").alias("failed")), "features")
+    tries = F.coalesce(F.col("attempts").cast("int"), F.lit(1)) if "attempts" in pages.columns else F.lit(1)
+    wrong = F.when(F.col("status_code") != 200, F.concat(F.lit("status "), F.col("status_code").cast("string"))).when(F.col("status_code").isNull(), "no answer").otherwise("no markup")
+    failed = rest.join(good.select("url").distinct(), "url", "left_anti").select("url", "status_code", wrong.alias("reason"), tries.alias("attempts"))
+    failed = failed.unionByName(f.filter("error is not null").select("url", "status_code", F.col("error").alias("reason"), F.lit(1).alias("attempts")))
+    counts, f = seen.get, f.filter("error is null")
     robots_quality, llms_quality = robots.quality(robot_files).withColumn("site", urls.host(F.col("url"))), llms_txt.quality(llms_files).withColumn("site", urls.host(F.col("url")))
     # a site's own llms.txt counts for all its pages, its robots.txt too
     site_files = llms_files.groupBy(urls.host(F.col("url")).alias("site")).agg(F.lit(True).alias("site_has_llms")).join(robots_quality.groupBy("site").agg(F.max("score").alias("robots_score")), "site", "full")
@@ -119,6 +126,8 @@ def audit(pages: DataFrame, config: AuditConfig, sitemap: DataFrame | None = Non
         ),
         "robots_txt_quality": robots_quality,
         "llms_txt_quality": llms_quality,
+        "failed_urls": failed,
+        "pass_counts": spark.createDataFrame([(int(counts["pages"]), int(counts["failed"]))], "pages bigint, failed bigint"),
         "technologies": technology.by_category(technology.detect(resources)),
     }
     if sitemap is not None:
@@ -139,7 +148,9 @@ def audit(pages: DataFrame, config: AuditConfig, sitemap: DataFrame | None = Non
     addresses = rest.select("url", "status_code", (F.startswith("url", F.lit(config.base_url)) if config.base_url else F.lit(True)).alias("is_internal"), ((F.col("status_code") == 200) & ~F.contains(F.coalesce(F.col("html"), F.lit("")), F.lit("noindex"))).alias("indexable"))
     contents = out["content_analysis"].join(out["security_report"].drop("https"), "url").withColumn("js_errors", F.lit(0))
     first = rollups.address_sections(addresses)
-    out["seo_sections"] = first.unionByName(rollups.page_sections(contents).withColumn("position", F.col("position") + 100))
+    more = rollups.other_sections(out["seo_scores"], out["performance_analysis"], out.get("orphaned_urls"), issues, config.base_url)
+    first = first.withColumn("position", F.col("position") + 1).unionByName(rollups.page_sections(contents).withColumn("position", F.col("position") + 100))
+    out["seo_sections"] = first.withColumn("comment", F.lit(None).cast("string")).unionByName(more)
     out["seo_advice"] = rollups.section_advice(out["seo_sections"])
     out["seo_scores_summary"] = rollups.summarize(out["seo_scores"], ["score", *parts])
     return out | summaries(out) | charts(out)

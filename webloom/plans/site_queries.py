@@ -495,3 +495,22 @@ def language_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = table(spark, sf_dir, "pages").groupBy(urls.first_segment(F.col("url")).alias("language")).agg(F.count(F.lit(1)).alias("pages"), F.min("url").alias("example"))
     return found.filter("pages > 1")
+
+
+@register("""WITH s AS (SELECT c_acctbal / 100 AS score, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 4000 END::DOUBLE AS load_time, (c_custkey % 700)::DOUBLE AS fcp, c_custkey FROM customer), e AS (SELECT CASE event_type WHEN 'view' THEN 'notice' WHEN 'click' THEN 'warning' WHEN 'error' THEN 'error' END AS type FROM events),
+a AS (SELECT avg(score) AS a, min(score) AS b, max(score) AS c, avg(load_time) AS l, avg(fcp) AS f, count(*) AS n FROM s),
+v AS (SELECT 'Header' AS section, 'https://a.com/' AS item, NULL::DOUBLE AS value, NULL::DOUBLE AS percent, NULL AS kind FROM a UNION ALL
+ SELECT 'Orphaned URLs Analysis', 'Orphaned URLs', (SELECT count(*) FROM s WHERE c_custkey % 7 = 0)::DOUBLE, round(100 * ((SELECT count(*) FROM s WHERE c_custkey % 7 = 0)::DOUBLE / n), 2), NULL FROM a UNION ALL
+ SELECT 'Accessibility Analysis', 'Total issues', count(*)::DOUBLE, NULL, NULL FROM e UNION ALL SELECT 'Accessibility Analysis', type || ' issues', count(*)::DOUBLE, NULL, NULL FROM e WHERE type IS NOT NULL GROUP BY type UNION ALL
+ SELECT 'SEO Score Analysis', 'Average SEO Score', a, NULL, 'seo' FROM a UNION ALL SELECT 'SEO Score Analysis', 'Lowest SEO Score', b, NULL, 'seo' FROM a UNION ALL SELECT 'SEO Score Analysis', 'Highest SEO Score', c, NULL, 'seo' FROM a UNION ALL
+ SELECT 'Performance Analysis', 'Average Load Time', l, NULL, 'load' FROM a UNION ALL SELECT 'Performance Analysis', 'Average First Paint', NULL, NULL, 'none' FROM a UNION ALL SELECT 'Performance Analysis', 'Average First Contentful Paint', f, NULL, 'fcp' FROM a)
+SELECT section, item, round(value, 2) AS value, percent, CASE kind WHEN 'seo' THEN CASE WHEN value >= 90 THEN 'Excellent' WHEN value >= 80 THEN 'Very good' WHEN value >= 70 THEN 'Good' WHEN value >= 60 THEN 'Fair' WHEN value >= 50 THEN 'Needs improvement' ELSE 'Poor' END
+ WHEN 'load' THEN CASE WHEN value <= 1000 THEN 'Excellent' WHEN value <= 2000 THEN 'Good' WHEN value <= 3000 THEN 'Fair' ELSE 'Needs Improvement' END WHEN 'fcp' THEN CASE WHEN value <= 1500 THEN 'Excellent' WHEN value <= 2500 THEN 'Good' WHEN value <= 4000 THEN 'Fair' ELSE 'Needs Improvement' END WHEN 'none' THEN 'N/A' END AS comment FROM v""")
+def other_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report sections on orphans, issues, scores and timings, with customers as pages and events as issues."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k, (F.col("c_acctbal") / 100).cast("double").alias("score"), F.when(k % 3 > 0, k % 4000).cast("double").alias("load_time"), F.lit(None).cast("double").alias("first_paint"), (k % 700).cast("double").alias("fcp"))
+    kind = F.col("event_type")
+    issues = table(spark, sf_dir, "events").select(F.when(kind == "view", "notice").when(kind == "click", "warning").when(kind == "error", "error").alias("type"))
+    found = rollups.other_sections(rows, rows, rows.filter(k % 7 == 0), issues, "https://a.com/")
+    return found.select("section", "item", F.round("value", 2).alias("value"), "percent", "comment")

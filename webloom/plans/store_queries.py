@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import urls
-from webloom.operators import links, robots
+from webloom.operators import links, robots, structured
 from webloom.plans.page_queries import long, six
 from webloom.plans.registry import register
 from webloom.sources.page_cache import PageCache
-from webloom.sources.run_store import RunStore
+from webloom.sources.run_store import RunStore, run_key
 from webloom.sources.sitemap_source import sitemap_tree
 from webloom.sources.tables import table
 from webloom.storage import materialize, shared_dir
@@ -85,33 +85,36 @@ def robots_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A metric of each run (a day of events) and site (an event type), for both engines.
-SQL_RUNS = "r AS (SELECT date_trunc('day', ts) AS day, event_type AS site, avg(value) AS value FROM events GROUP BY 1, 2)"
+SQL_RUNS = "r AS (SELECT date_trunc('day', ts) AS day, event_type AS site, count(*)::DOUBLE AS value FROM events GROUP BY 1, 2)"
 
 
-@register(f"""WITH {SQL_RUNS}, f AS (SELECT site, min(day) AS day FROM r GROUP BY site), g AS (SELECT min(day) AS day FROM r), b AS (SELECT r.site, r.value AS old FROM r JOIN g USING (day)), n AS (SELECT max(day) AS day FROM r)
-SELECT r.site, round(old, 6) AS old, round(r.value, 6) AS new, CASE WHEN (r.value - old) / nullif(old, 0) * 100 > 30 THEN 'critical' ELSE 'warning' END AS severity FROM r JOIN n USING (day) JOIN b ON b.site = r.site WHERE (r.value - old) / nullif(old, 0) * 100 > 15""")
-def stored_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of events as runs, stored (the last one twice), the first pinned, and what of the last is worse than it."""
-    runs = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("run_ts"), F.col("event_type").alias("site")).agg(F.avg("value").alias("value"))
-    runs = materialize(runs.select(F.lit("r").alias("run_id"), "run_ts", "site", F.lit("performance").alias("family"), F.lit("load_time").alias("metric"), "value"), "runs")
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[RunStore, DataFrame]:
+    """A store with days of events as runs, and those rows."""
+    runs = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("run_ts"), F.col("event_type").alias("site")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    runs = materialize(runs.select(F.lit("r").alias("run_id"), "run_ts", "site", F.lit("accessibility").alias("family"), F.lit("a11y_errors").alias("metric"), "value"), "runs")
     store = RunStore(spark, _folder(spark, "run_store"))
     store.write(runs)
-    last = runs.agg(F.max("run_ts")).first()[0]
-    store.write(runs.filter(F.col("run_ts") == F.lit(last)))
-    first, latest = (store.runs().agg(F.min("run"), F.max("run")).first()) or (None, None)
-    if first is None:
+    return store, runs
+
+
+@register(f"""WITH {SQL_RUNS}, d AS (SELECT day, row_number() OVER (ORDER BY day) AS k FROM (SELECT DISTINCT day FROM r)), b AS (SELECT r.site, r.value AS old FROM r JOIN d USING (day) WHERE k = 2), n AS (SELECT site, value FROM r JOIN d USING (day) WHERE k = 3)
+SELECT n.site, old, value AS new, 'critical' AS severity FROM n JOIN b USING (site) WHERE value > old""")
+def stored_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of events as runs, stored (one of them twice), the second pinned, and what of the third is worse than it."""
+    store, runs = _stored(spark, sf_dir)
+    names = sorted(r[0] for r in store.runs().select("run").distinct().collect())[1:3]
+    if len(names) < 2:
         return spark.createDataFrame([], "site string, old double, new double, severity string")
-    store.pin(run=first)
-    return store.regressions(latest).select("site", six(F.col("old")).alias("old"), six(F.col("new")).alias("new"), "severity")
+    store.write(runs.filter(run_key(F.col("run_ts"), F.col("run_id")) == names[1]))
+    store.pin(run=names[0])
+    return store.regressions(names[1]).select("site", "old", "new", "severity")
 
 
 @register(f"""WITH {SQL_RUNS}, o AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'view' WHEN 1 THEN 'click' WHEN 2 THEN 'purchase' ELSE 'none' END AS site, (SELECT min(day) FROM r) + to_hours(CAST(o_orderkey % 900 AS BIGINT)) - INTERVAL 12 HOURS AS at FROM orders)
 SELECT o_orderkey, strftime(max(r.day), '%Y-%m-%d') AS run_day FROM o LEFT JOIN r ON r.site = o.site AND r.day <= o.at GROUP BY o_orderkey""")
 def run_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every order as a moment: the latest stored run of its site (an event type) that is not after it."""
-    runs = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("run_ts"), F.col("event_type").alias("site")).agg(F.avg("value").alias("value"))
-    store = RunStore(spark, _folder(spark, "run_store"))
-    store.write(runs.select(F.lit("r").alias("run_id"), "run_ts", "site", F.lit("performance").alias("family"), F.lit("load_time").alias("metric"), "value"))
+    store, _ = _stored(spark, sf_dir)
     first = F.lit(store.runs().agg(F.min("run_ts")).first()[0]).cast("timestamp")
     k = F.col("o_orderkey")
     site = F.when(k % 4 == 0, "view").when(k % 4 == 1, "click").when(k % 4 == 2, "purchase").otherwise("none")
@@ -142,3 +145,21 @@ def crawl_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without a bound, frontier by frontier."""
     edges, seeds = _link_graph(spark, sf_dir)
     return links.reachable(edges, seeds).select("url", long(F.col("depth")).alias("depth"))
+
+
+#: A JSON-LD block a page: an object, a list of objects, an object with a graph, or no JSON, by page number.
+BLOCK = """CASE k % 4 WHEN 0 THEN concat('{"@context":"https://schema.org","@type":["Shop","T', k % 7, '"],"n":', k, '}')
+ WHEN 1 THEN concat('[{"@type":"A', k % 5, '","n":1},{"@id":"x","@type":"B"},', k, ']')
+ WHEN 2 THEN concat('{"@context":"c', k % 3, '","@graph":[{"@type":"G"},{"@type":"H","@context":"own","m":null}]}') ELSE 'not json' END"""
+
+
+@register("""WITH p AS (SELECT page_id AS k FROM pages),
+n AS (SELECT k, 0 AS place, 0 AS part, 'Shop,T' || (k % 7) AS types, 'https://schema.org' AS contexts, '@context,@type,n' AS fields FROM p WHERE k % 4 = 0
+ UNION ALL SELECT k, 0, 0, 'A' || (k % 5), '', '@type,n' FROM p WHERE k % 4 = 1 UNION ALL SELECT k, 1, 0, 'B', '', '@id,@type' FROM p WHERE k % 4 = 1
+ UNION ALL SELECT k, 0, 0, '', 'c' || (k % 3), '@context,@graph' FROM p WHERE k % 4 = 2 UNION ALL SELECT k, 0, 1, 'G', 'c' || (k % 3), '@type' FROM p WHERE k % 4 = 2 UNION ALL SELECT k, 0, 2, 'H', 'own', '@context,@type,m' FROM p WHERE k % 4 = 2)
+SELECT k AS page_id, place::BIGINT AS place, part::BIGINT AS part, types, contexts, fields FROM n""")
+def json_ld_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of a JSON-LD block of every page, by variants."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("k")).select("k", F.array(F.expr(BLOCK)).alias("json_ld"))
+    found = structured.nodes(pages, "k")
+    return found.select(F.col("k").alias("page_id"), long(F.col("node._at")).alias("place"), long(F.col("node._part")).alias("part"), F.array_join("types", ",").alias("types"), F.array_join("contexts", ",").alias("contexts"), F.array_join(F.array_sort("fields"), ",").alias("fields"))

@@ -53,7 +53,7 @@ REPORTS = {
     "robots_txt_quality": ["url", "exists", "quality", "score", "max_score", "has_ai_agents", "ai_agent_names", "has_sitemap", "sitemaps", "protects_paths", "paths", "mentions_llms", "has_comments", "rules", "structure", "issues", "recommendations"],
     "llms_txt_quality": ["url", "exists", "quality", "score", "max_score", "has_title", "title", "has_description", "has_contact", "contact", "has_last_updated", "last_updated", "has_site_type", "site_type", "core_elements", "core_total", "sections", "sections_total", "word_count", "line_count", "n_links", "n_headings", "length", "specificity", "structured", "issues", "recommendations"],
     "llm_feedback": ["url", "rule", "essential", "issue", "recommendation", "priority", "effort"],
-    "seo_sections": ["section", "item", "value", "percent"],
+    "seo_sections": ["section", "item", "value", "percent", "comment"],
     "seo_scores_summary": ["metric", "average", "least", "most"],
     "content_analysis": ["url", "word_count", "h1_count", "h2_count", "h3_count", "h4_count", "h5_count", "h6_count", "missing_headers", "zero_h1", "images", "images_without_alt", "internal_links", "external_links", "title", "meta_description", "has_viewport", "scripts", "stylesheets", "html_lang", "canonical", "forms", "tables", "page_size"],
     "images_without_alt": ["url", "src"],
@@ -65,11 +65,13 @@ REPORTS = {
     "common_issues": ["code", "message", "n"],
     "wcag_compliance": ["guideline", "name", "issues", "compliant", "manual_check"],
     "technologies": ["category", "names"],
+    "failed_urls": ["url", "status_code", "reason", "attempts"],
+    "pass_counts": ["pages", "failed"],
 }
 
 
 #: Order of the reports that have one.
-ORDERS = {"all_resources_report": ["-uses", "url"], "llm_readability_report": ["-overall", "url"], "http_status_report": ["-status_code", "url"], "missing_sitemap_urls": ["url"], "orphaned_urls": ["url"], "common_issues": ["-n", "code", "message"], "wcag_compliance": ["guideline"], "issues_by_code": ["page_url", "code"]}
+ORDERS = {"failed_urls": ["url", "reason"], "all_resources_report": ["-uses", "url"], "llm_readability_report": ["-overall", "url"], "http_status_report": ["-status_code", "url"], "missing_sitemap_urls": ["url"], "orphaned_urls": ["url"], "common_issues": ["-n", "code", "message"], "wcag_compliance": ["guideline"], "issues_by_code": ["page_url", "code"]}
 
 
 def write_report(name: str, df: DataFrame, folder: str) -> None:
