@@ -206,3 +206,14 @@ def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spans = F.concat_ws(",", F.transform("spans", lambda s: F.concat(s["start_ms"].cast("int").cast("string"), F.lit("-"), s["end_ms"].cast("int").cast("string"))))
     feature = F.concat_ws(";", F.col("n_frames").cast("string"), F.sha2("clips", 256), spans)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "n_frames", F.size("spans").alias("n_spans"))
+
+
+def store(docs: DataFrame, path: str, columns: list[str], text: str = "text") -> DataFrame:
+    """Keep every text's sound and what was computed from it: tables ``media`` and ``features`` below ``path`` (which must be new), the features from the sounds read back. Returns the features as
+    stored: ``columns``, the columns of ``features``, with clips as Arrow streams for ``read_clips``. Nulls, repeated rows and empty tables are as there."""
+    spark = docs.sparkSession
+    sounds = encode_audio(docs, columns, text)
+    sounds.write.parquet(f"{path}/media")
+    found = features(spark.read.schema(sounds.schema).parquet(f"{path}/media"), columns)
+    found.write.parquet(f"{path}/features")
+    return spark.read.schema(found.schema).parquet(f"{path}/features")

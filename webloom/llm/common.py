@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_key(docs: DataFrame, key: str) -> None:
+    """Refuse ids that are no integers, before any work is done: these operators order, compare and store ids as 64-bit numbers."""
+    kind = docs.schema[key].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{key} is of type {kind}; this operator takes integer ids, so number or hash other ids first")
+
+
 def release() -> None:
     """Give memory that is free inside this process back to the system. Workers outlive their tasks, and what one operator's task has
     freed but kept would count beside the next operator's."""

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import ALPHANUMERIC, FOLD, array_rows, chunks, joined, releasing, text_slices, word_ids
+from webloom.llm.common import ALPHANUMERIC, FOLD, array_rows, chunks, joined, releasing, text_slices, whole_key, word_ids
 from webloom.storage import discard, materialize
 
 #: Words of a window, and bytes of benchmark texts that are matched in one pass over the index (further texts: further passes).
@@ -35,7 +35,8 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
     A row holds the block's terms (its distinct words), how often each occurs, and for each term its word positions in the
     block, ascending, as zstandard-compressed differences; doc_starts says which positions are whose. Words are the contract's:
     A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Nulls and empty texts have no postings but keep their place; repeated
-    rows and null keys are kept as they are; an empty table has no blocks; other columns are not read."""
+    rows and null keys are kept as they are; an empty table has no blocks; other columns are not read. Ids that are no integers are refused."""
+    whole_key(docs, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import array_rows, releasing
+from webloom.llm.common import array_rows, releasing, whole_key
 from webloom.llm.tokens import encoder
 from webloom.session import ship
 from webloom.storage import materialize
@@ -150,7 +150,8 @@ def pack_online(docs: DataFrame, tokenizer: str, capacity: int = 1024, limit: in
     no rows; other columns are not read.
 
     The pieces are written once in the shared folder, so tokenising happens once; windows that were full or emitted are final
-    there, and only the windows left open at each partition's end take part in the merge."""
+    there, and only the windows left open at each partition's end take part in the merge. Ids that are no integers are refused."""
+    whole_key(docs, key)
     pieces = materialize(docs.select(F.col(key), F.col(text)).mapInArrow(releasing(_pack_partition(tokenizer, capacity, limit, end_id, key, text)), PIECES), "pieces")
     plain = ["doc_id", "start", "length", "ids", "doc_tokens"]
     moved = merge_leftovers(pieces.filter("open").select("sequence_id", "part", "length"), capacity, limit)
@@ -216,7 +217,8 @@ def pack_blocks(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: i
     segment's end), position_ids (as many unsigned 16- or 32-bit numbers as ids, 0 again at each segment and after the last), and the
     segments' doc_ids and starts, by which the documents can be put together again. A document longer than the capacity is cut
     at its multiples; each ends with ``end_id``, so a null or empty text has one id. Repeated rows are packed as often as they come, null
-    keys stay null, an empty table gives no rows, other columns are not read. Nothing is shuffled: a block is packed where it was read."""
+    keys stay null, an empty table gives no rows, other columns are not read. Nothing is shuffled: a block is packed where it was read. Ids that are no integers are refused."""
+    whole_key(docs, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import array_rows, chunks, distinct, mix, powers, prefix_hash, releasing, text_slices
+from webloom.llm.common import array_rows, chunks, distinct, mix, powers, prefix_hash, releasing, text_slices, whole_key
 from webloom.storage import materialize
 
 #: Differences between members of COVER give every residue modulo PERIOD (a perfect difference set).
@@ -304,7 +304,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     empty table gives no rows; other columns are not read.
 
     A block sends each context once, however many copies it holds, so a bucket gets a common string once a block. Buckets are not split
-    within one prefix of PREFIX bytes."""
+    within one prefix of PREFIX bytes. Ids that are no integers are refused."""
+    whole_key(docs, key)
     if length < 2 * PERIOD:
         raise ValueError(f"length must be at least {2 * PERIOD}")
     blocks = materialize(_blocks(docs, key, text, block_bytes), "blocks")
