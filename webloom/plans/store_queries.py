@@ -16,6 +16,7 @@ from webloom.sources.run_store import RunStore, run_key
 from webloom.sources.sitemap_source import sitemap_tree
 from webloom.sources.tables import table
 from webloom.storage import materialize, shared_dir
+from webloom.streaming import discovery
 
 
 def _folder(spark: SparkSession, label: str) -> str:
@@ -163,3 +164,17 @@ def json_ld_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("k")).select("k", F.array(F.expr(BLOCK)).alias("json_ld"))
     found = structured.nodes(pages, "k")
     return found.select(F.col("k").alias("page_id"), long(F.col("node._at")).alias("place"), long(F.col("node._part")).alias("part"), F.array_join("types", ",").alias("types"), F.array_join("contexts", ",").alias("contexts"), F.array_join(F.array_sort("fields"), ",").alias("fields"))
+
+
+@register(r"""WITH l AS (SELECT DISTINCT url AS source, regexp_replace(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || h, '[?#].*$', '') AS target FROM (SELECT url, unnest(regexp_extract_all(html, '<a\s[^>]*href="(/[^"]*)"', 1)) AS h FROM pages))
+SELECT target AS url, count(DISTINCT source) AS pages FROM l WHERE target NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0) GROUP BY target""")
+def stream_discovered_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as a stream of several batches: what they link to that the sitemap lacks, with the number of linking pages."""
+    folder = _folder(spark, "discovery")
+    pages = table(spark, sf_dir, "pages")
+    timed = pages.select("url", "html", F.timestamp_seconds(1_700_000_000 + F.col("page_id") % 3600).alias("fetched_at"))
+    timed.repartition(4).write.parquet(f"{folder}/pages")
+    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/pages")
+    query = discovery.follow(stream, pages.filter("page_id % 2 = 0").select("url"), folder)
+    query.awaitTermination()
+    return discovery.discovered(discovery.stored_links(spark, folder))
