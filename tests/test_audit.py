@@ -142,3 +142,17 @@ def test_sql_functions(spark):
     pages(spark).createOrReplaceTempView("stored")
     got = spark.sql("SELECT s.url, t.h1, t.links FROM stored s, LATERAL wl_extract_page(s.html, s.url) t WHERE s.url = 'https://a.com/'").first()
     assert (got["h1"], got["links"]) == ("Big", 3)
+
+
+def test_page_fields_as_a_table_function(spark):
+    sql.register(spark)
+    pages(spark).createOrReplaceTempView("stored")
+    found = spark.sql("SELECT * FROM wl_page_fields(TABLE(SELECT url, html FROM stored WHERE status_code = 200), 'h1, n_internal, tag_counts')")
+    assert found.dtypes == [("url", "string"), ("h1", "string"), ("n_internal", "int"), ("tag_counts", "map<string,int>")]
+    rows = {r["url"]: r for r in found.collect()}
+    assert rows["https://a.com/"]["h1"] == "Big" and rows["https://a.com/"]["tag_counts"]["h1"] == 1 and rows["https://a.com/en/two"]["n_internal"] == 1
+    sites = spark.sql("SELECT url FROM wl_page_fields(TABLE(SELECT url, html, substring(url, 1, 13) AS site FROM stored), 'h1', 'site')")
+    assert sites.count() == 8 and "Exchange hashpartitioning(" in sites._jdf.queryExecution().executedPlan().toString()
+    for wrong in ("wl_page_fields(TABLE(stored), 'h7')", "wl_page_fields(TABLE(SELECT url FROM stored), 'h1')", "wl_page_fields('x', 'h1')"):
+        with pytest.raises(Exception, match="no field|a table with"):
+            spark.sql(f"SELECT * FROM {wrong}").collect()

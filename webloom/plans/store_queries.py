@@ -15,15 +15,10 @@ from webloom.sources.page_cache import PageCache
 from webloom.sources.run_store import RunStore, run_key
 from webloom.sources.sitemap_source import sitemap_tree
 from webloom.sources.tables import table
-from webloom.storage import materialize, shared_dir
+from webloom.storage import materialize, scratch_dir
 from webloom.streaming import discovery
 
 
-def _folder(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def _write_xml(spark: SparkSession, root: str, kind: str, places: list[str], path: str) -> None:
     text = f"<{root}>" + "".join(f"<{kind}><loc>{p}</loc></{kind}>" for p in places) + f"</{root}>"
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
@@ -37,7 +32,7 @@ def _files(spark: SparkSession, path: str) -> list[str]:
 WHERE length(split_part(regexp_extract(url, '^[A-Za-z]+://[^/]*/?([^?#]*)', 1), '/', 1)) <> 2 OR split_part(regexp_extract(url, '^[A-Za-z]+://[^/]*/?([^?#]*)', 1), '/', 1) IN ('en', 'us')""")
 def sitemap_tree_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as packed sitemaps below two indexes, one of which names the other and itself, read back by one call."""
-    root, k = _folder(spark, "sitemaps"), F.col("page_id")
+    root, k = scratch_dir(spark, "sitemaps"), F.col("page_id")
     pages = table(spark, sf_dir, "pages").select(F.col("url").alias("loc"), F.concat(F.lit("2024-01-"), F.lpad((1 + k % 28).cast("string"), 2, "0")).alias("lastmod"), (k % 11 / 10).alias("priority"))
     pages.repartition(4).write.format("xml").option("rootTag", "urlset").option("rowTag", "url").option("compression", "gzip").save(f"{root}/parts")
     parts = _files(spark, f"{root}/parts")
@@ -59,7 +54,7 @@ def page_cache_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two crawls stored in a page cache, what is stale by its sources' dates invalidated, and what is left read."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     day = lambda c: F.timestamp_seconds(F.expr(f"CAST({c} AS BIGINT)") * 86400)
-    name, folder = f"page_cache_{uuid.uuid4().hex}", _folder(spark, "page_cache")
+    name, folder = f"page_cache_{uuid.uuid4().hex}", scratch_dir(spark, "page_cache")
     cache = PageCache(spark, name, folder, buckets=16)
     for when, html, crawled in CRAWLS:
         cache.write(pages.filter(when).select("url", F.expr(html).alias("html"), day(crawled).alias("last_crawled")))
@@ -93,7 +88,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> tuple[RunStore, DataFrame]:
     """A store with days of events as runs, and those rows."""
     runs = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("run_ts"), F.col("event_type").alias("site")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     runs = materialize(runs.select(F.lit("r").alias("run_id"), "run_ts", "site", F.lit("accessibility").alias("family"), F.lit("a11y_errors").alias("metric"), "value"), "runs")
-    store = RunStore(spark, _folder(spark, "run_store"))
+    store = RunStore(spark, scratch_dir(spark, "run_store"))
     store.write(runs)
     return store, runs
 
@@ -170,10 +165,10 @@ def json_ld_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT target AS url, count(DISTINCT source) AS pages FROM l WHERE target NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0) GROUP BY target""")
 def stream_discovered_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as a stream of several batches: what they link to that the sitemap lacks, with the number of linking pages."""
-    folder = _folder(spark, "discovery")
+    folder = scratch_dir(spark, "discovery")
     pages = table(spark, sf_dir, "pages")
     timed = pages.select("url", "html", F.timestamp_seconds(1_700_000_000 + F.col("page_id") % 3600).alias("fetched_at"))
-    timed.repartition(4).write.parquet(f"{folder}/pages")
+    timed.repartition(2).write.parquet(f"{folder}/pages")
     stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/pages")
     query = discovery.follow(stream, pages.filter("page_id % 2 = 0").select("url"), folder)
     query.awaitTermination()

@@ -62,13 +62,19 @@ def _settings(spark: SparkSession) -> Iterator[None]:
                         spark.conf.set(name, value)
 
 
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder below the shared one, for what Spark writes there itself; it goes at the end of the process, or with ``scratch``."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made[path] = (spark, threading.get_ident())
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there, and losing an executor costs
     no more than the tasks that ran on it. Folders are unique, so a repeated run never reads a half-written one. ``discard`` deletes
     the table once nothing reads it any more; what is left goes at the end of the process."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _made[path] = (spark, threading.get_ident())
+    path = scratch_dir(spark, label)
     with _settings(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
