@@ -36,3 +36,27 @@ def test_stored_clips_are_read_back(spark, tmp_path):
         assert np.array_equal(stored.reshape(-1, audio.BANDS)[: len(mels)], mels.astype(np.float16))
         assert clips["start_ms"][0].as_py() == 0.0
     assert rows[1]["clips"] == rows[2]["clips"]
+
+
+@pytest.mark.parametrize("most", [1, 30, 200, 10_000])
+def test_segments_have_the_same_windows(most):
+    rng = np.random.default_rng(most)
+    for n in (0, 1, 12, 13, 14, 100):
+        text = "--".join(rng.choice(["Word", "é", "x1", "long" * 9], n)) + "!"
+
+        def windows(t):
+            words = t.lower().replace("!", "").split("--") if t.strip("!") else []
+            return {tuple(words[k : k + 13]) for k in range(max(1, len(words) - 12))} if words else set()
+
+        parts = [p.decode() for p in contamination.segments(text.encode(), 13, most)]
+        assert set().union(*map(windows, parts)) == windows(text)
+        assert len(parts) == 1 or all(len(p.split("--")) >= 13 for p in parts)
+
+
+def test_one_long_item_is_matched_in_pieces(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in rng.integers(0, 10**6, 3000)]
+    docs = spark.createDataFrame([(k, " ".join(words[a : a + 40])) for k, a in enumerate(range(0, 2960, 37))] + [(900, "nothing of it")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([("long", " ".join(words))], "item_id string, text string")
+    one, many = (sorted(tuple(r) for r in contamination.digest(contamination.contamination(docs, bench, query_bytes=n)).collect()) for n in (1 << 24, 4000))
+    assert one == many and sum(r[5] for r in one) == 80

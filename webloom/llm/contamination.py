@@ -259,9 +259,40 @@ def find_hits(index: DataFrame, items: list[tuple[str, bytes]], window: int, eve
     return index.mapInArrow(releasing(run), HITS)
 
 
-def _pieces(items: DataFrame, item: str, text: str, query_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Distinct (item, text) in pieces of about ``query_bytes`` bytes of text, of which the driver holds one at a time; at least one piece."""
+def segments(text: bytes, window: int, most: int) -> Iterator[bytes]:
+    """A text of over ``most`` bytes in segments of about that many that have, together, the same runs of ``window`` words: neighbours share all words of a run but one."""
+    inside = np.concatenate([[0], ALPHANUMERIC[np.frombuffer(text, np.uint8)].view(np.int8), [0]])
+    edge = np.diff(inside)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if len(text) <= most or len(starts) <= window:
+        yield text
+        return
+    first, last = 0, 0
+    while last < len(starts):
+        last = min(len(starts), max(first + window, int(np.searchsorted(ends, starts[first] + most, side="right"))))
+        yield text[starts[first] : ends[last - 1]]
+        first = last - window + 1
+
+
+def _segmented(rows: DataFrame, window: int, most: int) -> DataFrame:
+    """(item, text) with long texts in segments, each in the task that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                parts = [p.decode() for p in segments(text.encode(), window, most)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.string()), pa.array(parts, pa.string())], names=["item", "text"])
+
+    long = F.octet_length("text") > most
+    return rows.filter(~long).unionByName(rows.filter(long).mapInArrow(releasing(run), "item string, text string"))
+
+
+def _pieces(items: DataFrame, item: str, text: str, query_bytes: int, window: int | None = None) -> Iterator[list[tuple[str, bytes]]]:
+    """Distinct (item, text) in pieces of about ``query_bytes`` bytes of text, of which the driver holds one at a time; at least one piece. With ``window`` items of over an eighth of that
+    are in segments that have the same windows; without, an item is held whole."""
     rows = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
+    if window:
+        rows = _segmented(rows, window, max(1, query_bytes // 8))
     n = max(1, -(-2 * int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // query_bytes))
     if n > 1:
         rows = materialize(rows.repartition(F.pmod(F.xxhash64("item", "text"), F.lit(n))).withColumn("piece", F.pmod(F.xxhash64("item", "text"), F.lit(n))), "pieces")
@@ -282,7 +313,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     pass are stored before the next begins."""
     index = materialize(build_index(docs, key, text), "postings")
     stored = []
-    pieces = _pieces(benchmark, item, item_text, query_bytes)
+    pieces = _pieces(benchmark, item, item_text, query_bytes, window)
     piece = next(pieces)
     for following in pieces:
         stored.append(materialize(find_hits(index, piece, window, False), "hits"))
