@@ -201,14 +201,17 @@ def _assemble(size: int, sentinels: tuple[str, ...]):
     return run
 
 
-def _long(texts: DataFrame, unit: str, rate: int, spm: int, sentinels: tuple[str, ...], size: int) -> DataFrame:
-    """Texts of several chunks. Chunks are counted in parallel, running sums of their counts tell which chunk owns a cut, and only those are scanned again."""
+def _long(texts: DataFrame, unit: str, rate: int, spm: int, sentinels: tuple[str, ...], size: int) -> DataFrame | None:
+    """Texts of several chunks, or None where there are none. Chunks are counted in parallel, running sums of their counts tell which chunk owns a cut, and only those are scanned again."""
     spark = texts.sparkSession
     id_type = texts.schema["_id"].dataType.simpleString()
     overlap = max(1, max(len(s.encode()) for s in sentinels) - 1)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = f"_text_no bigint, _id {id_type}, _h1 bigint, _h2 bigint, _h3 bigint, _h4 bigint, _chunk int, _own int, _bytes binary"
     chunks = materialize(texts.mapInArrow(releasing(_split(size, overlap)), columns).repartition(parts, "_text_no", "_chunk"), "text_chunks")
+    if chunks.isEmpty():
+        discard(chunks)
+        return None
     counts = materialize(chunks.select("_text_no", "_chunk", "_own", "_bytes").mapInArrow(releasing(_count(unit, sentinels)), "_text_no bigint, _chunk int, _ends bigint, _marked boolean"), "chunk_counts")
 
     whole = counts.groupBy("_text_no").agg(F.sum("_ends").alias("n"), F.max("_marked").alias("_marked"))
@@ -252,7 +255,7 @@ def fill_in_middle(
     is_long = F.octet_length("_text") > chunk_bytes
     schema = f"_id {id_type}, n bigint, form string, prefix_chars bigint, middle_chars bigint, output binary"
     out = texts.filter(~F.coalesce(is_long, F.lit(False))).mapInArrow(releasing(_single(unit, sentinels, rate, spm)), schema)
-    found = texts.filter(is_long)
-    if not found.select(F.lit(1)).limit(1).isEmpty():
-        out = out.unionByName(_long(found, unit, rate, spm, sentinels, chunk_bytes))
+    rest = _long(texts.filter(is_long), unit, rate, spm, sentinels, chunk_bytes)
+    if rest is not None:
+        out = out.unionByName(rest)
     return out.select(F.col("_id").alias(key), "n", "form", "prefix_chars", "middle_chars", F.col("output").cast("string").alias("output"))
