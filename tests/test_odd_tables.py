@@ -33,3 +33,8 @@ def page(title, h1="", rest=""):
 def test_main_keyword_of_pages_without_words(same):
     html = [page("É É", "É É"), page("", ""), None, page("", "one two two"), page("É", "- a -")]
     assert len(same("main_keyword", "pages", PAGES, [(k, f"https://a.com/{k}", h) for k, h in enumerate(html)])) == 2
+
+
+def test_page_structure_of_references(same):
+    titles = ["a &amp; b", "&quot;a&quot;", "cut &am", "&lt;b&gt; &amp;amp;", "a  b", "&#228;&nbsp;x"]
+    same("page_structure", "pages", PAGES, [(k, f"https://a.com/{k}", page(t, t, f"<p>{t}</p><a href='/x'>x</a>")) for k, t in enumerate(titles)])
