@@ -43,3 +43,10 @@ def test_page_structure_of_references(same):
 def test_robots_by_site_of_repeated_addresses(same):
     """One address is several pages, whose sites have different rules; one is none of theirs."""
     same("robots_by_site", "pages", PAGES, [(k, f"https://a.com/{k % 7}" if k % 5 else None, "") for k in range(120)])
+
+
+def test_scores_at_a_half(same):
+    """Points whose sum is at a half of a percent, but beside it where tenths are summed as binary fractions."""
+    rest = "<h2></h2>" + '<a href="/x"></a>' * 20
+    rows = [(609741 + k - k % 2, f"https://a/{k % 2}", page("É" * 29, "É", f"<p>{'w ' * (1109 + k // 2)}</p>{rest}")) for k in range(-6, 8)]
+    same("seo_component_scores", "pages", PAGES, [(n + 9000 * k, *r) for k, (n, *r) in enumerate(rows)])
