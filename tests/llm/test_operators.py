@@ -318,6 +318,24 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
         assert got == neardup.brute_force(rows, width, percent)
 
 
+@pytest.mark.parametrize(("percent", "sizes"), [(85, [(17, 20), (85, 100), (1700, 2000), (7, 7)]), (80, [(4, 5), (80, 100), (5242, 6552)]), (100, [(9, 9), (1000, 1000)])])
+def test_second_look_asks_for_no_further_key(spark, monkeypatch, percent, sizes):
+    """Pairs of a large bucket that share its key alone, with sizes at the least ratio that a link can have."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    rnd, size = np.random.default_rng(3), 20
+    rows = [(0, 50, rnd.bytes(2 * size))]
+    for a, b in sizes * 5:
+        sketch = rnd.bytes(2 * size)
+        rows += [(len(rows), a, sketch), (len(rows) + 1, b, sketch)]
+    sketches = spark.createDataFrame(rows, "id bigint, n_shingles bigint, sketch binary")
+    buckets = sketches.selectExpr("1L AS key", "0L AS leader", "id AS member")
+    found = neardup.second_look(buckets, spark.createDataFrame([], "id bigint, component bigint"), sketches, size, 15, percent)
+    groups: dict = {}
+    for r in found.collect():
+        groups.setdefault(r["gid"], set()).add(r["member"])
+    assert sorted(map(sorted, groups.values())) == [[k, k + 1] for k in range(1, len(rows), 2)]
+
+
 def test_sketches_estimate_similarity():
     rnd = np.random.default_rng(1)
     common, a, b = (rnd.integers(0, 1 << 63, n, dtype=np.uint64) for n in (800, 100, 100))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,9 +23,6 @@ MEMBERS, MOST_HOT, HOT_ROWS = 64, 4096, 1000
 #: Links that are few enough for one task.
 LAST_LINKS = 1 << 16
 
-#: Passes in which members are told apart by band keys, the first by their bucket's own, before blocks of what is still large meet.
-LEVELS = 2
-
 #: Bytes of text that are turned into sketches, or compared, at a time.
 TEXT_AT_ONCE = 1 << 20
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -309,38 +307,34 @@ def second_look(buckets: DataFrame, found: DataFrame, sketches: DataFrame, size:
     """(gid, member, component): groups of members of one bucket whose sketches tie them together though they are in different components.
 
     Every member has met its bucket's leader, so only the others are looked at, and only where they are in several components. Where
-    more than BLOCK of them are outside the leader's component, those that can be a pair share one further band key, so the bucket is split by
-    each of those. What is still too large is dealt into blocks of about BLOCK; every two blocks meet in one task, but for two that are both
-    from the leader's component, so nothing else than a second key is ever asked of a pair.
+    more than BLOCK of them are outside the leader's component, the bucket is split by set sizes: linked sets differ by ``percent`` at most, so
+    a part has the members of two neighbouring steps of a scale with that ratio, and each pair that can be a link is in one part. What is
+    still too large is dealt into blocks of about BLOCK; every two blocks meet in one task, but for two that are both from the leader's
+    component. So every pair of a bucket that can join components is looked at, however large the bucket is.
     What leaves a task is not pairs but, for each set of members that agreeing pairs connect, one row per member; a set that
     several buckets show gets the same gid from its members and is kept once."""
     members = in_components(buckets, found).filter("leader <> member")
-    stored = [materialize(open_groups(members.select("key", F.col("key").alias("last"), "member", "component", "main")), "open")]
-    ready = []
-    for level in range(LEVELS):
-        large = stored[-1].filter(F.col("_few") > BLOCK)
-        if level == LEVELS - 1 or large.isEmpty():
-            ready.append(stored[-1])
-            break
-        ready.append(stored[-1].filter(F.col("_few") <= BLOCK))
-        again = large.join(buckets.select("member", F.col("key").alias("other")), "member").filter("other > last")
-        again = again.select(F.xxhash64("key", "other").alias("key"), F.col("other").alias("last"), "member", "component", "main")
-        stored.append(materialize(open_groups(again), "open"))
-    rows = ready[0]
-    for more in ready[1:]:
-        rows = rows.unionByName(more)
+    own = materialize(open_groups(members.select("key", "member", "component", "main")).withColumn("upper", F.lit(False)), "open")
+    stored, rows, large = [own], own, own.filter(F.col("_few") > BLOCK)
+    if not large.isEmpty():
+        step = math.log(100 / percent) * (1 + 1e-9) + 1e-9 if percent else math.inf
+        place = F.floor(F.log("n_shingles") / F.lit(step))
+        parts = large.join(sketches.select(F.col("id").alias("member"), "n_shingles"), "member").withColumn("place", place).withColumn("part", F.explode(F.array("place", F.col("place") + 1)))
+        parts = parts.select(F.xxhash64("key", "part").alias("key"), "member", "component", "main", (F.col("place") == F.col("part")).alias("upper"))
+        stored.append(materialize(open_groups(parts), "open"))
+        rows = own.filter(F.col("_few") <= BLOCK).unionByName(stored[1])
     rows = rows.drop("_few").withColumn("minor", F.col("component") != F.col("main"))
     counts = rows.groupBy("key").agg(F.sum(F.col("minor").cast("int")).alias("_few"), F.sum((~F.col("minor")).cast("int")).alias("_many"))
     rows = rows.join(counts.select("key", F.ceil(F.col("_few") / BLOCK).cast("int").alias("_few"), F.ceil(F.col("_many") / BLOCK).cast("int").alias("_many")), "key")
     spread = F.pmod(F.xxhash64("member"), F.when(F.col("minor"), F.col("_few")).otherwise(F.col("_many"))).cast("int") + F.when(F.col("minor"), F.col("_many")).otherwise(0)
     every, small = F.sequence(F.lit(0), F.col("_many") + F.col("_few") - 1), F.sequence(F.col("_many"), F.col("_many") + F.col("_few") - 1)
     rows = rows.withColumn("block", spread).withColumn("other", F.explode(F.when(F.col("minor"), every).otherwise(small)))
-    rows = rows.select("key", F.least("block", "other").alias("_p"), F.greatest("block", "other").alias("_q"), "block", "member", "component")
+    rows = rows.select("key", F.least("block", "other").alias("_p"), F.greatest("block", "other").alias("_q"), "block", "member", "component", "upper")
     rows = rows.join(sketches.select(F.col("id").alias("member"), "n_shingles", "sketch"), "member")
 
     def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _groups(batches, ["key", "_p", "_q"]):
-            ids, comp, n, p, q, block = (table[c].to_numpy() for c in ("member", "component", "n_shingles", "_p", "_q", "block"))
+            ids, comp, n, p, q, block, upper = (table[c].to_numpy() for c in ("member", "component", "n_shingles", "_p", "_q", "block", "upper"))
             sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u2").reshape(-1, size)
             sizes = np.diff(starts)
             firsts = starts[:-1]
@@ -349,7 +343,7 @@ def second_look(buckets: DataFrame, found: DataFrame, sketches: DataFrame, size:
             edges_i, edges_j = [], []
 
             def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                return (comp[i] != comp[j]) & ((p[i] == q[i]) | (block[i] != block[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                return (comp[i] != comp[j]) & ~(upper[i] & upper[j]) & ((p[i] == q[i]) | (block[i] != block[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
 
             for step in range(1, 32):  # small groups: all neighbours at one distance at a time
                 i = np.flatnonzero(few & (np.arange(len(ids)) + step < end))
