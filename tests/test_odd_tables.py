@@ -50,3 +50,12 @@ def test_scores_at_a_half(same):
     rest = "<h2></h2>" + '<a href="/x"></a>' * 20
     rows = [(609741 + k - k % 2, f"https://a/{k % 2}", page("É" * 29, "É", f"<p>{'w ' * (1109 + k // 2)}</p>{rest}")) for k in range(-6, 8)]
     same("seo_component_scores", "pages", PAGES, [(n + 9000 * k, *r) for k, (n, *r) in enumerate(rows)])
+
+
+def executed(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_robots_quality_stays_within_the_row(spark, small):
+    """No task gathers more than a row, however many files there are."""
+    assert "Exchange" not in executed(QUERIES["robots_quality"](spark, small))

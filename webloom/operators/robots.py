@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 import pyarrow as pa
@@ -27,32 +29,43 @@ def parse(files: DataFrame, key: str = "url", content: str = "content") -> DataF
     A rule belongs to the last user-agent line above it, or to '*'; what follows a directive's colon is its value, comments at the end of a
     line included; a file that is null or empty has no rows."""
     lines = files.select(key, F.posexplode(F.split(content, r"\r?\n")).alias("line_no", "_line")).withColumn("_line", F.regexp_replace("_line", r"^\s+|\s+$", ""))
-    name = F.lower(F.regexp_extract("_line", r"^([A-Za-z-]+):", 1))
-    value = F.regexp_replace(F.regexp_extract("_line", r"^[A-Za-z-]+:(.*)$", 1), r"^\s+|\s+$", "")
-    kind = F.when(F.startswith("_line", F.lit("#")), "comment").when(name.isin("sitemap", "user-agent", "allow", "disallow"), name).otherwise("other")
-    rows = lines.filter("_line <> ''").select(key, "line_no", kind.alias("kind"), F.when(kind == "comment", F.regexp_replace("_line", r"^#\s*", "")).otherwise(value).alias("value"))
+    rows = lines.filter("_line <> ''").select(key, "line_no", *(c.alias(k) for k, c in _mark(F.col("_line")).items()))
     above = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     agent = F.coalesce(F.last(F.when(F.col("kind") == "user-agent", F.col("value")), ignorenulls=True).over(above), F.lit("*"))
     return rows.select(key, "line_no", "kind", agent.alias("user_agent"), "value")
 
 
+def _mark(line: Column) -> dict[str, Column]:
+    """Kind and value of a trimmed line."""
+    name = F.lower(F.regexp_extract(line, r"^([A-Za-z-]+):", 1))
+    value = F.regexp_replace(F.regexp_extract(line, r"^[A-Za-z-]+:(.*)$", 1), r"^\s+|\s+$", "")
+    kind = F.when(F.startswith(line, F.lit("#")), "comment").when(name.isin("sitemap", "user-agent", "allow", "disallow"), name).otherwise("other")
+    return {"kind": kind, "value": F.when(kind == "comment", F.regexp_replace(line, r"^#\s*", "")).otherwise(value)}
+
+
 def quality(files: DataFrame, key: str = "url", content: str = "content") -> DataFrame:
-    """Score (0 to 100), label, what was counted, and lists of issues and recommendations of every file; one without content is 'Missing'."""
-    rows = parse(files, key, content)
-    low = F.lower("value")
-    agents = F.count_distinct(F.when((F.col("kind") == "user-agent") & _any_contains(low, AGENTS), F.col("value")))
-    guarded = (F.col("kind") == "disallow") & F.exists(F.array(*[F.lit(p) for p in SENSITIVE]), lambda p: F.startswith(low, p))
-    found = rows.groupBy(key).agg(
-        agents.alias("ai_agents"),
-        F.count_if(F.col("kind") == "sitemap").alias("sitemaps"),
-        F.count_distinct(F.when(guarded, F.col("value"))).alias("protected_paths"),
-        F.count_if((F.col("kind") == "comment") & (F.contains(low, F.lit("llms.txt")) | F.contains(low, F.lit("llms-txt")))).alias("llms_mentions"),
-        F.count_if(F.col("kind") == "comment").alias("comments"),
-        F.count_if(F.col("kind").isin("allow", "disallow")).alias("rules"),
-        _in_order((F.col("kind") == "user-agent") & _any_contains(low, AGENTS)).alias("ai_agent_names"),
-        _in_order(guarded).alias("paths"),
+    """Score (0 to 100), label, what was counted, and lists of issues and recommendations of every file; one without content is 'Missing'.
+
+    All within the row, without a shuffle: a file is an array of marked lines."""
+    text = F.coalesce(F.col(content), F.lit(""))
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    marks = files.select(key, (text == "").alias("missing"), F.transform(lines, lambda s: F.struct(*(c.alias(k) for k, c in _mark(s).items()))).alias("_marks"))
+
+    def of(*kinds: str, also: Callable[[Column], Column] | None = None) -> Column:
+        """Values of the lines of these kinds (with a condition on lower-case values), in order."""
+        return F.transform(F.filter("_marks", lambda m: m["kind"].isin(*kinds) & (also(F.lower(m["value"])) if also else F.lit(True))), lambda m: m["value"])
+
+    found = marks.select(
+        key,
+        "missing",
+        F.array_distinct(of("user-agent", also=lambda low: _any(low, F.contains, AGENTS))).alias("ai_agent_names"),
+        F.array_distinct(of("disallow", also=lambda low: _any(low, F.startswith, SENSITIVE))).alias("paths"),
+        F.size(of("sitemap")).cast("bigint").alias("sitemaps"),
+        F.size(of("comment", also=lambda low: _any(low, F.contains, ("llms.txt", "llms-txt")))).cast("bigint").alias("llms_mentions"),
+        F.size(of("comment")).cast("bigint").alias("comments"),
+        F.size(of("allow", "disallow")).cast("bigint").alias("rules"),
     )
-    all_ = files.select(key, (F.coalesce(F.col(content), F.lit("")) == "").alias("missing")).join(found, key, "left").fillna(0)
+    all_ = found.withColumns({"ai_agents": F.size("ai_agent_names").cast("bigint"), "protected_paths": F.size("paths").cast("bigint")})
     agents, sitemaps, paths, mentions, comments = (F.col(c) for c in ("ai_agents", "sitemaps", "protected_paths", "llms_mentions", "comments"))
     by_agents = F.when(agents >= 3, 30).when(agents >= 1, 20).otherwise(5)
     by_paths = F.when(paths >= 3, 25).when(paths >= 1, 15).otherwise(0)
@@ -80,26 +93,21 @@ def quality(files: DataFrame, key: str = "url", content: str = "content") -> Dat
         (mentions == 0, "Point to llms.txt in a comment"),
         (comments == 0, "Explain the rules in comments"),
     )
-    none = F.array().cast("array<string>")
     more = {
-        "exists": ~F.col("missing"), "max_score": F.lit(100), "has_ai_agents": agents > 0, "ai_agent_names": F.coalesce("ai_agent_names", none), "has_sitemap": sitemaps > 0, "protects_paths": paths > 0, "paths": F.coalesce("paths", none), "mentions_llms": mentions > 0,
+        "exists": ~F.col("missing"), "max_score": F.lit(100), "has_ai_agents": agents > 0, "ai_agent_names": F.col("ai_agent_names"), "has_sitemap": sitemaps > 0, "protects_paths": paths > 0, "paths": F.col("paths"), "mentions_llms": mentions > 0,
         "has_comments": comments > 0, "rules": F.col("rules"), "structure": F.when(F.col("missing"), "Unknown").when(agents >= 3, "Excellent").when(agents >= 1, "Good").otherwise("Basic"),
     }
     return all_.select(key, *[v.alias(k) for k, v in more.items()], score.alias("score"), label.alias("quality"), "ai_agents", "sitemaps", "protected_paths", "llms_mentions", "comments", issues.alias("issues"), advice.alias("recommendations"))
 
 
-def _in_order(when: Column) -> Column:
-    """The values of the lines for which ``when`` holds, each once, in the order of lines."""
-    return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("line_no", "value")))), lambda x: x["value"]))
-
-
 def said(missing: Column, if_missing: str, *rules: tuple[Column, Column | str]) -> Column:
     """Texts of all rules that hold, in order, or the one text for a file that is missing."""
     return F.when(missing, F.array(F.lit(if_missing))).otherwise(F.array_compact(F.array(*[F.when(when, F.lit(text) if isinstance(text, str) else text) for when, text in rules])))
 
 
-def _any_contains(value: Column, words: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(value, w))
+def _any(value: Column, test: Callable[[Column, Column], Column], words: tuple[str, ...]) -> Column:
+    """Whether ``test`` holds for a value and any of the words."""
+    return reduce(or_, (test(value, F.lit(w)) for w in words))
 
 
 #: Bytes of compiled rules that are sent to all tasks; with more, addresses go to the rules. Tasks that the addresses of one site are spread over then.
