@@ -59,3 +59,8 @@ def executed(frame):
 def test_robots_quality_stays_within_the_row(spark, small):
     """No task gathers more than a row, however many files there are."""
     assert "Exchange" not in executed(QUERIES["robots_quality"](spark, small))
+
+
+def test_llms_txt_quality_splits_a_file_once(spark, small):
+    """Each step is computed once a row, not anew for all that is made of it."""
+    assert executed(QUERIES["llms_txt_quality"](spark, small)).count("split(") == 1

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,25 +27,25 @@ def parse(files: DataFrame, key: str = "url", content: str = "content") -> DataF
     title, with the lines below each), links, word_count, line_count, valid.
 
     All within the row: a file is an array of lines. A null or blank file is not valid and has nulls and empty arrays."""
-    text = F.coalesce(F.col(content), F.lit(""))
-    lines = F.transform(F.split(text, r"\r?\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    lines = F.transform(F.split("_content", r"\r?\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    numbered = F.transform("_lines", lambda s, i: F.struct(F.char_length(F.regexp_extract(s, r"^(#+)\s+\S", 1)).alias("level"), F.regexp_replace(s, r"^#+\s+", "").alias("text"), (i + 1).alias("line")))
+    first = F.array_position(F.transform("_lines", lambda s: F.startswith(s, F.lit("# "))), F.lit(True))
+    # each step is a column of its own, as what stands inside a function of an array is computed anew for every element
+    rows = files.select(key, F.coalesce(F.col(content), F.lit("")).alias("_content")).withColumn("_lines", lines)
+    rows = rows.withColumns({"outline": F.filter(numbered, lambda h: h["level"] > 0), "_first": first, "_plain": F.filter("_lines", lambda s: ~F.startswith(s, F.lit("#")))})
+    rows = rows.withColumns({"_bodies": F.filter("outline", lambda h: h["line"] != F.col("_first")), "_end": F.size("_lines") + 1})
+    lines, bodies, at, plain, text = (F.col(c) for c in ("_lines", "_bodies", "_first", "_plain", "_content"))
     headings = F.transform(F.filter(lines, lambda s: s.rlike(r"^#+\s+\S")), lambda s: F.regexp_replace(s, r"^#+\s+", ""))
-    numbered = F.transform(lines, lambda s, i: F.struct(F.char_length(F.regexp_extract(s, r"^(#+)\s+\S", 1)).alias("level"), F.regexp_replace(s, r"^#+\s+", "").alias("text"), (i + 1).alias("line")))
-    outline = F.filter(numbered, lambda h: h["level"] > 0)
-    first = F.array_position(F.transform(lines, lambda s: F.startswith(s, F.lit("# "))), F.lit(True))
-    bodies = F.filter(outline, lambda h: h["line"] != first)
 
     def body(h: Column, i: Column) -> Column:
         """Lines that say something from a heading to the next."""
-        end = F.coalesce(F.try_element_at(bodies, i + 2)["line"], F.size(lines) + 1)
+        end = F.coalesce(F.try_element_at(bodies, i + 2)["line"], F.col("_end"))
         return F.filter(F.slice(lines, h["line"] + 1, F.greatest(end - h["line"] - 1, F.lit(0))), lambda s: (s != "") & ~F.startswith(s, F.lit("#")))
 
     sections = F.transform(bodies, lambda h, i: F.struct(h["text"].alias("heading"), h["level"].alias("level"), h["line"].alias("line"), body(h, i).alias("content")))
     title = F.regexp_extract(F.try_element_at(F.filter(lines, lambda s: F.startswith(s, F.lit("# "))), F.lit(1)), r"^#\s+(.*)$", 1)
-    at = F.array_position(F.transform(lines, lambda s: F.startswith(s, F.lit("# "))), F.lit(True))
     after = F.when(at > 0, F.slice(lines, F.greatest(at, F.lit(1)).cast("int") + 1, F.size(lines)))
     description = F.try_element_at(F.filter(after, lambda s: (F.char_length(s) > 20) & ~F.startswith(s, F.lit("#")) & ~F.startswith(s, F.lit("**"))), F.lit(1))
-    plain = F.filter(lines, lambda s: ~F.startswith(s, F.lit("#")))
 
     def labelled(word: str):
         """Whether a line has the label, and what follows it in the last such line."""
@@ -52,7 +55,7 @@ def parse(files: DataFrame, key: str = "url", content: str = "content") -> DataF
         return (F.size(found) > 0).alias(f"has_{name}"), F.trim(F.try_element_at(values, F.lit(-1))).alias(name)
 
     links = F.transform(F.regexp_extract_all(text, F.lit(r"(\[[^\]]+\]\([^)]+\))"), F.lit(1)), lambda s: F.struct(F.regexp_extract(s, r"^\[([^\]]+)\]", 1).alias("text"), F.regexp_extract(s, r"\(([^)]+)\)$", 1).alias("url")))
-    return files.select(
+    return rows.select(
         key,
         F.nullif(title, F.lit("")).alias("title"),
         description.alias("description"),
@@ -60,43 +63,45 @@ def parse(files: DataFrame, key: str = "url", content: str = "content") -> DataF
         *labelled("last updated"),
         *labelled("site type"),
         headings.alias("headings"),
-        outline.alias("outline"),
+        "outline",
         sections.alias("sections"),
         links.alias("links"),
-        F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("word_count"),
+        F.regexp_count(text, F.lit(r"\S+")).alias("word_count"),
         F.size(lines).alias("line_count"),
         (text != "").alias("valid"),
-        text.alias("_content"),
+        "_content",
     )
 
 
 def quality(files: DataFrame, key: str = "url", content: str = "content") -> DataFrame:
     """Score (0 to 100), label, counts, and lists of issues and recommendations of every file."""
     p = parse(files, key, content)
-    low = F.lower("_content")
+    p = p.withColumns({"_low": F.lower("_content"), "_said": F.lower(F.array_join("headings", "\n")), "_links": F.size("links"), "_headings": F.size("headings")})
+    low, words, links = F.col("_low"), F.col("word_count"), F.col("_links")
 
     def present(name: str):
         return F.when(F.coalesce(F.col(name), F.lit("")) != "" if name in ("title", "description") else F.col(f"has_{name}"), 10).otherwise(0)
 
-    def has_section(words: tuple[str, ...]):
-        return F.exists("headings", lambda h: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(h), w)))
+    def has_section(name: str):
+        return F.col(f"_{name}")
 
-    n_sections = sum((F.when(has_section(w), 5).otherwise(0) for w in SECTIONS.values()), F.lit(0))
-    words, links = F.col("word_count"), F.size("links")
+    n_sections = F.col("_sections")
     hits = (
         (F.contains(low, F.lit("rate")) & (F.contains("_content", F.lit("per hour")) | F.contains("_content", F.lit("per minute")))).cast("int")
         + (F.contains(low, F.lit("endpoint")) | F.contains(low, F.lit("api/"))).cast("int")
         + (F.contains("_content", F.lit("/")) & (F.contains("_content", F.lit("admin")) | F.contains("_content", F.lit("api")))).cast("int")
     )
+    p = p.withColumns({"_hits": hits, **{f"_{name}": reduce(or_, (F.contains("_said", F.lit(w)) for w in words_)) for name, words_ in SECTIONS.items()}})
+    p, hits = p.withColumn("_sections", sum((F.when(has_section(name), 5).otherwise(0) for name in SECTIONS), F.lit(0))), F.col("_hits")
     total = (
         present("title") + present("description") + present("contact") + present("last_updated") + n_sections
         + F.when(words >= 200, 15).when(words >= 100, 10).when(words >= 50, 5).otherwise(0)
         + F.when(links >= 5, 10).when(links >= 3, 7).when(links >= 1, 4).otherwise(0)
         + F.when(hits >= 2, 5).when(hits == 1, 3).otherwise(0)
         + F.when(F.col("has_site_type"), 3).otherwise(0)
-        + F.when(F.size("headings") >= 5, 2).otherwise(0)
+        + F.when(F.col("_headings") >= 5, 2).otherwise(0)
     )
-    score = F.when(F.col("valid"), F.least(F.lit(100), total)).otherwise(0)
+    p, score = p.withColumn("_score", F.when(F.col("valid"), F.least(F.lit(100), total)).otherwise(0)), F.col("_score")
     label = F.when(~F.col("valid"), "Missing").otherwise(grade(score, [(85, "Excellent"), (70, "Good"), (50, "Fair"), (30, "Poor")], "Very Poor"))
     # what is said of a file
     core = {
@@ -116,7 +121,7 @@ def quality(files: DataFrame, key: str = "url", content: str = "content") -> Dat
         ~F.col("valid"),
         "Publish an llms.txt that begins with a heading",
         *((present(c) == 0, text) for c, (_, text) in core.items()),
-        *((~has_section(w), f"Write a section on {name.replace('_', ' ')}") for name, w in SECTIONS.items()),
+        *((~has_section(name), f"Write a section on {name.replace('_', ' ')}") for name in SECTIONS),
         (words.between(100, 199), F.format_string("Go into more detail than %d words allow", words)),
         (words.between(50, 99), "Write the sections out"),
         (links.between(3, 4), "Link to a few more documents"),
@@ -133,5 +138,5 @@ def quality(files: DataFrame, key: str = "url", content: str = "content") -> Dat
         "has_site_type": F.col("has_site_type"), "site_type": F.col("site_type"), "core_elements": core_elements, "core_total": F.lit(len(core)), "sections_total": F.lit(len(SECTIONS)), "line_count": F.col("line_count"), "length": length,
         "specificity": F.when(~F.col("valid"), "Unknown").when(hits >= 2, "High").when(hits == 1, "Medium").otherwise("Low"), "structured": F.col("valid") & (words >= 200),
     }
-    counts = [*[v.alias(k) for k, v in more.items()], (n_sections / 5).cast("int").alias("sections"), F.col("word_count"), links.alias("n_links"), F.size("headings").alias("n_headings")]
+    counts = [*[v.alias(k) for k, v in more.items()], (n_sections / 5).cast("int").alias("sections"), F.col("word_count"), links.alias("n_links"), F.col("_headings").alias("n_headings")]
     return p.select(key, score.cast("int").alias("score"), label.alias("quality"), *counts, issues.alias("issues"), advice.alias("recommendations"))
